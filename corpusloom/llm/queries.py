@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, frames, lengths
+from . import bpe, covertree, frames, lengths, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_arc_to_warc": warc.op1_arc_to_warc,
         "op2_bpe_automaton": bpe.op2_bpe_automaton,
         "op4_length_histogram": lengths.op4_length_histogram,
         "op5_token_frames": frames.op5_token_frames,
+        "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_arc_to_warc": warc.OP1_SQL,
+        "op9_cover_tree_top5": covertree.OP9_SQL,
+    }
