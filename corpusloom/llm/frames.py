@@ -22,14 +22,15 @@ are left out.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,10 @@ from .files import reading, size, writing
 FRAME_IDS = 1 << 16
 #: About so many characters of text make one shard.
 SHARD_CHARS = 64 << 20
-#: Chunks of text (between white space) that a worker remembers; emptied when full.
+#: Chunks of text in one of the two generations that a worker remembers.
 REMEMBERED = 300_000
+#: Bytes of text that are encoded together.
+GATHERED = 8 << 20
 
 MAGIC, SKIPPABLE = b"LOOMSEEK", 0x184D2A5E
 FRAME = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("crc", "<u4")])
@@ -51,26 +54,44 @@ FOOTER = struct.Struct("<II8s")
 
 
 class Chunks(dict):
-    """Chunk of text -> its ids. The vocabulary's pattern never crosses white space, so a text's ids are those of its
-    chunks in turn; each chunk goes through the tokenizers library once while it is remembered."""
+    """Chunk of text between white space -> its ids by the tokenizers library. The vocabulary's pattern never crosses white
+    space, so a text's ids are those of its chunks in turn. New chunks go through the library together, parted by one of its
+    special tokens; the two newest generations of REMEMBERED chunks are kept."""
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        new = list({c for c in chunks if c not in self})
-        if len(self) + len(new) > REMEMBERED:
+        self.older: dict[str, bytes] = {}
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        self.sep_id, self.sep = next((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
+        self.odd = self.sep[0]
+
+    def learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if self.odd not in c]
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = [*(np.flatnonzero(ids == self.sep_id) * 4).tolist(), len(ids) * 4], ids.tobytes()
+            at = 0
+            for c, end in zip(part, ends, strict=True):
+                self[c] = raw[at:end]
+                at = end + 4
+        for c in chunks:
+            if self.odd in c:
+                self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def all(self, chunks: list[str]) -> list[bytes]:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = array("I", e.ids).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:  # dropped since it was learnt
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        for c in [c for c in chunks if c not in self and c in self.older]:
+            self[c] = self.older[c]
+        self.learn([c for c in chunks if c not in self])
+        return [self[c] for c in chunks]
 
 
 @lru_cache(maxsize=2)
@@ -78,17 +99,29 @@ def chunks_of(path: str) -> Chunks:
     return Chunks(path)
 
 
-# Chunks are cut only at white space that every regex engine knows.
-SPACES = str.maketrans({"\t": " ", "\n": " ", "\r": " "})
-
-
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> Iterator[bytes]:
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers, with the end id."""
-    known, end = chunks_of(path), struct.pack("<I", end_id)
-    for t in texts:
-        parts = [c for c in (t or "").translate(SPACES).split(" ") if c]
-        known.learn(parts)
-        yield b"".join([known[c] for c in parts]) + end
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = parts.flatten().dictionary_encode()
+    ids = pa.array(chunks_of(path).all(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    _, ends, data = ids.buffers()
+    bounds = np.frombuffer(ends, "<i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "<i8")
+    offsets = parts.offsets.to_numpy()
+    at = bounds[offsets - offsets[0]].tolist()
+    view, end = memoryview(data if data is not None else b""), struct.pack("<I", end_id)
+    return [view[a:b].tobytes() + end for a, b in zip(at, at[1:], strict=False)]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold GATHERED bytes: more of a worker's chunks are then found once for many texts."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    yield from pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
 
 
 class ShardWriter:
@@ -183,8 +216,8 @@ def write_token_shards(docs: DataFrame, folder: str, path: str | None = None, en
         docs_n = ids_n = 0
         with writing(uri) as out:
             w = ShardWriter(out)
-            for b in batches:
-                for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(b.column(1).to_pylist(), path, end_id), strict=True):
+            for b in gathered(batches):
+                for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(b.column(1), path, end_id), strict=True):
                     w.add(doc_id, ids)
                     docs_n, ids_n = docs_n + 1, ids_n + len(ids) // 4
             w.close()

@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, take
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SYMBOL = re.compile(r"[#*$%&|<>]")
-NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
-LETTER_CASE = re.compile(r"[^\W\d_]")
 
 #: What is measured of a text, in the order of the ledger's columns.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_exclaims", "n_distinct_words"]
@@ -38,7 +35,7 @@ RULES = [
     ("too_few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 10 * word_chars"),
-    ("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
     ("shouting", "n_upper + n_lower >= 100 and 100 * n_upper > 50 * (n_upper + n_lower)"),
     ("exclamations", "n_words > 0 and 100 * n_exclaims > 50 * n_words"),
@@ -71,14 +68,14 @@ def measure(text: str | None) -> tuple[int, ...]:
             if counts[w] > 1:
                 covered[i] = covered[i + 1] = covered[i + 2] = 1
         repeated = sum(covered)
-    lines, dup = [x for x in t.split("\n")], 0
+    lines, dup = t.split("\n"), 0
     if len(lines) > 1:
         full = [x for x in lines if WORD.search(x)]
         dup, n_lines = len(full) - len(set(full)), len(full)
     else:
         n_lines = int(n > 0)
     upper, lower = case_counts(t)
-    symbols = len(t) - len(NOT_SYMBOL.sub("", t)) if False else sum(map(t.count, "#*$%&|<>"))
+    symbols = sum(map(t.count, "#*$%&|<>"))
     return n, sum(map(len, words)), symbols, n_lines, dup, repeated, upper, lower, t.count("!"), len(set(words))
 
 
@@ -152,24 +149,13 @@ def policy_counts(led: DataFrame, policies: list[str] | None = None) -> DataFram
 
 def kept_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the policy keeps. One pass: no join, no shuffle."""
-
-    @F.pandas_udf("struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">")
-    def of(texts: "pd.Series") -> "pd.DataFrame":  # noqa: F821, UP037
-        import pandas as pd
-
-        return pd.DataFrame([measure(t) for t in texts], columns=MEASURES)
-
-    of = F.udf(measure_row, "struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">", useArrow=True)
+    of = F.udf(measure, "struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">", useArrow=True)
     names = docs.columns
     plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
     judged = plain.withColumn("_m", of(F.col(f"c{names.index('text')}"))).select("*", *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
     return judged.withColumn("fail_bits", fail_bits()).where(passes(policy)).select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
 
 
-def measure_row(text):
-    return measure(text)
-
-
 def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = ledger(table(spark, sf_dir, "documents"))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask("base")).cast("long")) != 0
@@ -189,7 +175,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
   len(list_filter(string_split(t, ''), lambda x: x <> lower(x))) AS n_upper, len(list_filter(string_split(t, ''), lambda x: x <> upper(x))) AS n_lower
   FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN 100 * n_symbols > 10 * word_chars THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+  + CASE WHEN 100 * n_symbols > 10 * word_chars THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
   + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END
   + CASE WHEN n_upper + n_lower >= 100 AND 100 * n_upper > 50 * (n_upper + n_lower) THEN 32 ELSE 0 END
   + CASE WHEN n_words > 0 AND 100 * n_exclaims > 50 * n_words THEN 64 ELSE 0 END

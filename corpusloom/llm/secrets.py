@@ -33,6 +33,9 @@ from .common import small_batches, table, take
 #: A query is True (no condition), a trigram, or ("and" | "or", queries).
 Query = bool | str | tuple
 
+#: Of a string's trigrams a query keeps so many, those with the rarest letters; leaving some out only widens the candidates.
+MANDATORY = 3
+COMMON = "etaonihsrdlu"
 #: Most strings that an exact set may hold before it is turned into trigrams.
 EXACT = 64
 
@@ -58,12 +61,16 @@ def trigrams_of(strings: set[str]) -> Query:
     out = []
     for s in sorted(strings):
         q: Query = True
-        for i in range(len(s) - 2):
-            q = both(q, s[i : i + 3])
+        for g in sorted({s[i : i + 3] for i in range(len(s) - 2)}, key=commonness)[:MANDATORY]:
+            q = both(q, g)
         out.append(q)
     return either(out)
 
 
+def commonness(trigram: str) -> tuple[int, str]:
+    return sum(12 - COMMON.find(c) for c in trigram if c in COMMON), trigram
+
+
 class Part:
     """What is known of a piece of an expression: the exact set of strings it matches (or None), and a query."""
 
