@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, frames, lengths, quality, secrets, warc
+from . import bpe, covertree, frames, lengths, neardup, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_length_histogram": lengths.op4_length_histogram,
         "op5_token_frames": frames.op5_token_frames,
         "op6_secret_trigrams": secrets.op6_secret_trigrams,
+        "op8_setsketch_neardup": neardup.op8_setsketch_neardup,
         "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
         "op10_quality_ledger": quality.op10_quality_ledger,
     }
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_arc_to_warc": warc.OP1_SQL,
+        "op8_setsketch_neardup": neardup.OP8_SQL,
         "op9_cover_tree_top5": covertree.OP9_SQL,
         "op10_quality_ledger": quality.OP10_SQL,
     }
