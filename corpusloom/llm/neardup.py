@@ -45,6 +45,9 @@ OUT_OF_REACH = 14.0
 #: Members of a block, and shingles of a block, at about most.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 18
 
+#: Rows of 64 bits in the bitmap that thins out the texts before their shuffle; a bound on what is broadcast.
+BITMAP_WORDS = 1 << 18
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,7 +206,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     items.append(s.view(np.int64))
             yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["node", "n", "sketch", "items"])
 
-    d = small_batches(take(docs, "doc_id", "text")).withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "text")
+    wanted = written(wanted, "wanted-nodes")
+    d = small_batches(take(docs, "doc_id", "text")).withColumnRenamed("doc_id", "node")
+    h = F.xxhash64("node").bitwiseAND(F.lit(64 * BITMAP_WORDS - 1).cast("long"))
+    # A bitmap of the wanted nodes' hashes, of BITMAP_WORDS rows at most: most other texts are left out before the shuffle.
+    bits = wanted.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(node) & 63 as int))")).alias("bits"))
+    d = d.withColumn("word", F.shiftright(h, 6)).join(F.broadcast(bits), "word").where(F.expr("(shiftright(bits, cast(xxhash64(node) & 63 as int)) & 1) = 1"))
+    d = d.join(wanted, "node").select("node", "text")
     return d.mapInArrow(run, "node long, n long, sketch binary, items array<long>")
 
 

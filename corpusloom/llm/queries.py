@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, frames, lengths, neardup, quality, secrets, warc
+import corpus_pipeline
+
+from . import bpe, covertree, frames, lengths, mixing, neardup, pii, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_arc_to_warc": warc.op1_arc_to_warc,
         "op2_bpe_automaton": bpe.op2_bpe_automaton,
+        "op3_mixture_raking": mixing.op3_mixture_raking,
         "op4_length_histogram": lengths.op4_length_histogram,
         "op5_token_frames": frames.op5_token_frames,
         "op6_secret_trigrams": secrets.op6_secret_trigrams,
+        "op7_pii_boosting": pii.op7_pii_boosting,
         "op8_setsketch_neardup": neardup.op8_setsketch_neardup,
         "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
         "op10_quality_ledger": quality.op10_quality_ledger,
+        "pipeline": corpus_pipeline.run,
     }
 
 
