@@ -43,9 +43,9 @@ FRAME_IDS = 1 << 16
 #: About so many characters of text make one shard.
 SHARD_CHARS = 64 << 20
 #: Chunks of text in one of the two generations that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together.
-GATHERED = 24 << 20
+GATHERED = 12 << 20
 ODD = r"[^\x00-\x{24f}]|<\|"
 
 MAGIC, SKIPPABLE = b"LOOMSEEK", 0x184D2A5E
