@@ -5,17 +5,279 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import ingest, stats, terms
+from ..sources.tables import VIEWS_SQL, Tables, ts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Terms that occur in the given documents.
+TERMS = ["thble", "thtion", "ertion"]
+LEAVES = ["en", "fr", "de", "es"]
+
+_QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
+
+
+def add(name: str, op: Callable[[Tables], DataFrame], sql: str) -> None:
+    _QUERIES[name] = (op, sql)
+
+
+def quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# ---------------------------------------------------------------- row-level rules
+
+add("b01_effective_date", lambda t: t.releases.select("release_id", F.to_date(C.effective_date(F.col("published_at"), F.col("scraped_at"))).alias("day")), "SELECT release_id, CAST(least(published_at, scraped_at) AS DATE) AS day FROM releases")
+add(
+    "b02_normalize_url",
+    lambda t: t.pages.select("page_id", C.normalize_url(F.col("url"), [".example.com"]).alias("url")),
+    f"""SELECT page_id, CASE WHEN scheme = 'http' AND host LIKE '%.example.com' THEN 'https' ELSE scheme END || '://' || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END
+  || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM (
+  SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:/]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1) AS path,
+    array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({quoted(C.TRACKING)})),
+      lambda p: lower(split_part(p, '=', 1)) || substr(p, length(split_part(p, '=', 1)) + 1)), '&') AS q FROM pages)""",
+)
+add("b03_normalize_url_light", lambda t: t.pages.select("page_id", C.normalize_url_light(F.col("url")).alias("url")), "SELECT page_id, regexp_replace(replace(regexp_replace(url, '#.*$', ''), '/index.php/', '/'), '/+$', '') AS url FROM pages")
+add("b04_content_hash", lambda t: t.releases.select("release_id", C.content_hash(F.col("body_text")).alias("hash")), r"SELECT release_id, CASE WHEN trim(regexp_replace(body_text, '\s+', ' ', 'g')) = '' THEN '' ELSE sha256(trim(regexp_replace(body_text, '\s+', ' ', 'g'))) END AS hash FROM releases")
+add(
+    "b05_likely_duplicates",
+    lambda t: t.releases.select(C.title_key(F.col("member_id"), F.col("title")).alias("k")).groupBy("k").agg(stats.n().alias("n")).where("n > 1"),
+    r"SELECT k, count(*) AS n FROM (SELECT CAST(member_id AS VARCHAR) || ':' || trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM releases) GROUP BY k HAVING count(*) > 1",
+)
+add("b08_listing_urls", lambda t: t.pages.select("page_id", C.is_listing_url(F.col("url"), LEAVES).alias("listing")), f"SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), '([^/]*)/?$', 1)) IN ({quoted(LEAVES)}) AS listing FROM pages")
+add("b17_section_of_url", lambda t: t.pages.select("page_id", C.section_of_url(F.col("url")).alias("section")), r"SELECT page_id, regexp_replace(url, '^(https?://[^/]+/[^/]+(?:/[^/]+)?/).*$', '\1') AS section FROM pages")
+add(
+    "b25_html_to_text",
+    lambda t: t.pages.select("page_id", F.sha2(C.html_to_text(F.col("html")), 256).alias("text_hash")),
+    r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS text_hash FROM pages""",
+)
+add(
+    "b39_version_similarity",
+    lambda t: t.versions.withColumnRenamed("body_text", "old").join(t.releases, "release_id").select("version_id", F.round(C.jaccard(C.word_set(F.col("old")), C.word_set(F.substring("body_text", 1, 200))), 6).alias("similarity")),
+    """SELECT version_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM (
+  SELECT version_id, list_distinct(list_filter(regexp_split_to_array(lower(v.body_text), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(substr(r.body_text, 1, 200)), '[^a-z0-9]+'), lambda x: x <> '')) AS b
+  FROM versions v JOIN releases r ON r.release_id = v.release_id)""",
+)
+add("b44_has_time", lambda t: t.activity.groupBy(C.has_time(F.col("published_at")).alias("timed")).agg(stats.n().alias("n")), "SELECT hour(published_at) <> 0 OR minute(published_at) <> 0 AS timed, count(*) AS n FROM activity GROUP BY 1")
+
+# ---------------------------------------------------------------- feeds and lookups
+
+JOINED = "visible v JOIN members m ON m.member_id = v.member_id AND m.status = 'active'"
+HAVE = "list_transform(list_filter(regexp_split_to_array(lower(title || ' ' || body_text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: regexp_replace(w, 's$', ''))"
+add(
+    "c01_feed_filter",
+    lambda t: stats.feed(t, party="D", kind="press_release", since="2025-06-01 00:00:00", until="2026-01-31 00:00:00", chamber="senate").select("release_id", "member_id", "state"),
+    f"SELECT v.release_id, v.member_id, m.state FROM {JOINED} WHERE m.party = 'D' AND v.content_type = 'press_release' AND m.chamber = 'senate' AND published_at >= TIMESTAMP '2025-06-01' AND published_at < TIMESTAMP '2026-02-01'",
+)
+add("h01_feed_page", lambda t: stats.page(stats.feed(t), 2, 25).select("release_id", F.to_date("effective_at").alias("day")), f"SELECT release_id, CAST(least(published_at, scraped_at) AS DATE) AS day FROM {JOINED} ORDER BY least(published_at, scraped_at) DESC NULLS LAST, release_id LIMIT 25 OFFSET 25")
+add("h04_deleted_feed", lambda t: t.releases.where("deleted_at is not null").orderBy(F.desc("deleted_at"), "release_id").select("release_id", F.to_date("deleted_at").alias("day")).limit(50), "SELECT release_id, CAST(deleted_at AS DATE) AS day FROM releases WHERE deleted_at IS NOT NULL ORDER BY deleted_at DESC, release_id LIMIT 50")
+add("c09_future_dated", lambda t: t.releases.where(F.col("published_at") > ts("2026-04-20 00:00:00")).groupBy("member_id").agg(stats.n().alias("n"), F.to_date(F.max("published_at")).alias("last")), "SELECT member_id, count(*) AS n, CAST(max(published_at) AS DATE) AS last FROM releases WHERE published_at > TIMESTAMP '2026-04-20' GROUP BY member_id")
+
+# ---------------------------------------------------------------- counts and series
+
+add("f01_member_directory", stats.member_directory, "SELECT m.member_id, m.full_name, count(v.release_id) AS n_releases, CAST(min(published_at) AS DATE) AS first_day, CAST(max(published_at) AS DATE) AS last_day FROM members m LEFT JOIN visible v ON v.member_id = m.member_id GROUP BY ALL")
+add("f02_corpus_stats", stats.corpus_stats, f"SELECT chamber, count(*) AS n_releases, count(DISTINCT v.member_id) AS n_members, CAST(min(published_at) AS DATE) AS earliest, CAST(max(published_at) AS DATE) AS latest FROM {JOINED} GROUP BY chamber")
+add("f03_top_members", lambda t: stats.ranked_members(t, "2025-06-01 00:00:00", 15), f"SELECT v.member_id, count(*) AS n FROM {JOINED} WHERE published_at >= TIMESTAMP '2025-06-01' GROUP BY v.member_id ORDER BY n DESC, v.member_id LIMIT 15")
+add("f03_least_active", lambda t: stats.ranked_members(t, "2025-06-01 00:00:00", 15, least=True), "SELECT m.member_id, count(v.release_id) AS n FROM members m LEFT JOIN visible v ON v.member_id = m.member_id AND published_at >= TIMESTAMP '2025-06-01' WHERE m.status = 'active' AND m.collection_method IS NOT NULL GROUP BY m.member_id ORDER BY n, m.member_id LIMIT 15")
+add("f04_type_breakdown", lambda t: stats.visible(t.releases).join(stats.active(t.members), "member_id").groupBy("chamber", "content_type").agg(stats.n().alias("n")), f"SELECT chamber, content_type, count(*) AS n FROM {JOINED} GROUP BY ALL")
+add("f06_weekly_by_member", lambda t: stats.per_period(stats.visible(t.releases), "week", ["member_id"]), "SELECT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM visible WHERE published_at IS NOT NULL GROUP BY ALL")
+add("f07_daily_volume", lambda t: stats.per_period(t.activity, "day", ["content_type"]), "SELECT content_type, CAST(published_at AS DATE) AS day, count(*) AS n FROM activity GROUP BY ALL")
+add("f08_monthly_volume", lambda t: stats.per_period(stats.visible(t.releases), "month", ["lang"]), "SELECT lang, CAST(date_trunc('month', published_at) AS DATE) AS month, count(*) AS n FROM visible WHERE published_at IS NOT NULL GROUP BY ALL")
+add("f09_recent_types", lambda t: stats.recent_types(t, 90), "SELECT content_type, count(*) AS n FROM visible WHERE published_at >= TIMESTAMP '2026-04-26' - INTERVAL '90' DAY GROUP BY content_type")
+add("f10_chamber_activity", lambda t: stats.chamber_activity(t, 60), "SELECT m.member_id, m.chamber, count(v.release_id) AS n FROM members m LEFT JOIN visible v ON v.member_id = m.member_id AND published_at >= TIMESTAMP '2026-04-26' - INTERVAL '60' DAY WHERE m.status = 'active' GROUP BY ALL")
+add(
+    "f11_swim_lanes",
+    lambda t: stats.swim_lanes(t, 15),
+    "SELECT member_id, CAST(sum(n) AS BIGINT) AS total, string_agg(CAST(week AS VARCHAR) || ':' || n, ',' ORDER BY week) AS weeks FROM (SELECT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM visible WHERE published_at IS NOT NULL GROUP BY ALL) GROUP BY member_id ORDER BY total DESC, member_id LIMIT 15",
+)
+add(
+    "f12_state_composition",
+    stats.state_composition,
+    "SELECT state, count(*) AS n_members, string_agg(DISTINCT party, '' ORDER BY party) AS parties, CASE WHEN bool_or(party = 'D') AND bool_or(party = 'R') THEN 'purple' WHEN bool_or(party = 'D') THEN 'blue' WHEN bool_or(party = 'R') THEN 'red' ELSE 'gray' END AS colour FROM members WHERE status = 'active' GROUP BY state",
+)
+add("f15_member_share", stats.member_share, f"SELECT chamber, v.member_id, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY chamber), 6) AS share FROM {JOINED} GROUP BY chamber, v.member_id")
+add("f16_quality_totals", stats.quality_totals, "SELECT count(*) AS n, count(published_at) AS dated, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (length(body_text) > 100) AS with_body, count(*) FILTER (coalesce(length(body_text), 0) <= 100) AS without_body, count(DISTINCT member_id) AS n_members FROM releases WHERE deleted_at IS NULL")
+add("f17_coverage_by_method", stats.coverage_by_method, "SELECT coalesce(collection_method, 'none') AS method, count(DISTINCT m.member_id) AS n_members, count(v.release_id) AS n_releases, count(v.published_at) AS n_dated FROM members m LEFT JOIN visible v ON v.member_id = m.member_id GROUP BY 1")
+add("f19_coverage_depth", stats.coverage_depth, "SELECT member_id, n, dated, CASE WHEN n = 0 THEN 'empty' WHEN dated = 0 THEN 'undated' WHEN dated = n THEN 'complete' ELSE 'partial' END AS depth FROM (SELECT m.member_id, count(v.release_id) AS n, count(v.published_at) AS dated FROM members m LEFT JOIN visible v ON v.member_id = m.member_id WHERE m.status = 'active' GROUP BY m.member_id)")
+add(
+    "f21_member_intelligence",
+    stats.member_intelligence,
+    """SELECT r.*, p.url_status, p.url_status = 200 AND p.items_found > 0 AS passed FROM (SELECT member_id, count(*) AS total, count(*) FILTER (deleted_at IS NULL) AS active, count(deleted_at) AS deleted, count(published_at) AS dated,
+  count(*) FILTER (length(body_text) > 100) AS with_body, round(100.0 * count(published_at) / count(*), 4) AS dated_pct FROM releases GROUP BY member_id) r JOIN members m ON m.member_id = r.member_id
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY checked_at DESC, probe_id DESC) AS rn FROM probes) WHERE rn = 1) p ON p.member_id = r.member_id""",
+)
+add("f23_drought", stats.drought, "SELECT member_id, content_type, date_diff('day', max(published_at), TIMESTAMP '2026-04-26') AS days_since FROM visible WHERE published_at IS NOT NULL GROUP BY ALL")
+add(
+    "f24_corpus_totals",
+    stats.corpus_totals,
+    "SELECT count(*) AS total, count(deleted_at) AS tombstones, count(*) FILTER (published_at IS NULL) AS undated, count(DISTINCT member_id) FILTER (deleted_at IS NULL AND published_at >= TIMESTAMP '2026-04-19') AS active_7d, count(DISTINCT member_id) FILTER (deleted_at IS NULL AND published_at >= TIMESTAMP '2026-03-27') AS active_30d FROM releases",
+)
+add("f26_edit_frequency", stats.edit_frequency, "SELECT n_versions, count(*) AS n_releases FROM (SELECT r.release_id, count(v.version_id) AS n_versions FROM releases r LEFT JOIN versions v ON v.release_id = r.release_id GROUP BY r.release_id) GROUP BY n_versions")
+add(
+    "f28_url_sections",
+    lambda t: stats.url_sections(t, 2).select("section", "n"),
+    r"SELECT regexp_replace(url, '^(https?://[^/]+/[^/]+(?:/[^/]+)?/).*$', '\1') AS section, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) >= 2",
+)
+add("f35_runs_summary", stats.runs_summary, "SELECT run_id, run_type, coalesce(TRY_CAST(json_extract_string(stats, '$.k') AS BIGINT), 0) AS k, CAST(epoch(finished_at) - epoch(started_at) AS BIGINT) AS seconds FROM runs")
+
+# ---------------------------------------------------------------- joins and windows
+
+add(
+    "e05_related",
+    lambda t: stats.related(t, 5),
+    f"""SELECT release_id, CAST(rank AS INTEGER) AS rank, other_id, gap FROM (SELECT a.release_id, b.release_id AS other_id, CAST(abs(epoch(a.published_at) - epoch(b.published_at)) AS BIGINT) AS gap,
+  row_number() OVER (PARTITION BY a.release_id ORDER BY abs(epoch(a.published_at) - epoch(b.published_at)), b.release_id) AS rank
+  FROM (SELECT v.*, chamber FROM {JOINED}) a JOIN (SELECT v.*, chamber FROM {JOINED}) b ON a.chamber = b.chamber AND a.member_id <> b.member_id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 86400) WHERE rank <= 5""",
+)
+add("g01_publication_gaps", lambda t: stats.publication_gaps(t, 45), "SELECT member_id, max(gap) AS max_gap FROM (SELECT member_id, date_diff('day', lag(published_at) OVER (PARTITION BY member_id ORDER BY published_at, release_id), published_at) AS gap FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL) GROUP BY member_id HAVING max(gap) >= 45")
+add("g02_latest_probe", stats.latest_probe, "SELECT member_id, url_status, items_found, url_status = 200 AND items_found > 0 AS passed FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY checked_at DESC, probe_id DESC) AS rn FROM probes) WHERE rn = 1")
+add(
+    "g05_zero_run_weeks",
+    stats.zero_run_weeks,
+    """SELECT member_id, CAST(coalesce(max(date_diff('day', week, following) / 7 - 1), 0) AS BIGINT) AS longest_zero_run FROM (SELECT member_id, week, lead(week) OVER (PARTITION BY member_id ORDER BY week) AS following FROM (
+  SELECT DISTINCT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL
+  UNION ALL SELECT DISTINCT member_id, CAST(date_trunc('week', TIMESTAMP '2026-04-26') AS DATE) + 7 FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL)) GROUP BY member_id""",
+)
+add(
+    "g06_zero_months",
+    stats.zero_months,
+    """SELECT s.member_id, s.month FROM (SELECT member_id, CAST(unnest(generate_series(min(date_trunc('month', published_at)), max(date_trunc('month', published_at)), INTERVAL '1' MONTH)) AS DATE) AS month FROM visible WHERE published_at IS NOT NULL GROUP BY member_id) s
+  WHERE NOT EXISTS (SELECT 1 FROM visible v WHERE v.member_id = s.member_id AND CAST(date_trunc('month', v.published_at) AS DATE) = s.month)""",
+)
+
+# ---------------------------------------------------------------- terms and search
+
+TREND = """WITH_w AS (SELECT DISTINCT release_id, published_at, regexp_replace(lower(unnest(string_split(regexp_replace(title, '[^a-zA-Z ]', '', 'g'), ' '))), 's$', '') AS word FROM visible)""".replace("WITH_w", "w")
+
+
+def trend_sql(n_days: int, least: int) -> str:
+    return f"""SELECT word, count(*) FILTER (published_at >= TIMESTAMP '2026-04-26' - INTERVAL '{n_days}' DAY) AS recent_count, count(*) FILTER (published_at < TIMESTAMP '2026-04-26' - INTERVAL '{n_days}' DAY) AS prior_count,
+  count(*) FILTER (published_at >= TIMESTAMP '2026-04-26' - INTERVAL '{n_days}' DAY) - count(*) FILTER (published_at < TIMESTAMP '2026-04-26' - INTERVAL '{n_days}' DAY) AS delta
+  FROM w WHERE published_at >= TIMESTAMP '2026-04-26' - INTERVAL '{2 * n_days}' DAY AND length(word) > 4 AND word NOT IN ({quoted(terms.TREND_STOP)}) GROUP BY word HAVING count(*) FILTER (published_at >= TIMESTAMP '2026-04-26' - INTERVAL '{n_days}' DAY) >= {least} ORDER BY recent_count DESC, word LIMIT 30"""
+
+
+add("k02_trending_week", lambda t: terms.trending(t, "week"), ", " + TREND + " " + trend_sql(7, 2))
+add("k02_trending_month", lambda t: terms.trending(t, "month"), ", " + TREND + " " + trend_sql(30, 3))
+add(
+    "k02_trending_all",
+    lambda t: terms.trending(t, "all"),
+    f", {TREND} SELECT word, count(*) AS recent_count, CAST(0 AS BIGINT) AS prior_count, CAST(0 AS BIGINT) AS delta FROM w WHERE published_at >= TIMESTAMP '2025-01-01' AND length(word) > 4 AND word NOT IN ({quoted(terms.TREND_STOP)}) GROUP BY word HAVING count(*) >= 30 ORDER BY recent_count DESC, word LIMIT 30",
+)
+add(
+    "k04_topic_trends",
+    lambda t: terms.topic_trends(t, "senate"),
+    f""", {TREND} SELECT word, count(*) AS n FROM w JOIN visible v ON v.release_id = w.release_id JOIN members m ON m.member_id = v.member_id AND m.status = 'active' AND m.chamber = 'senate'
+  WHERE w.published_at >= TIMESTAMP '2026-04-26' - INTERVAL '30' DAY AND length(word) > 4 AND word NOT IN ({quoted(terms.PROCEDURAL)})
+  AND word NOT IN (SELECT regexp_replace(lower(split_part(full_name, ' ', -1)), 's$', '') FROM members WHERE status = 'active' AND chamber = 'senate') GROUP BY word HAVING count(*) >= 3 ORDER BY n DESC, word LIMIT 20""",
+)
+add(
+    "k05_member_topic_trends",
+    terms.member_topic_trends,
+    f""", w AS (SELECT DISTINCT member_id, release_id, published_at, unnest(string_split(lower(regexp_replace(title || ' ' || body_text, '[^a-zA-Z ]', ' ', 'g')), ' ')) AS word FROM visible WHERE published_at >= TIMESTAMP '2026-04-26' - INTERVAL '180' DAY),
+  c AS (SELECT member_id, word, count(*) FILTER (published_at >= TIMESTAMP '2026-04-26' - INTERVAL '90' DAY) AS recent_count, count(*) FILTER (published_at < TIMESTAMP '2026-04-26' - INTERVAL '90' DAY) AS prior_count FROM w WHERE length(word) > 4 AND word NOT IN ({quoted(terms.PROCEDURAL)}) GROUP BY ALL)
+  SELECT member_id, word, recent_count, prior_count, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY recent_count DESC, prior_count, word) AS rank FROM c WHERE recent_count >= 2) WHERE rank <= 5""",
+)
+add(
+    "k06_party_skew",
+    terms.party_skew,
+    f""", c AS (SELECT regexp_replace(word, 's$', '') AS word, count(*) FILTER (party = 'D') AS d_count, count(*) FILTER (party = 'R') AS r_count FROM (
+  SELECT party, unnest(string_split(lower(regexp_replace(title, '[^a-zA-Z ]', ' ', 'g')), ' ')) AS word FROM {JOINED} WHERE published_at >= TIMESTAMP '2025-01-01' AND chamber = 'senate' AND party IN ('D', 'R')) WHERE length(word) > 4 AND word NOT IN ({quoted(terms.TREND_STOP)}) GROUP BY 1 HAVING count(*) >= 12),
+  s AS (SELECT word, d_count, r_count, round(ln(((d_count + 1) / ((SELECT sum(d_count) FROM c) + 1)) / ((r_count + 1) / ((SELECT sum(r_count) FROM c) + 1))), 6) AS log_odds FROM c)
+  (SELECT *, 'D' AS side FROM s ORDER BY log_odds DESC, word LIMIT 12) UNION ALL (SELECT *, 'R' AS side FROM s ORDER BY log_odds, word LIMIT 12)""",
+)
+add(
+    "k07_signature_terms",
+    terms.signature_terms,
+    f""", mine AS (SELECT member_id, word, count(*) AS s FROM (SELECT v.member_id, unnest(string_split(lower(regexp_replace(title, '[^a-zA-Z ]', ' ', 'g')), ' ')) AS word FROM {JOINED} WHERE published_at >= TIMESTAMP '2025-01-01') WHERE length(word) > 4 AND word NOT IN ({quoted(terms.SIGNATURE_STOP)}) GROUP BY ALL),
+  a AS (SELECT *, sum(s) OVER (PARTITION BY word) - s AS r, sum(s) OVER (PARTITION BY member_id) AS m, sum(s) OVER () AS a FROM mine),
+  o AS (SELECT member_id, word, s, round(ln((s + 1) / (m - s + 1)) - ln((r + 1) / (a - m - r + 1)), 6) AS log_odds FROM a WHERE s >= 3)
+  SELECT member_id, word, s, log_odds, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY log_odds DESC, word) AS rank FROM o) WHERE rank <= 5""",
+)
+HITS = f"h AS (SELECT release_id, member_id, published_at, unnest(list_filter([{quoted(TERMS)}], lambda q: list_contains({HAVE}, q))) AS term FROM visible WHERE published_at >= TIMESTAMP '2025-01-01')"
+add("d01_postings", lambda t: terms.postings(t).select("term", "release_id", "n", F.array_join("positions", ",").alias("positions")), f"SELECT term, release_id, count(*) AS n, string_agg(pos, ',' ORDER BY pos) AS positions FROM (SELECT release_id, unnest({HAVE}) AS term, generate_subscripts({HAVE}, 1) - 1 AS pos FROM releases) GROUP BY ALL")
+add("d02_search_all_terms", lambda t: terms.search(t, all_of=TERMS[:2]).select("release_id"), f"SELECT release_id FROM releases WHERE list_has_all({HAVE}, [{quoted(TERMS[:2])}])")
+add("d03_search_web", lambda t: terms.search(t, any_of=TERMS[:2], none_of=TERMS[2:], phrase="of the").select("release_id"), f"SELECT release_id FROM releases WHERE list_has_any({HAVE}, [{quoted(TERMS[:2])}]) AND NOT list_contains({HAVE}, '{TERMS[2]}') AND contains(' ' || array_to_string({HAVE}, ' ') || ' ', ' of the ')")
+add("d04_rank", lambda t: terms.rank_single(t, TERMS[0], 25), f"SELECT release_id, CAST(hits AS INTEGER) AS hits, round(list_sum(list_transform(range(1, hits + 1), lambda j: 0.1 / (CAST(j AS DOUBLE) * j))) / 1.64493406685, 9) AS score FROM (SELECT release_id, len(list_filter({HAVE}, lambda w: w = '{TERMS[0]}')) AS hits FROM releases) WHERE hits > 0 ORDER BY score DESC, release_id LIMIT 25")
+add(
+    "d06_facets",
+    lambda t: terms.facets(t, TERMS[1], party="D", kind="press_release"),
+    f""", s AS (SELECT party, content_type, state FROM {JOINED} WHERE list_contains({HAVE}, '{TERMS[1]}')) SELECT 'party' AS facet, party AS key, count(*) AS n FROM s WHERE content_type = 'press_release' GROUP BY party
+  UNION ALL SELECT 'type', content_type, count(*) FROM s WHERE party = 'D' GROUP BY content_type UNION ALL SELECT 'state', state, count(*) FROM s WHERE party = 'D' AND content_type = 'press_release' GROUP BY state""",
+)
+add("d08_term_counts_by_member", lambda t: terms.term_counts_by_member(t, TERMS[0]), f", {HITS} SELECT m.member_id, count(h.release_id) AS n FROM members m LEFT JOIN h ON h.member_id = m.member_id AND h.term = '{TERMS[0]}' WHERE m.status = 'active' GROUP BY m.member_id")
+add("d09_term_series", lambda t: terms.term_series(t, TERMS), f", {HITS} SELECT term, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM h GROUP BY ALL")
+add("d10_series_matrix", lambda t: terms.series_matrix(t, TERMS), f", {HITS} SELECT CAST(date_trunc('week', published_at) AS DATE) AS week, " + ", ".join(f"count(*) FILTER (term = '{x}') AS {x}" for x in TERMS) + " FROM h GROUP BY 1")
+add(
+    "d11_term_timeline",
+    lambda t: terms.term_timeline(t, TERMS[0]),
+    f""", {HITS}, x AS (SELECT *, CAST(date_trunc('week', published_at) AS DATE) AS week FROM h WHERE term = '{TERMS[0]}'), top AS (SELECT week, count(*) AS n FROM x GROUP BY week ORDER BY n DESC, week LIMIT 5)
+  SELECT week, n, release_id FROM (SELECT top.week, n, release_id, row_number() OVER (PARTITION BY top.week ORDER BY published_at, release_id) AS rn FROM x JOIN top ON top.week = x.week) WHERE rn = 1""",
+)
+add("d12_topic_owners", lambda t: terms.topic_owners(t, TERMS), f", {HITS} SELECT term, member_id, n, CAST(rank AS INTEGER) AS rank FROM (SELECT term, h.member_id, count(*) AS n, row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, h.member_id) AS rank FROM h JOIN members m ON m.member_id = h.member_id AND m.status = 'active' AND m.chamber = 'senate' GROUP BY term, h.member_id) WHERE rank <= 3")
+
+# ---------------------------------------------------------------- audits
+
+add(
+    "m01_coverage_audit",
+    stats.coverage_audit,
+    """, weeks AS (SELECT DISTINCT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL),
+  z AS (SELECT member_id, coalesce(max(date_diff('day', week, following) / 7 - 1), 0) AS zero_run FROM (SELECT member_id, week, lead(week) OVER (PARTITION BY member_id ORDER BY week) AS following FROM (SELECT * FROM weeks UNION ALL SELECT DISTINCT member_id, DATE '2026-04-27' FROM weeks)) GROUP BY member_id),
+  p AS (SELECT member_id, count(*) AS total, count(DISTINCT CAST(published_at AS DATE)) AS unique_days, min(published_at) AS earliest FROM releases WHERE deleted_at IS NULL GROUP BY member_id),
+  j AS (SELECT m.member_id, coalesce(total, 0) AS total, coalesce(unique_days, 0) AS unique_days, date_diff('day', TIMESTAMP '2025-01-01', earliest) AS gap, coalesce(zero_run, 0) AS zero_run FROM members m LEFT JOIN p ON p.member_id = m.member_id LEFT JOIN z ON z.member_id = m.member_id WHERE m.status = 'active'),
+  f AS (SELECT *, unique_days / nullif(total, 0) AS clump, total / (SELECT quantile_cont(total, 0.5) FROM j WHERE total > 0) AS ratio, total / greatest(1, floor(480 / 7)) AS per_week FROM j),
+  s AS (SELECT *, CASE WHEN total = 0 THEN 'NO_DATA' WHEN gap > 60 THEN 'TRUNCATED' WHEN clump < 0.2 AND total >= 30 THEN 'DATE_CLUMPED' WHEN zero_run >= 4 AND total >= 30 AND per_week >= 2 THEN 'INTERNAL_GAP' WHEN ratio < 0.25 THEN 'LOW_VOLUME' WHEN gap > 14 THEN 'SHALLOW' ELSE 'OK' END AS severity FROM f)
+  SELECT member_id, total, unique_days, severity, round(CASE WHEN total = 0 THEN 0 ELSE least(greatest((1 - least(greatest(greatest(0, coalesce(gap, 0) - 14) / 200, 0), 0.9))
+    * (1 - least(greatest(greatest(0, zero_run - greatest(2.0, 4.0 / greatest(0.5, per_week))) / 20, 0), 0.5)) * CASE WHEN ratio < 0.1 THEN 0.8 ELSE 1 END * least(greatest(0.6 + clump * 0.5, 0.6), 1)
+    * CASE severity WHEN 'TRUNCATED' THEN 0.3 WHEN 'DATE_CLUMPED' THEN 0.4 ELSE 1 END, 0.05), 1) END, 4) AS confidence FROM s""",
+)
+add(
+    "q_quality_report",
+    stats.quality_report,
+    """, o AS (SELECT CAST(count(*) AS DOUBLE) AS q04_rows, CAST(count(*) FILTER (coalesce(length(trim(title)), 0) < 5) AS DOUBLE) AS q05_short_titles, round(count(published_at) / count(*), 6) AS q07_dated_share,
+  CAST(count(*) FILTER (published_at < TIMESTAMP '2010-01-01' OR published_at > TIMESTAMP '2026-06-25') AS DOUBLE) AS q08_dates_out_of_range, CAST(count(*) FILTER (published_at > TIMESTAMP '2026-04-27' AND published_at <= TIMESTAMP '2026-06-25') AS DOUBLE) AS q09_future_dates,
+  round(count(*) FILTER (length(body_text) > 100) / count(*), 6) AS q21_body_share, CAST(count(DISTINCT member_id) AS DOUBLE) AS q03_members FROM releases WHERE deleted_at IS NULL)
+  SELECT check_id, observed FROM (UNPIVOT o ON COLUMNS(*) INTO NAME check_id VALUE observed)""",
+)
+add("q19_date_clumping", stats.date_clumping, "SELECT * FROM (SELECT member_id, count(*) AS n, count(DISTINCT CAST(published_at AS DATE)) AS unique_days FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL GROUP BY member_id) WHERE n >= 30 AND unique_days < least(floor(0.2 * n), 20)")
+add("q22_low_volume", stats.low_volume, ", c AS (SELECT member_id, count(*) AS n FROM releases WHERE deleted_at IS NULL GROUP BY member_id) SELECT member_id, n FROM c WHERE n < (SELECT greatest(quantile_cont(n, 0.5) * 0.1, 10) FROM c)")
+add(
+    "s07_anomalies",
+    stats.anomalies,
+    """, c AS (SELECT r.member_id, count(*) FILTER (deleted_at IS NULL) AS total, count(*) FILTER (deleted_at IS NULL AND published_at > TIMESTAMP '2026-04-12') AS d14, count(*) FILTER (deleted_at IS NULL AND published_at > TIMESTAMP '2026-03-27') AS d30, count(*) FILTER (deleted_at IS NULL AND published_at > TIMESTAMP '2026-01-26') AS d90,
+  count(*) FILTER (scraped_at > TIMESTAMP '2026-04-23') AS fresh, count(*) FILTER (scraped_at > TIMESTAMP '2026-04-23' AND published_at IS NULL) AS fresh_null, max(published_at) AS last, count(*) FILTER (deleted_at IS NULL AND published_at > TIMESTAMP '2026-04-27' AND published_at <= TIMESTAMP '2026-06-25') AS future, any_value(m.collection_method) AS method
+  FROM releases r LEFT JOIN members m ON m.member_id = r.member_id GROUP BY r.member_id)
+  SELECT 'silent' AS kind, member_id, d90 AS observed FROM c WHERE total > 20 AND d14 = 0 AND d90 >= 30 AND d30 >= 5 UNION ALL SELECT 'null_dates', member_id, fresh_null FROM c WHERE fresh > 3 AND fresh_null > fresh * 0.5
+  UNION ALL SELECT 'stale', member_id, date_diff('day', last, TIMESTAMP '2026-04-26') FROM c WHERE method IS NOT NULL AND last < TIMESTAMP '2026-03-27' UNION ALL SELECT 'future_dates', member_id, future FROM c WHERE future > 0""",
+)
+
+# ---------------------------------------------------------------- incremental
+
+add(
+    "s02_upsert_outcomes",
+    lambda t: ingest.upsert(t.releases.select(F.col("release_id").alias("url"), "title", "body_text", C.content_hash(F.col("body_text")).alias("content_hash")), ingest.edited_batch(t)).groupBy("outcome").agg(stats.n().alias("n")),
+    r""", h AS (SELECT release_id, CASE WHEN trim(regexp_replace(body_text, '\s+', ' ', 'g')) = '' THEN '' ELSE sha256(trim(regexp_replace(body_text, '\s+', ' ', 'g'))) END AS hash FROM releases),
+  b AS (SELECT CASE WHEN release_id % 3 = 0 THEN release_id + 1000000000 ELSE release_id END AS url, CASE WHEN release_id % 5 = 0 THEN sha256(hash) ELSE hash END AS hash FROM h WHERE release_id % 2 = 0)
+  SELECT CASE WHEN h.release_id IS NULL THEN 'inserted' WHEN h.hash <> '' AND b.hash <> '' AND h.hash <> b.hash THEN 'updated' ELSE 'touched' END AS outcome, count(*) AS n FROM b LEFT JOIN h ON h.release_id = b.url GROUP BY 1""",
+)
+add(
+    "s05_tombstones",
+    lambda t: ingest.tombstones(t.url_checks),
+    """SELECT url, bool_or(gone) AS gone FROM (SELECT url, page_id, lag(status, 3) OVER w IN (404, 410) AND status IN (404, 410) AND lag(status, 1) OVER w = status AND lag(status, 2) OVER w = status AS gone FROM (SELECT * FROM url_checks) WINDOW w AS (PARTITION BY url ORDER BY checked_at, page_id)) GROUP BY url HAVING bool_or(gone)""",
+)
+add("s09_activity_windows", lambda t: stats.per_period(t.activity, "week", ["member_id"]), "SELECT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM activity GROUP BY ALL")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: (lambda spark, sf_dir, op=op: op(Tables.of(spark, sf_dir))) for name, (op, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"{VIEWS_SQL} {sql}" for name, (_, sql) in _QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return terms.trending(Tables.of(spark, sf_dir), "month")
