@@ -255,7 +255,7 @@ def coverage_audit(t: Tables, as_of: str = AS_OF, expected: str = WINDOW_START,
     m = m.withColumn("severity", severity)
     hard = F.when(F.col("severity") == "TRUNCATED", 0.3).when(F.col("severity") == "DATE_CLUMPED", 0.4).otherwise(1.0)
     confidence = F.when(F.col("total") == 0, 0.0).otherwise(clamp(start * steady * volume * dates * hard, 0.05, 1.0))
-    return m.select("member_id", "total", "unique_days", "severity", F.round(confidence, 4).alias("confidence"))
+    return m.select("member_id", "total", "unique_days", "severity", F.round(confidence + 1e-9, 4).alias("confidence"))
 
 
 def coverage_summary(t: Tables) -> DataFrame:

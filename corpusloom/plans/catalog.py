@@ -232,7 +232,7 @@ add(
   s AS (SELECT *, CASE WHEN total = 0 THEN 'NO_DATA' WHEN gap > 60 THEN 'TRUNCATED' WHEN clump < 0.2 AND total >= 30 THEN 'DATE_CLUMPED' WHEN zero_run >= 4 AND total >= 30 AND per_week >= 2 THEN 'INTERNAL_GAP' WHEN ratio < 0.25 THEN 'LOW_VOLUME' WHEN gap > 14 THEN 'SHALLOW' ELSE 'OK' END AS severity FROM f)
   SELECT member_id, total, unique_days, severity, round(CASE WHEN total = 0 THEN 0 ELSE least(greatest((1 - least(greatest(greatest(0, coalesce(gap, 0) - 14) / 200, 0), 0.9))
     * (1 - least(greatest(greatest(0, zero_run - greatest(2.0, 4.0 / greatest(0.5, per_week))) / 20, 0), 0.5)) * CASE WHEN ratio < 0.1 THEN 0.8 ELSE 1 END * least(greatest(0.6 + clump * 0.5, 0.6), 1)
-    * CASE severity WHEN 'TRUNCATED' THEN 0.3 WHEN 'DATE_CLUMPED' THEN 0.4 ELSE 1 END, 0.05), 1) END, 4) AS confidence FROM s""",
+    * CASE severity WHEN 'TRUNCATED' THEN 0.3 WHEN 'DATE_CLUMPED' THEN 0.4 ELSE 1 END, 0.05), 1) END + 1e-9, 4) AS confidence FROM s""",
 )
 add(
     "q_quality_report",
