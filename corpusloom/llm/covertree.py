@@ -36,7 +36,7 @@ BLOCK_ROWS = (256, 4096)
 GROUP_ROWS = 256
 #: Pivots and the size of the sample that they are chosen from (farthest-first).
 PIVOTS, PIVOT_SAMPLE = 32, 4096
-LEAF, FANOUT = 48, 12
+LEAF, FANOUT = 128, 12
 
 
 class Node:
