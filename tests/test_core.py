@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
-from corpusloom.operators import ingest
+from corpusloom.operators import checks, ingest
 from corpusloom.plans import catalog
+from corpusloom.sources import html
+from corpusloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,7 +29,7 @@ def plain(v):
     return repr(round(v, 6)) if isinstance(v, float) else v.isoformat() if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     names = sorted(df.columns)
@@ -76,3 +78,76 @@ def test_upsert_is_idempotent(spark):
     assert [r.body_text for r in ingest.archived(first).collect()] == ["old"]
     again = ingest.upsert(ingest.applied(target, first), batch)
     assert {r.outcome for r in again.collect()} == {"touched"}
+
+
+def test_diversified_feeds(spark):
+    rows = [(i, m, "c", i) for i, m in enumerate([1, 1, 1, 1, 2, 2, 3, 1])]
+    feeds = spark.createDataFrame(rows, "release_id long, member_id long, chamber string, at long").withColumn("effective_at", -F.col("at"))
+    got = [r.release_id for r in checks.diversified(feeds, "chamber").orderBy("place").collect()]
+    assert got == [0, 1, 4, 2, 3, 5, 6, 7]
+    page = checks.diversified(feeds.where("member_id = 1"), "chamber", size=3).collect()
+    assert len(page) == 3
+    assert checks.diversified(feeds.where("false"), "chamber").count() == 0
+
+
+def test_feed_items(spark):
+    rss = "<rss><item><title>A &amp; B</title><link>https://h/a</link><pubDate>Thu, 16 Apr 2026 12:00:00 EST</pubDate><description><![CDATA[<p>x</p>]]></description></item><item><title>no link</title></item></rss>"
+    atom = '<feed><entry><title>C</title><link href="https://h/c"/><updated>2026-04-15T10:00:00Z</updated></entry></feed>'
+    feeds = spark.createDataFrame([(1, rss), (2, atom), (3, None), (4, "")], "feed_id long, xml string")
+    got = {(r.feed_id, r.title, r.link, str(r.published_at.date()), r.summary) for r in html.feed_items(feeds).collect()}
+    assert got == {(1, "A & B", "https://h/a", "2026-04-16", "x"), (2, "C", "https://h/c", "2026-04-15", "")}
+    q = {r.feed_id: (r.n_items, r.dated_share, r.stale_days) for r in html.feed_quality(html.feed_items(feeds), "2026-04-26").collect()}
+    assert q == {1: (1, 1.0, 10), 2: (1, 1.0, 11)}
+
+
+@pytest.mark.parametrize(
+    "page,day,source",
+    [
+        ('<meta property="article:published_time" content="2026-04-15T00:00:00Z"><time datetime="2026-01-01">', "2026-04-15", "meta_tag"),
+        ('{"datePublished": "2026-04-14"}', "2026-04-14", "json_ld"),
+        ('<time datetime="2026-04-13">x</time>', "2026-04-13", "time_element"),
+        ("<time>April 12, 2026</time>", "2026-04-12", "time_text"),
+        ("<p>2026-04-11</p>", None, None),
+    ],
+)
+def test_date_from_html(spark, page, day, source):
+    found = one(spark, html.date_from_html(F.col("h")), h=page)
+    assert (found.value and found.value.isoformat(), found.source) == (day, source)
+
+
+def run_stream(frame, name, mode="append"):
+    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return frame.sparkSession.table(name).collect()
+
+
+def test_stream_of_checks_equals_the_batch(spark, tmp_path):
+    schema = "url string, status int, checked_at timestamp, page_id long"
+    at = lambda i: datetime.datetime(2026, 4, 25, 0, i)
+    codes = {"a": [404] * 4, "b": [410, 404, 404, 404], "c": [404, 404, 200, 404, 404, 404], "d": [404, 410, 404, 410], "e": [404, 404, 404]}
+    for k in (0, 1, 2):  # three files, one for each batch
+        rows = [(u, s, at(i), 0) for u, c in codes.items() for i, s in enumerate(c) if i // 2 == k]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    want = {r.url for r in ingest.tombstones(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert {r.url for r in run_stream(streams.gone_urls(stream), "gone")} == want == {"a", "b"}
+
+
+def test_stream_of_activity(spark, tmp_path):
+    at = lambda d: datetime.datetime(2026, 4, d, 9)
+    spark.createDataFrame([("x", at(1)), ("x", at(1)), ("y", at(2))], "content_type string, published_at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content_type string, published_at timestamp").parquet(str(tmp_path / "in"))
+    got = {(r.content_type, r.day.isoformat(), r.n) for r in run_stream(streams.activity_windows(stream), "activity_days", "complete")}
+    assert got == {("x", "2026-04-01", 2), ("y", "2026-04-02", 1)}
+
+
+def test_stream_of_upserts(spark, tmp_path):
+    log, versions, source = str(tmp_path / "log"), str(tmp_path / "versions"), str(tmp_path / "in")
+    for rows in ([("a", "t", "old", "1"), ("b", "t", "same", "2")], [("a", "t", "new", "9"), ("b", "t", "same", "2"), ("c", "t", "x", "3")]):
+        spark.createDataFrame(rows, streams.LOG).coalesce(1).write.mode("append").parquet(source)
+        q = streams.upsert_stream(spark.readStream.schema(streams.LOG).parquet(source), log, versions, str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    assert {(r.url, r.body_text) for r in streams.current(spark, log).collect()} == {("a", "new"), ("b", "same"), ("c", "x")}
+    assert [(r.url, r.body_text) for r in spark.read.parquet(versions).collect()] == [("a", "old")]
