@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import checks, ingest, stats, terms
+from ..operators import checks, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.tables import VIEWS_SQL, Tables, days, ts
 
@@ -343,6 +343,32 @@ add(
 # A sequential rule: SQL can't state it, tests hold it against brute force.
 add("g09_diversified_feeds", lambda t: checks.diversified(stats.feed(t), "chamber"), "")
 
+# ---------------------------------------------------------------- lookups and small reports
+
+add("b15_future_dated", lambda t: t.releases.join(t.versions.select("release_id", F.col("captured_at").alias("seen")), "release_id").select("release_id", lookups.is_future_dated(F.col("seen"), F.col("published_at")).alias("future")), "SELECT r.release_id, coalesce(captured_at > published_at + INTERVAL '1' DAY, false) AS future FROM releases r JOIN versions v ON v.release_id = r.release_id")
+add("f13_state_coverage", lookups.state_coverage, "SELECT state, chamber, count(DISTINCT m.member_id) AS n_members, count(v.release_id) AS n_releases FROM members m LEFT JOIN visible v ON v.member_id = m.member_id WHERE m.status = 'active' GROUP BY ALL")
+add("f18_method_breakdown", lookups.method_breakdown, "SELECT coalesce(collection_method, 'none') AS method, count(*) AS n_members FROM members WHERE status = 'active' GROUP BY 1")
+add(
+    "b40_activity_intensity",
+    lookups.activity_intensity,
+    "SELECT member_id, n, round(greatest(0.25, CASE WHEN top > 0 THEN ln(n + 1) / ln(top + 1) ELSE 0 END), 6) AS intensity FROM (SELECT m.member_id, count(v.release_id) AS n, max(count(v.release_id)) OVER (PARTITION BY chamber) AS top FROM members m LEFT JOIN visible v ON v.member_id = m.member_id WHERE m.status = 'active' GROUP BY m.member_id, chamber)",
+)
+add("f26_edit_timing", lookups.edit_timing, "SELECT CASE WHEN h < 1 THEN 'under an hour' WHEN h <= 24 THEN 'a day' WHEN h <= 168 THEN 'a week' ELSE 'later' END AS bucket, count(*) AS n FROM (SELECT epoch(captured_at - scraped_at) / 3600 AS h FROM versions v JOIN releases r ON r.release_id = v.release_id) GROUP BY 1")
+add(
+    "s01_ingest_cutoff",
+    lambda t: lookups.since_cutoff(t.activity, lookups.ingest_cutoff(t)).select("release_id"),
+    "SELECT release_id FROM activity, (SELECT coalesce(max(started_at) FILTER (run_type = 'daily' AND finished_at IS NOT NULL), TIMESTAMP '2024-01-24') AS since FROM runs) WHERE published_at IS NULL OR CAST(published_at AS DATE) >= CAST(since AS DATE)",
+)
+add("h06_release_detail", lookups.release_detail, "SELECT r.release_id, r.member_id, party, state, (SELECT count(*) FROM versions v WHERE v.release_id = r.release_id) AS n_versions FROM releases r JOIN members m ON m.member_id = r.member_id")
+add("h08_stalest", lookups.stalest, "SELECT member_id, n, CAST(last AS DATE) AS last_day FROM (SELECT m.member_id, count(v.release_id) AS n, max(published_at) AS last FROM members m LEFT JOIN visible v ON v.member_id = m.member_id WHERE m.status = 'active' GROUP BY m.member_id) ORDER BY last NULLS FIRST, member_id LIMIT 20")
+add("g07_carried_dates", lookups.carried_dates, "SELECT release_id, CAST(last_value(published_at IGNORE NULLS) OVER (PARTITION BY member_id ORDER BY release_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DATE) AS day FROM releases")
+SECTION = r"regexp_replace(url, '^(https?://[^/]+/[^/]+(?:/[^/]+)?/).*$', '\1')"
+add(
+    "e15_untapped_sections",
+    lambda t: lookups.untapped_sections(t.pages.select(F.concat(F.rtrim(C.section_of_url(F.col("url")), F.lit("/")), F.lit("/")).alias("section")).distinct(), t.pages.where("page_id % 4 = 0").select(F.regexp_extract("url", r"^(https?://[^/]+/[^/]+/)", 1).alias("section"))),
+    f"SELECT section FROM (SELECT DISTINCT rtrim({SECTION}, '/') || '/' AS section FROM pages) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_extract(url, '^(https?://[^/]+/[^/]+/)', 1) AS p FROM pages WHERE page_id % 4 = 0) WHERE p <> '' AND starts_with(section, p))",
+)
+
 # ---------------------------------------------------------------- incremental
 
 add(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
-from corpusloom.operators import checks, ingest
+from corpusloom.operators import checks, ingest, lookups
 from corpusloom.plans import catalog
 from corpusloom.sources import html
 from corpusloom.streaming import streams
@@ -151,3 +151,8 @@ def test_stream_of_upserts(spark, tmp_path):
         q.stop()
     assert {(r.url, r.body_text) for r in streams.current(spark, log).collect()} == {("a", "new"), ("b", "same"), ("c", "x")}
     assert [(r.url, r.body_text) for r in spark.read.parquet(versions).collect()] == [("a", "old")]
+
+
+@pytest.mark.parametrize("name,family", [("Ann Lee", "Lee"), ("Bo Roe, Jr.", "Roe"), ("Cy Poe III", "Poe"), ("", "")])
+def test_family_name(spark, name, family):
+    assert one(spark, lookups.family_name(F.col("n")), n=name) == family
