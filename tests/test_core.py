@@ -156,3 +156,10 @@ def test_stream_of_upserts(spark, tmp_path):
 @pytest.mark.parametrize("name,family", [("Ann Lee", "Lee"), ("Bo Roe, Jr.", "Roe"), ("Cy Poe III", "Poe"), ("", "")])
 def test_family_name(spark, name, family):
     assert one(spark, lookups.family_name(F.col("n")), n=name) == family
+
+
+def test_stream_of_first_seen(spark, tmp_path):
+    at = lambda d: datetime.datetime(2026, 4, d, 9)
+    spark.createDataFrame([("a", at(1)), ("a", at(2)), ("b", at(2)), (None, at(3))], "url string, published_at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, published_at timestamp").parquet(str(tmp_path / "in"))
+    assert sorted(str(r.url) for r in run_stream(streams.first_seen(stream), "first_seen")) == ["None", "a", "b"]
