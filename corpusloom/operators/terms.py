@@ -135,6 +135,35 @@ def rank_single(t: Tables, term: str, k: int) -> DataFrame:
     return r.orderBy(F.desc("score"), "release_id").limit(k)
 
 
+def rank_all(t: Tables, first: str, second: str, k: int) -> DataFrame:
+    """The best k releases that hold both terms: 1 - product of (1 - 0.1 * sqrt(w(d))) over pairs of their positions with
+    w(d) = 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)), as the public ranking function of PostgreSQL. Positions over 100 apart add less
+    than a double can tell from nothing, so each hit looks only at the terms near it, and a text is passed once."""
+    words, near = C.terms(F.concat_ws(" ", "title", "body_text")), 100
+    weight = lambda d: F.sqrt(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2.0)))
+    at = lambda term: F.filter(F.transform(F.col("words"), lambda w, i: F.when(w == term, i)), lambda i: i.isNotNull())
+    r = t.releases.select("release_id", words.alias("words")).where(F.array_contains("words", first) & F.array_contains("words", second))
+    r = r.select("release_id", "words", F.explode(at(first)).alias("a"))
+    low, high = F.greatest(F.col("a") - near, F.lit(0)), F.col("a") + near
+    around = F.slice("words", low + 1, high - low + 1)
+    logs = F.transform(around, lambda w, i: F.when(w == second, F.ln(1.0 - 0.1 * weight(F.abs(i + low - F.col("a")).cast("double")))).otherwise(0.0))
+    r = r.select("release_id", F.aggregate(logs, F.lit(0.0), lambda s, x: s + x).alias("log"))
+    r = r.groupBy("release_id").agg(n().alias("hits"), F.round(1.0 - F.exp(F.sum("log")), 6).alias("score"))
+    return r.orderBy(F.desc("score"), "release_id").limit(k)
+
+
+def headlines(t: Tables, wanted: list[str], fragments: int = 2, longest: int = 18) -> DataFrame:
+    """(release_id, snippet) of the releases with every term: up to two windows of words that do not overlap, each opened five words
+    before a hit, hits in <mark>, joined by an ellipsis. A window's words are found by the analyser's rule, one word at a time."""
+    words = F.filter(F.split(F.coalesce("body_text", F.lit("")), r"\s+"), lambda w: w != "")
+    is_hit = lambda w: F.arrays_overlap(C.terms(w), F.array(*[F.lit(x) for x in wanted]))
+    r = with_all(t, wanted).select("release_id", words.alias("w"))
+    r = r.withColumn("at", F.filter(F.transform("w", lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull()))
+    picked = F.aggregate("at", F.array().cast("array<int>"), lambda s, i: F.when((F.size(s) < fragments) & ((F.size(s) == 0) | (i - 5 >= F.element_at(s, -1) + longest)), F.array_append(s, F.greatest(i - 5, F.lit(0)))).otherwise(s))
+    marked = lambda s: F.array_join(F.transform(F.slice("w", s + 1, longest), lambda w: F.when(is_hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    return r.select("release_id", F.array_join(F.transform(picked, marked), " … ").alias("snippet"))
+
+
 def facets(t: Tables, term: str, party: str | None = None, kind: str | None = None) -> DataFrame:
     """(facet, key, n) of a search; each facet leaves out its own filter and keeps the others. The filters are flags, so all
     facets come from one pass."""

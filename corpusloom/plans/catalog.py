@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import checks, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.tables import VIEWS_SQL, Tables, days, ts
+from . import site_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -385,6 +386,8 @@ add(
 )
 add("s09_activity_windows", lambda t: stats.per_period(t.activity, "week", ["member_id"]), "SELECT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM activity GROUP BY ALL")
 
+_QUERIES.update(site_catalog.QUERIES)
+
 
 def queries() -> dict[str, Query]:
     return {name: (lambda spark, sf_dir, op=op: op(Tables.of(spark, sf_dir))) for name, (op, _) in _QUERIES.items()}
