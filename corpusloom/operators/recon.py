@@ -152,3 +152,25 @@ def source_health(results: DataFrame) -> DataFrame:
     return results.groupBy("member_id").agg(
         F.max("url_status").alias("url_status"), F.sum("items_found").alias("items_found"), F.bool_and(F.col("items_found") > 0).alias("selector_ok"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))).alias("error")
     )
+
+
+def silo_classes(silos: DataFrame, post_types: DataFrame, collected: DataFrame, least: int = 20, least_in_window: int = 5) -> DataFrame:
+    """(site, section, slug, class) of the sections of sites by whether a post type of the site's API serves them.
+
+    silos: site, section, n, in_window (null: no sitemap told), slugs (candidates in order). post_types: site, slug, wp_total,
+    wp_in_window. collected: site, slug. The first candidate with ``least`` records or more is taken, through one join.
+    """
+    tried = silos.select("site", "section", F.posexplode("slugs").alias("ord", "slug")).join(post_types.where(F.col("wp_total") >= least), ["site", "slug"])
+    best = tried.groupBy("site", "section").agg(F.min_by(F.struct("slug", "wp_in_window"), "ord").alias("best")).select("site", "section", "best.*")
+    known = collected.select("site", "slug", F.lit(True).alias("known")).distinct()
+    s = silos.join(best, ["site", "section"], "left").join(known, ["site", "slug"], "left")
+    label = (
+        F.when(F.col("n") < least, "low_value")
+        .when(F.col("slug").isNotNull() & F.col("known"), "wp_already_collected")
+        .when(F.col("slug").isNotNull() & (F.col("wp_in_window") < least_in_window), "wp_pre_window_only")
+        .when(F.col("slug").isNotNull(), "wp_extras_ready")
+        .when(F.col("in_window").isNull(), "needs_custom_scraper_unverified")
+        .when(F.col("in_window") == 0, "section_dormant")
+        .otherwise("needs_custom_scraper")
+    )
+    return s.select("site", "section", "slug", label.alias("class"))

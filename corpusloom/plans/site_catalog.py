@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import recon, terms
-from ..sources import html, sites
+from ..sources import html, records, sites
 from ..sources.tables import AS_OF, Tables
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
@@ -213,3 +213,87 @@ add(
     """, j AS (SELECT m.*, v.n FROM members m LEFT JOIN (SELECT member_id, count(*) AS n FROM visible GROUP BY 1) v ON v.member_id = m.member_id)
   SELECT 'q01_members' AS check_id, count(*) AS observed, count(*) >= 100 AS passed FROM j UNION ALL SELECT 'q02_no_method', count(*) FILTER (collection_method IS NULL), count(*) FILTER (collection_method IS NULL) = 0 FROM j UNION ALL SELECT 'q03_publishing', count(n), count(n) >= 95 FROM j""",
 )
+
+
+def _rosters(t: Tables) -> DataFrame:
+    """A JSON file for each state; members whose id is even name their chamber themselves."""
+    m = F.struct(F.col("member_id").cast("string").alias("id"), "full_name", F.when(F.col("member_id") % 2 == 0, F.col("chamber")).alias("chamber"), "party", F.create_map(F.lit("title"), F.lit("h2"), F.lit("date"), F.lit("time")).alias("selectors"))
+    return t.members.groupBy("state", F.floor(F.col("member_id") / 1000)).agg(F.to_json(F.struct(F.collect_list(m).alias("members"))).alias("json")).select("json", F.lit("executive").alias("default_chamber"))
+
+
+add(
+    "a02_roster",
+    lambda t: records.roster(_rosters(t), ["senate", "executive"]),
+    "SELECT CAST(member_id AS VARCHAR) AS member_id, full_name, c AS chamber, party, 2 AS n_selectors FROM (SELECT *, CASE WHEN member_id % 2 = 0 THEN chamber ELSE 'executive' END AS c FROM members) WHERE c IN ('senate', 'executive')",
+)
+
+
+def _year_pages(t: Tables) -> DataFrame:
+    """Listings of twenty releases each, with a heading before every fifth."""
+    d = F.col("release_id")
+    head = F.when(d % 5 == 0, F.concat(F.lit("<h3>"), (2020 + d % 7).cast("string"), F.lit(" releases</h3>"))).otherwise("")
+    day = F.when(d % 3 == 0, F.date_format("scraped_at", "M/d/yyyy")).when(d % 3 == 1, "2/30/2025").otherwise("")
+    href = F.when(d % 4 == 0, "/videoplayer.php?v=1").when(d % 4 == 1, "#top").otherwise(F.concat(F.lit("/press/"), d.cast("string"), F.lit(".pdf")))
+    item = F.concat(head, F.lit("<p>"), day, F.lit(' <a href="'), href, F.lit('">Item '), d.cast("string"), F.lit("</a></p>"))
+    items = t.releases.groupBy(F.floor(d / 20).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), item.alias("i")))).alias("x"))
+    return items.select("page_id", F.array_join(F.transform("x", lambda x: x["i"]), "\n").alias("html"))
+
+
+add(
+    "a10_year_listing",
+    lambda t: records.year_listing(_year_pages(t)).drop("pos"),
+    """, y AS (SELECT release_id // 20 AS page_id, release_id AS d, scraped_at, last_value(CASE WHEN release_id % 5 = 0 THEN 2020 + release_id % 7 END IGNORE NULLS) OVER (PARTITION BY release_id // 20 ORDER BY release_id) AS year FROM releases)
+  SELECT page_id, CASE WHEN d % 4 = 0 THEN 'VIDEO: ' ELSE '' END || 'Item ' || d AS title, CASE WHEN d % 4 = 0 THEN '/videoplayer.php?v=1' ELSE '/press/' || d || '.pdf' END AS href,
+    CASE WHEN d % 3 = 0 THEN CAST(scraped_at AS DATE) ELSE make_date(CAST(year AS BIGINT), 1, 1) END AS published, CASE WHEN d % 4 = 0 THEN 'other' ELSE 'press_release' END AS content_type FROM y WHERE d % 4 <> 1""",
+)
+
+
+def _posts(t: Tables) -> DataFrame:
+    d, s = F.col("release_id"), F.col("release_id").cast("string")
+    kind = F.element_at(N.strings(["app.embed.external", "app.embed.record", "app.embed.images", "app.embed.video"]), (d % 4 + 1).cast("int"))
+    embed = F.struct(kind.alias("$type"), F.struct(F.concat(F.lit("https://x/"), s).alias("uri")).alias("external"), F.struct(F.concat(F.lit("at://q/"), s).alias("uri")).alias("record"), F.array(F.lit("a"), F.lit("b")).alias("images"))
+    reply = F.when(d % 3 == 0, F.struct(F.struct(F.concat(F.lit("at://p/"), s).alias("uri")).alias("parent")))
+    post = F.struct(F.concat(F.lit("at://"), s).alias("uri"), s.alias("cid"), F.struct(F.col("lang").alias("text"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), reply.alias("reply")).alias("record"), F.when(d % 5 != 0, embed).alias("embed"))
+    return t.releases.select(F.col("member_id").alias("account"), F.to_json(post).alias("post"))
+
+
+add(
+    "a12_social_posts",
+    lambda t: records.social_posts(_posts(t), "2025-06-01").select("account", "uri", "cid", "text", F.to_date("created_at").alias("day"), "reply_parent", "embed"),
+    """SELECT member_id AS account, 'at://' || release_id AS uri, CAST(release_id AS VARCHAR) AS cid, coalesce(lang, '') AS text, CAST(published_at AS DATE) AS day, CASE WHEN release_id % 3 = 0 THEN 'at://p/' || release_id END AS reply_parent,
+  CASE WHEN release_id % 5 = 0 THEN NULL WHEN release_id % 4 = 0 THEN 'link:https://x/' || release_id WHEN release_id % 4 = 1 THEN 'quote:at://q/' || release_id WHEN release_id % 4 = 2 THEN 'images:2' ELSE 'app.embed.video' END AS embed FROM releases WHERE published_at >= TIMESTAMP '2025-06-01'""",
+)
+add("b26_page_bodies", lambda t: records.page_bodies(t.pages))
+
+
+def _signed(t: Tables) -> DataFrame:
+    """Releases with a contact below the text: one of four people, by turns with a title, an address and a number."""
+    d = F.col("release_id")
+    who = F.element_at(N.strings(["Ann Lee", "Bea Stone", "Cal Ford", "Press Office"]), (d % 4 + 1).cast("int"))
+    line = F.concat(F.lit("\n\nContact: "), who, F.when(d % 3 == 0, ", Director").otherwise(""), F.lit("\n"), F.when(d % 5 == 0, "call (202) 555-0100 or p@x.example.org").otherwise(""))
+    return t.releases.select("member_id", "release_id", F.concat(F.coalesce("body_text", F.lit("")), line).alias("body_text"))
+
+
+add(
+    "f33_ranked_contacts",
+    lambda t: records.ranked_contacts(records.contacts(_signed(t))),
+    """, c AS (SELECT member_id, release_id, list_extract(['Ann Lee', 'Bea Stone', 'Cal Ford'], release_id % 4 + 1) AS name, CASE WHEN release_id % 3 = 0 THEN 'Director' END AS title, CASE WHEN release_id % 5 = 0 THEN 'p@x.example.org' END AS email, CASE WHEN release_id % 5 = 0 THEN '(202) 555-0100' END AS phone FROM releases WHERE release_id % 4 < 3),
+  p AS (SELECT member_id, name, count(*) AS mentions FROM c GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id, name ORDER BY CASE WHEN title IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN email IS NOT NULL THEN 2 ELSE 0 END DESC, release_id) AS rn FROM c) WHERE rn = 1)
+  SELECT * FROM (SELECT p.member_id, row_number() OVER (PARTITION BY p.member_id ORDER BY mentions DESC, p.name) AS rank, p.name, mentions, title, email, phone FROM p JOIN b ON b.member_id = p.member_id AND b.name = p.name) WHERE rank <= 5""",
+)
+
+
+def _silos(t: Tables) -> DataFrame:
+    per = t.releases.groupBy(F.col("member_id").alias("site"), "content_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("published_at") >= F.lit("2026-03-01").cast("timestamp_ntz")).alias("w"))
+    section = F.concat(F.lit("/news/"), F.replace("content_type", F.lit("_"), F.lit("-")), F.lit("s/"))
+    return per.select("site", section.alias("section"), "n", F.when(F.col("site") % 4 != 0, F.col("w")).alias("in_window"), N.slug_candidates(section).alias("slugs"))
+
+
+add(
+    "f30_silo_classes",
+    lambda t: recon.silo_classes(_silos(t), _silos(t).where("site % 2 = 0").select("site", F.element_at("slugs", 1).alias("slug"), F.lit(50).alias("wp_total"), (F.col("site") % 9).alias("wp_in_window")), _silos(t).where("site % 10 = 0").select("site", F.element_at("slugs", 1).alias("slug")), 2),
+    """, s AS (SELECT member_id AS site, content_type AS k, count(*) AS n, count(*) FILTER (published_at >= TIMESTAMP '2026-03-01') AS w FROM releases GROUP BY 1, 2),
+  m AS (SELECT *, '/news/' || replace(k, '_', '-') || 's/' AS section, CASE WHEN site % 2 = 0 THEN replace(k, '_', '-') || 's' END AS slug FROM s)
+  SELECT site, section, slug, CASE WHEN n < 2 THEN 'low_value' WHEN site % 2 = 0 AND site % 10 = 0 THEN 'wp_already_collected' WHEN site % 2 = 0 AND site % 9 < 5 THEN 'wp_pre_window_only' WHEN site % 2 = 0 THEN 'wp_extras_ready'
+    WHEN site % 4 = 0 THEN 'needs_custom_scraper_unverified' WHEN w = 0 THEN 'section_dormant' ELSE 'needs_custom_scraper' END AS class FROM m""",
+)
