@@ -79,10 +79,15 @@ def carried_dates(t: Tables) -> DataFrame:
     return t.releases.select("release_id", F.to_date(F.last("published_at", ignorenulls=True).over(w)).alias("day"))
 
 
-def untapped_sections(sections: DataFrame, collected: DataFrame) -> DataFrame:
-    """Sections (``section``) that neither are, nor lie below, a collected one. Each section is cut at every slash into its
-    ancestors, which makes the prefix test an equi-join."""
+def with_ancestors(sections: DataFrame) -> DataFrame:
+    """(section, ancestor): each section cut at every slash, itself included."""
     parts = F.split(F.rtrim(F.col("section"), F.lit("/")), "/")
-    above = sections.select("section", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).alias("ancestor"))
-    hit = above.join(collected.select(F.col("section").alias("ancestor")).distinct(), "ancestor", "left_semi").select("section").distinct()
-    return sections.join(hit, "section", "left_anti")
+    return sections.select("section", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).alias("ancestor"))
+
+
+def untapped_sections(sections: DataFrame, collected: DataFrame) -> DataFrame:
+    """Sections (``section``) that neither are, nor lie below or above, a collected one. Cutting each into its ancestors makes
+    both prefix tests equi-joins."""
+    below = with_ancestors(sections).join(collected.select(F.col("section").alias("ancestor")).distinct(), "ancestor", "left_semi").select("section")
+    above = with_ancestors(collected.where("section <> ''")).select(F.col("ancestor").alias("section"))
+    return sections.join(below.unionByName(above).distinct(), "section", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources import sites
 from ..sources.tables import WINDOW_START, Tables, ts
+from .lookups import untapped_sections
 from .stats import active, n, visible
 
 # What navigation labels say of a stream of documents, in order of precedence; pages that are no documents; hosts.
@@ -27,6 +28,7 @@ STREAMS = [
 LISTING_LEAF = r"/(press-releases|news-releases|newsroom|news)/?$"
 NAVIGATION = r"/(about|contact|services|issues)/?([?].*)?$"
 SOCIAL = ["facebook.com", "twitter.com", "bsky.app"]
+SKIPPED = r"/(20[0-9]{2}|about|contact|services|issues)/"
 
 #: A line of at most this many words and characters is a fragment; this many of them in a run are joined.
 FRAGMENT_WORDS, FRAGMENT_CHARS, FRAGMENT_RUN = 3, 24, 3
@@ -174,3 +176,33 @@ def silo_classes(silos: DataFrame, post_types: DataFrame, collected: DataFrame,
         .otherwise("needs_custom_scraper")
     )
     return s.select("site", "section", "slug", label.alias("class"))
+
+
+def source_audit(urls: DataFrame, collected: DataFrame, statuses: DataFrame, least: int = 10, start: str = WINDOW_START, skip: str = SKIPPED) -> DataFrame:
+    """(section, n, in_window, class) of the sections that a site lists and nobody collects: archival (dated, none in the window),
+    dead (404 or 410), unknown (refused, failing, or never asked), else untapped.
+
+    urls: section, lastmod, url. collected: section. statuses: section, status. Sections with fewer addresses, and those that
+    ``skip`` matches, are left out.
+    """
+    dated = F.col("lastmod").isNotNull()
+    recent = F.when(dated, F.col("lastmod") >= start[:10]).otherwise(F.col("url").rlike("/202[56]"))
+    per = urls.groupBy("section").agg(n().alias("n"), F.bool_or(dated).alias("dated"), F.count_if(recent).alias("in_window"))
+    gaps = untapped_sections(per.where((F.col("n") >= least) & ~F.col("section").rlike(skip)), collected)
+    s = gaps.join(statuses.groupBy("section").agg(F.min("status").alias("status")), "section", "left")
+    label = F.when(F.col("dated") & (F.col("in_window") == 0), "archival").when(F.col("status").isin(404, 410), "dead").when(F.coalesce("status", F.lit(0)).isin(0, 403, 503), "unknown").otherwise("untapped")
+    return s.select("section", "n", "in_window", label.alias("class"))
+
+
+def listing_dates(rows: DataFrame) -> DataFrame:
+    """(url, day): the first date that listings give an address: M/D/YY(YY), else "Apr 16" with the year in the address's path.
+
+    rows: url, pos, text. Addresses are compared without fragment and last slash; days that the calendar lacks are no dates.
+    """
+    part = lambda i: F.regexp_extract("text", r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})", i)
+    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
+    mdy = F.to_date(F.try_to_timestamp(F.concat_ws("/", part(1), part(2), year), F.lit("M/d/yyyy")))
+    short = lambda i: F.regexp_extract("text", r"(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+([0-9]{1,2})", i)
+    named = F.to_date(F.try_to_timestamp(F.concat_ws(" ", F.initcap(short(1)), short(2), F.regexp_extract("url", "/([0-9]{4})/", 1)), F.lit("MMM d yyyy")))
+    found = rows.select(C.normalize_url_light(F.col("url")).alias("url"), "pos", F.coalesce(mdy, named).alias("day")).where("day is not null")
+    return found.groupBy("url").agg(F.min_by("day", "pos").alias("day"))

@@ -367,7 +367,7 @@ SECTION = r"regexp_replace(url, '^(https?://[^/]+/[^/]+(?:/[^/]+)?/).*$', '\1')"
 add(
     "e15_untapped_sections",
     lambda t: lookups.untapped_sections(t.pages.select(F.concat(F.rtrim(C.section_of_url(F.col("url")), F.lit("/")), F.lit("/")).alias("section")).distinct(), t.pages.where("page_id % 4 = 0").select(F.regexp_extract("url", r"^(https?://[^/]+/[^/]+/)", 1).alias("section"))),
-    f"SELECT section FROM (SELECT DISTINCT rtrim({SECTION}, '/') || '/' AS section FROM pages) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_extract(url, '^(https?://[^/]+/[^/]+/)', 1) AS p FROM pages WHERE page_id % 4 = 0) WHERE p <> '' AND starts_with(section, p))",
+    f"SELECT section FROM (SELECT DISTINCT rtrim({SECTION}, '/') || '/' AS section FROM pages) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT regexp_extract(url, '^(https?://[^/]+/[^/]+/)', 1) AS p FROM pages WHERE page_id % 4 = 0) WHERE p <> '' AND (starts_with(section, p) OR starts_with(p, section)))",
 )
 
 # ---------------------------------------------------------------- incremental

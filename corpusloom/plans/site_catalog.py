@@ -297,3 +297,24 @@ add(
   SELECT site, section, slug, CASE WHEN n < 2 THEN 'low_value' WHEN site % 2 = 0 AND site % 10 = 0 THEN 'wp_already_collected' WHEN site % 2 = 0 AND site % 9 < 5 THEN 'wp_pre_window_only' WHEN site % 2 = 0 THEN 'wp_extras_ready'
     WHEN site % 4 = 0 THEN 'needs_custom_scraper_unverified' WHEN w = 0 THEN 'section_dormant' ELSE 'needs_custom_scraper' END AS class FROM m""",
 )
+
+
+def _sections(t: Tables) -> DataFrame:
+    """Addresses in sections of sections; every other section's have dates."""
+    d = F.col("release_id")
+    section = F.concat(F.lit("/news/"), F.col("content_type"), F.lit("-"), (d % 25).cast("string"), F.lit("/"))
+    return t.releases.select(section.alias("section"), F.when(d % 2 == 0, F.date_format("published_at", "yyyy-MM-dd")).alias("lastmod"), F.concat(section, F.when(d % 3 == 0, "2025/").otherwise(""), d.cast("string")).alias("url"), (d % 25).alias("k"))
+
+
+add(
+    "f29_source_audit",
+    lambda t: recon.source_audit(_sections(t), _sections(t).where("k % 6 = 0").select("section").distinct(), _sections(t).where("k % 5 <> 4").select("section", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403), F.lit(410)), (F.col("k") % 4 + 1).cast("int")).alias("status")), 3, "2025-08-01"),
+    """, s AS (SELECT '/news/' || content_type || '-' || release_id % 25 || '/' AS section, release_id % 25 AS k, CASE WHEN release_id % 2 = 0 THEN CAST(CAST(published_at AS DATE) AS VARCHAR) END AS lm, release_id % 3 = 0 AS u FROM releases),
+  g AS (SELECT section, k, count(*) AS n, bool_or(lm IS NOT NULL) AS dated, count(*) FILTER (CASE WHEN lm IS NOT NULL THEN lm >= '2025-08-01' ELSE u END) AS in_window FROM s GROUP BY 1, 2 HAVING count(*) >= 3)
+  SELECT section, n, in_window, CASE WHEN dated AND in_window = 0 THEN 'archival' WHEN k % 5 = 4 OR k % 4 = 2 THEN 'unknown' WHEN k % 4 IN (1, 3) THEN 'dead' ELSE 'untapped' END AS class FROM g WHERE k % 6 <> 0""",
+)
+add(
+    "a11_listing_dates",
+    lambda t: recon.listing_dates(t.releases.select(F.concat(F.lit("https://h.org/"), F.year("scraped_at").cast("string"), F.lit("/"), (F.col("release_id") % 300).cast("string"), F.lit("/")).alias("url"), F.col("release_id").alias("pos"), F.when(F.col("release_id") % 3 == 0, F.date_format("scraped_at", "M/d/yy")).when(F.col("release_id") % 3 == 1, F.date_format("scraped_at", "MMM d")).otherwise("2/30/2025").alias("text"))),
+    """, x AS (SELECT 'https://h.org/' || year(scraped_at) || '/' || release_id % 300 AS url, release_id, CAST(scraped_at AS DATE) AS day FROM releases WHERE release_id % 3 < 2) SELECT url, arg_min(day, release_id) AS day FROM x GROUP BY url""",
+)
