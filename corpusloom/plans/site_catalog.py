@@ -277,8 +277,10 @@ def _signed(t: Tables) -> DataFrame:
 add(
     "f33_ranked_contacts",
     lambda t: records.ranked_contacts(records.contacts(_signed(t))),
-    """, c AS (SELECT member_id, release_id, list_extract(['Ann Lee', 'Bea Stone', 'Cal Ford'], release_id % 4 + 1) AS name, CASE WHEN release_id % 3 = 0 THEN 'Director' END AS title, CASE WHEN release_id % 5 = 0 THEN 'p@x.example.org' END AS email, CASE WHEN release_id % 5 = 0 THEN '(202) 555-0100' END AS phone FROM releases WHERE release_id % 4 < 3),
-  p AS (SELECT member_id, name, count(*) AS mentions FROM c GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id, name ORDER BY CASE WHEN title IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN email IS NOT NULL THEN 2 ELSE 0 END DESC, release_id) AS rn FROM c) WHERE rn = 1)
+    rf""", x AS (SELECT member_id, release_id, list_extract(['Ann Lee', 'Bea Stone', 'Cal Ford'], release_id % 4 + 1) AS name, CASE WHEN release_id % 3 = 0 THEN 'Director' END AS title,
+    right(coalesce(body_text, ''), 48) || ' : ' || CASE WHEN release_id % 5 = 0 THEN 'call (202) 555-0100 or p@x.example.org' ELSE '' END AS context FROM releases WHERE release_id % 4 < 3),
+  c AS (SELECT member_id, release_id, name, title, nullif(regexp_extract(context, '{records.EMAIL}'), '') AS email, nullif(regexp_extract(context, '{records.PHONE}'), '') AS phone FROM x),
+  p AS (SELECT member_id, name, count(*) AS mentions FROM c GROUP BY 1, 2), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id, name ORDER BY CASE WHEN title IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN email IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 1 ELSE 0 END DESC, release_id) AS rn FROM c) WHERE rn = 1)
   SELECT * FROM (SELECT p.member_id, row_number() OVER (PARTITION BY p.member_id ORDER BY mentions DESC, p.name) AS rank, p.name, mentions, title, email, phone FROM p JOIN b ON b.member_id = p.member_id AND b.name = p.name) WHERE rank <= 5""",
 )
 
