@@ -2,15 +2,18 @@
 
 Generators of high recall propose spans, which may overlap: things with an @ or spelt-out addresses, dotted and coloned numbers,
 long groups of digits with separators, account numbers. Each candidate gets features of its format (digits, separators,
-groups, check sums, octets) and of its context (characters beside it, telling words before it). Boosted trees, trained here by
+groups) and of its context (characters beside it, telling words before it). Boosted trees, trained here by
 Spark's GBTClassifier on a bounded sample, score them; the score's threshold is calibrated on held-out candidates so that at
 least PRECISION of what lies above it is personal data. Candidates that pass are added to the spans of the base rules, which
 always stay; those that overlap a base span add nothing.
 
-Training labels are weak: a candidate is positive where a strict format holds (a base rule's span, a valid IBAN, a valid IPv6
-address, a valid social security number), else negative. The sample: the candidates of about SAMPLE_DOCS documents, chosen by a
-hash of doc_id, and of these at most SAMPLE_CANDIDATES. The fitted trees are flat arrays in the tasks' closure, so texts are
-read once and nothing is shuffled.
+Training labels are weak. Positive are loose forms of base spans, in the place where the span was found (an address spelt out, a
+phone number without its +, a card regrouped), numbers generated for that place (social security, IBAN, IPv6), and candidates of the text that
+hold a strict format. Negative are the text's other candidates, except those that overlap a base span (no such one is ever scored), and
+DECOYS put between its words: dates, times, counts, part numbers, prose with "at" and "dot". The facts that make a label (check sums,
+valid ranges, a leading +, @domain) are no features, so format and context decide. The sample: the candidates of about SAMPLE_DOCS
+documents, chosen by a hash of doc_id, and of these at most SAMPLE_CANDIDATES; all forms of a value go to one side of the held-out split.
+The fitted trees are flat arrays in the tasks' closure, so texts are read once and nothing is shuffled.
 
 Cases: null and empty texts have no spans; rows are judged one by one, so repeated rows and null ids change nothing; very long
 texts are searched whole in linear time; with no sample of both classes (or an empty table) only the base rules act; other columns are
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import random
 import re
 from collections.abc import Iterator
 
@@ -112,6 +116,7 @@ GENERATORS = [
     ("number", "", re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,23}(?![0-9A-Za-z])")),
 ]
 DIGIT = re.compile(r"[0-9]")
+LAST_LETTERS = re.compile(r"[A-Za-z]*\Z")
 WORDS_BEFORE = [re.compile(w) for w in (r"(?i)tel|phone|call|mobile|fax", r"(?i)mail|contact", r"(?i)card|visa|amex|credit", r"(?i)\bip\b|server|host|address", r"(?i)ssn|social|iban|account")]
 
 
@@ -144,7 +149,6 @@ def features(t: str, start: int, end: int, kind: str) -> list[float]:
     d = digits_of(s)
     groups = [len(g) for g in re.split(r"[^0-9]+", s) if g]
     before, after = t[max(0, start - 24) : start], t[end : end + 1]
-    dots = s.split(".")
     letters = sum(c.isalpha() for c in s)
     return [
         float(ORDER[kind]),
@@ -155,18 +159,15 @@ def features(t: str, start: int, end: int, kind: str) -> list[float]:
         len(groups),
         max(groups, default=0),
         min(groups, default=0),
-        len(set(d)),
-        float(12 <= len(d) <= 19 and luhn(d)),
-        float(len(dots) == 4 and all(x.isdigit() and octet(x) for x in dots)),
-        float(s[:1] == "+"),
-        float("(" in s),
+        groups[0] if groups else 0,
+        groups[-1] if groups else 0,
+        len({c for c in s if not c.isalnum()}),
+        float(any(c in s for c in "([{")),
         s.count("-"),
         s.count("."),
         s.count(" "),
         s.count(":"),
-        float(bool(re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$", s))),
-        float(len(dots[-1]) if dots[-1].isalpha() else 0),
-        float(strict(kind, s)),
+        len(LAST_LETTERS.search(s)[0]),
         float(before[-1:].isspace() or not before),
         float(after.isspace() or after in ".,;:!?" or not after),
         *[float(bool(w.search(before))) for w in WORDS_BEFORE],
@@ -177,8 +178,92 @@ def overlaps(start: int, end: int, spans: list[Span]) -> bool:
     return any(a < end and start < b for a, _, _, b in spans)
 
 
-def label(t: str, start: int, end: int, kind: str, base: list[Span]) -> int:
-    return int(strict(kind, t[start:end]) or any(a >= start and b <= end and 2 * (b - a) >= end - start or a <= start and b >= end for a, _, _, b in base))
+# ---------------------------------------------------------------- weak labels
+
+# Countries with the form of their account numbers (A: letter, 0: digit).
+IBAN_FORMS = {"DE": "0" * 18, "ES": "0" * 20, "FR": "0" * 23, "GB": "AAAA" + "0" * 14, "NL": "AAAA" + "0" * 10}
+ENDINGS = ["com", "org", "net", "gov", "edu", "info", "de", "fr", "es", "co.uk"]
+#: Characters kept on both sides of a planted form.
+AROUND = 40
+
+
+def key_of(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=4).digest(), "big")
+
+
+def loose_forms(kind: str, s: str, rng: random.Random) -> list[str]:
+    """Ways to write a base rule's span that the base rules miss."""
+    d = digits_of(s)
+    if kind == "email":
+        local, host = s.rsplit("@", 1)
+        dot = rng.choice([" dot ", "[dot]", " (dot) "])
+        return [f"{local} at {host.replace('.', ' dot ')}", f"{local} [at] {host.replace('.', dot)}", f"{local}{rng.choice(['(at)', ' {at} '])}{host}"]
+    if kind == "phone":
+        n, by = d[-10:], rng.choice(["-", ".", " ", "/"])
+        parts = [n[:3], n[3:6], n[6:]]
+        return [s[1:], f"({n[:3]}) {n[3:6]}-{n[6:]}", by.join(parts), by.join([d[:-10] or "1", *parts])]
+    if kind == "card":
+        by = rng.choice([".", "/", "  "])
+        return [by.join(d[i : i + 4] for i in range(0, len(d), 4))]
+    return []
+
+
+def generated(words: list[str], rng: random.Random) -> list[str]:
+    """A valid social security number, an account number, an IPv6 address, and the loose forms of an address made of words."""
+    area = rng.choice([x for x in range(1, 900) if x != 666])
+    country = rng.choice(sorted(IBAN_FORMS))
+    body = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c == "A" else "0123456789") for c in IBAN_FORMS[country])
+    iban = f"{country}{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}{body}"
+    if rng.random() < 0.5:
+        iban = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    ip = ipaddress.IPv6Address(0x20010DB8 << 96 | rng.getrandbits(rng.choice([32, 64, 96])))
+    one, two, host = (rng.choice(words) for _ in range(3))
+    local = rng.choice([one, f"{one}.{two}", f"{one}{rng.randrange(100)}"])
+    address = f"{local}@{host}.{rng.choice(ENDINGS)}"
+    return [f"{area:03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}", iban, str(ip), *loose_forms("email", address, rng)]
+
+
+def decoys(words: list[str], rng: random.Random) -> list[str]:
+    """Things that look like candidates and are no personal data: one of each sort."""
+    r, word = rng.randrange, lambda: rng.choice(words)
+    y, m, day = r(1900, 2030), r(1, 13), r(1, 29)
+    return [
+        rng.choice([f"{y}-{m:02d}-{day:02d}", f"{day:02d}/{m:02d}/{y}", f"{day:02d}.{m:02d}.{y}", f"{y}-{y + r(1, 30)}"]),
+        rng.choice([f"978-{r(10)}-{r(10, 100)}-{r(100000, 1000000)}-{r(10)}", f"{r(1, 1000)} {r(1000):03d} {r(1000):03d}", f"{r(10)}.{r(10**6, 10**10)}", str(r(10**6, 10**18))]),
+        rng.choice([f"{r(24):02d}:{r(60):02d}:{r(60):02d}", ":".join(f"{r(256):02x}" for _ in range(6)), f"{r(1, 10)}:{r(1, 10)}:{r(1, 10)}"]),
+        f"{rng.choice('ABCDEFGH')}{rng.choice('KLMNPRST')}{r(10, 100)} {r(1000, 10000)} {rng.choice('XYZ')}{r(100, 1000)}",
+        rng.choice([f"{word()} at {word()} dot {word()}", f"{word()}@{word()}"]),
+    ]
+
+
+def planted(before: str, s: str, after: str, y: int, key: int) -> Iterator[tuple[list[float], int, int]]:
+    """The candidates at ``s`` between the two texts, as far as the base rules leave them to the trees."""
+    before, after = before[-AROUND:], after[:AROUND]
+    t, start, end = before + s + after, len(before), len(before) + len(s)
+    base = base_spans(t)
+    for a, e, kind in candidates(t):
+        if a < end and start < e and not overlaps(a, e, base) and (not y or 2 * (min(e, end) - max(a, start)) >= max(e - a, end - start)):
+            yield features(t, a, e, kind), y, key
+
+
+def examples(t: str) -> Iterator[tuple[list[float], int, int]]:
+    """(features, label, key) of a text's candidates and of the forms planted in it. Equal values have equal keys."""
+    base = base_spans(t)
+    for a, e, kind in candidates(t):
+        if not overlaps(a, e, base):
+            yield features(t, a, e, kind), int(strict(kind, t[a:e])), key_of(t[a:e])
+    if not base:
+        return
+    words = [w for w in re.findall(r"[A-Za-z]+", t[: AROUND * 50]) if len(w) > 1] or ["word"]
+    for a, _, kind, e in base:
+        key = key_of(t[a:e])
+        rng = random.Random(key)
+        for s in loose_forms(kind, t[a:e], rng) + generated(words, rng):
+            yield from planted(t[max(0, a - AROUND) : a], s, t[e : e + AROUND], 1, key)
+        for s in decoys(words, rng):
+            at = t.find(" ", rng.randrange(len(t)))
+            if at >= 0 and not overlaps(at - AROUND, at + AROUND, base):
+                yield from planted(t[max(0, at - AROUND) : at + 1], s, t[at : at + AROUND], 0, key)
 
 
 # ---------------------------------------------------------------- trees
@@ -219,15 +304,12 @@ def flat(tree, weight: float) -> tuple:
 
 
 def calibrated(margins: np.ndarray, labels: np.ndarray) -> float:
-    """The smallest margin above which at least PRECISION are positive, by isotonic (pool adjacent violators) probabilities."""
-    order = np.argsort(margins)
-    blocks: list[list[float]] = []
-    for m, y in zip(margins[order], labels[order], strict=True):
-        blocks.append([m, float(y), 1.0])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            m0, y0, n0 = blocks.pop(-2)
-            blocks[-1] = [m0, blocks[-1][1] + y0, blocks[-1][2] + n0]
-    return next((m for m, y, n in blocks if y >= PRECISION * n), float("inf"))
+    """The smallest margin such that of the candidates with it or a larger one at least PRECISION are positive."""
+    order = np.argsort(-margins)
+    m, right = margins[order], np.cumsum(labels[order])
+    last = np.append(m[1:] != m[:-1], True)  # candidates of equal margins pass or fail together
+    good = np.flatnonzero(last & (right >= PRECISION * np.arange(1, len(m) + 1)))
+    return float(m[good[-1]]) if len(good) else float("inf")
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -243,12 +325,9 @@ def train(docs: DataFrame) -> Model | None:
         for b in batches:
             x, y, key = [], [], []
             for t in b.column(0).to_pylist():
-                if t:
-                    base = base_spans(t)
-                    for a, e, kind in candidates(t):
-                        x.append(features(t, a, e, kind))
-                        y.append(label(t, a, e, kind, base))
-                        key.append(int.from_bytes(hashlib.blake2b(t[a:e].encode(), digest_size=4).digest(), "big"))
+                for one in examples(t) if t else ():
+                    for column, value in zip((x, y, key), one, strict=True):
+                        column.append(value)
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(key, pa.int64())], ["x", "y", "key"])
 
     sample = small_batches(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")).mapInArrow(run, "x array<double>, y int, key long")
