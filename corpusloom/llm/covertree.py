@@ -34,6 +34,8 @@ from .common import grouped, table, take, written
 BLOCK_ROWS = (256, 4096)
 #: Queries of a group.
 GROUP_ROWS = 256
+#: Queries that a task searches at once.
+QUERY_ROWS = GROUP_ROWS * 8
 #: Pivots and the size of the sample that they are chosen from (farthest-first).
 PIVOTS, PIVOT_SAMPLE = 32, 4096
 LEAF, FANOUT = 128, 12
@@ -189,24 +191,49 @@ def summaries(blocks: DataFrame, chunk: str) -> DataFrame:
     return rows.mapInArrow(run, f"cell long, {chunk} long, center array<double>, radius double, norm double")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, table) of consecutive rows with equal ``keys``, at most ``rows`` of them: the rows come sorted by them, and a longer run
+    comes in several pieces, so that no run is held whole."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        marks = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+        start = 0
+        while start < len(marks):
+            if held and (marks[start] != last or n == rows):
+                yield last, pa.Table.from_batches(held)
+                held, n = [], 0
+            last, end = marks[start], start + 1
+            while end < len(marks) and marks[end] == last and n + end - start < rows:
+                end += 1
+            held.append(batch.slice(start, end - start))
+            n, start = n + end - start, end
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def search_blocks(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """data: (cell, chunk, vec_id, v). asked: (cell, chunk, vec_id, v, floor): queries sent to that block. Each block's k best
-    of each of its queries, of the scores that reach the query's floor: (query_id, vec_id, score)."""
+    of each of its queries, of the scores that reach the query's floor: (query_id, vec_id, score).
+
+    A task holds one block and at most QUERY_ROWS queries (and the batch that is read), however many queries a block gets."""
     rows = data.select("cell", "chunk", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("long").alias("floor")).unionByName(asked.select("cell", "chunk", F.lit(1).alias("kind"), "vec_id", "v", "floor"))
     rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["cell", "chunk"]):
-            kind, ids, v = t.column("kind").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("v"))
-            floor = t.column("floor").to_pandas().fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-            x, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            if not len(x):
-                continue
-            for s in range(0, len(q), GROUP_ROWS * 8):
-                part = q[s : s + GROUP_ROWS * 8]
-                best = dual_search(ids[part], v[part], floor[part], ids[x], v[x], k)
+        block, x_ids, x = None, None, None
+        for (*at, kind), t in pieces(batches, ["cell", "chunk", "kind"], QUERY_ROWS):
+            if kind == 0:
+                # The vectors of a block come first; a block of more than one piece is put together.
+                ids, v = t.column("vec_id").to_numpy(), matrix(t.column("v"))
+                x_ids, x = (np.concatenate([x_ids, ids]), np.concatenate([x, v])) if at == block else (ids, v)
+                block = at
+            elif at == block:
+                ids, v = t.column("vec_id").to_numpy(), matrix(t.column("v"))
+                floor = t.column("floor").to_pandas().fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
+                best = dual_search(ids, v, floor, x_ids, x, k)
                 hit = best.id != np.iinfo(np.int64).max
-                yield pa.record_batch([pa.array(np.repeat(ids[part], k)[hit.ravel()]), pa.array(best.id.ravel()[hit.ravel()]), pa.array(best.score.ravel()[hit.ravel()])], ["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(np.repeat(ids, k)[hit.ravel()]), pa.array(best.id.ravel()[hit.ravel()]), pa.array(best.score.ravel()[hit.ravel()])], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 

@@ -142,6 +142,35 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_search_holds_a_slice_of_queries(spark, monkeypatch):
+    """However many queries a block gets, they come in pieces, from batches that are read one by one."""
+    import pyarrow as pa
+
+    read = 0
+
+    def batches():
+        nonlocal read
+        for i in range(10):
+            read += 1
+            yield pa.record_batch([pa.array([7] * 100), pa.array([int(i > 0)] * 100), pa.array(range(i * 100, i * 100 + 100))], ["cell", "kind", "vec_id"])
+
+    seen = []
+    for key, t in covertree.pieces(batches(), ["cell", "kind"], 150):
+        assert t.num_rows <= 150 and read * 100 <= sum(n for _, n in seen) + 150 + 100
+        seen.append((key, t.num_rows))
+    assert seen == [((7, 0), 100), *[((7, 1), 150)] * 6]
+    # One block, queries in several pieces: as brute force says.
+    monkeypatch.setattr(covertree, "QUERY_ROWS", 16)
+    rng = np.random.default_rng(2)
+    m = rng.integers(-9, 9, (90, 4))
+    rows = [(0, 0, i, [int(x) for x in m[i]], None) for i in range(90)]
+    d = spark.createDataFrame(rows, "cell long, chunk long, vec_id long, v array<long>, floor long")
+    got = covertree.search_blocks(d.drop("floor"), d, 3).collect()
+    s = m @ m.T
+    want = [(q, i, int(s[q, i])) for q in range(90) for i in sorted((i for i in range(90) if i != q), key=lambda i: (-s[q, i], i))[:3]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_archives(spark):
     long = "x" * 200
     rows = [(1, "http://a b/", long), (2, None, long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", long)]
