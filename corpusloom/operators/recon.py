@@ -28,7 +28,24 @@ STREAMS = [
 LISTING_LEAF = r"/(press-releases|news-releases|newsroom|news)/?$"
 NAVIGATION = r"/(about|contact|services|issues)/?([?].*)?$"
 SOCIAL = ["facebook.com", "twitter.com", "bsky.app"]
-SKIPPED = r"/(20[0-9]{2}|about|contact|services|issues)/"
+# What a label must not say: coverage by others, forms for opinions (searched for); parts of a site (the whole label).
+EXTERNAL = r"\bin[- ]?the[- ]?(news|media)\b|\bnews[- ]?(clips?|clippings?|coverage)\b|\bmedia[- ]?(coverage|mentions|hits|clips?)\b|\bpress[- ]?(coverage|clips?|mentions)\b|\bicymi\b|\bfeatured[- ]?in\b"
+OPINION_FORM = r"\bshare[- ]?your[- ]?opinion\b|\bcontact[- ]?(my[- ]?)?office\b|/contact/|/share-your-opinion"
+SITE_PARTS = (
+    r"^(home|contact|about|biography|biograf|services?|help|issues?|legislation|committees?|constituent[- ]?services?|serving[- ]?you|visiting[- ]?washington|schedule[- ]?(a[- ]?)?meeting|"
+    r"request|tour|flag|internship|jobs?|employment|privacy|accessibility|rss|subscribe|sign[- ]?up|search|menu|skip[- ]?to|academy[- ]?nominations?|grants?|veterans?|casework|photos?|gallery)\s*$"
+)
+# Sections that are left out: these pieces anywhere in the lower-cased path, and archives of a year or month.
+SKIPPED_PIECES = """
+/in-the-news /in_the_news /videos /video /photos /photo /clips /clip /audio /multimedia /photo-galleries -photo-galleries /news-coverage
+/success-stories -success-stories /toolkit /events /event /upcoming-events /about /biography /bio /contact /services /help /casework
+/get-help /issues /legislation /committee /committees /constituent /student /students /delawareans /internship /jobs /employment
+/visiting /visit /tours /flag /newsletter-signup /sign-up /signup /join-newsletter /privacy /accessibility /terms /connect /serving-you
+/wp-content /wp-admin /wp-includes /wp-json /feed /rss /category/ /tag/ /author/ /page/ /search /download/ /coronavirus/ /priorities
+/spending-requests /grants /es/ /es-mx/ /ultimas-noticias /comunicados /comunicados-de-prensa /jet-popup /popup /meet- /working-for-
+/2021/ /2022/ /2023/ /2024/
+""".split()
+SKIPPED = "|".join(SKIPPED_PIECES) + r"|^/(19|20)[0-9]{2}(/[0-9]{1,2})?/*$"
 
 #: A line of at most this many words and characters is a fragment; this many of them in a run are joined.
 FRAGMENT_WORDS, FRAGMENT_CHARS, FRAGMENT_RUN = 3, 24, 3
@@ -70,8 +87,11 @@ def recon_summary(pages: DataFrame) -> DataFrame:
 
 
 def stream_of_label(label: Column) -> Column:
-    """The stream that a navigation label names, by the first pattern that it matches, else null."""
-    return F.coalesce(*[F.when(F.lower(label).rlike(p), name) for name, p in STREAMS])
+    """The stream that a navigation label names, by the first pattern that it matches, else null. Labels of coverage by others, of
+    forms for opinions and of a site's parts name none."""
+    text = F.lower(label)
+    none = text.rlike(EXTERNAL) | text.rlike(OPINION_FORM) | text.rlike(SITE_PARTS)
+    return F.coalesce(*[F.when(~none & text.rlike(p), name) for name, p in STREAMS])
 
 
 def stream_findings(links: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -183,12 +203,12 @@ def source_audit(urls: DataFrame, collected: DataFrame, statuses: DataFrame, lea
     dead (404 or 410), unknown (refused, failing, or never asked), else untapped.
 
     urls: section, lastmod, url. collected: section. statuses: section, status. Sections with fewer addresses, and those that
-    ``skip`` matches, are left out.
+    ``skip`` matches (in lower case), are left out.
     """
     dated = F.col("lastmod").isNotNull()
     recent = F.when(dated, F.col("lastmod") >= start[:10]).otherwise(F.col("url").rlike("/202[56]"))
     per = urls.groupBy("section").agg(n().alias("n"), F.bool_or(dated).alias("dated"), F.count_if(recent).alias("in_window"))
-    gaps = untapped_sections(per.where((F.col("n") >= least) & ~F.col("section").rlike(skip)), collected)
+    gaps = untapped_sections(per.where((F.col("n") >= least) & ~F.lower("section").rlike(skip)), collected)
     s = gaps.join(statuses.groupBy("section").agg(F.min("status").alias("status")), "section", "left")
     label = F.when(F.col("dated") & (F.col("in_window") == 0), "archival").when(F.col("status").isin(404, 410), "dead").when(F.coalesce("status", F.lit(0)).isin(0, 403, 503), "unknown").otherwise("untapped")
     return s.select("section", "n", "in_window", label.alias("class"))

@@ -308,9 +308,33 @@ def _sections(t: Tables) -> DataFrame:
     return t.releases.select(section.alias("section"), F.when(d % 2 == 0, F.date_format("published_at", "yyyy-MM-dd")).alias("lastmod"), F.concat(section, F.when(d % 3 == 0, "2025/").otherwise(""), d.cast("string")).alias("url"), (d % 25).alias("k"))
 
 
+#: The sections that the SQL of f29_source_audit leaves out; f29_source_audit_all_rules has the whole list.
+SQL_SKIPPED = r"/(20[0-9]{2}|about|contact|services|issues)/"
+#: Sections of which the rules reject all but those at 0, 4, 8, 9 and 11.
+SECTIONS = ["/newsroom/", "/News/Photos/", "/public/legislation/bills/", "/news/photo_release/", "/op-eds/", "/ES/noticias/", "/news/2023/", "/2025/03/", "/news/2025/", "/blog/", "/Category/press/", "/letters/"]
+
+
+def _all_sections(t: Tables) -> DataFrame:
+    d = F.col("release_id")
+    section = F.element_at(N.strings(SECTIONS), (d % 12 + 1).cast("int"))
+    return t.releases.select(section.alias("section"), F.when(d % 2 == 0, F.date_format("published_at", "yyyy-MM-dd")).alias("lastmod"), F.concat(section, d.cast("string")).alias("url"))
+
+
+def _statuses(t: Tables) -> DataFrame:
+    section = F.col("section")
+    return _all_sections(t).where("section <> '/newsroom/'").select("section", F.when(section == "/op-eds/", 404).when(section == "/news/2025/", 403).otherwise(200).alias("status"))
+
+
+add(
+    "f29_source_audit_all_rules",
+    lambda t: recon.source_audit(_all_sections(t), _all_sections(t).where("section = '/blog/'").select("section").distinct(), _statuses(t), 3, "2025-08-01"),
+    f""", s AS (SELECT list_extract({SECTIONS}, CAST(release_id % 12 + 1 AS INT)) AS section, release_id % 12 AS i, CASE WHEN release_id % 2 = 0 THEN CAST(CAST(published_at AS DATE) AS VARCHAR) END AS lm, release_id FROM releases),
+  g AS (SELECT section, i, count(*) AS n, bool_or(lm IS NOT NULL) AS dated, count(*) FILTER (CASE WHEN lm IS NOT NULL THEN lm >= '2025-08-01' ELSE regexp_matches(section || release_id, '/202[56]') END) AS in_window FROM s GROUP BY 1, 2 HAVING count(*) >= 3)
+  SELECT section, n, in_window, CASE WHEN dated AND in_window = 0 THEN 'archival' WHEN i = 4 THEN 'dead' WHEN i IN (0, 8) THEN 'unknown' ELSE 'untapped' END AS class FROM g WHERE i IN (0, 4, 8, 11)""",
+)
 add(
     "f29_source_audit",
-    lambda t: recon.source_audit(_sections(t), _sections(t).where("k % 6 = 0").select("section").distinct(), _sections(t).where("k % 5 <> 4").select("section", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403), F.lit(410)), (F.col("k") % 4 + 1).cast("int")).alias("status")), 3, "2025-08-01"),
+    lambda t: recon.source_audit(_sections(t), _sections(t).where("k % 6 = 0").select("section").distinct(), _sections(t).where("k % 5 <> 4").select("section", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403), F.lit(410)), (F.col("k") % 4 + 1).cast("int")).alias("status")), 3, "2025-08-01", SQL_SKIPPED),
     """, s AS (SELECT '/news/' || content_type || '-' || release_id % 25 || '/' AS section, release_id % 25 AS k, CASE WHEN release_id % 2 = 0 THEN CAST(CAST(published_at AS DATE) AS VARCHAR) END AS lm, release_id % 3 = 0 AS u FROM releases),
   g AS (SELECT section, k, count(*) AS n, bool_or(lm IS NOT NULL) AS dated, count(*) FILTER (CASE WHEN lm IS NOT NULL THEN lm >= '2025-08-01' ELSE u END) AS in_window FROM s GROUP BY 1, 2 HAVING count(*) >= 3)
   SELECT section, n, in_window, CASE WHEN dated AND in_window = 0 THEN 'archival' WHEN k % 5 = 4 OR k % 4 = 2 THEN 'unknown' WHEN k % 4 IN (1, 3) THEN 'dead' ELSE 'untapped' END AS class FROM g WHERE k % 6 <> 0""",

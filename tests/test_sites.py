@@ -114,3 +114,14 @@ def test_quarantine_keeps_every_row(spark, tmp_path):
     records.write_quarantine(rows, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/kept").count() == 3
     assert {(r.reason, r["count"]) for r in spark.read.parquet(f"{tmp_path}/quarantine").groupBy("reason").count().collect()} == {("odd", 5), ("big", 2)}
+
+
+def test_skipped_sections_and_labels_follow_the_whole_lists(spark):
+    paths = ["/News/Photos/", "/videos/", "/x/in-the-news/", "/legislation/", "/ES/noticias/", "/tag/a/", "/2025/03/", "/2025/", "/news/2023/", "/privacy-policy/", "/a-success-stories/"]
+    kept = ["/news/2025/", "/op-eds/", "/press/"]
+    urls = spark.createDataFrame([(p, None, f"https://h{p}{i}") for p in paths + kept for i in range(3)], "section string, lastmod string, url string")
+    none = spark.createDataFrame([], "section string")
+    found = recon.source_audit(urls, none, spark.createDataFrame([(p, 200) for p in paths + kept], "section string, status int"), 3)
+    assert sorted(r.section for r in found.collect()) == sorted(kept)
+    for label, want in [("Blog", "blog"), ("Blog: in the news", None), ("ICYMI podcast", None), ("Share your opinion blog", None), ("Press clips newsletter", None), ("Casework", None), ("Op-Eds", "op_ed")]:
+        assert one(spark, recon.stream_of_label(F.col("label")), label=label) == want, label
