@@ -64,6 +64,13 @@ add(
   SELECT version_id, list_distinct(list_filter(regexp_split_to_array(lower(v.body_text), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(substr(r.body_text, 1, 200)), '[^a-z0-9]+'), lambda x: x <> '')) AS b
   FROM versions v JOIN releases r ON r.release_id = v.release_id)""",
 )
+add(
+    "b39_whole_version_similarity",
+    lambda t: t.releases.select("release_id", F.round(C.jaccard(C.word_set(F.replace("body_text", F.lit("the "), F.lit(""))), C.word_set(F.col("body_text"))), 6).alias("similarity")),
+    """SELECT release_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM (
+  SELECT release_id, list_distinct(list_filter(regexp_split_to_array(lower(replace(body_text, 'the ', '')), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(body_text), '[^a-z0-9]+'), lambda x: x <> '')) AS b
+  FROM releases)""",
+)
 add("b44_has_time", lambda t: t.activity.groupBy(C.has_time(F.col("published_at")).alias("timed")).agg(stats.n().alias("n")), "SELECT hour(published_at) <> 0 OR minute(published_at) <> 0 AS timed, count(*) AS n FROM activity GROUP BY 1")
 
 # ---------------------------------------------------------------- feeds and lookups

@@ -11,6 +11,7 @@ from corpusloom.functions import columns as C
 from corpusloom.operators import checks, ingest, lookups
 from corpusloom.plans import catalog
 from corpusloom.sources import html
+from corpusloom.sources.tables import Tables
 from corpusloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -163,3 +164,30 @@ def test_stream_of_first_seen(spark, tmp_path):
     spark.createDataFrame([("a", at(1)), ("a", at(2)), ("b", at(2)), (None, at(3))], "url string, published_at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("url string, published_at timestamp").parquet(str(tmp_path / "in"))
     assert sorted(str(r.url) for r in run_stream(streams.first_seen(stream), "first_seen")) == ["None", "a", "b"]
+
+
+def test_version_similarity_reads_whole_texts(spark):
+    """An edit after many characters counts: of 101 words the version lacks one."""
+    body = " ".join(f"word{i}" for i in range(100)) + " the end"
+    rows = [(1, body), (2, "the end"), (3, ""), (4, "no article")]
+    d = spark.createDataFrame(rows, "release_id long, body_text string")
+    t = Tables(None, d, *[None] * 6)
+    got = {r.release_id: r.similarity for r in catalog._QUERIES["b39_whole_version_similarity"][0](t).collect()}
+    want = {}
+    for i, text in rows:
+        a, b = set(text.replace("the ", "").split()), set(text.split())
+        want[i] = round(len(a & b) / len(a | b), 6) if a | b else 1.0
+    assert got == want and got[1] < 1
+
+
+def test_version_similarity_against_brute_force(spark):
+    import re
+
+    words = lambda x: {w for w in re.split("[^a-z0-9]+", x.lower()) if w}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.release_id: r.similarity for r in catalog.queries()["b39_whole_version_similarity"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        if text is not None:
+            a, b = words(text.replace("the ", "")), words(text)
+            assert got[i] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=1e-6)
