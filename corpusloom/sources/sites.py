@@ -14,8 +14,8 @@ MONTH_DATE = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+[0-9]
 LISTING_PHRASES = ["press release", "news release", "statement", "newsroom"]
 ODD_TITLES = [r"\bnewsletter\b", r"\bweek in review\b", r"\bweekly (update|roundup|recap)\b", r"\bpodcast\b", r"^\s*episode [0-9]+", r"\bin the news\b"]
 
-#: A sitemap's index is followed this deep, and this many of its children are read.
-SITEMAP_DEPTH, SITEMAP_CHILDREN = 3, 30
+#: A sitemap's index is followed this deep.
+SITEMAP_DEPTH = 3
 
 
 def n_matches(text: Column, pattern: str) -> Column:
@@ -118,9 +118,9 @@ def titles_homogeneous(titles: DataFrame) -> DataFrame:
     return titles.groupBy("feed_id").agg((~F.coalesce(F.bool_or(odd), F.lit(False)) & (F.coalesce(F.avg(F.length("title")), F.lit(0.0)) >= 15)).alias("homogeneous"))
 
 
-def sitemap_urls(maps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, url, lastmod) of the addresses that sitemaps list; an index (``<sitemapindex``) stands for the first
-    SITEMAP_CHILDREN of its children, as far as they end in .xml and are among ``maps``, to SITEMAP_DEPTH.
+def sitemap_urls(maps: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, url, lastmod) of the addresses that sitemaps list; an index (``<sitemapindex``) stands for its children (the first
+    ``most`` of them, if given; a crawler is polite with 30), as far as they end in .xml and are among ``maps``, to SITEMAP_DEPTH.
 
     maps: map_url, xml. roots: map_url. Each level is one join by address, so the number of sitemaps is not bounded.
     """
@@ -133,7 +133,8 @@ def sitemap_urls(maps: DataFrame, roots: DataFrame) -> DataFrame:
         urls = urls.select("root", F.trim(F.regexp_extract("b", r"<loc>([^<]+)</loc>", 1)).alias("url"), F.nullif(F.regexp_extract("b", r"<lastmod>([^<]+)</lastmod>", 1), F.lit("")).alias("lastmod")).where("url <> ''")
         found = urls if found is None else found.unionByName(urls)
         if depth < SITEMAP_DEPTH:
-            children = F.slice(F.regexp_extract_all("xml", F.lit(r"<loc>([^<]+)</loc>"), 1), 1, SITEMAP_CHILDREN)
+            children = F.regexp_extract_all("xml", F.lit(r"<loc>([^<]+)</loc>"), 1)
+            children = F.slice(children, 1, most) if most is not None else children
             level = at.where("is_index").select("root", F.explode(children).alias("map_url")).where(F.col("map_url").endswith(".xml"))
     return found
 

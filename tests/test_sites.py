@@ -125,3 +125,12 @@ def test_skipped_sections_and_labels_follow_the_whole_lists(spark):
     assert sorted(r.section for r in found.collect()) == sorted(kept)
     for label, want in [("Blog", "blog"), ("Blog: in the news", None), ("ICYMI podcast", None), ("Share your opinion blog", None), ("Press clips newsletter", None), ("Casework", None), ("Op-Eds", "op_ed")]:
         assert one(spark, recon.stream_of_label(F.col("label")), label=label) == want, label
+
+
+def test_sitemap_index_is_read_whole(spark):
+    leaf = lambda i: (f"s{i}.xml", f"<urlset><url><loc>https://h/{i}</loc></url></urlset>")
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>s{i}.xml</loc></sitemap>" for i in range(40)) + "</sitemapindex>"
+    maps = spark.createDataFrame([("i.xml", index), *map(leaf, range(40))], "map_url string, xml string")
+    roots = spark.createDataFrame([("i.xml",)], "map_url string")
+    assert {r.url for r in sites.sitemap_urls(maps, roots).collect()} == {f"https://h/{i}" for i in range(40)}
+    assert {r.url for r in sites.sitemap_urls(maps, roots, 30).collect()} == {f"https://h/{i}" for i in range(30)}
