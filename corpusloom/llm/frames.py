@@ -13,7 +13,10 @@ A reader takes the footer, the table, and then only the frames of the documents
 CRC-32 before use.
 
 Documents are dealt out by ranges of doc_id and sorted within them, so that shard k holds smaller ids than shard k + 1 and
-``start`` is a count within the shard plus the totals of the shards before. Only one total for each shard reaches the driver.
+``start`` is a count within the shard plus the totals of the shards before, a running sum over one row for each shard.
+
+The ids are the tokenizers library's for every text. For the vocabulary whose normaliser and word pattern are FOLDING, chunks of text
+are encoded once and remembered; with any other vocabulary each text goes through the library whole.
 
 Cases: null and empty texts have just the end id; rows with a null doc_id come first (Spark sorts nulls first); repeated
 doc_ids keep one entry for each row, in the order of their texts; an empty table gives no shard and no rows; other columns
@@ -22,6 +25,7 @@ are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, table, take, vocabulary, written
@@ -46,7 +50,11 @@ SHARD_CHARS = 64 << 20
 REMEMBERED = 300_000
 #: Bytes of text that are encoded together.
 GATHERED = 12 << 20
-ODD = r"[^\x00-\x{24f}]|<\|"
+#: Texts with one of these stay as they are. Of the characters up to U+024F only U+0130 has a lower case that is no letter (it ends in a
+#: combining dot), none composes with another and none is changed by NFC; "<|" may begin a special token.
+ODD = r"[^\x00-\x{24f}]|\x{130}|<\|"
+# The normaliser's steps and the word pattern under which a text's ids are those of its chunks, folded as below.
+FOLDING = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 MAGIC, SKIPPABLE = b"LOOMSEEK", 0x184D2A5E
 FRAME = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("crc", "<u4")])
@@ -54,6 +62,15 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "
 FOOTER = struct.Struct("<II8s")
 
 
+def folds(path: str) -> bool:
+    """Whether the vocabulary's normaliser and word pattern are those of FOLDING."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    steps = [s.get("type") for s in (j.get("normalizer") or {}).get("normalizers", [])]
+    split = next((p["pattern"].get("Regex") for p in (j.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split"), None)
+    return (steps, split) == FOLDING
+
+
 class Chunks(dict):
     """Chunk of text between white space -> its ids by the tokenizers library. The vocabulary's pattern never crosses white
     space, so a text's ids are those of its chunks in turn. New chunks go through the library together, parted by one of its
@@ -64,12 +81,14 @@ class Chunks(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
+        self.folds = folds(path)
         self.older: dict[str, bytes] = {}
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.sep_id, self.sep = next((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
-        self.odd = self.sep[0]
+        if self.folds:
+            self.sep_id, self.sep = next((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
+            self.odd = self.sep[0]
 
     def learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if self.odd not in c]
@@ -106,16 +125,19 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     Fewer different chunks remain where ASCII letters are put in lower case and marks between a letter and white space are
     parted from the word, as the vocabulary does both itself; texts with ODD characters stay as they are, since there a lower
     case letter could compose with what follows, or a special token arise."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts, end = pc.fill_null(texts.cast(pa.large_string()), ""), struct.pack("<I", end_id)
+    chunks = chunks_of(path)
+    if not chunks.folds:
+        return [np.array(e.ids, "<u4").tobytes() + end for e in chunks.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
     parted = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\p{L})([.,;:!?|*#$%&]+)(\s)", r"\1 \2\3")
     parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, ODD), texts, parted))
     coded = parts.flatten().dictionary_encode()
-    ids = pa.array(chunks_of(path).all(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    ids = pa.array(chunks.all(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
     _, ends, data = ids.buffers()
     bounds = np.frombuffer(ends, "<i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "<i8")
     offsets = parts.offsets.to_numpy()
     at = bounds[offsets - offsets[0]].tolist()
-    view, end = memoryview(data if data is not None else b""), struct.pack("<I", end_id)
+    view = memoryview(data if data is not None else b"")
     return [view[a:b].tobytes() + end for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -236,11 +258,8 @@ def write_token_shards(docs: DataFrame, folder: str, path: str | None = None, en
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: ``start`` counts the ids of all documents before."""
-    spark = shards.sparkSession
-    # One row a shard: the number of shards is bounded by the size of the corpus over SHARD_CHARS.
-    rows = sorted((r for r in shards.collect() if r.n_docs), key=lambda r: r.shard)
-    starts = np.concatenate([[0], np.cumsum([r.n_ids for r in rows], dtype=np.int64)])
-    listed = spark.createDataFrame([(int(s), r.uri) for s, r in zip(starts, rows, strict=False)], "start long, uri string")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each SHARD_CHARS of the corpus
+    listed = shards.where("n_docs > 0").select(F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"), "uri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,7 +273,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                         part = shard.docs[k : k + 4096]
                         yield pa.record_batch([pa.array(part["doc_id"].astype(np.int64), mask=part["null"].astype(bool)), pa.array(first[k : k + 4096]), pa.array(n[k : k + 4096]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.repartition(max(1, len(rows)), "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, shards.count()), "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(shards: DataFrame, wanted: DataFrame) -> DataFrame:
