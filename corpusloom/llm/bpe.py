@@ -150,6 +150,29 @@ class Words(dict):
         return out
 
 
+class Counts(dict):
+    """word -> number of its ids."""
+
+    def __init__(self, auto: Automaton):
+        super().__init__()
+        self.auto, self.older = auto, {}
+
+    def __missing__(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            n = len(self.auto.encode_word(word.encode("utf-8")))
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = n
+        return n
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counts:
+    return Counts(automaton(path))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     auto = automaton(path)
@@ -168,6 +191,15 @@ def pieces(text: str, path: str) -> list[tuple[str, bytes]]:
     return out
 
 
+def count(text: str, path: str) -> int:
+    """Number of a text's ids, without the ids."""
+    auto, _, split, special = encoder(path)
+    of = counter(path).__getitem__
+    if special is None or not any(s in text for s in auto.special):
+        return sum(map(of, split(text)))
+    return sum(1 if k % 2 else sum(map(of, split(part))) for k, part in enumerate(special.split(text)))
+
+
 def encode(text: str | None, path: str) -> list[int]:
     return [int(i) for p in pieces(text or "", path) for i in p[0].split(",")]
 
@@ -202,9 +234,21 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return small_batches(d).mapInArrow(run, f"doc_id {d.schema[0].dataType.simpleString()}, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None, lengths_only: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of each row."""
+    path = path or vocabulary("byte_bpe_50k.json")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([count(t or "", path) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
+
+    d = take(docs, "doc_id", "text")
+    return small_batches(d).mapInArrow(run, f"doc_id {d.schema[0].dataType.simpleString()}, n_tokens long")
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids of each text and what they decode to, as digests, so that
-    neither leaves its task. ``lengths_only`` leaves the digests null."""
+    neither leaves its task."""
     path = path or vocabulary("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +258,6 @@ def digests(docs: DataFrame, path: str | None = None, lengths_only: bool = False
                 found = pieces(t or "", path)
                 ids = ",".join([p[0] for p in found])
                 n.append(ids.count(",") + 1 if ids else 0)
-                if lengths_only:
-                    ids_sha.append(None)
-                    text_sha.append(None)
-                    continue
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text = b"".join([p[1] for p in found]).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(text.encode("utf-8")).hexdigest())

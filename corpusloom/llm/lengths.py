@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import digests
+from .bpe import token_counts
 from .common import table, written
 
 #: Lengths in one block of the suffix sums.
@@ -24,7 +24,7 @@ BLOCK = 256
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(n_tokens, n_docs) with one row for each encoded length that occurs. Written, as the totals read it more than once."""
-    return written(digests(docs, path, lengths_only=True).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-histogram")
+    return written(token_counts(docs, path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-histogram")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
