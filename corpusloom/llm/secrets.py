@@ -1,12 +1,13 @@
 """Secret scans with a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams is derived: the conditions that any text holding a match must
-meet. A block of documents gets postings for the trigrams that occur in some query (a bitmap of the block's rows for each), the
-queries are evaluated on bitmaps (AND intersects, OR unites), and only the candidate rows are searched with the expression.
-Rules for which no trigram is mandatory search every row.
+meet. One pass over a block of documents, whatever the number of rules, makes postings: for each trigram of the queries the
+ascending rows that have it. A query intersects (AND) and unites (OR) postings, and only the candidate rows are searched with
+the expression. Rules for which no trigram is mandatory search every row.
 
-Blocks are Arrow batches, so the index is built where the texts are: no text and no posting is shuffled, and memory is bounded
-by a block. Matching folds ASCII letters to lower case in the index, which only widens the candidates.
+A scan keeps postings where the texts are, a block of a partition at a time (BLOCK_BYTES of text), so neither is shuffled and
+memory is bounded by a block. ``trigram_index`` makes the same postings as a table, to be written once and asked by later
+rules (``candidates_in``). Matching folds ASCII letters to lower case in the index, which only widens the candidates.
 
 Cases: null and empty texts have no spans; every row is judged alone, so repeated rows and null ids change nothing; very long
 texts are searched whole, and each expression takes time linear in the text; an empty table gives no rows; other columns are
@@ -21,10 +22,13 @@ import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, table, take
 
@@ -38,6 +42,8 @@ MANDATORY = 3
 COMMON = "etaonihsrdlu"
 #: Most strings that an exact set may hold before it is turned into trigrams.
 EXACT = 64
+#: Bytes of text in one block of postings, at about most (one text alone may have more).
+BLOCK_BYTES = 4 << 20
 
 
 def both(a: Query, b: Query) -> Query:
@@ -180,7 +186,7 @@ ADDED = [
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
     Rule("github", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("stripe", r"\b[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"\bAIza[A-Za-z0-9_-]{35}"),
     Rule("bearer", r"\b[Aa]uthorization: ?[Bb]earer [A-Za-z0-9._~+/-]{16,}"),
@@ -189,35 +195,42 @@ ADDED = [
 RULES = BASE + ADDED
 
 
-class Index:
-    """Postings of one block: for each trigram of the queries, a bitmap of the rows whose text has it."""
-
-    def __init__(self, texts: list[str], trigrams: list[str]):
-        self.rows = (1 << len(texts)) - 1
-        self.postings = dict.fromkeys(trigrams, 0)
-        for i, t in enumerate(texts):
-            low, bit = fold(t), 1 << i
-            for g in trigrams:
-                if g in low:
-                    self.postings[g] |= bit
-
-    def rows_for(self, q: Query) -> int:
-        if q is True:
-            return self.rows
-        if isinstance(q, str):
-            return self.postings[q]
-        out = self.rows if q[0] == "and" else 0
-        for part in q[1]:
-            out = out & self.rows_for(part) if q[0] == "and" else out | self.rows_for(part)
-        return out
-
-
-FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def fold(t: str) -> str:
-    """ASCII letters in lower case; other characters stay, so that places stay."""
-    return t.lower() if t.isascii() else t.translate(FOLD)
+class Lookup:
+    """Trigrams by the number of their three bytes."""
+
+    def __init__(self, trigrams: list[str]):
+        self.trigrams = trigrams
+        self.place = np.zeros(1 << 24, np.uint16)  # 0: no trigram of any query
+        for i, g in enumerate(trigrams):
+            a, b, c = g.encode("utf-8")[:3]  # of a longer one the first three bytes are mandatory as well
+            self.place[a << 16 | b << 8 | c] = i + 1
+
+    def postings(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        """trigram -> the ascending rows whose text has it, for texts in lower case."""
+        gap = b"\xff\xff"  # never part of UTF-8, so no trigram reaches from text to text
+        codes = np.frombuffer(gap.join(texts) + gap, np.uint8)
+        ends = np.cumsum([len(t) + 2 for t in texts])
+        three = codes[:-2].astype(np.uint32)
+        for part in (codes[1:-1], codes[2:]):
+            three <<= 8
+            three |= part
+        found = self.place[three]
+        at = np.flatnonzero(found)
+        row = np.searchsorted(ends, at, "right")
+        pairs = np.unique(found[at].astype(np.int64) * len(texts) + row)
+        marks, rows = pairs // len(texts), pairs % len(texts)
+        bounds = np.searchsorted(marks, np.arange(1, len(self.trigrams) + 2))
+        return {g: rows[a:b] for g, a, b in zip(self.trigrams, bounds, bounds[1:], strict=False)}
+
+
+def rows_for(q: Query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
+    """The rows of a block of n texts that meet a query."""
+    if q is True:
+        return np.arange(n)
+    if isinstance(q, str):
+        return postings[q]
+    parts = [rows_for(p, postings, n) for p in q[1]]
+    return reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True) if q[0] == "and" else np.union1d(a, b), parts)
 
 
 @lru_cache(maxsize=1)
@@ -227,39 +240,79 @@ def compiled():
         q = trigram_query(r.pattern)
         fast = r"[0-9a-f]{24,}" if r.kind == "hex" else r.pattern  # a run shorter than 24 fails wherever it is entered
         out.append((order, r.kind, re.compile(fast, re.ASCII), q, r.accept))
-    return out, sorted(set().union(*[trigrams_in(x[3]) for x in out]))
+    return out, Lookup(sorted(set().union(*[trigrams_in(x[3]) for x in out])))
 
 
 def block_spans(texts: list[str]) -> list[list[tuple[int, int, str, int]]]:
     """For each text of a block its spans (start, order of the kind, kind, end), sorted."""
-    rules, trigrams = compiled()
-    index = Index(texts, trigrams)
+    rules, lookup = compiled()
+    postings = lookup.postings([t.encode("utf-8").lower() for t in texts])
     found: list[list] = [[] for _ in texts]
     for order, kind, pattern, q, accept in rules:
-        rows = index.rows_for(q)
-        while rows:
-            low = rows & -rows
-            i = low.bit_length() - 1
-            rows ^= low
+        for i in rows_for(q, postings, len(texts)).tolist():
             found[i] += [(m.start(), order, kind, m.end()) for m in pattern.finditer(texts[i]) if accept is None or accept(m)]
     for f in found:
         f.sort()
     return found
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of consecutive rows with about BLOCK_BYTES of text."""
+    ids, texts, n = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t or "")
+            n += len(texts[-1])
+            if n >= BLOCK_BYTES:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(trigram, id): the documents whose text in lower case has each of the trigrams; one row for each, made block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(trigrams)
+        for ids, texts in blocks(batches):
+            for g, rows in lookup.postings([t.encode("utf-8").lower() for t in texts]).items():
+                yield pa.record_batch([pa.array([g] * len(rows), pa.string()), pa.array([ids[i] for i in rows.tolist()], pa.int64())], ["trigram", "id"])
+
+    d = take(docs, id_col, text_col).toDF("id", "text").where("id is not null")
+    return small_batches(d).select(F.col("id").cast("long"), "text").mapInArrow(run, "trigram string, id long").distinct()
+
+
+def candidates_in(index: DataFrame, pattern: str) -> DataFrame | None:
+    """(id) of the indexed documents that may match an expression; None if no trigram is mandatory, so that all must be searched."""
+    q = trigram_query(pattern)
+    if q is True:
+        return None
+    asked = sorted(trigrams_in(q))
+
+    def meets(part: Query) -> Column:
+        if isinstance(part, str):
+            return F.array_contains("found", part)
+        return reduce(lambda a, b: a & b if part[0] == "and" else a | b, [meets(p) for p in part[1]])
+
+    return index.where(F.col("trigram").isin(asked)).groupBy("id").agg(F.collect_set("trigram").alias("found")).where(meets(q)).select("id")
+
+
 def joined(spans: list[tuple[int, int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) of each row; places in code points, ``end`` exclusive."""
+    d = take(docs, id_col, text_col).toDF("doc_id", "text")
+    id_type = to_arrow_type(d.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for s, _, k, e in f] for f in block_spans([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.record_batch([b.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
+        for ids, texts in blocks(batches):
+            spans = [[{"kind": k, "start": s, "end": e} for s, _, k, e in f] for f in block_spans(texts)]
+            yield pa.record_batch([pa.array(ids, id_type), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
 
-    d = take(docs, id_col, text_col).toDF("doc_id", "text")
     return small_batches(d).mapInArrow(run, f"doc_id {d.schema[0].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
 
 
