@@ -5,18 +5,19 @@ long groups of digits with separators, account numbers. Each candidate gets feat
 groups) and of its context (characters beside it, telling words before it). Boosted trees, trained here by
 Spark's GBTClassifier on a bounded sample, score them; the score's threshold is calibrated on held-out candidates so that at
 least PRECISION of what lies above it is personal data. Candidates that pass are added to the spans of the base rules, which
-always stay; those that overlap a base span add nothing.
+always stay. A candidate that overlaps a base span adds nothing, unless it is of a CONTAINER kind and holds that span and more
+(an account number whose digits alone look like a card). Where accepted candidates overlap, the kind that says most wins, then the score.
 
 Training labels are weak. Positive are loose forms of base spans, in the place where the span was found (an address spelt out, a
 phone number without its +, a card regrouped), numbers generated for that place (social security, IBAN, IPv6), and candidates of the text that
-hold a strict format. Negative are the text's other candidates, except those that overlap a base span (no such one is ever scored), and
+hold a strict format. Negative are the text's other candidates that the base rules leave to the trees (others are never scored), and
 DECOYS put between its words: dates, times, counts, part numbers, prose with "at" and "dot". The facts that make a label (check sums,
 valid ranges, a leading +, @domain) are no features, so format and context decide. The sample: the candidates of about SAMPLE_DOCS
 documents, chosen by a hash of doc_id, and of these at most SAMPLE_CANDIDATES; all forms of a value go to one side of the held-out split.
 The fitted trees are flat arrays in the tasks' closure, so texts are read once and nothing is shuffled.
 
 Cases: null and empty texts have no spans; rows are judged one by one, so repeated rows and null ids change nothing; very long
-texts are searched whole in linear time; with no sample of both classes (or an empty table) only the base rules act; other columns are
+texts are searched whole, in time linear in the text (n log n in its spans); with no sample of both classes (or an empty table) only the base rules act; other columns are
 left out.
 """
 
@@ -26,6 +27,7 @@ import hashlib
 import ipaddress
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 ADDED_KINDS = ["address", "ipv6", "iban", "ssn", "number"]
 KINDS = BASE_KINDS + ADDED_KINDS
 ORDER = {k: i for i, k in enumerate(KINDS)}
+#: Kinds that may hold spans of the base rules; they also win over the kinds of any number or address.
+CONTAINERS = {"ipv6", "iban", "ssn"}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -174,8 +178,30 @@ def features(t: str, start: int, end: int, kind: str) -> list[float]:
     ]
 
 
-def overlaps(start: int, end: int, spans: list[Span]) -> bool:
-    return any(a < end and start < b for a, _, _, b in spans)
+class Covered:
+    """Sorted spans, asked by bisection what they cover."""
+
+    def __init__(self, spans: list[Span]):
+        self.whole = {(a, b) for a, _, _, b in spans}
+        self.starts = [s[0] for s in spans]
+        self.ends: list[int] = []  # of each span and those before it, the largest end
+        for _, _, _, b in spans:
+            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def crosses(self, at: int) -> bool:
+        """Whether a span begins before ``at`` and ends after it."""
+        k = bisect_left(self.starts, at)
+        return k > 0 and self.ends[k - 1] > at
+
+    def leaves(self, start: int, end: int, kind: str) -> bool:
+        """Whether a candidate is left to the trees by the base rules."""
+        if not self.overlaps(start, end):
+            return True
+        return kind in CONTAINERS and (start, end) not in self.whole and not self.crosses(start) and not self.crosses(end)
 
 
 # ---------------------------------------------------------------- weak labels
@@ -240,29 +266,28 @@ def planted(before: str, s: str, after: str, y: int, key: int) -> Iterator[tuple
     """The candidates at ``s`` between the two texts, as far as the base rules leave them to the trees."""
     before, after = before[-AROUND:], after[:AROUND]
     t, start, end = before + s + after, len(before), len(before) + len(s)
-    base = base_spans(t)
+    covered = Covered(base_spans(t))
     for a, e, kind in candidates(t):
-        if a < end and start < e and not overlaps(a, e, base) and (not y or 2 * (min(e, end) - max(a, start)) >= max(e - a, end - start)):
+        if a < end and start < e and covered.leaves(a, e, kind) and (not y or 2 * (min(e, end) - max(a, start)) >= max(e - a, end - start)):
             yield features(t, a, e, kind), y, key
 
 
 def examples(t: str) -> Iterator[tuple[list[float], int, int]]:
     """(features, label, key) of a text's candidates and of the forms planted in it. Equal values have equal keys."""
     base = base_spans(t)
+    covered = Covered(base)
     for a, e, kind in candidates(t):
-        if not overlaps(a, e, base):
+        if covered.leaves(a, e, kind):
             yield features(t, a, e, kind), int(strict(kind, t[a:e])), key_of(t[a:e])
-    if not base:
-        return
-    words = [w for w in re.findall(r"[A-Za-z]+", t[: AROUND * 50]) if len(w) > 1] or ["word"]
     for a, _, kind, e in base:
+        words = [w for w in re.findall(r"[A-Za-z]+", t[max(0, a - AROUND * 10) : e + AROUND * 10]) if len(w) > 1] or ["word"]
         key = key_of(t[a:e])
         rng = random.Random(key)
         for s in loose_forms(kind, t[a:e], rng) + generated(words, rng):
             yield from planted(t[max(0, a - AROUND) : a], s, t[e : e + AROUND], 1, key)
         for s in decoys(words, rng):
             at = t.find(" ", rng.randrange(len(t)))
-            if at >= 0 and not overlaps(at - AROUND, at + AROUND, base):
+            if at >= 0 and not covered.overlaps(at - AROUND, at + AROUND):
                 yield from planted(t[max(0, at - AROUND) : at + 1], s, t[at : at + AROUND], 0, key)
 
 
@@ -350,14 +375,19 @@ def spans_of(t: str | None, model: Model | None) -> list[Span]:
     base = base_spans(t)
     if model is None:
         return base
-    left = [c for c in candidates(t) if not overlaps(c[0], c[1], base)]
+    covered = Covered(base)
+    left = [c for c in candidates(t) if covered.leaves(*c)]
     if not left:
         return base
-    margins = model.margins(np.array([features(t, *c) for c in left]))
+    margins = model.margins(np.array([features(t, *c) for c in left])).tolist()
+    passed = [(kind not in CONTAINERS, -m, a, e, kind) for m, (a, e, kind) in zip(margins, left, strict=True) if m >= model.threshold]
+    starts: list[int] = []
     chosen: list[Span] = []
-    for m, (a, e, kind) in sorted(zip(margins.tolist(), left, strict=True), key=lambda x: (-x[0], x[1])):
-        if m >= model.threshold and not overlaps(a, e, chosen):
-            chosen.append((a, ORDER[kind], kind, e))
+    for _, _, a, e, kind in sorted(passed):
+        k = bisect_left(starts, e)
+        if not k or chosen[k - 1][3] <= a:
+            starts.insert(k, a)
+            chosen.insert(k, (a, ORDER[kind], kind, e))
     return sorted(base + chosen)
 
 
