@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,25 +43,90 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(have))]).select(*[F.col(f"c{i}").alias(n) for n, i in place.items()])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor see: below ``spark.checkpoint.dir``, or a temporary one where that
-    is unset (tests on one machine)."""
+#: Folders that this process made below the shared folder; what is left of them goes when it ends.
+SCRATCH: dict[str, SparkSession] = {}
+
+
+def checkpoint_base(spark: SparkSession) -> str:
+    """The shared folder: ``spark.checkpoint.dir``, else the context's checkpoint folder. A folder of this machine stands in only
+    where the master is local (tests); elsewhere executors and driver would not see the same files, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if base:
+        return base.rstrip("/")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
+    base = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends here, so a lost executor repeats little."""
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and every executor see. It lasts until ``discard`` or the end of this process."""
+    path = f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    SCRATCH[path] = spark
+    return path
+
+
+def discard(*paths: str | None) -> None:
+    """Delete folders of ``shared_dir`` whose rows nothing reads any more."""
+    for path in paths:
+        spark = SCRATCH.pop(path, None) if path else None
+        if spark is not None:
+            with suppress(Exception):  # a folder that can't be deleted must not fail the job
+                jvm = spark._jvm
+                to = jvm.org.apache.hadoop.fs.Path(path)
+                to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(to, True)
+
+
+@atexit.register
+def discard_all() -> None:
+    discard(*SCRATCH)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` and the folder, for ``discard``."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends here, so a lost executor repeats little."""
+    return written_at(df, name)[0]
+
+
+#: A key is hot if more than this share of the rows have it, so there are at most 1 / HOT_SHARE hot keys in any table.
+HOT_SHARE = 1 / 256
+#: Parts that a hot key's rows are dealt to.
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> list:
+    """The keys of ``counts`` (one row for each, with its number of rows ``n``) that hold more than HOT_SHARE of all rows: 255
+    at most, by the pigeonhole principle."""
+    if total is None:
+        total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > F.lit(total * HOT_SHARE)).select(key).collect()]
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has each key once. Rows of a ``hot`` key are dealt to SALTS parts, and only the row of
+    ``one`` with such a key is repeated, so no task gets all rows of a frequent key."""
+    if not hot:
+        return rows.join(one, key, how)
+    is_hot = F.col(key).isin(hot)
+    by = F.xxhash64(*[c for c in rows.columns if c != key])
+    rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0))
+    one = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.join(one, [key, "_salt"], how).drop("_salt")
 
 
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Have Python workers get this session's rows in small batches; texts may be long."""
+    """Have Python workers get rows in small batches; texts may be long. Spark has this setting for a session only, so later
+    queries of the session get small batches too; their results are the same."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,8 +14,10 @@ part of a set never has to be seen again. Two registers agree with a probability
    only the links that join what it has not joined, so no pairs of a group are written out.
 5. Links are contracted to components by alternating large-star and small-star steps on written tables.
 
-With BANDS[threshold] a linked pair shares no band with a probability of about 1e-8; everything after that is exact, without
-caps on buckets or partners. Joins that meet a frequent key are plain sort-merge joins of shuffled tables, which Spark splits.
+With BANDS[threshold] a linked pair shares no band with a probability of about 1e-8. A pair is left out by its registers (step 3)
+only where its likelihood within the threshold is smaller by a factor of e^OUT_OF_REACH, or more than a quarter of all registers
+beyond the expected share differ; what remains is verified exactly. There are no caps on buckets or partners. Rows of a frequent
+band, leader, digest or node are dealt to several tasks (``salted_join``).
 
 Cases: documents without words or with null text have an empty set and are linked with nothing; texts with fewer words than a
 shingle are one shingle of all of them; rows with a null doc_id take no part and are kept; rows that share a doc_id are one
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, small_batches, table, take, written
+from .common import discard, grouped, hot_keys, salted_join, small_batches, table, take, written, written_at
 
 REGISTERS, BASE = 160, 1.02
 #: Threshold in percent -> (bands, registers of a band).
@@ -167,11 +169,14 @@ def band_rows(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("node", "sketch").mapInArrow(run, "band long, node long")
 
 
-def stars(classes: DataFrame, percent: int) -> DataFrame:
-    """(leader, node, n, near): every other member of a bucket with the bucket's leader; ``near``: the threshold is in reach."""
+def stars(classes: DataFrame, percent: int) -> tuple[DataFrame, list[int]]:
+    """(leader, node, n, near): every other member of a bucket with the bucket's leader; ``near``: the threshold is in reach. And the
+    leaders with very many members."""
     rows = band_rows(classes, percent)
-    buckets = written(rows.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "leader"), "buckets")
-    star = rows.join(buckets, "band").where("node <> leader").select("leader", "node").distinct()
+    buckets, buckets_at = written_at(rows.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    star = salted_join(rows, buckets.select("band", "leader"), "band", hot_keys(buckets, "band", "c")).where("node <> leader").select("leader", "node").distinct()
+    star, star_at = written_at(star, "star-members")
+    hot = hot_keys(star.groupBy("leader").agg(F.count(F.lit(1)).alias("c")), "leader", "c")
     own = classes.select("node", "n", "sketch")
     led = classes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("sketch").alias("leader_sketch"))
 
@@ -183,8 +188,10 @@ def stars(classes: DataFrame, percent: int) -> DataFrame:
             near &= in_reach(n, m, (a > c).sum(1), (a < c).sum(1), percent)
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(near)], ["leader", "node", "n", "near"])
 
-    both = star.join(own, "node").join(led, "leader").select("leader", "node", "n", "sketch", "leader_n", "leader_sketch")
-    return both.mapInArrow(run, "leader long, node long, n long, near boolean")
+    both = salted_join(star.join(own, "node"), led, "leader", hot).select("leader", "node", "n", "sketch", "leader_n", "leader_sketch")
+    out = written(both.mapInArrow(run, "leader long, node long, n long, near boolean"), "stars")
+    discard(buckets_at, star_at)
+    return out, hot
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -216,16 +223,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return d.mapInArrow(run, "node long, n long, sketch binary, items array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: list[int]) -> DataFrame:
     """(leader, node, linked) of the pairs, by their full sets."""
     led = sets.select(F.col("node").alias("leader"), F.col("items").alias("leader_items"))
     common = F.size(F.array_intersect("items", "leader_items")).cast("long")
     union = F.size("items") + F.size("leader_items") - common
-    both = pairs.select("leader", "node").join(sets.select("node", "items"), "node").join(led, "leader")
+    both = salted_join(pairs.select("leader", "node").join(sets.select("node", "items"), "node"), led, "leader", hot)
     return both.select("leader", "node", (common * 100 >= union * percent).alias("linked"))
 
 
-def stray_blocks(marked: DataFrame) -> DataFrame:
+def stray_blocks(marked: DataFrame, hot: list[int]) -> DataFrame:
     """(leader, a, kind, b, node, side): the blocks of each star with strays, as pairs of blocks. kind 0: strays a with strays
     b; kind 1: strays a with linked members b. ``side`` says which of the two the node is in (2: both)."""
     count = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
@@ -237,7 +244,7 @@ def stray_blocks(marked: DataFrame) -> DataFrame:
         count(F.sum((~stray).cast("long")), F.sum(F.when(stray, 0).otherwise(F.col("n")))).alias("cb"),
     )
     size = written(size.where("c > 1 and strays > 0").select("leader", "sb", "cb"), "star-sizes")
-    m = marked.join(size, "leader")
+    m = salted_join(marked, size, "leader", hot)
     i = F.pmod(F.xxhash64("node"), F.when(stray, F.col("sb")).otherwise(F.col("cb"))).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     part = lambda a, kind, b, side: F.struct(a.alias("a"), F.lit(kind).alias("kind"), b.alias("b"), side.cast("int").alias("side"))
@@ -309,48 +316,58 @@ def stray_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "a long, b long")
 
 
+def smallest_neighbours(pairs: DataFrame, name: str) -> tuple[DataFrame, list[int], str]:
+    """(u, m): the smallest v of each u; the u with very many rows; the folder."""
+    low, at = written_at(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), name)
+    return low.select("u", "m"), hot_keys(low, "u", "c"), at
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): every node that has a link, with the smallest node of its component."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges, edges_at = written_at(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state:
+        if not now.n or (now.n, now.h) == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = (now.n, now.h)
         # Large star: each node sends its larger neighbours to the smallest of all its neighbours and itself.
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.repartition(edges.sparkSession.sparkContext.defaultParallelism).select("u", F.least("u", "m").alias("m"))
-        large = pairs.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
+        low, hot, low_at = smallest_neighbours(pairs, "large-low")
+        large = salted_join(pairs, low.select("u", F.least("u", "m").alias("m")), "u", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, large_at = written_at(large, "large-star")
+        discard(edges_at, low_at)
         # Small star: each node sends its smaller neighbours and itself to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition(edges.sparkSession.sparkContext.defaultParallelism)
-        near = large.join(low, "u")
+        low, hot, low_at = smallest_neighbours(large, "small-low")
+        near = salted_join(large, low, "u", hot)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "small-star")
+        edges, edges_at = written_at(small.where("u <> v").distinct(), "small-star")
+        discard(large_at, low_at)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row: the size of its set, the smallest doc_id that links of ``percent``
     or more reach, and whether that is its own."""
     feats = written(features(docs, k), "shingle-features")
-    classes = written(
-        feats.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-classes"
-    )
-    star = written(stars(classes, percent), "stars")
+    some = feats.where("n > 0 and doc_id is not null")
+    classes, classes_at = written_at(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "shingle-classes")
+    star, hot = stars(classes, percent)
     big = star.groupBy("leader").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("leader")
     near = star.where("near")
-    wanted = near.select("node").unionByName(near.select(F.col("leader").alias("node"))).unionByName(star.join(big.repartition(docs.sparkSession.sparkContext.defaultParallelism), "leader").select("node")).distinct()
-    sets = written(full_sets(docs, wanted, k), "shingle-sets")
-    seen = written(verified(near, sets, percent).groupBy("leader", "node").agg(F.max("linked").alias("linked")), "star-links")
-    marked = star.join(seen, ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    more = stray_links(stray_blocks(written(marked, "marked-stars")), sets, percent)
+    wanted = near.select("node").unionByName(near.select(F.col("leader").alias("node"))).unionByName(salted_join(star, big, "leader", hot).select("node")).distinct()
+    sets, sets_at = written_at(full_sets(docs, wanted, k), "shingle-sets")
+    seen, seen_at = written_at(verified(near, sets, percent, hot).groupBy("leader", "node").agg(F.max("linked").alias("linked")), "star-links")
+    marked, marked_at = written_at(star.join(seen, ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "marked-stars")
+    more = stray_links(stray_blocks(marked, hot), sets, percent)
     links = seen.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(more)
-    roots = classes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    out = feats.select("doc_id", "n", "digest").join(roots, "digest", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rooted = components(links)
+    discard(sets_at, seen_at, marked_at)
+    roots, roots_at = written_at(classes.select("digest", "node", "copies").join(rooted, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("root")), "class-roots")
+    discard(classes_at)
+    out = salted_join(some.select("digest", "doc_id", "n"), roots.select("digest", "root"), "digest", hot_keys(roots, "digest", "copies")).select("doc_id", "n", "root")
+    rest = feats.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("root"))
+    out = out.unionByName(rest)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
