@@ -1,20 +1,25 @@
 """Web archives: ARC files of either version, converted to WARC files, which are read back.
 
-``write_arcs`` makes ARC shards from a table of pages (versions 1 and 2 in turn), ``convert_arcs`` turns ARC shards into WARC
-shards, ``read_warcs`` reads WARC shards. All archives are gzip files with one member for each record.
+``write_arcs`` makes ARC shards from a table of pages (versions 1 and 2 in turn, two shards at least), ``convert_arcs`` turns ARC
+shards into WARC shards, ``read_warcs`` reads WARC shards. All archives are gzip files with one member for each record.
 
 An ARC file begins with a record whose body names the version and the fields of every header line; each later record is such
 a header line, as many bytes as its length field declares, and a line feed. The converter takes the fields by the names in
-that body, and from the right for the one field that may hold spaces (the address). It synthesises, for each record:
+that body, and from the right for the one field that may hold spaces (the address). Bytes that are no UTF-8 are read as Latin-1, and
+heads of responses may end their lines with LF alone. It synthesises, for each record:
 
 * WARC-Record-ID: a name-based UUID of the archive's name and the record's place in it, so a repeated run gives equal ids,
 * WARC-Date from the 14-digit date, WARC-Type by address and content (warcinfo for the file's own record, response for HTTP,
   resource for the rest), WARC-Payload-Digest and WARC-Block-Digest (SHA-256),
+* the fields that only version 2 has (result code, checksum, location) as WARC-X-ARC-... headers, unless they are "-",
 * revisit records: of records with equal payloads of at least MIN_REVISIT bytes, the one with the smallest key is the
   response and the others refer to it.
 
-Which record is a revisit is found over (archive, place, key, digest) rows only: payloads are never shuffled. The join by
-digest is an ordinary sort-merge join of two written tables, which Spark splits where one payload is very frequent.
+A record that can't be read (a header line of other fields, a length that is no number or runs past the end) is left out and
+counted in ``damaged``; reading goes on at the next line that looks like a header.
+
+Which record is a revisit is found over (archive, place, key, digest) rows only: payloads are never shuffled. Rows of a frequent
+payload are dealt to several tasks in the join by digest.
 
 Cases: null html gives an empty payload; a null url is written as ``unknown:``; blanks and control characters of a url are
 percent-encoded; a record with a null key is always a response; rows that repeat the smallest key are all responses; an
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, shared_dir, small_batches, table, take, written
+from .common import discard, grouped, hot_keys, salted_join, shared_dir, small_batches, table, take, written, written_at
 from .files import reading, writing
 
 #: About so many characters of pages make one archive.
@@ -51,6 +56,20 @@ ARC_FIELDS = {
 }
 KEY_FIELD = "X-Record-Key"
 REFERS_KEY_FIELD = "WARC-X-Refers-To-Key"
+LENGTH_FIELD = "WARC-X-Payload-Length"
+#: Fields of version 2 that become headers of the WARC record.
+KEPT_FIELDS = ["Result-code", "Checksum", "Location"]
+#: A line that looks like a record's header: an address, another field, a date, at last a length.
+HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:[^\r\n]* \S+ [0-9]{8,14} [^\r\n]*[0-9]+\r?\n")
+BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+
+
+def text_of(data: bytes) -> str:
+    """UTF-8, or Latin-1 where the bytes are none."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def member(data: bytes) -> bytes:
@@ -87,10 +106,10 @@ def http_block(key, payload: bytes) -> bytes:
 
 
 def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
-    """(uri, records) of the ARC shards. Odd shards have version 1, even ones version 2."""
+    """(uri, records) of the ARC shards. Shards 0, 2, ... have version 1, shards 1, 3, ... version 2."""
     p = take(pages, "page_id", "url", "html")
     chars = p.agg(F.sum(F.length("html"))).first()[0] or 0
-    n = max(1, -(-chars // SHARD_CHARS), min(-(-chars >> 20), 2 * p.sparkSession.sparkContext.defaultParallelism))
+    n = max(2, -(-chars // SHARD_CHARS), min(-(-chars >> 20), 2 * p.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,30 +130,43 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
     return written(small_batches(p).repartition(n, "page_id").mapInArrow(run, "uri string, records long"), "arcs")
 
 
-def parse_arc(f) -> Iterator[dict]:
-    """The records of one ARC stream: its fields by name, ``body``, and ``place`` (0 for the file's own record)."""
-    fields, place = ARC_FIELDS[1], 0
+def parse_arc(f, damaged: list[str] | None = None) -> Iterator[dict]:
+    """The records of one ARC stream: its fields by name, ``body``, and ``place`` (0 for the file's own record, then the count of
+    readable records). Why a record was left out is added to ``damaged``."""
+    fields, place, lost = ARC_FIELDS[1], 0, False
+    damaged = [] if damaged is None else damaged
     while True:
-        line = f.readline()
-        while line in (b"\n", b"\r\n"):
+        try:
             line = f.readline()
+        except (EOFError, OSError, zlib.error) as e:  # the archive itself is cut off or damaged
+            damaged.append(str(e))
+            return
         if not line:
             return
-        head = line.decode("utf-8").rstrip("\r\n")
-        if place == 0:
-            body = exactly(f, int(head.rsplit(" ", 1)[1]))
-            lines = body.decode("utf-8").split("\n")
-            version = int(lines[0].split(" ")[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
-            record = {"URL": head.split(" ")[0], "Archive-date": head.rsplit(" ", 3)[1], "Content-type": head.rsplit(" ", 2)[1], "version": version}
-            fields = lines[1].split() or ARC_FIELDS[version]
-        else:
-            values = head.rsplit(" ", len(fields) - 1)
-            if len(values) != len(fields):
-                raise ValueError(f"a header of {len(values)} fields where {len(fields)} are declared")
-            record = dict(zip(fields, values, strict=True))
+        if line in (b"\n", b"\r\n") or lost and not HEADER.fullmatch(line):
+            continue
+        lost = False
+        head = text_of(line).rstrip("\r\n")
+        names = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"] if place == 0 else fields
+        values = head.rsplit(" ", len(names) - 1)
+        record = dict(zip(names, values, strict=False))
+        if len(values) != len(names) or not record["Archive-length"].isdecimal() or not record["Archive-date"].isdecimal():
+            damaged.append(f"not a header of {len(names)} fields: {head[:200]}")
+            lost = True
+            continue
+        try:
             body = exactly(f, int(record["Archive-length"]))
+        except (EOFError, OSError, ValueError, zlib.error) as e:
+            damaged.append(f"{record['URL'][:200]}: {e}")
+            return
+        if place == 0 and record["URL"].startswith("filedesc:"):
+            lines = text_of(body).split("\n")
+            record["version"] = int(lines[0].split(" ")[0] or 0)
+            if record["version"] not in ARC_FIELDS:
+                raise ValueError(f"ARC version {record['version']}")
+            fields = lines[1].split() if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[record["version"]]
+        elif place == 0:
+            place = 1  # no record of its own: version 1
         yield record | {"body": body, "place": place}
         place += 1
 
@@ -143,13 +175,13 @@ def http_parts(body: bytes) -> tuple[bytes, bytes]:
     """(status line and headers with their blank line, payload); a body that isn't HTTP is all payload."""
     if not body.startswith(b"HTTP/"):
         return b"", body
-    head, blank, payload = body.partition(b"\r\n\r\n")
-    return head + blank, payload
+    m = BLANK_LINE.search(body)
+    return (body[: m.end()], body[m.end() :]) if m else (body, b"")
 
 
 def field(head: bytes, name: str) -> str | None:
     m = re.search(rb"(?im)^" + re.escape(name.encode()) + rb":[ \t]*([^\r\n]*)", head)
-    return m[1].decode("utf-8").strip() if m else None
+    return text_of(m[1]).strip() if m else None
 
 
 def record_id(name: str, place: int) -> str:
@@ -191,10 +223,9 @@ def spread(listed: DataFrame) -> DataFrame:
 def revisits(index: DataFrame) -> DataFrame:
     """(uri, place, refers_uri, refers_place, refers_key, refers_url) of the records that repeat another's payload."""
     long = index.where((F.col("n_bytes") >= MIN_REVISIT) & F.col("key").isNotNull())
-    first = long.groupBy("digest").agg(F.min(F.struct("key", "uri", "place", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = written(first.select("digest", "first"), "first-payloads")
+    first = written(long.groupBy("digest").agg(F.min(F.struct("key", "uri", "place", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-payloads")
     return (
-        long.join(first, "digest")
+        salted_join(long, first.select("digest", "first"), "digest", hot_keys(first, "digest", "n"))
         .where(F.col("key") != F.col("first.key"))
         .select("uri", "place", F.col("first.uri").alias("refers_uri"), F.col("first.place").alias("refers_place"), F.col("first.key").alias("refers_key"), F.col("first.url").alias("refers_url"))
     )
@@ -222,16 +253,17 @@ def as_warc(r: dict, name: str, refers: tuple | None) -> bytes:
     head, payload = http_parts(r["body"])
     kind = "revisit" if refers else "response" if head else "resource"
     block = head if refers else r["body"]
-    fields = [("WARC-Type", kind), *fields, ("WARC-Target-URI", r["URL"]), ("WARC-IP-Address", r["IP-address"]), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("Content-Type", "application/http; msgtype=response" if head else r["Content-type"])]
+    fields = [("WARC-Type", kind), *fields, ("WARC-Target-URI", r["URL"]), ("WARC-IP-Address", r.get("IP-address", "0.0.0.0")), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("Content-Type", "application/http; msgtype=response" if head else r["Content-type"])]
+    fields += [(f"WARC-X-ARC-{f}", r[f]) for f in KEPT_FIELDS if r.get(f, "-") != "-"]
     if refers:
         uri, place, key, url = refers
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(uri.rsplit("/", 1)[1], place)), ("WARC-Refers-To-Target-URI", url), (REFERS_KEY_FIELD, str(key))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(uri.rsplit("/", 1)[1], place)), ("WARC-Refers-To-Target-URI", url), (REFERS_KEY_FIELD, str(key)), (LENGTH_FIELD, str(len(payload)))]
     return warc_record(fields, block)
 
 
 def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
-    """Turn each ARC shard into a WARC shard. Returns (uri, records)."""
-    index = written(arc_index(arcs), "arc-index")
+    """Turn each ARC shard into a WARC shard. Returns (uri, records, damaged): how many records were written, and why others were not."""
+    index, index_at = written_at(arc_index(arcs), "arc-index")
     again = revisits(index)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("place", "int"), ("refers_uri", "string"), ("refers_place", "int"), ("refers_key", "long"), ("refers_url", "string"))]
     per_arc = again.unionByName(arcs.select("uri", *none)).repartition(max(1, arcs.count()), "uri").sortWithinPartitions("uri")
@@ -242,13 +274,16 @@ def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
             refers = {r["place"]: (r["refers_uri"], r["refers_place"], r["refers_key"], r["refers_url"]) for r in t.to_pylist() if r["place"] is not None}
             name = uri.rsplit("/", 1)[1]
             to, k = f"{folder}/{name.replace('.arc', '.warc')}", 0
+            damaged: list[str] = []
             with reading(uri) as f, writing(to) as out:
-                for r in parse_arc(unzipped(f)):
+                for r in parse_arc(unzipped(f), damaged):
                     out.write(member(as_warc(r, name, refers.get(r["place"]))))
                     k += 1
-            yield pa.record_batch([pa.array([to]), pa.array([k], pa.int64())], ["uri", "records"])
+            yield pa.record_batch([pa.array([to]), pa.array([k], pa.int64()), pa.array([damaged], pa.list_(pa.string()))], ["uri", "records", "damaged"])
 
-    return written(per_arc.mapInArrow(run, "uri string, records long"), "warcs")
+    out = written(per_arc.mapInArrow(run, "uri string, records long, damaged array<string>"), "warcs")
+    discard(index_at)
+    return out
 
 
 def parse_warc(f) -> Iterator[tuple[bytes, bytes]]:
@@ -283,7 +318,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                             continue
                         http, payload = http_parts(block)
                         said = field(head, "WARC-Payload-Digest").partition(":")[2]
-                        n = int(field(http, "Content-Length")) if kind == "revisit" else len(payload)
+                        n = int(field(head, LENGTH_FIELD)) if kind == "revisit" else len(payload)
                         if kind != "revisit" and hashlib.sha256(payload).hexdigest() != said:
                             raise ValueError(f"a payload in {uri} doesn't have its digest")
                         key, refers = field(http, KEY_FIELD), field(head, REFERS_KEY_FIELD)
