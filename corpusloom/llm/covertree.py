@@ -10,8 +10,11 @@ Queries first meet the blocks of their own cell, which gives each a kth score; t
 prunes from the start and only products that reach it are sent on. Blocks whose summary can't reach the worst kth score of a
 group of queries don't get the group at all.
 
-Trees: a node's children are chosen farthest-first among its points until all are within half its radius or FANOUT are
-chosen; radii are measured, so pruning is exact whatever the shape of the tree.
+Trees: level 0 is one point; level l + 1 holds the points of level l (nesting) and others until every point is within
+``scale / BASE`` of one (covering); any two points of a level are farther apart than its scale (separation), and each one's parent
+is the nearest point of the level above. Levels are taken from one farthest-first order. A node's radius is measured, so pruning is
+exact. Descent stops where nodes hold LEAF points or fewer, or where the next level would hold more than a SPANth of the
+points: there a matrix product costs less than bounds. In a node pair's turn all remaining data nodes of a level are bounded at once.
 
 Cases: vectors that are null or hold a null or non-finite component take no part; only vectors of equal length are compared;
 repeated candidates count each time; a repeated query counts once; ties go to the smaller vec_id; a query with no candidate has no
@@ -20,8 +23,8 @@ rows; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,41 +33,85 @@ from pyspark.sql import functions as F
 
 from .common import grouped, table, take, written
 
-#: Vectors of a block: a 256th of all, within these bounds, so that small tables keep all cores busy.
-BLOCK_ROWS = (256, 4096)
+#: Vectors of a block: a 64th of all, within these bounds, so that small tables keep all cores busy.
+BLOCK_ROWS = (1024, 16384)
 #: Queries of a group.
 GROUP_ROWS = 256
 #: Queries that a task searches at once.
 QUERY_ROWS = GROUP_ROWS * 8
 #: Pivots and the size of the sample that they are chosen from (farthest-first).
 PIVOTS, PIVOT_SAMPLE = 32, 4096
-LEAF, FANOUT = 128, 12
-
-
-class Node:
-    __slots__ = ("center", "norm", "radius", "rows", "children")
-
-    def __init__(self, points: np.ndarray, rows: np.ndarray, leaf: int):
-        here = points[rows]
-        mid = here[np.argmin(((here - here.mean(0)) ** 2).sum(1))]
-        dist = np.sqrt(((here - mid) ** 2).sum(1))
-        self.center, self.norm, self.radius = mid, float(np.sqrt(mid @ mid)), float(dist.max())
-        self.rows, self.children = rows, []
-        if len(rows) <= leaf or self.radius == 0:
-            return
-        near, owner, k = dist, np.zeros(len(rows), np.int64), 1
-        while k < FANOUT and near.max() > self.radius / 2:
-            far = ((here - here[np.argmax(near)]) ** 2).sum(1) ** 0.5
-            owner = np.where(far < near, k, owner)
-            near, k = np.minimum(near, far), k + 1
-        if k > 1:
-            self.children = [Node(points, rows[owner == c], leaf) for c in range(k) if (owner == c).any()]
-
-
-def reach(q: Node, x: Node) -> float:
-    """No product of a vector below q and one below x is larger."""
-    top = float(q.center @ x.center) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius
-    return top + 1e-9 * abs(top) + 1e-6
+#: Ratio of the scales of two levels, most points of a node that is not split, fewest points for each node of a level, and points
+#: whose products are taken at once.
+BASE, LEAF, SPAN, SCAN = 1.5, 64, 16, 1024
+#: Leaves and levels of the queries' trees are finer: a query node's bounds are as wide as the node.
+QUERY_LEAF, QUERY_SPAN = 16, 6
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+@dataclass
+class Level:
+    """The nodes of one level, in the order of their points: each holds the points lo to hi of the tree's order."""
+
+    scale: float
+    center: np.ndarray
+    norm: np.ndarray
+    radius: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+class CoverTree:
+    """``order``: the points in the order of the leaves; ``levels``: from the root down."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, span: int = SPAN):
+        points = points.astype(np.float64)
+        n = len(points)
+        away = lambda i: np.sqrt(((points - points[i]) ** 2).sum(1))
+        centers = [int(((points - points.mean(0)) ** 2).sum(1).argmin())]
+        near, owner = away(centers[0]), np.zeros(n, np.int64)
+        scale = float(near.max())
+        made = [(scale, 1, owner)]  # scale, number of centers, the center of each point
+        while near.max() > 0 and np.bincount(owner).max() > leaf:
+            scale /= BASE
+            near_, owner_, more = near.copy(), owner.copy(), list(centers)
+            while near_.max() > scale and len(more) <= n // span:
+                i = int(near_.argmax())
+                far = away(i)
+                owner_[far < near_] = len(more)
+                near_ = np.minimum(near_, far)
+                more.append(i)
+            if near_.max() > scale:
+                break
+            if len(more) > len(centers):
+                near, owner, centers = near_, owner_, more
+                made.append((scale, len(centers), owner))
+        # The ancestor of each point in each level: the parent of a center is the center of the level above that is nearest to it.
+        up = owner
+        chain = [up]
+        for _, _, above in made[-2::-1]:
+            up = above[np.array(centers)][up]
+            chain.insert(0, up)
+        self.order = np.lexsort(chain[::-1])
+        self.levels = []
+        for (scale, _, _), mine in zip(made, chain, strict=True):
+            mine = mine[self.order]
+            lo = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            hi = np.append(lo[1:], n)
+            center = points[np.array(centers)[mine[lo]]]
+            dist = np.sqrt(((points[self.order] - np.repeat(center, hi - lo, 0)) ** 2).sum(1))
+            self.levels.append(Level(scale, center, np.sqrt((center**2).sum(1)), np.maximum.reduceat(dist, lo), lo, hi))
+
+    def below(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The children of nodes, in the next level."""
+        here, lo = self.levels[level], self.levels[level + 1].lo
+        return spans(np.searchsorted(lo, here.lo[nodes]), np.searchsorted(lo, here.hi[nodes]))
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0], ..., hi[0] - 1, lo[1], ..."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,43 +125,68 @@ class Best:
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k = k
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.compared = 0
+        self.score = np.full((n, k), LEAST)
+        self.id = np.full((n, k), MOST)
         self.floor = floor
         self.worst = floor.copy()
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
+        """Scores (rows x ids) of the given queries; only those that reach a query's worst score matter."""
+        self.compared += scores.size
         hit = allowed & (scores >= self.worst[rows][:, None])
-        some = np.flatnonzero(hit.any(1))
-        if not len(some):
+        if hit.sum() > 8 * self.k * len(rows) and scores.shape[1] > self.k:
+            # Many reach it (at first): of each query only those that reach its kth here.
+            s = np.where(hit, scores, LEAST)
+            hit &= s >= np.partition(s, -self.k, 1)[:, -self.k][:, None]
+        r, c = np.nonzero(hit)
+        if not len(r):
             return
-        rows, hit = rows[some], hit[some]
-        s = np.concatenate([self.score[rows], np.where(hit, scores[some], np.iinfo(np.int64).min)], 1)
-        i = np.concatenate([self.id[rows], np.where(hit, ids[None, :], np.iinfo(np.int64).max)], 1)
-        order = np.lexsort((i, ~s), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, order, 1)
-        self.id[rows] = np.take_along_axis(i, order, 1)
-        self.worst[rows] = np.maximum(self.floor[rows], self.score[rows, -1])
-
-
-def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> Best:
+        some = np.unique(r)
+        row = np.concatenate([r, np.repeat(some, self.k)])
+        score = np.concatenate([scores[r, c], self.score[rows[some]].ravel()])
+        ident = np.concatenate([ids[c], self.id[rows[some]].ravel()])
+        order = np.lexsort((ident, ~score, row))
+        first = np.searchsorted(row[order], some)
+        take_ = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.score[rows[some]] = score[take_].reshape(-1, self.k)
+        self.id[rows[some]] = ident[take_].reshape(-1, self.k)
+        self.worst[rows[some]] = np.maximum(self.floor[rows[some]], self.score[rows[some], -1])
+
+
+def dual_search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, xt: CoverTree | None = None) -> Best:
+    """The k best of ``x`` for each of ``q``; in the order of ``q``. ``xt``: the tree of x, if it is at hand."""
+    qt, xt = CoverTree(q, QUERY_LEAF, QUERY_SPAN), xt or CoverTree(x)
     best = Best(len(q), k, floor)
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    qt, xt = Node(qf, np.arange(len(q)), LEAF // 2), Node(xf, np.arange(len(x)), LEAF)
-    heap, n = [(-reach(qt, xt), 0, qt, xt)], 0
-    while heap:
-        top, _, a, b = heapq.heappop(heap)
-        if -top < best.worst[a.rows].min():
-            continue
-        if not a.children and not b.children:
-            best.offer(a.rows, products(q[a.rows], x[b.rows]), x_ids[b.rows], q_ids[a.rows][:, None] != x_ids[b.rows][None, :])
+    turn = [(0, 0, 0, np.zeros(1, np.int64))]  # level and node of the queries, level and nodes of the data
+    while turn:
+        ql, a, xl, nodes = turn.pop()
+        here, there = qt.levels[ql], xt.levels[xl]
+        mine = qt.order[here.lo[a] : here.hi[a]]
+        # No product of a query below a and a vector below a node is larger than its reach.
+        reach = there.center[nodes] @ here.center[a] + here.norm[a] * there.radius[nodes] + there.norm[nodes] * here.radius[a] + here.radius[a] * there.radius[nodes]
+        reach += 1e-9 * np.abs(reach) + 1e-6
+        keep = reach >= best.worst[mine].min()
+        nodes, reach = nodes[keep], reach[keep]
+        if not len(nodes):
             continue
-        split_a = a.children and (not b.children or a.radius >= b.radius)
-        for c, d in [(c, b) for c in a.children] if split_a else [(a, d) for d in b.children]:
-            r = reach(c, d)
-            if r >= best.worst[c.rows].min():
-                n += 1
-                heapq.heappush(heap, (-r, n, c, d))
+        q_leaf, x_leaf = ql == len(qt.levels) - 1, xl == len(xt.levels) - 1
+        if not x_leaf and (q_leaf or there.radius[nodes].max() >= here.radius[a]):
+            turn.append((ql, a, xl + 1, xt.below(xl, nodes)))
+        elif not q_leaf:
+            turn += [(ql + 1, int(c), xl, nodes) for c in qt.below(ql, np.array([a]))]
+        else:
+            nodes = nodes[np.argsort(-reach)]
+            reach = -np.sort(-reach)
+            held = np.cumsum(there.hi[nodes] - there.lo[nodes])
+            done, few = 0, LEAF  # few at first, so that a worst score is known soon
+            while done < len(nodes) and reach[done] >= best.worst[mine].min():
+                end = max(done + 1, int(np.searchsorted(held, (held[done - 1] if done else 0) + few, "right")))
+                part = xt.order[spans(there.lo[nodes[done:end]], there.hi[nodes[done:end]])]
+                for k0 in range(0, len(part), SCAN):
+                    rows = part[k0 : k0 + SCAN]
+                    best.offer(mine, products(q[mine], x[rows]), x_ids[rows], q_ids[mine][:, None] != x_ids[rows][None, :])
+                done, few = end, min(2 * few, SCAN)
     return best
 
 
@@ -167,7 +239,7 @@ def with_cells(vecs: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 def chunk_counts(vecs: DataFrame, rows: tuple[int, int]) -> dict[int, int]:
     """Number of chunks of each cell. At most PIVOTS cells for each length of vector, whatever the table."""
     n = {r.cell: r.n for r in vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = min(max(sum(n.values()) // 256, rows[0]), rows[1])
+    size = min(max(sum(n.values()) // 64, rows[0]), rows[1])
     return {c: -(-x // size) for c, x in n.items()}
 
 
@@ -221,18 +293,19 @@ def search_blocks(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, x_ids, x = None, None, None
+        block, x_ids, x, tree = None, None, None, None
         for (*at, kind), t in pieces(batches, ["cell", "chunk", "kind"], QUERY_ROWS):
             if kind == 0:
                 # The vectors of a block come first; a block of more than one piece is put together.
                 ids, v = t.column("vec_id").to_numpy(), matrix(t.column("v"))
                 x_ids, x = (np.concatenate([x_ids, ids]), np.concatenate([x, v])) if at == block else (ids, v)
-                block = at
+                block, tree = at, None
             elif at == block:
                 ids, v = t.column("vec_id").to_numpy(), matrix(t.column("v"))
-                floor = t.column("floor").to_pandas().fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-                best = dual_search(ids, v, floor, x_ids, x, k)
-                hit = best.id != np.iinfo(np.int64).max
+                floor = t.column("floor").to_pandas().fillna(LEAST).to_numpy(np.int64)
+                tree = tree or CoverTree(x)
+                best = dual_search(ids, v, floor, x_ids, x, k, tree)
+                hit = best.id != MOST
                 yield pa.record_batch([pa.array(np.repeat(ids, k)[hit.ravel()]), pa.array(best.id.ravel()[hit.ravel()]), pa.array(best.score.ravel()[hit.ravel()])], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score long")
