@@ -27,7 +27,10 @@ from .common import small_batches, table, take
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: What is measured of a text, in the order of the ledger's columns.
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_exclaims", "n_distinct_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_exclaims", "n_window_distinct"]
+
+#: Words of a window in which distinct words are counted; only whole windows count, so that the share does not fall with length.
+WINDOW = 200
 
 #: The rules: a name, and the SQL over the measurements that is true where a text fails. A rule's place is its bit; new rules
 #: are added at the end, so that older ledgers and policies stay valid.
@@ -39,7 +42,7 @@ RULES = [
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
     ("shouting", "n_upper + n_lower >= 100 and 100 * n_upper > 50 * (n_upper + n_lower)"),
     ("exclamations", "n_words > 0 and 100 * n_exclaims > 50 * n_words"),
-    ("few_distinct_words", "n_words >= 200 and 100 * n_distinct_words < 5 * n_words"),
+    ("few_distinct_words", f"n_words >= {WINDOW} and 100 * n_window_distinct < 5 * (n_words - n_words % {WINDOW})"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: Policies by version: the rules that reject.
@@ -76,7 +79,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         n_lines = int(n > 0)
     upper, lower = case_counts(t)
     symbols = sum(map(t.count, "#*$%&|<>"))
-    return n, sum(map(len, words)), symbols, n_lines, dup, repeated, upper, lower, t.count("!"), len(set(words))
+    return n, sum(map(len, words)), symbols, n_lines, dup, repeated, upper, lower, t.count("!"), sum(len(set(words[i : i + WINDOW])) for i in range(0, n - n % WINDOW, WINDOW))
 
 
 def case_counts(t: str) -> tuple[int, int]:
@@ -171,7 +174,8 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, un
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-  length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(ws)) AS n_distinct,
+  length(t) - length(replace(t, '!', '')) AS n_exclaims,
+  list_sum(list_transform(range(0, len(ws) // 200), lambda i: len(list_distinct(ws[i * 200 + 1:i * 200 + 200])))) AS n_distinct,
   len(list_filter(string_split(t, ''), lambda x: x <> lower(x))) AS n_upper, len(list_filter(string_split(t, ''), lambda x: x <> upper(x))) AS n_lower
   FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
@@ -179,6 +183,6 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 *
   + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END
   + CASE WHEN n_upper + n_lower >= 100 AND 100 * n_upper > 50 * (n_upper + n_lower) THEN 32 ELSE 0 END
   + CASE WHEN n_words > 0 AND 100 * n_exclaims > 50 * n_words THEN 64 ELSE 0 END
-  + CASE WHEN n_words >= 200 AND 100 * n_distinct < 5 * n_words THEN 128 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+  + CASE WHEN n_words >= 200 AND 100 * n_distinct < 5 * (n_words - n_words % 200) THEN 128 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """

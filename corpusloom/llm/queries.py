@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bpe, covertree, frames, lengths, mixing, neardup, pii, quality, secrets, warc
 
 
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_setsketch_neardup": neardup.op8_setsketch_neardup,
         "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
         "op10_quality_ledger": quality.op10_quality_ledger,
-        "pipeline": corpus_pipeline.run,
     }
 
 
