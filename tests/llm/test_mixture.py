@@ -48,7 +48,9 @@ def plain_rake(cells, targets, sweeps=200):
     return w
 
 
-def test_weights_equal_plain_raking(docs):
+@pytest.mark.parametrize("at_hand", [mixing.CELLS_AT_HAND, 0])
+def test_weights_equal_plain_raking(docs, monkeypatch, at_hand):
+    monkeypatch.setattr(mixing, "CELLS_AT_HAND", at_hand)
     rows = mixing.keyed(docs).withColumn("topic", F.when(F.col("topic") == mixing.NONE, "none").otherwise("some")).where("lang <> '(none)'").cache()
     got = mixing.plan(rows, budget=0.3).collect()
     targets = {}
