@@ -54,7 +54,7 @@ def tombstones(checks: DataFrame) -> DataFrame:
 
 def restored(tombs: DataFrame, checks: DataFrame) -> DataFrame:
     """Tombstoned urls whose newest check found them live."""
-    last = checks.groupBy("url").agg(F.max_by("status", "checked_at").alias("status"))
+    last = checks.groupBy("url").agg(F.max_by("status", F.struct("checked_at", "status")).alias("status"))
     return tombs.join(last, "url").where("status = 200").select("url")
 
 

@@ -35,15 +35,20 @@ def stems(title: Column) -> Column:
 
 def trending(t: Tables, scope: str = "month", as_of: str = AS_OF, k: int = 30) -> DataFrame:
     """(word, recent_count, prior_count, delta): both windows are counted in one scan."""
-    length, least = {"week": (7, 2), "month": (30, 3), "all": (None, 30)}[scope]
+    length, least = {"week": (7, 2), "month": (30, 3), "ytd": (None, 5), "all": (None, 30)}[scope]
     v = visible(t.releases)
-    if length is None:
+    if scope == "ytd":  # this year so far; before it, the year before up to as long before this year's start as now is after it
+        now, at = ts(as_of), F.col("published_at")
+        start = F.date_trunc("year", now).cast("timestamp_ntz")
+        year = F.expr("interval 1 year")
+        v = v.where((at >= start) | ((at >= start - year) & (at < start - (now - start) + days(1)))).withColumn("recent", at >= start)
+    elif length is None:
         v = v.where(F.col("published_at") >= ts(WINDOW_START)).withColumn("recent", F.lit(True))
     else:
         v = v.where(F.col("published_at") >= ts(as_of) - days(2 * length)).withColumn("recent", F.col("published_at") >= ts(as_of) - days(length))
     w = distinct_words(v, stems(F.col("title")), ["recent"]).where((F.length("word") > 4) & ~F.col("word").isin(TREND_STOP))
     c = w.groupBy("word").agg(F.count_if(F.col("recent")).alias("recent_count"), F.count_if(~F.col("recent")).alias("prior_count")).where(F.col("recent_count") >= least)
-    delta = F.lit(0).cast("long") if length is None else F.col("recent_count") - F.col("prior_count")
+    delta = F.lit(0).cast("long") if scope == "all" else F.col("recent_count") - F.col("prior_count")
     return c.select("word", "recent_count", "prior_count", delta.alias("delta")).orderBy(F.desc("recent_count"), "word").limit(k)
 
 

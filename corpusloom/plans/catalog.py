@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import checks, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.tables import VIEWS_SQL, Tables, days, ts
-from . import site_catalog
+from . import feed_catalog, site_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -394,6 +394,7 @@ add(
 add("s09_activity_windows", lambda t: stats.per_period(t.activity, "week", ["member_id"]), "SELECT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week, count(*) AS n FROM activity GROUP BY ALL")
 
 _QUERIES.update(site_catalog.QUERIES)
+_QUERIES.update(feed_catalog.QUERIES)
 
 
 def queries() -> dict[str, Query]:
@@ -405,4 +406,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.trending(Tables.of(spark, sf_dir), "month")
+    return stats.member_intelligence(Tables.of(spark, sf_dir))
