@@ -45,13 +45,32 @@ TITLE_TYPES = [
     (r"^letter\s+to\b", "letter"),
 ]
 CATEGORY_TYPES = {
-    "press_release": ["press releases", "press release"],
-    "statement": ["statements", "statement"],
-    "op_ed": ["op-eds", "op-ed", "commentary", "commentaries"],
-    "letter": ["letters", "letter"],
-    "floor_statement": ["floor statements", "floor statement", "speeches", "speech"],
-    "photo_release": ["photo releases", "photo release"],
-    "blog": ["blog", "blogs", "blog post", "blog posts", "newsletter", "newsletters", "weekly column", "weekly columns", "weekly update", "weekly updates"],
+    "press releases": "press_release",
+    "press release": "press_release",
+    "statements": "statement",
+    "statement": "statement",
+    "op-eds": "op_ed",
+    "op-ed": "op_ed",
+    "commentary": "op_ed",
+    "commentaries": "op_ed",
+    "letters": "letter",
+    "letter": "letter",
+    "floor statements": "floor_statement",
+    "floor statement": "floor_statement",
+    "speeches": "floor_statement",
+    "speech": "floor_statement",
+    "photo releases": "photo_release",
+    "photo release": "photo_release",
+    "blog": "blog",
+    "blogs": "blog",
+    "blog post": "blog",
+    "blog posts": "blog",
+    "newsletter": "blog",
+    "newsletters": "blog",
+    "weekly column": "blog",
+    "weekly columns": "blog",
+    "weekly update": "blog",
+    "weekly updates": "blog",
 }
 
 
@@ -101,7 +120,7 @@ def classify(title: Column, url: Column, categories: Column | None = None) -> Co
         found = found.when(F.trim(F.coalesce(title, F.lit(""))).rlike("(?i)" + pattern), kind)
     if categories is None:
         return found.otherwise("press_release")
-    names = F.create_map(*[F.lit(x) for kind, words in CATEGORY_TYPES.items() for w in words for x in (w, kind)])
+    names = F.create_map(*[F.lit(x) for kv in CATEGORY_TYPES.items() for x in kv])
     kinds = F.filter(F.transform(categories, lambda c: names[F.lower(F.trim(c))]), lambda k: k.isNotNull())
     return found.otherwise(F.coalesce(F.get(kinds, F.lit(0)), F.lit("press_release")))
 

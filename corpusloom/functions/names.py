@@ -11,38 +11,38 @@ from pyspark.sql import functions as F
 SMALL_WORDS = ["a", "an", "the", "and", "but", "or", "for", "nor", "on", "at", "to", "by", "of", "in", "is", "it", "as"]
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“"}
 NICKNAMES = {
-    "charles": "chuck charlie",
-    "william": "bill will willie",
-    "robert": "bob rob robbie",
-    "richard": "rick dick richie",
-    "michael": "mike mikey",
-    "timothy": "tim timmy",
-    "thomas": "tom tommy",
-    "edward": "ed ted eddie",
-    "theodore": "ted teddy",
-    "james": "jim jimmy jamie",
-    "patricia": "pat patty trish",
-    "patrick": "pat paddy",
-    "catherine": "cathy kate katie cat",
-    "katherine": "kate kathy katie",
-    "elizabeth": "liz beth betty ellie",
-    "margaret": "maggie meg peggy",
-    "joseph": "joe joey",
-    "joshua": "josh",
-    "benjamin": "ben benji",
-    "alexander": "alex",
-    "christopher": "chris kit",
-    "daniel": "dan danny",
-    "raphael": "raph",
-    "cynthia": "cindy",
-    "martin": "marty",
-    "mitchell": "mitch",
-    "ronald": "ron",
-    "donald": "don donny",
-    "cornelius": "neil",
-    "cory": "corey",
-    "bernard": "bernie",
-    "angus": "gus",
+    "charles": ["chuck", "charlie"],
+    "william": ["bill", "will", "willie"],
+    "robert": ["bob", "rob", "robbie"],
+    "richard": ["rick", "dick", "richie"],
+    "michael": ["mike", "mikey"],
+    "timothy": ["tim", "timmy"],
+    "thomas": ["tom", "tommy"],
+    "edward": ["ed", "ted", "eddie"],
+    "theodore": ["ted", "teddy"],
+    "james": ["jim", "jimmy", "jamie"],
+    "patricia": ["pat", "patty", "trish"],
+    "patrick": ["pat", "paddy"],
+    "catherine": ["cathy", "kate", "katie", "cat"],
+    "katherine": ["kate", "kathy", "katie"],
+    "elizabeth": ["liz", "beth", "betty", "ellie"],
+    "margaret": ["maggie", "meg", "peggy"],
+    "joseph": ["joe", "joey"],
+    "joshua": ["josh"],
+    "benjamin": ["ben", "benji"],
+    "alexander": ["alex"],
+    "christopher": ["chris", "kit"],
+    "daniel": ["dan", "danny"],
+    "raphael": ["raph"],
+    "cynthia": ["cindy"],
+    "martin": ["marty"],
+    "mitchell": ["mitch"],
+    "ronald": ["ron"],
+    "donald": ["don", "donny"],
+    "cornelius": ["neil"],
+    "cory": ["corey"],
+    "bernard": ["bernie"],
+    "angus": ["gus"],
 }
 
 
@@ -98,11 +98,11 @@ def normalize_title(title: Column) -> Column:
 
 def name_exclusions(full_name: Column, entity_id: Column) -> Column:
     """Sorted tokens of a name and an id, with the nicknames of formal names and the formal names of nicknames; over two letters."""
-    back: dict[str, str] = {}
+    back: dict[str, list[str]] = {}
     for formal, nicks in NICKNAMES.items():
-        for nick in nicks.split():
-            back[nick] = f"{back[nick]} {formal}" if nick in back else formal
-    known = F.create_map(*[F.lit(x) for kv in (back | NICKNAMES).items() for x in kv])
+        for nick in nicks:
+            back.setdefault(nick, []).append(formal)
+    known = F.create_map(*[F.lit(x) for k, v in (back | NICKNAMES).items() for x in (k, " ".join(v))])
     tokens = F.split(F.lower(F.concat_ws(" ", full_name, entity_id)), "[^a-z]+")
     more = F.flatten(F.transform(tokens, lambda w: F.split(F.coalesce(known[w], F.lit("")), " ")))
     return F.array_sort(F.array_distinct(F.filter(F.concat(tokens, more), lambda w: F.length(w) > 2)))

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..sources.tables import AS_OF, WINDOW_START, Tables, days, ts
 from . import stats
 from .stats import FEED_TYPES, active, n, visible
+from .terms import may_have
 
 # Seats of the state's senate; its sessions; the hosts of first-party addresses; selectors known to be too wide.
 SEATS = 31
@@ -98,7 +99,7 @@ def members_by_range(t: Tables, ranges: list[str], k: int, as_of: str = AS_OF) -
 def facets_simple(t: Tables, term: str, chamber: str) -> DataFrame:
     """(facet, key, n) of a chamber's search hits by party and by type, whatever other filters are set."""
     have = C.terms(F.concat_ws(" ", "title", "body_text"))
-    r = visible(t.releases).where(F.array_contains(have, term)).join(active(t.members, chamber).select("member_id", "party"), "member_id")
+    r = visible(may_have(t.releases, [term])).where(F.array_contains(have, term)).join(active(t.members, chamber).select("member_id", "party"), "member_id")
     each = F.explode(F.array(F.struct(F.lit("party").alias("facet"), F.col("party").alias("key")), F.struct(F.lit("type").alias("facet"), F.col("content_type").alias("key"))))
     return r.select(each.alias("x")).groupBy("x.facet", "x.key").agg(n().alias("n"))
 

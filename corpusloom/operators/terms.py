@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,17 +12,22 @@ from ..sources.tables import AS_OF, WINDOW_START, Tables, days, ts
 from .stats import active, n, per_period, visible
 
 # Words that trending terms leave out.
-TREND_STOP = """senator senators press release statement announce announces urge urges call calls join joins lead leads support
-supports introduce introduces legislation bipartisan their about after would could should which where other there these those
-being through between under during before above below against without within along among across behind beyond since until while
-around inside outside today more than from this that with have will into over your what when they them also""".split()
+TREND_STOP = [
+    "senator", "senators", "press", "release", "statement", "announce", "announces", "urge", "urges", "call", "calls", "join", "joins", "lead",
+    "leads", "support", "supports", "introduce", "introduces", "legislation", "bipartisan", "their", "about", "after", "would", "could", "should",
+    "which", "where", "other", "there", "these", "those", "being", "through", "between", "under", "during", "before", "above", "below", "against",
+    "without", "within", "along", "among", "across", "behind", "beyond", "since", "until", "while", "around", "inside", "outside", "today", "more",
+    "than", "from", "this", "that", "with", "have", "will", "into", "over", "your", "what", "when", "they", "them", "also",
+]
 
 # Words that a member's or a chamber's terms leave out.
-PROCEDURAL = """senator senators press release statement announces urges calls joins leads supports introduces legislation
-bipartisan their about after would could should which where other there these those being through between under during before
-above below against without within along among across behind beyond since until while around inside outside today washington
-office united states american americans members member following every first again including continue continues important
-provide provides""".split()
+PROCEDURAL = [
+    "senator", "senators", "press", "release", "statement", "announces", "urges", "calls", "joins", "leads", "supports", "introduces", "legislation",
+    "bipartisan", "their", "about", "after", "would", "could", "should", "which", "where", "other", "there", "these", "those", "being", "through",
+    "between", "under", "during", "before", "above", "below", "against", "without", "within", "along", "among", "across", "behind", "beyond",
+    "since", "until", "while", "around", "inside", "outside", "today", "washington", "office", "united", "states", "american", "americans",
+    "members", "member", "following", "every", "first", "again", "including", "continue", "continues", "important", "provide", "provides",
+]
 SIGNATURE_STOP = [*PROCEDURAL, "releases", "letter", "letters", "floor", "remark", "remarks"]
 
 
@@ -110,17 +117,26 @@ def postings(t: Tables) -> DataFrame:
     return p.groupBy("term", "release_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), n().alias("n"))
 
 
+def may_have(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows whose title or body contains every term as a piece of text: a cheap test in generated code, passed by all rows that hold the
+    terms as words, so that the analyser runs on few rows."""
+    text = F.lower(F.concat_ws(" ", "title", "body_text"))
+    for w in wanted:
+        rows = rows.where(text.contains(w))
+    return rows
+
+
 def with_all(t: Tables, wanted: list[str]) -> DataFrame:
     """(release_id) of the releases that have every term. Terms are looked up in each row, so nothing is shuffled."""
     have = C.terms(F.concat_ws(" ", "title", "body_text"))
-    return t.releases.where(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), have)) == 0)
+    return may_have(t.releases, wanted).where(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), have)) == 0)
 
 
 def search(t: Tables, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), phrase: str = "") -> DataFrame:
     """Releases by required, alternative and excluded terms and a phrase."""
     have = C.terms(F.concat_ws(" ", "title", "body_text"))
     lits = lambda ws: F.array(*[F.lit(w) for w in ws])
-    r = t.releases
+    r = may_have(t.releases, [*all_of, *phrase.split()])
     if all_of:
         r = r.where(F.size(F.array_except(lits(all_of), have)) == 0)
     if any_of:
@@ -136,7 +152,7 @@ def rank_single(t: Tables, term: str, k: int) -> DataFrame:
     """The best k releases for one term: 0.1 * sum 1/j^2 over its hits, scaled as the public ranking function of PostgreSQL."""
     hits = F.size(F.filter(C.terms(F.concat_ws(" ", "title", "body_text")), lambda w: w == term))
     score = F.aggregate(F.sequence(F.lit(1), F.col("hits")), F.lit(0.0), lambda s, j: s + 0.1 / (j.cast("double") * j)) / 1.64493406685
-    r = t.releases.select("release_id", hits.alias("hits")).where("hits > 0").select("release_id", "hits", F.round(score, 9).alias("score"))
+    r = may_have(t.releases, [term]).select("release_id", hits.alias("hits")).where("hits > 0").select("release_id", "hits", F.round(score, 9).alias("score"))
     return r.orderBy(F.desc("score"), "release_id").limit(k)
 
 
@@ -147,7 +163,7 @@ def rank_all(t: Tables, first: str, second: str, k: int) -> DataFrame:
     words, near = C.terms(F.concat_ws(" ", "title", "body_text")), 100
     weight = lambda d: F.sqrt(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2.0)))
     at = lambda term: F.filter(F.transform(F.col("words"), lambda w, i: F.when(w == term, i)), lambda i: i.isNotNull())
-    r = t.releases.select("release_id", words.alias("words")).where(F.array_contains("words", first) & F.array_contains("words", second))
+    r = may_have(t.releases, [first, second]).select("release_id", words.alias("words")).where(F.array_contains("words", first) & F.array_contains("words", second))
     r = r.select("release_id", "words", F.explode(at(first)).alias("a"))
     low, high = F.greatest(F.col("a") - near, F.lit(0)), F.col("a") + near
     around = F.slice("words", low + 1, high - low + 1)
@@ -189,6 +205,8 @@ def hits(t: Tables, wanted: list[str]) -> DataFrame:
     """(term, release columns) of the visible releases that hold each of several terms: one scan for all terms."""
     have = C.terms(F.concat_ws(" ", "title", "body_text"))
     v = visible(t.releases).where(F.col("published_at") >= ts(WINDOW_START))
+    text = F.lower(F.concat_ws(" ", "title", "body_text"))
+    v = v.where(reduce(lambda a, b: a | b, [text.contains(w) for w in wanted]))
     return v.select("release_id", "member_id", "published_at", "title", F.explode(F.array_intersect(F.array(*[F.lit(w) for w in wanted]), have)).alias("term"))
 
 

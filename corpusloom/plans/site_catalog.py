@@ -48,7 +48,7 @@ add(
 add(
     "b23_name_exclusions",
     lambda t: t.members.select("member_id", F.array_join(N.name_exclusions(F.element_at(N.strings(FULL_NAMES), (F.col("member_id") % 5 + 1).cast("int")), F.lower("state")), " ").alias("tokens")),
-    f""", nick AS (SELECT formal, unnest(string_split(nicks, ' ')) AS nick FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in N.NICKNAMES.items())}) AS v(formal, nicks)),
+    f""", nick AS (SELECT formal, unnest(string_split(nicks, ' ')) AS nick FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in ((k, ' '.join(v)) for k, v in N.NICKNAMES.items()))}) AS v(formal, nicks)),
   tok AS (SELECT member_id, unnest(string_split_regex(lower(list_extract([{listed(FULL_NAMES)}], member_id % 5 + 1) || ' ' || state), '[^a-z]+')) AS w FROM members),
   every AS (SELECT member_id, w FROM tok UNION SELECT member_id, nick FROM tok JOIN nick ON formal = w UNION SELECT member_id, formal FROM tok JOIN nick ON nick = w)
   SELECT member_id, string_agg(w, ' ' ORDER BY w) AS tokens FROM every WHERE length(w) > 2 GROUP BY member_id""",
