@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import recon, terms
+from ..operators import fulltext, recon, terms
 from ..sources import html, records, sites
 from ..sources.tables import AS_OF, Tables
 
@@ -171,6 +171,12 @@ add(
   FROM a JOIN b ON a.release_id = b.release_id GROUP BY a.release_id ORDER BY score DESC, a.release_id LIMIT 25""",
 )
 add("d05_headlines", lambda t: terms.headlines(t, ["thble", "thtion"]))
+# English stems and stop words: no SQL states them.
+add("d01_english_postings", lambda t: fulltext.postings(t.releases).withColumn("positions", F.array_join("positions", ",")))
+add("d02_english_search_all", lambda t: fulltext.search(fulltext.postings(t.releases), all_of=["thble", "thtion"]))
+add("d03_english_search_web", lambda t: fulltext.search(fulltext.postings(t.releases), any_of=["thble", "thtion"], none_of=["ertion"]))
+add("d04_english_rank", lambda t: fulltext.rank(fulltext.postings(t.releases), "thble", 25))
+add("d08_english_term_counts", lambda t: fulltext.term_counts(fulltext.postings(t.releases)))
 add(
     "f34_live_vs_corpus",
     lambda t: recon.live_vs_corpus(t, t.releases.where("release_id % 3 <> 0 or member_id % 2 = 0")),
