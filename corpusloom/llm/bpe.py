@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table, take, vocabulary
+from .common import holding, small_batches, table, take, vocabulary
 
 # Fixed value: the pattern of public byte-level BPE that splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -180,6 +180,12 @@ def encoder(path: str):
     return auto, Words(auto), regex.compile(WORDS).findall, special
 
 
+def forget() -> None:
+    """Drops what this process remembers of automata and words."""
+    for remembered in (encoder, counter, automaton):
+        remembered.cache_clear()
+
+
 def pieces(text: str, path: str) -> list[tuple[str, bytes]]:
     """(decimals, label) of each word of a text, special tokens' strings as such."""
     auto, words, split, special = encoder(path)
@@ -214,6 +220,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("bpe", forget)
             ids = [encode(t, path) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n_tokens"])
 
@@ -227,6 +234,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("bpe", forget)
             texts = [decode(ids or [], path) for ids in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -240,6 +248,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("bpe", forget)
             yield pa.record_batch([b.column(0), pa.array([count(t or "", path) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     d = take(docs, "doc_id", "text")
@@ -253,6 +262,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("bpe", forget)
             n, ids_sha, text_sha = [], [], []
             for t in b.column(1).to_pylist():
                 found = pieces(t or "", path)

@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
@@ -124,6 +124,21 @@ def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, how: str =
     return rows.join(one, [key, "_salt"], how).drop("_salt")
 
 
+#: The operator whose tables this Python worker holds, and how it forgets them.
+HOLDER: list = ["", None]
+
+
+def holding(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Said by a task that begins the work of ``name``. Spark uses a worker again for later stages, so what another operator
+    remembered there would stay beside this one's; it is forgotten, and freed memory goes back to the system."""
+    if HOLDER[0] == name:
+        return
+    if HOLDER[1] is not None:
+        HOLDER[1]()
+    HOLDER[:] = name, forget
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """Have Python workers get rows in small batches; texts may be long. Spark has this setting for a session only, so later
     queries of the session get small batches too; their results are the same."""

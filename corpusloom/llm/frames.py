@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, take, vocabulary, written
+from .common import holding, shared_dir, small_batches, table, take, vocabulary, written
 from .files import reading, size, writing
 
 #: Most ids of one frame.
@@ -47,9 +47,9 @@ FRAME_IDS = 1 << 16
 #: About so many characters of text make one shard.
 SHARD_CHARS = 64 << 20
 #: Chunks of text in one of the two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
-GATHERED = 12 << 20
+GATHERED = 6 << 20
 #: Texts with one of these stay as they are. Of the characters up to U+024F only U+0130 has a lower case that is no letter (it ends in a
 #: combining dot), none composes with another and none is changed by NFC; "<|" may begin a special token.
 ODD = r"[^\x00-\x{24f}]|\x{130}|<\|"
@@ -125,6 +125,9 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     Fewer different chunks remain where ASCII letters are put in lower case and marks between a letter and white space are
     parted from the word, as the vocabulary does both itself; texts with ODD characters stay as they are, since there a lower
     case letter could compose with what follows, or a special token arise."""
+    holding("chunks", chunks_of.cache_clear)
+    if texts.offset:  # pyarrow's ascii_lower reads a slice at the wrong place
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts, end = pc.fill_null(texts.cast(pa.large_string()), ""), struct.pack("<I", end_id)
     chunks = chunks_of(path)
     if not chunks.folds:
@@ -150,6 +153,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n >= GATHERED:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     yield from pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
 
 

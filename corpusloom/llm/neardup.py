@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, grouped, hot_keys, salted_join, small_batches, table, take, written, written_at
+from .common import discard, grouped, holding, hot_keys, salted_join, small_batches, table, take, written, written_at
 
 REGISTERS, BASE = 160, 1.02
 #: Threshold in percent -> (bands, registers of a band).
@@ -76,6 +76,7 @@ def mix(v: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles of k words, in lower-case ASCII."""
+    holding("shingles", HASHES.clear)
     t = text or ""
     words = WORD.findall(t.lower() if t.isascii() else t.translate(LOWER))
     n = len(words)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, take
+from .common import holding, small_batches, table, take
 
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 20_000
 PRECISION = 0.98
@@ -396,6 +396,7 @@ def find_personal_data(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("personal data")
             spans = [[{"kind": k, "start": s, "end": e} for s, _, k, e in spans_of(t, model)] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
 
@@ -421,7 +422,12 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 
 def redacted_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs``, with all their columns, the personal data in their texts redacted and ``n_chars`` as it is then."""
-    clean = F.udf(lambda t: redact(t, spans_of(t, model)), "string", useArrow=True)
+
+    def cleaned(t: str | None) -> str | None:
+        holding("personal data")
+        return redact(t, spans_of(t, model))
+
+    clean = F.udf(cleaned, "string", useArrow=True)
     names = docs.columns
     out = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
     i = names.index("text")

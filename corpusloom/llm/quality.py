@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, take
+from .common import holding, small_batches, table, take
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -102,6 +102,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            holding("quality")
             rows = [measure(t) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), *[pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]] if rows else [b.column(0), *[pa.array([], pa.int64())] * len(MEASURES)], ["doc_id", *MEASURES])
 
@@ -150,9 +151,14 @@ def policy_counts(led: DataFrame, policies: list[str] | None = None) -> DataFram
     return seen.select(F.explode(F.array(*per)).alias("x")).groupBy("x.policy").agg(F.sum("x.kept").alias("n_kept"), F.sum("x.n").alias("n_docs"))
 
 
+def judged_text(text: str | None) -> tuple[int, ...]:
+    holding("quality")
+    return measure(text)
+
+
 def kept_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the policy keeps. One pass: no join, no shuffle."""
-    of = F.udf(measure, "struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">", useArrow=True)
+    of = F.udf(judged_text, "struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">", useArrow=True)
     names = docs.columns
     plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
     judged = plain.withColumn("_m", of(F.col(f"c{names.index('text')}"))).select("*", *[F.col(f"_m.{m}").alias(m) for m in MEASURES])

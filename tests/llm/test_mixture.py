@@ -95,3 +95,34 @@ def test_query_keeps_every_row_and_the_sample_follows_it(spark, docs, tmp_path):
 def test_a_topic_column_is_used(docs):
     rows = mixing.keyed(docs.withColumn("topic", F.lit("mine"))).select("topic").distinct().collect()
     assert [r.topic for r in rows] == ["mine"]
+
+
+def test_encoding_of_a_slice():
+    import pyarrow as pa
+
+    from corpusloom.llm import frames
+    from corpusloom.llm.common import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = ["Überall, where it WAS.", None, "", "ÀÉ È, ok. "] * 50
+    whole = frames.encode_texts(pa.array(texts), path, 2)
+    for at in (1, 3, 101):
+        assert frames.encode_texts(pa.array(texts).slice(at, 60), path, 2) == whole[at : at + 60]
+
+
+def test_a_worker_holds_one_operators_tables():
+    import pyarrow as pa
+
+    from corpusloom.llm import bpe, frames, neardup
+    from corpusloom.llm.common import HOLDER, holding, vocabulary
+
+    neardup.shingles("some words to remember", 3)
+    assert neardup.HASHES
+    first = frames.encode_texts(pa.array(["some words"]), vocabulary("word_bpe_49k.json"), 2)
+    assert not neardup.HASHES and frames.chunks_of.cache_info().currsize
+    holding("bpe", bpe.forget)
+    assert not frames.chunks_of.cache_info().currsize and HOLDER[0] == "bpe"
+    assert bpe.decode(bpe.encode("some words", vocabulary("byte_bpe_50k.json")), vocabulary("byte_bpe_50k.json")) == "some words"
+    holding("quality")
+    assert not bpe.encoder.cache_info().currsize
+    assert frames.encode_texts(pa.array(["some words"]), vocabulary("word_bpe_49k.json"), 2) == first
