@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, frames, lengths, mixing, neardup, pii, quality, secrets, warc
+from . import bpe, covertree, frames, lengths, mixing, neardup, packing, pii, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_setsketch_neardup": neardup.op8_setsketch_neardup,
         "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
         "op10_quality_ledger": quality.op10_quality_ledger,
+        "op13_sum_of_squares_packing": packing.op13_sum_of_squares_packing,
     }
 
 
