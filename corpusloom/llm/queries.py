@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, frames, lengths, mixing, neardup, packing, pii, quality, secrets, variants, warc
+from . import bpe, collocations, covertree, frames, lengths, mixing, neardup, packing, pii, quality, secrets, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_setsketch_neardup": neardup.op8_setsketch_neardup,
         "op9_cover_tree_top5": covertree.op9_cover_tree_top5,
         "op10_quality_ledger": quality.op10_quality_ledger,
+        "op11_dynamic_collocations": collocations.op11_dynamic_collocations,
         "op12_gram_spelling_variants": variants.op12_gram_spelling_variants,
         "op13_sum_of_squares_packing": packing.op13_sum_of_squares_packing,
     }
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_setsketch_neardup": neardup.OP8_SQL,
         "op9_cover_tree_top5": covertree.OP9_SQL,
         "op10_quality_ledger": quality.OP10_SQL,
+        "op11_dynamic_collocations": collocations.OP11_SQL,
     }
