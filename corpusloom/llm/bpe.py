@@ -30,13 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import holding, small_batches, table, take, vocabulary
+from .common import Remembered, holding, small_batches, table, take, vocabulary
 
 # Fixed value: the pattern of public byte-level BPE that splits text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words of one generation that a worker remembers; it keeps two and drops the older one when the younger is full.
-REMEMBERED = 250_000
+#: Bytes of one generation of words that a worker remembers.
+REMEMBERED = 40 << 20
 #: Arcs of the transition table a worker remembers.
 ARCS = 1_000_000
 
@@ -63,7 +63,16 @@ class Automaton:
         self.token = {self.label[i]: i for i in made}
         for k, (a, b) in enumerate(merges):
             self.gadget(k, vocab[a], vocab[b], vocab[a + b], made)
-        self.longest = max(map(len, self.token), default=1)
+        # Tokens by their bytes from the last to the first: node and byte -> node, node -> token.
+        self.step: dict[int, int] = {}
+        self.ends = [None]
+        for label, t in self.token.items():
+            node = 0
+            for byte in reversed(label):
+                node = self.step.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(None)
+            self.ends[node] = t
 
     def gadget(self, k: int, u: int, v: int, w: int, made: set[int]) -> None:
         """Apply merge k. A merge whose pair no accepted sequence holds changes nothing."""
@@ -105,11 +114,15 @@ class Automaton:
         if whole is not None:
             return [whole]
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        token, arc = self.token, self.arc
+        step, ends, arc = self.step.get, self.ends, self.arc
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = token.get(word[j:i])
-                if t is not None and (j == 0 or arc(last[j], t)):
+            found, node, j = [], 0, i
+            while j and (node := step(node << 8 | word[j - 1])) is not None:
+                j -= 1
+                if ends[node] is not None:
+                    found.append((j, ends[node]))
+            for j, t in reversed(found):  # the longest first
+                if j == 0 or arc(last[j], t):
                     last[i], start[i] = t, j
                     break
         ids, i = [], n
@@ -131,41 +144,33 @@ def automaton(path: str) -> Automaton:
     return Automaton(model["vocab"], merges, {t["content"]: t["id"] for t in j.get("added_tokens") or []})
 
 
-class Words(dict):
+class Words(Remembered):
     """word -> (the decimals of its ids joined by commas, the labels of its arcs)."""
 
     def __init__(self, auto: Automaton):
-        super().__init__()
-        self.auto, self.older = auto, {}
+        super().__init__(REMEMBERED)
+        self.auto = auto
 
     def __missing__(self, word: str):
         out = self.older.get(word)
         if out is None:
             ids = self.auto.encode_word(word.encode("utf-8"))
             out = (",".join(map(str, ids)), b"".join(map(self.auto.label.__getitem__, ids)))
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out
-        return out
+        return self.keep(word, out, 2 * len(word) + len(out[0]) + len(out[1]))
 
 
-class Counts(dict):
+class Counts(Remembered):
     """word -> number of its ids."""
 
     def __init__(self, auto: Automaton):
-        super().__init__()
-        self.auto, self.older = auto, {}
+        super().__init__(REMEMBERED)
+        self.auto = auto
 
     def __missing__(self, word: str) -> int:
         n = self.older.get(word)
         if n is None:
             n = len(self.auto.encode_word(word.encode("utf-8")))
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = n
-        return n
+        return self.keep(word, n, 2 * len(word))
 
 
 @lru_cache(maxsize=2)

@@ -124,6 +124,42 @@ def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, how: str =
     return rows.join(one, [key, "_salt"], how).drop("_salt")
 
 
+def hash_sample(docs: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``docs``, all if it has no more: those whose 64-bit hash of ``key`` is in the lowest part of its range. The
+    part is computed in whole numbers, so it doesn't come out as nothing for any number of rows."""
+    n = docs.count()
+    if n <= most:
+        return docs
+    return docs.where(F.xxhash64(key) < F.lit(most * 2**64 // n - 2**63))
+
+
+class Remembered(dict):
+    """What a worker remembers, as two generations of at most ``limit`` bytes each: when the younger one is full it takes the older
+    one's place."""
+
+    #: Bytes that an entry takes besides its contents, about.
+    ENTRY = 200
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+        self.older: dict = {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.held, self.older = 0, {}
+
+    def keep(self, key, value, size: int):
+        size += self.ENTRY
+        if self.held + size > self.limit:
+            older = dict(self)
+            self.clear()
+            self.older = older
+        self.held += size
+        self[key] = value
+        return value
+
+
 #: The operator whose tables this Python worker holds, and how it forgets them.
 HOLDER: list = ["", None]
 

@@ -39,15 +39,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import holding, shared_dir, small_batches, table, take, vocabulary, written
+from .common import Remembered, holding, shared_dir, small_batches, table, take, vocabulary, written
 from .files import reading, size, writing
 
 #: Most ids of one frame.
 FRAME_IDS = 1 << 16
 #: About so many characters of text make one shard.
 SHARD_CHARS = 64 << 20
-#: Chunks of text in one of the two generations that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of one generation of chunks that a worker remembers.
+REMEMBERED = 40 << 20
 #: Bytes of text that are encoded together.
 GATHERED = 6 << 20
 #: Texts with one of these stay as they are. Of the characters up to U+024F only U+0130 has a lower case that is no letter (it ends in a
@@ -71,18 +71,17 @@ def folds(path: str) -> bool:
     return (steps, split) == FOLDING
 
 
-class Chunks(dict):
+class Chunks(Remembered):
     """Chunk of text between white space -> its ids by the tokenizers library. The vocabulary's pattern never crosses white
     space, so a text's ids are those of its chunks in turn. New chunks go through the library together, parted by one of its
-    special tokens; the two newest generations of REMEMBERED chunks are kept."""
+    special tokens."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.folds = folds(path)
-        self.older: dict[str, bytes] = {}
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
@@ -90,7 +89,9 @@ class Chunks(dict):
             self.sep_id, self.sep = next((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
             self.odd = self.sep[0]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of these chunks, by the library."""
+        out = {}
         plain = [c for c in chunks if self.odd not in c]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
@@ -98,20 +99,22 @@ class Chunks(dict):
             ends, raw = [*(np.flatnonzero(ids == self.sep_id) * 4).tolist(), len(ids) * 4], ids.tobytes()
             at = 0
             for c, end in zip(part, ends, strict=True):
-                self[c] = raw[at:end]
+                out[c] = raw[at:end]
                 at = end + 4
         for c in chunks:
             if self.odd in c:
-                self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def all(self, chunks: list[str]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        for c in [c for c in chunks if c not in self and c in self.older]:
-            self[c] = self.older[c]
-        self.learn([c for c in chunks if c not in self])
-        return [self[c] for c in chunks]
+        known = [self.get(c) for c in chunks]
+        known = [self.older.get(c) if k is None else k for c, k in zip(chunks, known, strict=True)]
+        new = self.learn([c for c, k in zip(chunks, known, strict=True) if k is None])
+        out = [new[c] if k is None else k for c, k in zip(chunks, known, strict=True)]
+        for c, ids in zip(chunks, out, strict=True):
+            if c not in self:
+                self.keep(c, ids, 2 * len(c) + len(ids))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, grouped, holding, hot_keys, salted_join, small_batches, table, take, written, written_at
+from .common import Remembered, discard, grouped, holding, hot_keys, salted_join, small_batches, table, take, written, written_at
 
 REGISTERS, BASE = 160, 1.02
 #: Threshold in percent -> (bands, registers of a band).
@@ -56,17 +56,15 @@ C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 S29, S32 = np.uint64(29), np.uint64(32)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when it holds 500,000 words."""
+class WordHashes(Remembered):
+    """word -> 64-bit hash."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8"))
-        return h
+        h = self.older.get(word)
+        return self.keep(word, xxhash.xxh3_64_intdigest(word.encode("utf-8")) if h is None else h, 2 * len(word))
 
 
-HASHES = WordHashes()
+HASHES = WordHashes(40 << 20)
 
 
 def mix(v: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import holding, small_batches, table, take
+from .common import hash_sample, holding, small_batches, table, take
 
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 20_000
 PRECISION = 0.98
@@ -343,8 +343,6 @@ def train(docs: DataFrame) -> Model | None:
     from pyspark.ml.linalg import Vectors
 
     d = take(docs, "doc_id", "text")
-    n = d.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -355,7 +353,7 @@ def train(docs: DataFrame) -> Model | None:
                         column.append(value)
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(key, pa.int64())], ["x", "y", "key"])
 
-    sample = small_batches(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")).mapInArrow(run, "x array<double>, y int, key long")
+    sample = small_batches(hash_sample(d, "doc_id", SAMPLE_DOCS).select("text")).mapInArrow(run, "x array<double>, y int, key long")
     rows = sample.orderBy("key", "y", "x").limit(SAMPLE_CANDIDATES).collect()
     fit = [(Vectors.dense(r.x), float(r.y)) for r in rows if r.key % 10 < 7]
     held = [r for r in rows if r.key % 10 >= 7]

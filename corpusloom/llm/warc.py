@@ -16,7 +16,9 @@ heads of responses may end their lines with LF alone. It synthesises, for each r
   response and the others refer to it.
 
 A record that can't be read (a header line of other fields, a length that is no number or runs past the end) is left out and
-counted in ``damaged``; reading goes on at the next line that looks like a header.
+counted in ``damaged``, with the bytes passed over; reading goes on at the next line that looks like a header, in the bytes that a wrong length had
+taken as well. Archives may be gzip or plain, and several in one file, each with a record of its own that names its
+fields; a file that is no archive is one damaged entry.
 
 Which record is a revisit is found over (archive, place, key, digest) rows only: payloads are never shuffled. Rows of a frequent
 payload are dealt to several tasks in the join by digest.
@@ -78,7 +80,10 @@ def member(data: bytes) -> bytes:
 
 
 def unzipped(f) -> io.BufferedReader:
-    return io.BufferedReader(gzip.GzipFile(fileobj=f, mode="rb"), 1 << 20)
+    """The bytes of an archive, gzip or plain."""
+    zipped = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    return io.BufferedReader(gzip.GzipFile(fileobj=f, mode="rb") if zipped else f, 1 << 20)
 
 
 def exactly(f, n: int) -> bytes:
@@ -88,6 +93,35 @@ def exactly(f, n: int) -> bytes:
     return data
 
 
+class Rereadable:
+    """A stream to which bytes can be given back."""
+
+    def __init__(self, f):
+        self.f, self.back = f, io.BytesIO()
+
+    def readline(self) -> bytes:
+        line = self.back.readline()
+        return line if line.endswith(b"\n") else line + self.f.readline()
+
+    def read(self, n: int) -> bytes:
+        """n bytes, fewer at the end of the stream or where the archive is damaged."""
+        parts = [self.back.read(n)]
+        left = n - len(parts[0])
+        while left > 0:
+            try:
+                data = self.f.read(min(left, 1 << 20))
+            except (EOFError, OSError, zlib.error):
+                data = b""
+            if not data:
+                break
+            parts.append(data)
+            left -= len(data)
+        return b"".join(parts)
+
+    def give_back(self, data: bytes) -> None:
+        self.back = io.BytesIO(data + self.back.read())
+
+
 # ---------------------------------------------------------------- ARC
 
 
@@ -133,40 +167,56 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
 def parse_arc(f, damaged: list[str] | None = None) -> Iterator[dict]:
     """The records of one ARC stream: its fields by name, ``body``, and ``place`` (0 for the file's own record, then the count of
     readable records). Why a record was left out is added to ``damaged``."""
-    fields, place, lost = ARC_FIELDS[1], 0, False
+    fields, place, lost = ARC_FIELDS[1], 0, 0
     damaged = [] if damaged is None else damaged
+    f = Rereadable(f)
+
+    def passed_over() -> None:
+        if lost > 1:
+            damaged[-1] += f" ({lost} bytes passed over)"
+
     while True:
         try:
             line = f.readline()
         except (EOFError, OSError, zlib.error) as e:  # the archive itself is cut off or damaged
+            passed_over()
             damaged.append(str(e))
             return
         if not line:
+            passed_over()
             return
         if line in (b"\n", b"\r\n") or lost and not HEADER.fullmatch(line):
+            lost += len(line) if lost else 0
             continue
-        lost = False
+        passed_over()
+        lost = 0
         head = text_of(line).rstrip("\r\n")
-        names = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"] if place == 0 else fields
+        own = place == 0 or head.startswith("filedesc:")  # the record of an archive itself; another archive may follow
+        names = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"] if own else fields
         values = head.rsplit(" ", len(names) - 1)
         record = dict(zip(names, values, strict=False))
         if len(values) != len(names) or not record["Archive-length"].isdecimal() or not record["Archive-date"].isdecimal():
             damaged.append(f"not a header of {len(names)} fields: {head[:200]}")
-            lost = True
+            lost = len(line)
             continue
-        try:
-            body = exactly(f, int(record["Archive-length"]))
-        except (EOFError, OSError, ValueError, zlib.error) as e:
-            damaged.append(f"{record['URL'][:200]}: {e}")
-            return
-        if place == 0 and record["URL"].startswith("filedesc:"):
+        size = int(record["Archive-length"][:18])
+        body = f.read(size)
+        if len(body) < size:
+            damaged.append(f"{record['URL'][:200]}: the record ends {size - len(body)} bytes early")
+            f.give_back(body)
+            lost = len(line)
+            continue
+        if record["URL"].startswith("filedesc:"):
             lines = text_of(body).split("\n")
-            record["version"] = int(lines[0].split(" ")[0] or 0)
-            if record["version"] not in ARC_FIELDS:
-                raise ValueError(f"ARC version {record['version']}")
-            fields = lines[1].split() if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[record["version"]]
-        elif place == 0:
-            place = 1  # no record of its own: version 1
+            version = lines[0].split(" ")[0]
+            record["version"] = int(version) if version in ("1", "2") else 1
+            if version not in ("1", "2"):
+                damaged.append(f"{record['URL'][:200]}: ARC version {version[:20]!r} is read as 1")
+            fields = lines[1].split() if len(lines) > 1 and "Archive-length" in lines[1] else ARC_FIELDS[record["version"]]
+            yield record | {"body": body, "place": 0, "first": place == 0}
+            place = max(place, 1)
+            continue
+        place = max(place, 1)  # no record of its own: version 1
         yield record | {"body": body, "place": place}
         place += 1
 
@@ -277,6 +327,8 @@ def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
             damaged: list[str] = []
             with reading(uri) as f, writing(to) as out:
                 for r in parse_arc(unzipped(f), damaged):
+                    if not r.get("first", True):  # one warcinfo record stands for all archives of a file
+                        continue
                     out.write(member(as_warc(r, name, refers.get(r["place"]))))
                     k += 1
             yield pa.record_batch([pa.array([to]), pa.array([k], pa.int64()), pa.array([damaged], pa.list_(pa.string()))], ["uri", "records", "damaged"])

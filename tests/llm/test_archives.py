@@ -62,17 +62,40 @@ def test_damaged_records_are_left_out_and_counted():
     assert read(b"") == ([], [])
 
 
+def test_reading_goes_on_inside_the_bytes_that_a_wrong_length_took():
+    good, late = v1(b"http://a/", BODY_CRLF), v1(b"http://c/", BODY_LF)
+    records, damaged = read(archive(1, [good, (b"http://b/ 1.2.3.4 20010203040506 text/html 99999", b"short"), late, good]))
+    assert [r["URL"] for r in records[1:]] == ["http://a/", "http://c/", "http://a/"] and [r["place"] for r in records[1:]] == [1, 2, 3]
+    assert len(damaged) == 1 and "early" in damaged[0] and "bytes passed over" in damaged[0]
+
+
+def test_several_archives_in_one_file_and_strange_versions():
+    one, two = archive(1, [v1(b"http://a/", BODY_CRLF)]), archive(2, [v2(b"http://b/", BODY_LF)])
+    records, damaged = read(one + two)
+    assert not damaged and [(r["URL"], r["place"]) for r in records if r["place"]] == [("http://a/", 1), ("http://b/", 2)]
+    assert records[-1]["Location"] == "http://to/"
+    records, damaged = read(one.replace(b"1 0 someone", b"x 0 someone"))
+    assert len(records) == 2 and len(damaged) == 1
+    records, damaged = read(b"no archive at all\n" * 50)
+    assert records == [] and len(damaged) == 1 and "bytes passed over" in damaged[0]
+
+
 def test_conversion_of_legacy_archives(spark):
     folder = shared_dir(spark, "test-arc")
     long = b"HTTP/1.0 200 OK\nX-Record-Key: %d\n\n" + b"x" * 200
     for name, data in (("a.arc.gz", archive(1, [v1(b"http://a/", long % 5), (b"broken", b"")])), ("b.arc.gz", archive(2, [v2("http://é/".encode("latin-1"), long % 4)]))):
         with writing(f"{folder}/{name}") as out:
             out.write(gzip.compress(data))
-    arcs = spark.createDataFrame([(f"{folder}/a.arc.gz", 1), (f"{folder}/b.arc.gz", 1)], "uri string, records long")
+    with writing(f"{folder}/c.arc") as out:  # plain, two archives in one
+        out.write(archive(1, [v1(b"http://c/", long % 6)]) + archive(2, [v2(b"http://d/", b"HTTP/1.0 200 OK\nX-Record-Key: 7\n\nseven")]))
+    with writing(f"{folder}/d.arc") as out:
+        out.write(b"\x00\x01 nothing that can be read")
+    arcs = spark.createDataFrame([(f"{folder}/{x}", 1) for x in ("a.arc.gz", "b.arc.gz", "c.arc", "d.arc")], "uri string, records long")
     warcs = warc.convert_arcs(arcs, shared_dir(spark, "test-warc"))
-    assert sorted(len(r.damaged) for r in warcs.collect()) == [0, 1]
+    assert sorted(len(r.damaged) for r in warcs.collect()) == [0, 0, 1, 1]
     got = {r.page_id: r for r in warc.read_warcs(warcs).collect()}
     assert got[4].record_type == "response" and (got[5].record_type, got[5].refers_to, got[5].payload_bytes) == ("revisit", 4, 200)
+    assert (got[6].refers_to, got[7].payload_bytes) == (4, 5)
 
 
 def test_query_against_a_plain_version(spark, tmp_path):

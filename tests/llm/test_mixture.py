@@ -126,3 +126,26 @@ def test_a_worker_holds_one_operators_tables():
     holding("quality")
     assert not bpe.encoder.cache_info().currsize
     assert frames.encode_texts(pa.array(["some words"]), vocabulary("word_bpe_49k.json"), 2) == first
+
+
+def test_a_sample_of_very_many_rows_is_not_empty(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from corpusloom.llm.common import hash_sample
+
+    rows = spark.range(20_000_000)
+    assert hash_sample(rows, "id", 30_000_000).count() == 20_000_000
+    assert 1700 < hash_sample(rows, "id", 2000).count() < 2300
+    count = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: 30_000_000_000)
+    some = hash_sample(rows, "id", 15_000)  # a share of one in two million
+    monkeypatch.setattr(DataFrame, "count", count)
+    assert 1 <= some.count() <= 40
+
+
+def test_marginals_say_what_was_reached(spark):
+    from corpusloom.llm import mixing
+
+    rows = spark.createDataFrame([("a", "en", "t", 10)] * 3 + [("b", "en", "t", 10)] + [("b", "de", "t", 10)], "source string, lang string, topic string, n_tokens long")
+    got = {(r.dimension, r.value): r for r in mixing.marginals(mixing.plan(rows, targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.8, "de": 0.2}})).collect()}
+    assert all(abs(r.reached - r.target) < 1e-3 and abs(r.miss) < 1e-3 for r in got.values()) and got["source", "a"].target == 0.5
