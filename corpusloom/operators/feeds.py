@@ -254,7 +254,7 @@ def edits_by_month(t: Tables, k: int = 12) -> DataFrame:
 
 def coverage_percentiles(audit: DataFrame) -> DataFrame:
     """One row: mean, median and tenth percentile (the element before a tenth of the sorted values) of the confidence. The values are
-    counted first, so a window sees one row for each that occurs (10,001 at most, as they have four decimals)."""
+    counted first, so a window sees one row for each that occurs (101 at most, as they are whole percents)."""
     c = audit.groupBy("confidence").agg(n().alias("k"))
     up = F.sum("k").over(Window.orderBy("confidence"))
     c = c.withColumn("up", up).withColumn("total", F.sum("k").over(Window.partitionBy()))

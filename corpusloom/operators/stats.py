@@ -226,16 +226,23 @@ def zero_months(t: Tables) -> DataFrame:
     return every.join(months, ["member_id", "month"], "left_anti")
 
 
-def coverage_audit(t: Tables, as_of: str = AS_OF, expected: str = WINDOW_START, threshold: int = 60) -> DataFrame:
-    """Severity and confidence of each active member's coverage."""
+# Totals that look like the end of a page of results.
+ROUND_TOTALS = [10, 20, 25, 30, 40, 50, 60, 75, 100, 150, 200, 250, 300]
+
+
+def coverage_audit(t: Tables, as_of: str = AS_OF, expected: str = WINDOW_START, threshold: int = 60, starts: dict[int, str] | None = None) -> DataFrame:
+    """Severity and confidence (whole percent, halves to even) of each active member's coverage. ``starts``: member -> the day from which
+    coverage is expected, where it isn't ``expected``."""
     per = t.releases.where("deleted_at is null").groupBy("member_id").agg(n().alias("total"), F.countDistinct(F.to_date("published_at")).alias("unique_days"), F.min("published_at").alias("earliest"))
     m = active(t.members).select("member_id").join(per, "member_id", "left").join(zero_run_weeks(t, as_of), "member_id", "left")
     m = m.withColumns({"total": F.coalesce("total", F.lit(0)), "unique_days": F.coalesce("unique_days", F.lit(0)), "zero_run": F.coalesce("longest_zero_run", F.lit(0))})
     peer = m.where("total > 0").agg(F.expr("percentile(total, 0.5)").alias("peer"))  # one row
     m = m.join(F.broadcast(peer))
-    gap = F.datediff("earliest", ts(expected))
+    own = F.create_map(*[x for k, v in (starts or {}).items() for x in (F.lit(k).cast("long"), F.lit(v))])[F.col("member_id").cast("long")] if starts else F.lit(None).cast("string")
+    begin = F.to_date(F.coalesce(own, F.lit(expected)))
+    gap = F.datediff("earliest", begin)
     clump, ratio = F.try_divide("unique_days", "total"), F.try_divide("total", "peer")
-    per_week = F.col("total") / F.greatest(F.lit(1), F.floor(F.datediff(ts(as_of), ts(expected)) / 7))
+    per_week = F.col("total") / F.greatest(F.lit(1), F.floor(F.datediff(ts(as_of), begin) / 7))
     m = m.withColumns({"gap": gap, "clump": clump, "ratio": ratio, "per_week": per_week})
     severity = (
         F.when(F.col("total") == 0, "NO_DATA")
@@ -250,16 +257,16 @@ def coverage_audit(t: Tables, as_of: str = AS_OF, expected: str = WINDOW_START,
     start = 1 - clamp(F.greatest(F.lit(0), F.coalesce("gap", F.lit(0)) - 14) / 200, 0.0, 0.9)
     spare = F.greatest(F.lit(2.0), F.lit(4.0) / F.greatest(F.lit(0.5), F.col("per_week")))
     steady = 1 - clamp(F.greatest(F.lit(0.0), F.col("zero_run") - spare) / 20, 0.0, 0.5)
-    volume = F.when(F.col("ratio") < 0.1, 0.8).otherwise(1.0)
+    volume = F.when((F.col("ratio") < 0.2) & F.col("total").isin(ROUND_TOTALS), 0.7).when(F.col("ratio") < 0.1, 0.8).otherwise(1.0)
     dates = clamp(0.6 + F.col("clump") * 0.5, 0.6, 1.0)
     m = m.withColumn("severity", severity)
     hard = F.when(F.col("severity") == "TRUNCATED", 0.3).when(F.col("severity") == "DATE_CLUMPED", 0.4).otherwise(1.0)
     confidence = F.when(F.col("total") == 0, 0.0).otherwise(clamp(start * steady * volume * dates * hard, 0.05, 1.0))
-    return m.select("member_id", "total", "unique_days", "severity", F.round(confidence + 1e-9, 4).alias("confidence"))
+    return m.select("member_id", "total", "unique_days", "severity", F.bround(confidence * 100).cast("long").alias("confidence"))
 
 
-def coverage_summary(t: Tables) -> DataFrame:
-    return coverage_audit(t).groupBy("severity").agg(n().alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+def coverage_summary(t: Tables, starts: dict[int, str] | None = None) -> DataFrame:
+    return coverage_audit(t, starts=starts).groupBy("severity").agg(n().alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
 def quality_report(t: Tables, as_of: str = AS_OF) -> DataFrame:

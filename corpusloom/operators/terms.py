@@ -40,15 +40,18 @@ def stems(title: Column) -> Column:
     return F.transform(C.title_words(title, ""), lambda w: F.regexp_replace(w, "s$", ""))
 
 
-def trending(t: Tables, scope: str = "month", as_of: str = AS_OF, k: int = 30) -> DataFrame:
-    """(word, recent_count, prior_count, delta): both windows are counted in one scan."""
+def trending(t: Tables, scope: str = "month", as_of: str = AS_OF, k: int = 30, prior: str = "same_calendar") -> DataFrame:
+    """(word, recent_count, prior_count, delta): both windows are counted in one scan. The scope ``ytd`` compares this year so far with the
+    same days of the year before (``same_calendar``), or with that year up to as long before this one's start as now is after it
+    (``as_written``)."""
     length, least = {"week": (7, 2), "month": (30, 3), "ytd": (None, 5), "all": (None, 30)}[scope]
     v = visible(t.releases)
-    if scope == "ytd":  # this year so far; before it, the year before up to as long before this year's start as now is after it
+    if scope == "ytd":
         now, at = ts(as_of), F.col("published_at")
         start = F.date_trunc("year", now).cast("timestamp_ntz")
         year = F.expr("interval 1 year")
-        v = v.where((at >= start) | ((at >= start - year) & (at < start - (now - start) + days(1)))).withColumn("recent", at >= start)
+        end = {"same_calendar": now - year, "as_written": start - (now - start)}[prior] + days(1)
+        v = v.where((at >= start) | ((at >= start - year) & (at < end))).withColumn("recent", at >= start)
     elif length is None:
         v = v.where(F.col("published_at") >= ts(WINDOW_START)).withColumn("recent", F.lit(True))
     else:

@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Terms that occur in the given documents.
 TERMS = ["thble", "thtion", "ertion"]
 LEAVES = ["en", "fr", "de", "es"]
+#: Members whose coverage is expected from a later day.
+STARTS = {3: "2025-01-21", 40: "2025-11-03"}
 
 _QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {}
 
@@ -232,16 +234,18 @@ add("d12_topic_owners", lambda t: terms.topic_owners(t, TERMS), f", {HITS} SELEC
 
 add(
     "m01_coverage_audit",
-    stats.coverage_audit,
-    """, weeks AS (SELECT DISTINCT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL),
+    lambda t: stats.coverage_audit(t, starts=STARTS),
+    """, e AS (SELECT member_id, coalesce(CASE member_id WHEN 3 THEN DATE '2025-01-21' WHEN 40 THEN DATE '2025-11-03' END, DATE '2025-01-01') AS expected FROM members WHERE status = 'active'),
+  weeks AS (SELECT DISTINCT member_id, CAST(date_trunc('week', published_at) AS DATE) AS week FROM releases WHERE deleted_at IS NULL AND published_at IS NOT NULL),
   z AS (SELECT member_id, coalesce(max(date_diff('day', week, following) / 7 - 1), 0) AS zero_run FROM (SELECT member_id, week, lead(week) OVER (PARTITION BY member_id ORDER BY week) AS following FROM (SELECT * FROM weeks UNION ALL SELECT DISTINCT member_id, DATE '2026-04-27' FROM weeks)) GROUP BY member_id),
-  p AS (SELECT member_id, count(*) AS total, count(DISTINCT CAST(published_at AS DATE)) AS unique_days, min(published_at) AS earliest FROM releases WHERE deleted_at IS NULL GROUP BY member_id),
-  j AS (SELECT m.member_id, coalesce(total, 0) AS total, coalesce(unique_days, 0) AS unique_days, date_diff('day', TIMESTAMP '2025-01-01', earliest) AS gap, coalesce(zero_run, 0) AS zero_run FROM members m LEFT JOIN p ON p.member_id = m.member_id LEFT JOIN z ON z.member_id = m.member_id WHERE m.status = 'active'),
-  f AS (SELECT *, unique_days / nullif(total, 0) AS clump, total / (SELECT quantile_cont(total, 0.5) FROM j WHERE total > 0) AS ratio, total / greatest(1, floor(480 / 7)) AS per_week FROM j),
-  s AS (SELECT *, CASE WHEN total = 0 THEN 'NO_DATA' WHEN gap > 60 THEN 'TRUNCATED' WHEN clump < 0.2 AND total >= 30 THEN 'DATE_CLUMPED' WHEN zero_run >= 4 AND total >= 30 AND per_week >= 2 THEN 'INTERNAL_GAP' WHEN ratio < 0.25 THEN 'LOW_VOLUME' WHEN gap > 14 THEN 'SHALLOW' ELSE 'OK' END AS severity FROM f)
-  SELECT member_id, total, unique_days, severity, round(CASE WHEN total = 0 THEN 0 ELSE least(greatest((1 - least(greatest(greatest(0, coalesce(gap, 0) - 14) / 200, 0), 0.9))
-    * (1 - least(greatest(greatest(0, zero_run - greatest(2.0, 4.0 / greatest(0.5, per_week))) / 20, 0), 0.5)) * CASE WHEN ratio < 0.1 THEN 0.8 ELSE 1 END * least(greatest(0.6 + clump * 0.5, 0.6), 1)
-    * CASE severity WHEN 'TRUNCATED' THEN 0.3 WHEN 'DATE_CLUMPED' THEN 0.4 ELSE 1 END, 0.05), 1) END + 1e-9, 4) AS confidence FROM s""",
+  p AS (SELECT member_id, count(*) AS total, count(DISTINCT CAST(published_at AS DATE)) AS unique_days, CAST(min(published_at) AS DATE) AS earliest FROM releases WHERE deleted_at IS NULL GROUP BY member_id),
+  j AS (SELECT e.member_id, coalesce(total, 0) AS total, coalesce(unique_days, 0) AS unique_days, date_diff('day', expected, earliest) AS gap, coalesce(zero_run, 0) AS zero_run, greatest(1, date_diff('day', expected, DATE '2026-04-26') // 7) AS window_weeks FROM e LEFT JOIN p USING (member_id) LEFT JOIN z USING (member_id)),
+  f AS (SELECT *, unique_days / nullif(total, 0) AS clump, total / (SELECT median(total) FROM j WHERE total > 0) AS peer, total / window_weeks AS pw FROM j),
+  s AS (SELECT *, CASE WHEN total = 0 THEN 'NO_DATA' WHEN gap > 60 THEN 'TRUNCATED' WHEN clump < 0.2 AND total >= 30 THEN 'DATE_CLUMPED' WHEN zero_run >= 4 AND total >= 30 AND pw >= 2 THEN 'INTERNAL_GAP' WHEN peer < 0.25 THEN 'LOW_VOLUME' WHEN gap > 14 THEN 'SHALLOW' ELSE 'OK' END AS severity FROM f),
+  x AS (SELECT *, 1 - least(greatest(greatest(0, coalesce(gap, 0) - 14) / 200, 0), 0.9) AS start_score, 1 - least(greatest(greatest(0, zero_run - greatest(2.0, 4.0 / greatest(0.5, pw))) / 20, 0), 0.5) AS continuity,
+    CASE WHEN peer < 0.2 AND total IN (10, 20, 25, 30, 40, 50, 60, 75, 100, 150, 200, 250, 300) THEN 0.7 WHEN peer < 0.1 THEN 0.8 ELSE 1.0 END AS volume, least(greatest(0.6 + clump * 0.5, 0.6), 1.0) AS date_quality,
+    CASE severity WHEN 'TRUNCATED' THEN 0.3 WHEN 'DATE_CLUMPED' THEN 0.4 ELSE 1.0 END AS penalty FROM s)
+  SELECT member_id, total, unique_days, severity, CAST(CASE WHEN total = 0 THEN 0 ELSE round_even(100 * CAST(least(greatest(CAST(start_score AS DOUBLE) * continuity * volume * date_quality * penalty, 0.05), 1.0) AS DOUBLE), 0) END AS BIGINT) AS confidence FROM x""",
 )
 add(
     "q_quality_report",
@@ -308,8 +312,8 @@ add(
 )
 add(
     "m02_coverage_summary",
-    lambda t: stats.coverage_summary(t).select("severity", "n", F.round("mean_confidence", 3).alias("mean_confidence")),
-    _QUERIES["m01_coverage_audit"][1].replace("SELECT member_id, total, unique_days, severity, round(", ", a AS (SELECT severity, round(") + ") SELECT severity, count(*) AS n, round(round(avg(confidence), 4), 3) AS mean_confidence FROM a GROUP BY severity",
+    lambda t: stats.coverage_summary(t, STARTS),
+    _QUERIES["m01_coverage_audit"][1].replace("SELECT member_id, total, unique_days, severity, CAST(CASE", ", a AS (SELECT severity, CAST(CASE") + ") SELECT severity, count(*) AS n, round(avg(confidence), 3) AS mean_confidence FROM a GROUP BY severity",
 )
 add(
     "i04_members_reached",

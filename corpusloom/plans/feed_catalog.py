@@ -84,13 +84,14 @@ add(
 SELECT 'party' AS facet, party AS key, count(*) AS n FROM h GROUP BY party UNION ALL SELECT 'type', content_type, count(*) FROM h GROUP BY content_type""",
 )
 WORD_ROWS = "SELECT release_id, published_at, unnest(list_distinct(list_transform(string_split(lower(regexp_replace(coalesce(title, ''), '[^a-zA-Z ]', '', 'g')), ' '), lambda w: regexp_replace(w, 's$', '')))) AS word FROM visible"
-add(
-    "k02_trending_ytd",
-    lambda t: terms.trending(t, "ytd"),
-    f""", w AS ({WORD_ROWS}), c AS (SELECT word, count(*) FILTER (published_at >= TIMESTAMP '2026-01-01') AS recent_count, count(*) FILTER (published_at >= TIMESTAMP '2025-01-01' AND published_at < TIMESTAMP '2025-09-09') AS prior_count
+for prior_name, prior, prior_end in (("k02_trending_ytd", "same_calendar", "2025-04-27"), ("k02_trending_ytd_as_written", "as_written", "2025-09-09")):
+    add(
+        prior_name,
+        lambda t, prior=prior: terms.trending(t, "ytd", prior=prior),
+        f""", w AS ({WORD_ROWS}), c AS (SELECT word, count(*) FILTER (published_at >= TIMESTAMP '2026-01-01') AS recent_count, count(*) FILTER (published_at >= TIMESTAMP '2025-01-01' AND published_at < TIMESTAMP '{prior_end}') AS prior_count
   FROM w WHERE length(word) > 4 AND word NOT IN ({listed(terms.TREND_STOP)}) GROUP BY word)
 SELECT word, recent_count, prior_count, recent_count - prior_count AS delta FROM c WHERE recent_count >= 5 ORDER BY recent_count DESC, word LIMIT 30""",
-)
+    )
 add(
     "f01_type_map",
     lambda t: stats.type_map(t).select("member_id", F.array_join(F.transform(F.array_sort(F.map_entries("type_counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("type_counts")),
