@@ -1,17 +1,18 @@
 """Phrase collocation mining by dynamic itemset counting.
 
-The corpus is dealt to SHARDS shards of equal rows, which are scanned in a cycle, one a step. All words are counted from the
+The corpus is dealt to SHARDS shards of equal rows (as the hashes of their words, written once), which are scanned in a cycle, one a step. All words are counted from the
 first step on. A longer phrase becomes active as soon as both its subphrases (without its last, without its first word) have
 reached the threshold, in whatever step that happens; so lengths are interleaved, and pairs and triples are counted while words
 still are. A phrase is counted for one full cycle from the step after that, and is complete then. Scans end when no
 phrase is open, after at most one cycle for each length.
 
-* Which subphrases have reached the threshold, and which did so within the last cycle, is told to the scanning tasks by two bitmaps of
-  hashes, of BITMAP_BITS bits whatever the corpus. An occurrence is counted if both subphrases are in the first and one of them is in
-  the second. A wrong bit only makes a phrase be counted too early or too long.
-* Each step writes its counts (added up for some megabytes of text before they leave the task). Counts of the last SHARDS steps are
-  summed for each phrase: that window has each shard once, so the sum never exceeds the true count, and at the end of a phrase's cycle it is the
-  true count. A phrase's count is its largest sum, hence exact for every phrase that reaches the threshold.
+* While phrases are mined, a phrase is its 64-bit hash. Which subphrases have reached the threshold, and which did so within the last
+  cycle, is told to the scanning tasks by two bitmaps of hashes, of BITMAP_BITS bits whatever the corpus. An occurrence is counted if both
+  subphrases are in the first and one of them is in the second. A wrong bit only makes a phrase be counted too early or too long.
+* Each step writes (hash, count) of some megabytes of text at a time. Counts of the last SHARDS steps are summed for each hash: that window
+  has each shard once, so at the end of a phrase's cycle the sum is its true count, and more only where hashes are equal. So no frequent phrase is missed.
+* One last scan settles the phrases found: their occurrences are counted by their words, which leaves out those that only a shared hash or a
+  wrong bit let pass, so counts are exact.
 
 Scores, cuts and the rule on longer phrases then need only joins of frequent phrases with frequent phrases; frequent first or last
 words are dealt to salted parts, arithmetic is done in decimals of 38 digits.
@@ -24,6 +25,7 @@ or pieces; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, discard, holding, hot_keys, salted_join, shared_dir, small_batches, table, take, written, written_at
-from .neardup import C1, mix
+from .common import BATCH_ROWS, SALTS, discard, grouped, holding, hot_keys, salted_join, shared_dir, small_batches, table, take, written, written_at
+from .neardup import C1, HASHES, mix
 
 #: Shards of a cycle.
-SHARDS = 4
+SHARDS = 3
 #: Occurrences of a frequent phrase, and words of the longest ones.
 LEAST, LONGEST = 30, 4
 #: Phrases of a lang in the report.
@@ -48,8 +50,12 @@ BITMAP_BITS = 1 << 26
 #: Bytes of text that are counted together.
 COUNTED = 12 << 20
 
-STEP_SCHEMA = "lang string, size int, phrase string, hash long, n long"
+#: Words of the corpus for each part of the range of hashes; a task sums the counts of a part at a time.
+SUMMED = 2_000_000
+PACKED = "part int, hash binary, n binary"
 DECIMAL = "decimal(38,0)"
+#: The last two bits of a phrase's hash hold its number of words less one.
+SIZE_BITS = np.uint64(3)
 
 
 def has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -65,141 +71,191 @@ def factorized(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
-def counted_phrases(langs: pa.Array, texts: pa.Array, reached: np.ndarray, recent: np.ndarray, words: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of the active phrases of these texts, and of all their words if ``words``."""
+def words_of(langs: pa.Array, texts: pa.Array):
+    """Of the words of these texts in a row, with an empty one at least between pieces: (ids, texts' ends, names, homes), where ids are numbers
+    from 0 and -1 for the empty ones, and names and homes the word and the lang of each id."""
     # "." stands for the end of a piece. No word holds one.
-    text = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]", " . ")
+    text = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string())), r"[.,;:!?\x0A-\x0D]+", " . ")
     parts = pc.ascii_split_whitespace(text)
     coded = parts.flatten().dictionary_encode()
     vocabulary, at = coded.dictionary, coded.indices.to_numpy()
     lang = langs.dictionary_encode()
-    doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
-    ends = [i for i, w in enumerate(vocabulary.to_pylist()) if w in (".", "")]
-    word = ~np.isin(at, ends)
-    # Words of different langs are different.
-    ids, first = factorized(lang.indices.to_numpy()[doc].astype(np.int64) * len(vocabulary) + at)
-    names, homes = vocabulary.take(pa.array(at[first])).cast(pa.string()), lang.dictionary.take(pa.array(lang.indices.to_numpy()[doc[first]]))
-    seeds = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in lang.dictionary.to_pylist()}
-    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode(), seed=seeds[x]) for w, x in zip(names.to_pylist(), homes.to_pylist(), strict=True)], np.uint64)
-
-    def rows(size: int, members: list[np.ndarray], h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(n), 8192):
-            part = [names.take(pa.array(m[k : k + 8192])) for m in members]
-            phrase = pc.binary_join_element_wise(*part, " ") if size > 1 else part[0]
-            m = len(phrase)
-            yield pa.record_batch([homes.take(pa.array(members[0][k : k + 8192])), pa.array(np.full(m, size, np.int32)), phrase, pa.array(h[k : k + 8192].view(np.int64)), pa.array(n[k : k + 8192])], ["lang", "size", "phrase", "hash", "n"])
-
-    if words:
-        n = np.bincount(ids[word], minlength=len(hashes))
-        some = np.flatnonzero(n)
-        yield from rows(1, [some], hashes[some], n[some])
-    # Of the phrase of ``size`` words that begins at each token: whether there is one, its hash, and its bits.
-    there, h = word, hashes[ids]
-    ok = np.zeros(len(ids), bool)
-    new = ok.copy()
-    ok[there] = has(reached, h[there])
-    new[ok] = has(recent, h[ok])
-    for size in range(2, LONGEST + 1):
-        if len(ids) < size:
-            return
-        # Both subphrases are frequent, so all between are words of one piece if the first and the last are of one text.
-        both = ok[:-1] & ok[1:] & (doc[: len(ok) - 1] == doc[size - 1 :])
-        active = np.flatnonzero(both & (new[:-1] | new[1:]))
-        longer = np.zeros(len(both), np.uint64)
-        where = np.flatnonzero(both)
-        longer[where] = mix(h[where] * C1 + hashes[ids[where + size - 1]])
-        if len(active):
-            code = ids[active].astype(np.int64)
+    ends = parts.offsets.to_numpy()
+    empty = pc.is_in(vocabulary, pa.array([".", ""], vocabulary.type)).to_numpy(zero_copy_only=False)[at]
+    of = np.repeat(lang.indices.to_numpy(), np.diff(ends)).astype(np.int64)
+    ids, first = factorized(np.where(empty, -1, of * len(vocabulary) + at))
+    if empty.any():  # the number of the empty ones goes to the end and becomes -1
+        none = ids[empty.argmax()]
+        ids = np.where(ids == none, -1, ids - (ids > none))
+        first = np.delete(first, none)
+    return ids, ends, vocabulary.take(pa.array(at[first])).cast(pa.string()), lang.dictionary.take(pa.array(of[first]))
+
+
+def hashes_of(names: pa.Array, homes: pa.Array) -> np.ndarray:
+    """The hash of each word; it depends on the lang, and is never 0."""
+    holding("collocations", HASHES.clear)
+    lang = homes.dictionary_encode()
+    seeds = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lang.dictionary.to_pylist()], np.uint64)
+    words = np.fromiter(map(HASHES.__getitem__, names.to_pylist()), np.uint64, len(names))
+    return np.maximum(mix(words ^ seeds[lang.indices.to_numpy()]) & ~SIZE_BITS, np.uint64(4))
+
+
+def hashed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each text's words, 0 between pieces, as bytes of unsigned 64-bit integers, and how many they are."""
+    for b in blocks(batches):
+        ids, ends, names, homes = words_of(b["lang"], b["text"])
+        values = pa.py_buffer(np.append(hashes_of(names, homes), np.uint64(0))[ids])
+        for k in range(0, len(ends) - 1, BATCH_ROWS):
+            at = ends[k : k + BATCH_ROWS + 1].astype(np.int64)
+            part = pa.py_buffer(np.asarray(at - at[0], np.int32) * 8)
+            yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, part, values.slice(at[0] * 8, (at[-1] - at[0]) * 8)]), pa.array(np.diff(at))], ["words", "n_words"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The columns of the batches, COUNTED bytes at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= COUNTED:
+            yield {c: x.combine_chunks() for c, x in zip(b.schema.names, pa.Table.from_batches(held).columns, strict=True)}
+            held, n = [], 0
+    if n:
+        yield {c: x.combine_chunks() for c, x in zip(held[0].schema.names, pa.Table.from_batches(held).columns, strict=True)}
+
+
+def phrases(words: np.ndarray, ends: np.ndarray, reached: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, begin, hash, marked) for each size, of word hashes in a row: the phrases whose subphrases are all marked by the bitmap, and
+    at which words marked ones of that size begin."""
+    begin, n = np.flatnonzero(words), len(words)
+    follows = np.ones(n + 1, bool)  # whether a word is of the same text as the one before
+    follows[ends] = False
+    h = words[begin]
+    for size in range(1, LONGEST + 1):
+        marked = np.zeros(n + 1, bool)
+        marked[begin] = has(reached, h)
+        yield size, begin, h, marked
+        whole = np.zeros(n, np.uint64)
+        whole[begin] = h
+        begin = np.flatnonzero(marked[:n] & marked[1:] & follows[1:])
+        h = mix(whole[begin] * C1 + words[begin + size]) & ~SIZE_BITS | np.uint64(size)
+
+
+def packed(h: np.ndarray, n: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """Hashes, with their counts if any, as one row for each part of the range of hashes: (part, hash, n), the latter as bytes of 64-bit
+    integers. Millions of counts are then some rows to write and shuffle."""
+    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    present, start = np.unique(part[order], return_index=True)
+    edges = [*(8 * start).tolist(), 8 * len(h)]
+    cut = lambda x: pa.array([x[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary())
+    counts = pa.nulls(len(present), pa.binary()) if n is None else cut(n[order].tobytes())
+    return pa.record_batch([pa.array(present), cut(h[order].tobytes()), counts], ["part", "hash", "n"])
+
+
+def active_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray, recent: np.ndarray, all_words: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the active phrases, and of all words if ``all_words``, ``packed``."""
+    holding("collocations", HASHES.clear)
+    for b in blocks(batches):
+        words, new, counted = np.frombuffer(b"".join(b["words"].to_pylist()), np.uint64), None, []
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(b["words"]).to_numpy() // 8)])
+        for size, begin, h, _ in phrases(words, ends, reached):
+            counted.append((h if all_words else h[:0]) if size == 1 else h[new[begin] | new[begin + 1]])
+            new = np.zeros(len(words) + 1, bool)
+            new[begin] = has(recent, h)
+        found = pc.value_counts(pa.array(np.concatenate(counted)))
+        yield packed(found.field(0).to_numpy(), found.field(1).to_numpy(), parts)
+
+
+def reaching(batches: Iterator[pa.RecordBatch], least: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The hashes whose counts sum to ``least`` or more, ``packed``; those that come without counts are known and left out. Rows come sorted
+    by part."""
+    values = lambda x, kind: np.frombuffer(b"".join(x.drop_null().to_pylist()), kind)
+    for t in grouped(batches, ["part"]):
+        counts = t.filter(pc.is_valid(t["n"]))
+        sums = pa.table({"h": values(counts["hash"], np.uint64), "n": values(counts["n"], np.int64)}).group_by("h", use_threads=False).aggregate([("n", "sum")])
+        h = sums["h"].to_numpy()[sums["n_sum"].to_numpy() >= least]
+        yield packed(h[~np.isin(h, values(t.filter(pc.is_null(t["n"]))["hash"], np.uint64))], None, parts)
+
+
+def bits_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(word, bits, size) of a bitmap of ``width`` bits for each hash."""
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            h = np.frombuffer(raw, np.uint64)
+            at = h & np.uint64(width - 1)
+            bits = np.uint64(1) << (at & np.uint64(63))
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64)), pa.array((h & SIZE_BITS).astype(np.int32) + 1)], ["word", "bits", "size"])
+
+
+def settled_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, n) of the marked phrases by their words, and the number of all words of each lang as phrases of size 0."""
+    for b in blocks(batches):
+        ids, ends, names, homes = words_of(b["lang"], b["text"])
+        h = np.append(hashes_of(names, homes), np.uint64(0))[ids]
+        home, first = factorized(homes.dictionary_encode().indices.to_numpy())
+        n = np.bincount(home[ids[ids >= 0]], minlength=len(first))
+        yield pa.record_batch([homes.take(pa.array(first)), pa.array(np.zeros(len(first), np.int32)), pa.array([""] * len(first), pa.string()), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+        for size, begin, _, marked in phrases(h, ends, reached):
+            begin = begin[marked[begin]]
+            code = ids[begin].astype(np.int64)
             for k in range(1, size):
-                code, start = factorized(code.astype(np.int64) * len(hashes) + ids[active + k])
-            begin = active[start]
-            yield from rows(size, [ids[begin + k] for k in range(size)], longer[begin], np.bincount(code))
-        h = longer
-        ok = np.zeros(len(both), bool)
-        new = ok.copy()
-        ok[where] = has(reached, h[where])
-        new[ok] = has(recent, h[ok])
-
-
-def counted_step(shard: DataFrame, reached, recent, words: bool) -> DataFrame:
-    """Counts of a shard's active phrases, for each block of text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("collocations")
-        held, n = [], 0
-
-        def counts() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            return counted_phrases(t["lang"].combine_chunks(), t["text"].cast(pa.large_string()).combine_chunks(), reached.value, recent.value, words)
-
-        for b in batches:
-            held.append(b)
-            n += b.nbytes
-            if n >= COUNTED:
-                yield from counts()
-                held, n = [], 0
-        if n:
-            yield from counts()
-
-    return small_batches(shard).mapInArrow(run, STEP_SCHEMA)
-
-
-def dealt(docs: DataFrame, shards: int) -> tuple[DataFrame, str]:
-    """(lang, text, shard), written by shard: rows are dealt out in turn, so shards have equal rows."""
-    path = shared_dir(docs.sparkSession, "phrase-shards")
-    d = take(docs, "lang", "text").where("text is not null")
-    d = d.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    d.write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path), path
+                code = factorized(code.astype(np.int64) * len(names) + ids[begin + k])[0]
+            code, first = factorized(code)
+            n, begin = np.bincount(code, minlength=len(first)), begin[first]
+            for k in range(0, len(n), 8192):
+                at = begin[k : k + 8192]
+                parts = [names.take(pa.array(ids[at + i])) for i in range(size)]
+                phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+                yield pa.record_batch([homes.take(pa.array(ids[at])), pa.array(np.full(len(at), size, np.int32)), phrase, pa.array(n[k : k + 8192], pa.int64())], ["lang", "size", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, trace: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all phrases of up to LONGEST words with f >= least occurrences, and (lang, n), the number of all words.
     ``trace``, if given, gets the number of phrases of each length that reached the threshold in each step."""
     spark = docs.sparkSession
-    rows, folder = dealt(docs, shards)
-    bits, words_of_bitmap = BITMAP_BITS - 1, BITMAP_BITS // 64
+    texts = small_batches(take(docs, "lang", "text").where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
+    folder = shared_dir(spark, "phrase-shards")
+    rows = texts.mapInArrow(hashed_texts, "words binary, n_words long").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    rows.write.partitionBy("shard").parquet(folder)  # rows are dealt out in turn, so shards have equal rows
+    rows = spark.read.schema("words binary, n_words long, shard int").parquet(folder)
+    parts = (rows.agg(F.sum("n_words")).first()[0] or 0) // SUMMED + 1
     news: list[np.ndarray] = []
     steps: list[tuple[DataFrame, str]] = []
-    totals: list[DataFrame] = []
-    reached = np.zeros(words_of_bitmap, np.uint64)
+    totals: list[tuple[DataFrame, str]] = []
+    reached = np.zeros(BITMAP_BITS // 64, np.uint64)
     last = step = 0
-    n_words = None
     while step < shards or step <= last + shards:
         recent = np.bitwise_or.reduce(news[-shards:]) if news else reached
         told = [spark.sparkContext.broadcast(x) for x in (reached, recent)]
-        shard = rows.where(F.col("shard") == step % shards).select("lang", "text")
-        steps.append(written_at(counted_step(shard, *told, step < shards), "phrase-step"))
+        count = partial(lambda told, all_words, batches: active_phrases(batches, told[0].value, told[1].value, all_words, parts), told, step < shards)
+        steps.append(written_at(small_batches(rows.where(F.col("shard") == step % shards).select("words")).mapInArrow(count, PACKED), "phrase-step"))
         for x in told:
             x.destroy()
         if len(steps) > shards:
             discard(steps.pop(0)[1])
-        window = steps[0][0].withColumn("known", F.lit(False))
-        for df, _ in steps[1:]:
-            window = window.union(df.withColumn("known", F.lit(False)))
-        for df in totals:  # phrases that reached the threshold before are known
-            window = window.union(df.where("NOT known").select("lang", "size", "phrase", "hash", F.lit(0).cast("long").alias("n"), F.lit(True).alias("known")))
-        sums = window.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.max("hash").alias("hash"), F.sum("n").alias("n"), F.max("known").alias("known"))
-        totals.append(written(sums.where(F.col("n") >= least).select("lang", "size", "phrase", "hash", "n", "known"), "phrase-totals"))
-        if step == shards - 1:  # the window has every shard once
-            n_words = written(window.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
-        fresh = totals[-1].where(f"NOT known AND size < {LONGEST}").select((F.col("hash").bitwiseAND(bits)).alias("bit"))
-        packed = fresh.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-        new = np.zeros(words_of_bitmap, np.uint64)
-        new[packed["word"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
+        window = steps[0][0]
+        for df, _ in [*steps[1:], *totals]:  # phrases that reached the threshold before come without counts
+            window = window.union(df)
+        window = window.repartition(parts, "part").sortWithinPartitions("part")
+        totals.append(written_at(window.mapInArrow(lambda batches: reaching(batches, least, parts), PACKED), "phrase-totals"))
+        fresh = totals[-1][0].select("hash").mapInArrow(lambda batches, width=BITMAP_BITS: bits_of(batches, width), "word long, bits long, size int")
+        marks = fresh.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.min("size").alias("size")).toArrow()
+        new = np.zeros(BITMAP_BITS // 64, np.uint64)
+        new[marks["word"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
         news = [*news[1 - shards :], new] if shards > 1 else [new]
         reached = reached | new
-        if packed.num_rows:
+        if marks.num_rows and pc.min(marks["size"]).as_py() < LONGEST:
             last = step
         if trace is not None:
-            trace.append({r["size"]: r["count"] for r in totals[-1].where("NOT known").groupBy("size").count().collect()})
+            trace.append({r["size"]: r["count"] for r in fresh.groupBy("size").count().collect()})
         step += 1
-    discard(folder, *(path for _, path in steps))
-    found = totals[0]
-    for df in totals[1:]:
-        found = found.union(df)
-    found = found.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.max("n").alias("f"))
-    return written(found.select("lang", "size", "phrase", "f"), "frequent-phrases"), n_words
+    told = spark.sparkContext.broadcast(reached)
+    counts = texts.mapInArrow(lambda batches: settled_phrases(batches, told.value), "lang string, size int, phrase string, n long")
+    found = written(counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(f"f >= {least} OR size = 0"), "frequent-phrases")
+    told.destroy()
+    discard(folder, *(path for _, path in steps), *(path for _, path in totals))
+    return found.where("size > 0").select("lang", "size", "phrase", "f"), found.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def key_of(lang: str, phrase: str):
