@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..operators import checks, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.tables import VIEWS_SQL, Tables, days, ts
-from . import feed_catalog, site_catalog
+from . import feed_catalog, page_catalog, site_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -399,6 +399,7 @@ add("s09_activity_windows", lambda t: stats.per_period(t.activity, "week", ["mem
 
 _QUERIES.update(site_catalog.QUERIES)
 _QUERIES.update(feed_catalog.QUERIES)
+_QUERIES.update(page_catalog.QUERIES)
 
 
 def queries() -> dict[str, Query]:
