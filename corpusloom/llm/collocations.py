@@ -9,7 +9,7 @@ phrase is open, after at most one cycle for each length.
 * While phrases are mined, a phrase is its 64-bit hash. Which subphrases have reached the threshold, and which did so within the last
   cycle, is told to the scanning tasks by two bitmaps of hashes, of BITMAP_BITS bits whatever the corpus. An occurrence is counted if both
   subphrases are in the first and one of them is in the second. A wrong bit only makes a phrase be counted too early or too long.
-* Each step writes (hash, count) of some megabytes of text at a time. Counts of the last SHARDS steps are summed for each hash: that window
+* Each step writes (hash, count) of some megabytes at a time. Counts of the last SHARDS steps are summed for each hash: that window
   has each shard once, so at the end of a phrase's cycle the sum is its true count, and more only where hashes are equal. So no frequent phrase is missed.
 * One last scan settles the phrases found: their occurrences are counted by their words, which leaves out those that only a shared hash or a
   wrong bit let pass, so counts are exact.
@@ -47,11 +47,11 @@ REPORTED = 2000
 COVERED = 80
 #: Bits of a bitmap of phrases; a bound on what is broadcast.
 BITMAP_BITS = 1 << 26
-#: Bytes of text that are counted together.
-COUNTED = 12 << 20
+#: Bytes of text, and of words' hashes, that are counted together.
+TEXT_BYTES, HASH_BYTES = 4 << 20, 8 << 20
 
 #: Words of the corpus for each part of the range of hashes; a task sums the counts of a part at a time.
-SUMMED = 2_000_000
+SUMMED = 1_000_000
 PACKED = "part int, hash binary, n binary"
 DECIMAL = "decimal(38,0)"
 #: The last two bits of a phrase's hash hold its number of words less one.
@@ -102,7 +102,7 @@ def hashes_of(names: pa.Array, homes: pa.Array) -> np.ndarray:
 
 def hashed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes of each text's words, 0 between pieces, as bytes of unsigned 64-bit integers, and how many they are."""
-    for b in blocks(batches):
+    for b in blocks(batches, TEXT_BYTES):
         ids, ends, names, homes = words_of(b["lang"], b["text"])
         values = pa.py_buffer(np.append(hashes_of(names, homes), np.uint64(0))[ids])
         for k in range(0, len(ends) - 1, BATCH_ROWS):
@@ -111,15 +111,16 @@ def hashed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, part, values.slice(at[0] * 8, (at[-1] - at[0]) * 8)]), pa.array(np.diff(at))], ["words", "n_words"])
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
-    """The columns of the batches, COUNTED bytes at a time."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, pa.Array]]:
+    """The columns of the batches, ``size`` bytes at a time."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.nbytes
-        if n >= COUNTED:
+        if n >= size:
             yield {c: x.combine_chunks() for c, x in zip(b.schema.names, pa.Table.from_batches(held).columns, strict=True)}
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if n:
         yield {c: x.combine_chunks() for c, x in zip(held[0].schema.names, pa.Table.from_batches(held).columns, strict=True)}
 
@@ -156,7 +157,7 @@ def packed(h: np.ndarray, n: np.ndarray | None, parts: int) -> pa.RecordBatch:
 def active_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray, recent: np.ndarray, all_words: bool, parts: int) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases, and of all words if ``all_words``, ``packed``."""
     holding("collocations", HASHES.clear)
-    for b in blocks(batches):
+    for b in blocks(batches, HASH_BYTES):
         words, new, counted = np.frombuffer(b"".join(b["words"].to_pylist()), np.uint64), None, []
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(b["words"]).to_numpy() // 8)])
         for size, begin, h, _ in phrases(words, ends, reached):
@@ -190,7 +191,7 @@ def bits_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def settled_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, size, phrase, n) of the marked phrases by their words, and the number of all words of each lang as phrases of size 0."""
-    for b in blocks(batches):
+    for b in blocks(batches, TEXT_BYTES):
         ids, ends, names, homes = words_of(b["lang"], b["text"])
         h = np.append(hashes_of(names, homes), np.uint64(0))[ids]
         home, first = factorized(homes.dictionary_encode().indices.to_numpy())
