@@ -119,6 +119,14 @@ def stem(word: str) -> str:
     return without_ending(w, r1, r2).replace("Y", "y")
 
 
+def light_lexemes(text: str | None) -> dict[str, list[int]]:
+    """The light analyser's terms of a text with their places, as ``columns.terms`` gives them."""
+    found: dict[str, list[int]] = {}
+    for i, m in enumerate(WORD.finditer((text or "").lower())):
+        found.setdefault(m[0].removesuffix("s"), []).append(i)
+    return found
+
+
 def lexemes(text: str | None) -> dict[str, list[int]]:
     """The stems of a text with their places, from 0; stop words have a place and no entry."""
     found: dict[str, list[int]] = {}

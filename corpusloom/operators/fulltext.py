@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +14,14 @@ from ..functions.english import lexemes
 BATCH = 50_000
 
 
-def postings(releases: DataFrame) -> DataFrame:
+def postings(releases: DataFrame, analyze: Callable[[str | None], dict[str, list[int]]] = lexemes) -> DataFrame:
     """(term, release_id, positions) of titles and bodies. A text's postings are grouped inside its row, so nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             terms, ids, at = [], [], []
             for i, x in enumerate(b.column(1)):
-                found = lexemes(x.as_py())
+                found = analyze(x.as_py())
                 terms += found
                 ids += [b.column(0)[i].as_py()] * len(found)
                 at += found.values()
@@ -33,24 +33,28 @@ def postings(releases: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "term string, release_id long, positions array<int>")
 
 
-def write_postings(releases: DataFrame, path: str) -> None:
+def write_postings(releases: DataFrame, path: str, analyze: Callable = lexemes) -> None:
     """Postings as Parquet in ranges of (term, release_id): a frequent term spreads over several files, and a search for a term reads
     the row groups whose bounds hold it."""
-    postings(releases).repartitionByRange("term", "release_id").sortWithinPartitions("term", "release_id").write.mode("overwrite").parquet(path)
+    write_sorted(postings(releases, analyze), path)
+
+
+def write_sorted(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("term", "release_id").sortWithinPartitions("term", "release_id").write.mode("overwrite").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def wanted(words: list[str]) -> list[str]:
+def wanted(words: list[str], analyze: Callable = lexemes) -> list[str]:
     """The stems of a query's words, without stop words."""
-    return list(lexemes(" ".join(words)))
+    return list(analyze(" ".join(words)))
 
 
-def has_phrase(at: Column, phrase: str) -> Column:
+def has_phrase(at: Column, phrase: str, analyze: Callable = lexemes) -> Column:
     """Whether a phrase's terms are found as far from each other as in the phrase; ``at`` maps terms to positions."""
-    (first, start), *rest = sorted(((t, i) for t, places in lexemes(phrase).items() for i in places), key=lambda x: x[1])
+    (first, start), *rest = sorted(((t, i) for t, places in analyze(phrase).items() for i in places), key=lambda x: x[1])
     starts = F.coalesce(at[first], F.array().cast("array<int>"))
 
     def begins(p: Column) -> Column:
@@ -62,14 +66,17 @@ def has_phrase(at: Column, phrase: str) -> Column:
     return F.exists(starts, begins)
 
 
-def search(index: DataFrame, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), phrase: str = "") -> DataFrame:
+def search(index: DataFrame, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), phrase: str = "", analyze: Callable = lexemes) -> DataFrame:
     """(release_id) of the releases that hold all, any and none of the words, and the phrase. Words are analysed as texts are; those
-    that are only stop words ask for nothing, and a query that asks for nothing finds nothing."""
-    every, some, never, inside = wanted(all_of), wanted(any_of), wanted(none_of), wanted([phrase])
+    that are only stop words ask for nothing, and a query that asks for nothing finds nothing. Repeated rows of a release count as one text."""
+    every, some, never, inside = (wanted(words, analyze) for words in (all_of, any_of, none_of, [phrase]))
     asked = [*every, *some, *inside]
     rows = index.where(F.col("term").isin([*asked, *never]) if asked else F.lit(False))
-    # One row a release and term of the query, so a group holds no more rows than the query has terms.
-    r = rows.groupBy("release_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    # A group holds a row for each term of the query, and more only where rows of a release differ.
+    r = rows.groupBy("release_id").agg(F.collect_set(F.struct("term", "positions")).alias("found"))
+    places = lambda t: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("found", lambda x: x["term"] == t), lambda x: x["positions"]))))
+    terms = F.array_distinct(F.transform("found", lambda x: x["term"]))
+    r = r.select("release_id", F.map_from_entries(F.transform(terms, lambda t: F.struct(t.alias("term"), places(t).alias("positions")))).alias("at"))
     has = lambda t: F.map_contains_key("at", t)
     for t in every:
         r = r.where(has(t))
@@ -78,14 +85,14 @@ def search(index: DataFrame, all_of: list[str] = (), any_of: list[str] = (), non
     for t in never:
         r = r.where(~has(t))
     if inside:
-        r = r.where(has_phrase(F.col("at"), phrase))
+        r = r.where(has_phrase(F.col("at"), phrase, analyze))
     return r.select("release_id")
 
 
-def rank(index: DataFrame, word: str, k: int) -> DataFrame:
+def rank(index: DataFrame, word: str, k: int, analyze: Callable = lexemes) -> DataFrame:
     """(release_id, hits, score): the best k releases for one word, 0.1 * sum of 1/j^2 over its hits, scaled."""
     score = F.aggregate(F.sequence(F.lit(1), F.col("hits")), F.lit(0.0), lambda s, j: s + 0.1 / (j.cast("double") * j)) / 1.64493406685
-    r = index.where(F.col("term").isin(wanted([word]))).select("release_id", F.size("positions").alias("hits"))
+    r = index.where(F.col("term").isin(wanted([word], analyze))).select("release_id", F.size("positions").alias("hits"))
     return r.select("release_id", "hits", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "release_id").limit(k)
 
 

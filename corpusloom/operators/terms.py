@@ -188,10 +188,11 @@ def headlines(t: Tables, wanted: list[str], fragments: int = 2, longest: int = 1
     return r.select("release_id", F.array_join(F.transform(picked, marked), " … ").alias("snippet"))
 
 
-def facets(t: Tables, term: str, party: str | None = None, kind: str | None = None) -> DataFrame:
+def facets(t: Tables, term: str, party: str | None = None, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """(facet, key, n) of a search; each facet leaves out its own filter and keeps the others. The filters are flags, so all
-    facets come from one pass."""
-    r = search(t, all_of=[term]).where(F.col("deleted_at").isNull() & (F.col("content_type") != "photo_release")).join(active(t.members), "member_id")
+    facets come from one pass. With an ``index`` (postings), texts aren't read."""
+    found = search(t, all_of=[term]) if index is None else t.releases.join(index.where(F.col("term") == term).select("release_id").distinct(), "release_id", "left_semi")
+    r = found.where(F.col("deleted_at").isNull() & (F.col("content_type") != "photo_release")).join(active(t.members), "member_id")
     p = F.lit(True) if party is None else F.col("party") == party
     c = F.lit(True) if kind is None else F.col("content_type") == kind
     rows = F.array_compact(
@@ -204,8 +205,13 @@ def facets(t: Tables, term: str, party: str | None = None, kind: str | None = No
     return r.select(F.explode(rows).alias("x")).groupBy("x.facet", "x.key").agg(n().alias("n"))
 
 
-def hits(t: Tables, wanted: list[str]) -> DataFrame:
-    """(term, release columns) of the visible releases that hold each of several terms: one scan for all terms."""
+def hits(t: Tables, wanted: list[str], index: DataFrame | None = None) -> DataFrame:
+    """(term, release columns) of the visible releases that hold each of several terms: one scan for all terms, of the postings if there is
+    an ``index``, so that texts aren't read."""
+    if index is not None:
+        of = index.where(F.col("term").isin(wanted)).select("release_id", "term").distinct()
+        v = visible(t.releases).where(F.col("published_at") >= ts(WINDOW_START)).select("release_id", "member_id", "published_at", "title")
+        return v.join(of, "release_id")
     have = C.terms(F.concat_ws(" ", "title", "body_text"))
     v = visible(t.releases).where(F.col("published_at") >= ts(WINDOW_START))
     text = F.lower(F.concat_ws(" ", "title", "body_text"))
@@ -213,31 +219,31 @@ def hits(t: Tables, wanted: list[str]) -> DataFrame:
     return v.select("release_id", "member_id", "published_at", "title", F.explode(F.array_intersect(F.array(*[F.lit(w) for w in wanted]), have)).alias("term"))
 
 
-def term_counts_by_member(t: Tables, term: str) -> DataFrame:
+def term_counts_by_member(t: Tables, term: str, index: DataFrame | None = None) -> DataFrame:
     """Active members with the number of their releases that hold a term, zeros included."""
-    per = hits(t, [term]).groupBy("member_id").agg(n().alias("n"))
+    per = hits(t, [term], index).groupBy("member_id").agg(n().alias("n"))
     return active(t.members).select("member_id").join(per, "member_id", "left").select("member_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def term_series(t: Tables, wanted: list[str]) -> DataFrame:
-    return per_period(hits(t, wanted), "week", ["term"])
+def term_series(t: Tables, wanted: list[str], index: DataFrame | None = None) -> DataFrame:
+    return per_period(hits(t, wanted, index), "week", ["term"])
 
 
-def series_matrix(t: Tables, wanted: list[str]) -> DataFrame:
+def series_matrix(t: Tables, wanted: list[str], index: DataFrame | None = None) -> DataFrame:
     """Weeks by terms, zeros filled."""
-    return term_series(t, wanted).groupBy("week").pivot("term", wanted).agg(F.sum("n")).na.fill(0)
+    return term_series(t, wanted, index).groupBy("week").pivot("term", wanted).agg(F.sum("n")).na.fill(0)
 
 
-def term_timeline(t: Tables, term: str, k: int = 5) -> DataFrame:
+def term_timeline(t: Tables, term: str, k: int = 5, index: DataFrame | None = None) -> DataFrame:
     """The k weeks with most hits, each with its earliest release."""
-    h = hits(t, [term]).withColumn("week", F.to_date(F.date_trunc("week", "published_at")))
+    h = hits(t, [term], index).withColumn("week", F.to_date(F.date_trunc("week", "published_at")))
     top = h.groupBy("week").agg(n().alias("n")).orderBy(F.desc("n"), "week").limit(k)
     first = F.row_number().over(Window.partitionBy("week").orderBy("published_at", "release_id"))
     return h.join(top, "week").withColumn("rn", first).where("rn = 1").select("week", "n", "release_id")
 
 
-def topic_owners(t: Tables, wanted: list[str], k: int = 3) -> DataFrame:
+def topic_owners(t: Tables, wanted: list[str], k: int = 3, index: DataFrame | None = None) -> DataFrame:
     """The k members with most releases that hold each term."""
-    per = hits(t, wanted).join(active(t.members, "senate").select("member_id"), "member_id").groupBy("term", "member_id").agg(n().alias("n"))
+    per = hits(t, wanted, index).join(active(t.members, "senate").select("member_id"), "member_id").groupBy("term", "member_id").agg(n().alias("n"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("n"), "member_id"))
     return per.withColumn("rank", rank).where(F.col("rank") <= k)
