@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.english import lexemes
+from ..functions.headline import headline
 
 #: Postings of an Arrow batch, at about most.
 BATCH = 50_000
@@ -89,6 +90,19 @@ def search(index: DataFrame, all_of: list[str] = (), any_of: list[str] = (), non
     return r.select("release_id")
 
 
+def headlines(releases: DataFrame, index: DataFrame, words: list[str], k: int = 25, analyze: Callable = lexemes) -> DataFrame:
+    """(release_id, snippet) of the k releases (a page of results) with all words, the newest first: only their bodies are read for snippets."""
+    found = search(index, all_of=words, analyze=analyze)
+    page = releases.join(found, "release_id", "left_semi").orderBy(F.col("published_at").desc_nulls_last(), "release_id").limit(k)
+    terms = wanted(words, analyze)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([headline(t, terms, analyze) for t in b.column(1).to_pylist()], pa.string())], ["release_id", "snippet"])
+
+    return page.select("release_id", "body_text").mapInArrow(run, "release_id long, snippet string")
+
+
 def rank(index: DataFrame, word: str, k: int, analyze: Callable = lexemes) -> DataFrame:
     """(release_id, hits, score): the best k releases for one word, 0.1 * sum of 1/j^2 over its hits, scaled."""
     score = F.aggregate(F.sequence(F.lit(1), F.col("hits")), F.lit(0.0), lambda s, j: s + 0.1 / (j.cast("double") * j)) / 1.64493406685

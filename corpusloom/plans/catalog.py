@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.english import light_lexemes
+from ..functions.lexer import typed_lexemes
 from ..operators import checks, fulltext, index, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.folders import shared_folder
@@ -273,6 +274,10 @@ add_indexed("d10_index_matrix", "d10_series_matrix", lambda t, x: terms.series_m
 add_indexed("d11_index_timeline", "d11_term_timeline", lambda t, x: terms.term_timeline(t, TERMS[0], index=x))
 add_indexed("d12_index_owners", "d12_topic_owners", lambda t, x: terms.topic_owners(t, TERMS, index=x))
 
+# Typed tokens and covers: no SQL states them, tests hold them against brute force.
+add("d01_typed_postings", lambda t: fulltext.postings(t.releases, typed_lexemes).withColumn("positions", F.array_join("positions", ",")), "")
+add("d05_cover_headlines", lambda t: fulltext.headlines(t.releases, maintained_index(t), TERMS[:2], analyze=light_lexemes), "")
+
 # ---------------------------------------------------------------- audits
 
 add(
