@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Small words of titles, named entities, nicknames.
@@ -154,3 +155,48 @@ def migration_stamped(published: Column, modified: Column, day: str) -> Column:
 def numbered_slug(url: Column) -> Column:
     """Whether an address ends in -N, as a copy's does."""
     return url.rlike(r"-\d+/?$")
+
+
+# Letters with marks (U+00C0 to U+017F) and the letters below them.
+MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+#: The stages by which a name is resolved, the surest first.
+STAGES = ["id", "name", "plain", "no_suffix", "last_name"]
+
+
+def without_marks(text: Column) -> Column:
+    return F.translate(text, "".join(MARKED), "".join(MARKED.values()))
+
+
+def without_suffix(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, r"(?i),?\s*\b(jr\.?|sr\.?|iii|ii|iv)$", ""))
+
+
+def name_keys(full_name: Column, entity_id: Column | None = None) -> Column:
+    """array of struct(stage, key) by which a name is known; a name that is asked for also has the stage ``no_suffix``, and its id is
+    given, while a known one has the ids that its words make: last-first, and rest-first for more than two words."""
+    lower = F.lower(F.trim(F.regexp_replace(full_name, r"\s+", " ")))
+    plain = without_marks(lower)
+    bare = without_suffix(plain)
+    words = F.split(plain, " ")
+    made = F.array(F.concat_ws("-", F.element_at(words, -1), F.get(words, F.lit(0))), F.concat_ws("-", F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), "-"), F.get(words, F.lit(0))))
+    ids = F.array(F.lower(entity_id)) if entity_id is not None else F.when(F.size(words) > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    as_stage = lambda k, keys: F.transform(keys, lambda x: F.struct(F.lit(k).alias("stage"), x.alias("key")))
+    last = F.element_at(F.split(bare if entity_id is not None else plain, " "), -1)
+    all_keys = F.concat(as_stage(0, ids), as_stage(1, F.array(lower)), as_stage(2, F.array(plain)), as_stage(3, F.array(bare if entity_id is not None else plain)), as_stage(4, F.array(last)))
+    return F.filter(all_keys, lambda x: x["key"].isNotNull() & (x["key"] != ""))
+
+
+def resolve_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(ask_id, known_id, stage) of every row of ``asked`` (ask_id, entity_id, full_name): the one entity of ``known`` (known_id, full_name) that it means, by the
+    first stage at which exactly one fits; nulls where none does. A key that fits several at a stage decides nothing there.
+
+    All stages are one join on (stage, key), whose known side has each key once. Repeated rows of ``known`` count as one entity; repeated
+    rows of ``asked`` give one row; null names and ids have no keys."""
+    keys = known.select("known_id", F.explode(name_keys(F.col("full_name"))).alias("k")).select("known_id", "k.stage", "k.key")
+    sure = keys.groupBy("stage", "key").agg(F.min("known_id").alias("known_id"), F.max("known_id").alias("other")).where("known_id = other").drop("other")
+    wanted = asked.select("ask_id", F.explode_outer(name_keys(F.col("full_name"), F.coalesce("entity_id", F.lit("")))).alias("k")).select("ask_id", "k.stage", "k.key")
+    first = wanted.join(sure, ["stage", "key"], "left").groupBy("ask_id").agg(F.min(F.when(F.col("known_id").isNotNull(), F.struct("stage", "known_id"))).alias("x"))
+    stage = F.when(F.col("x.stage") == 0, STAGES[0])
+    for k, name in enumerate(STAGES[1:], 1):
+        stage = stage.when(F.col("x.stage") == k, name)
+    return first.select("ask_id", "x.known_id", stage.alias("stage"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import AS_OF, WINDOW_START, Tables, days, ts
+from .nearest import nearest_in_time
 
 # Content types that a feed accepts as a filter.
 FEED_TYPES = ["press_release", "statement", "op_ed", "blog", "letter", "floor_statement", "presidential_action"]
@@ -188,6 +189,13 @@ def runs_summary(t: Tables) -> DataFrame:
     return t.runs.select("run_id", "run_type", k.alias("k"), seconds.alias("seconds"))
 
 
+def related_swept(t: Tables, k: int) -> DataFrame:
+    """``related`` by a sweep: rows are sent once, however many lie within a day of each other."""
+    at = F.unix_timestamp(F.col("published_at").cast("timestamp"))
+    v = visible(t.releases).where("published_at is not null").join(active(t.members), "member_id").select("release_id", "member_id", "chamber", at.alias("at"))
+    return nearest_in_time(v, k)
+
+
 def related(t: Tables, k: int) -> DataFrame:
     """For each visible release of an active member, the k nearest in time (24 h at most) of other members of its chamber. An
     equi-join on chamber and day bucket, each row being sent to three days, instead of a join by a range."""

@@ -60,6 +60,38 @@ add(
 )
 
 
+def _text_names(t: Tables) -> DataFrame:
+    """The name that a text's first words make: two words, or three for every third text."""
+    words = F.slice(F.expr("regexp_extract_all(lower(body_text), '[a-zà-ÿ]+', 0)"), 1, F.when(F.col("release_id") % 3 == 0, 3).otherwise(2))
+    return t.releases.select("release_id", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ").alias("name"), words.alias("w"))
+
+
+def _asked_names(t: Tables) -> DataFrame:
+    """Each name as another source writes it, by turns: its id, in capitals, without marks, with a suffix, under another first name."""
+    n, i = _text_names(t), F.col("release_id")
+    plain = N.without_marks(F.lower("name"))
+    entity = F.when(i % 5 == 0, F.concat_ws("-", F.element_at(F.split(plain, " "), -1), F.get(F.split(plain, " "), F.lit(0))))
+    name = F.when(i % 5 == 0, "").when(i % 5 == 1, F.upper("name")).when(i % 5 == 2, plain).when(i % 5 == 3, F.concat(plain, F.lit(", Jr."))).otherwise(F.concat(F.lit("Zzyzx "), F.element_at(F.split(plain, " "), -1)))
+    return n.where("size(w) > 1").select(i.alias("ask_id"), entity.alias("entity_id"), name.alias("full_name"))
+
+
+add(
+    "b24_resolved_names",
+    lambda t: N.resolve_names(_asked_names(t), _text_names(t).where("size(w) > 1").select(F.col("release_id").alias("known_id"), F.col("name").alias("full_name"))),
+    r""", w AS (SELECT release_id, regexp_extract_all(lower(body_text), '[a-zà-ÿ]+')[1 : CASE WHEN release_id % 3 = 0 THEN 3 ELSE 2 END] AS w FROM releases),
+  n AS (SELECT release_id, array_to_string(w, ' ') AS lower, strip_accents(array_to_string(w, ' ')) AS plain, list_transform(w, lambda x: strip_accents(x)) AS p FROM w WHERE len(w) > 1),
+  ks AS (SELECT release_id AS id, unnest([{'s': 0, 'k': p[len(p)] || '-' || p[1]}, {'s': 0, 'k': array_to_string(p[2:], '-') || '-' || p[1]}, {'s': 1, 'k': lower}, {'s': 2, 'k': plain}, {'s': 3, 'k': plain}, {'s': 4, 'k': p[len(p)]}]) AS kk FROM n),
+  sure AS (SELECT kk.s AS s, kk.k AS k, min(id) AS id FROM ks GROUP BY ALL HAVING count(DISTINCT id) = 1),
+  a AS (SELECT release_id AS ask_id, unnest(CASE release_id % 5 WHEN 0 THEN [{'s': 0, 'k': p[len(p)] || '-' || p[1]}]
+    WHEN 1 THEN [{'s': 1, 'k': lower}, {'s': 2, 'k': plain}, {'s': 3, 'k': regexp_replace(plain, '\s*\b(jr|sr|iii|ii|iv)$', '')}, {'s': 4, 'k': string_split(trim(regexp_replace(plain, '\s*\b(jr|sr|iii|ii|iv)$', '')), ' ')[-1]}]
+    WHEN 2 THEN [{'s': 1, 'k': plain}, {'s': 2, 'k': plain}, {'s': 3, 'k': regexp_replace(plain, '\s*\b(jr|sr|iii|ii|iv)$', '')}, {'s': 4, 'k': string_split(trim(regexp_replace(plain, '\s*\b(jr|sr|iii|ii|iv)$', '')), ' ')[-1]}]
+    WHEN 3 THEN [{'s': 1, 'k': plain || ', jr.'}, {'s': 2, 'k': plain || ', jr.'}, {'s': 3, 'k': plain}, {'s': 4, 'k': p[len(p)]}]
+    ELSE [{'s': 1, 'k': 'zzyzx ' || p[len(p)]}, {'s': 2, 'k': 'zzyzx ' || p[len(p)]}, {'s': 3, 'k': 'zzyzx ' || p[len(p)]}, {'s': 4, 'k': p[len(p)]}] END) AS kk FROM n),
+  f AS (SELECT ask_id, min({'s': sure.s, 'id': sure.id}) FILTER (sure.id IS NOT NULL) AS x FROM a LEFT JOIN sure ON sure.s = a.kk.s AND sure.k = a.kk.k GROUP BY ask_id)
+  SELECT ask_id, x.id AS known_id, ['id', 'name', 'plain', 'no_suffix', 'last_name'][x.s + 1] AS stage FROM f""",
+)
+
+
 def _laid_out(t: Tables) -> DataFrame:
     """Texts with a word a line for the first two dozen words of every third document, and end marks."""
     x = F.col("body_text")
