@@ -143,6 +143,40 @@ def live_vs_corpus(t: Tables, observed: DataFrame, start: str = WINDOW_START) ->
     return m.select("member_id", "stored", "live", delta.alias("delta"), verdict.alias("verdict"), F.array_join(F.array_compact(flags), ",").alias("flags"))
 
 
+#: Child pages that are read where a section's own page has no date in the window.
+CHILDREN = 5
+
+
+def shown_dates(html: Column) -> Column:
+    """struct(method, days) of the first method with a date: ``time`` elements (attribute or text), elements with ``date`` in their class, dates
+    with a month's name anywhere. Each day once."""
+    text = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{4}"
+    days_of = lambda found: F.array_distinct(F.filter(F.transform(found, lambda x: C.parse_date_text(x)["value"]), lambda d: d.isNotNull()))
+    stamps = F.regexp_extract_all(html, F.lit(r"""(?is)<time\b[^>]*?datetime\s*=\s*["']?([^"'\s>]+)"""), 1)
+    times = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*>(.*?)</time>"), 1), lambda x: C.html_to_text(x))
+    classed = F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<[a-z0-9]+\b[^>]*?class\s*=\s*(?:"[^"]*date[^"]*"|'[^']*date[^']*'|[^\s"'>]*date[^\s"'>]*)[^>]*>(.*?)</"""), 1), lambda x: C.html_to_text(x))
+    steps = [("time", days_of(F.concat(stamps, times))), ("class", days_of(classed)), ("text", days_of(F.regexp_extract_all(html, F.lit(text), 0)))]
+    return F.coalesce(*[F.when(F.size(d) > 0, F.struct(F.lit(m).alias("method"), d.alias("days"))) for m, d in steps])
+
+
+def section_dates(sections: DataFrame, children: DataFrame, start: str = WINDOW_START) -> DataFrame:
+    """(section, method, n_dates, in_window, latest) of each section's page; where it has no date from ``start`` on, of its first CHILDREN
+    child pages together, if these have one (method ``child:`` and theirs). Nulls and zeros where no page has a date.
+
+    sections: section, html, one row each. children: section, pos, html. Child pages are read of the sections that need them only."""
+    since = F.lit(start).cast("date")
+    own = sections.select("section", shown_dates(F.col("html")).alias("d")).withColumn("fits", F.coalesce(F.exists("d.days", lambda x: x >= since), F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("section").orderBy("pos"))
+    read = children.join(own.where("NOT fits").select("section"), "section", "left_semi").withColumn("n", first).where(F.col("n") <= CHILDREN)
+    found = read.select("section", "pos", shown_dates(F.col("html")).alias("d")).where("d is not null")
+    below = found.groupBy("section").agg(F.min_by("d.method", "pos").alias("child_method"), F.array_distinct(F.flatten(F.collect_list("d.days"))).alias("child_days"))
+    both = own.join(below, "section", "left")
+    turned = ~F.col("fits") & F.coalesce(F.exists("child_days", lambda x: x >= since), F.lit(False))
+    method = F.when(turned, F.concat(F.lit("child:"), F.col("child_method"))).otherwise(F.col("d.method"))
+    chosen = F.when(turned, F.col("child_days")).otherwise(F.coalesce("d.days", F.array().cast("array<date>")))
+    return both.select("section", method.alias("method"), chosen.alias("days")).select("section", "method", F.size("days").alias("n_dates"), F.size(F.filter("days", lambda x: x >= since)).alias("in_window"), F.array_max("days").alias("latest"))
+
+
 def section_recency(rows: DataFrame, start: str = WINDOW_START) -> DataFrame:
     """(section, n_dates, in_window, latest) of the numbered dates (M/D/YYYY or ISO) in the texts of each section of a site.
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import recon
 from ..sources import listings
 from ..sources.tables import Tables
 
@@ -139,3 +140,28 @@ add(
   SELECT page_id, first || ' ' || last AS name, [{", ".join(f"'{x}'" for x in STAFF_TITLES)}][(page_id // 4) % 4 + 1] AS title, lower(first) || '@x.example.org' AS email, '2025550100' AS phone, CASE WHEN page_id % 4 = 3 THEN 'name_title' ELSE 'card' END AS method FROM x
   UNION ALL SELECT page_id, NULL, 'Press Office', 'press@office.example.org', NULL, 'office_address' FROM pages WHERE page_id % 3 = 0""",
 )
+
+
+#: Each dozen pages as a section: the first is its own page, the others its child pages; three of four pages say a date, by turns in three ways.
+DOZEN = 12
+SECTION_DAY = "date_add(DATE'2025-01-01', cast(page_id * 37 % 400 as int))"
+
+
+def _section_pages(t: Tables) -> DataFrame:
+    kind = (F.floor(F.col("page_id") / DOZEN) + F.col("page_id")) % 4
+    shown = F.expr(f"date_format({SECTION_DAY}, 'MMMM d, yyyy')")
+    said = F.when(kind == 0, F.concat(F.lit("<time class=x datetime='"), F.expr(f"cast({SECTION_DAY} as string)"), F.lit("'>then</time>"))).when(kind == 1, F.concat(F.lit("<p class='post-date'><b>"), shown, F.lit("</b></p>"))).when(kind == 2, F.concat(F.lit("<p>Said on "), shown, F.lit("</p>"))).otherwise("")
+    return t.pages.select(F.floor(F.col("page_id") / DOZEN).alias("section"), (F.col("page_id") % DOZEN).alias("pos"), F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), said)).alias("html"))
+
+
+add(
+    "f37_section_dates",
+    lambda t: recon.section_dates(_section_pages(t).where("pos = 0"), _section_pages(t).where("pos > 0"), "2025-11-01"),
+    """, x AS (SELECT page_id // 12 AS section, page_id % 12 AS pos, (page_id // 12 + page_id) % 4 AS kind, DATE '2025-01-01' + CAST(page_id * 37 % 400 AS INT) AS day FROM pages),
+  o AS (SELECT section, kind, day FROM x WHERE pos = 0),
+  c AS (SELECT section, arg_min(kind, pos) AS kind, list_distinct(list(day)) AS days FROM x WHERE pos BETWEEN 1 AND 5 AND kind < 3 GROUP BY section),
+  j AS (SELECT o.section, CASE WHEN o.kind < 3 THEN [o.day] ELSE [] END AS own, o.kind AS own_kind, c.kind AS child_kind, c.days AS child_days,
+    NOT (o.kind < 3 AND o.day >= DATE '2025-11-01') AND coalesce(list_max(c.days) >= DATE '2025-11-01', false) AS turned FROM o LEFT JOIN c ON c.section = o.section),
+  k AS (SELECT section, CASE WHEN turned THEN 'child:' || ['time', 'class', 'text'][child_kind + 1] ELSE ['time', 'class', 'text', NULL][own_kind + 1] END AS method, CASE WHEN turned THEN child_days ELSE own END AS days FROM j)
+  SELECT section, method, CAST(len(days) AS INT) AS n_dates, CAST(len(list_filter(days, lambda d: d >= DATE '2025-11-01')) AS INT) AS in_window, list_max(days) AS latest FROM k""",
+)
