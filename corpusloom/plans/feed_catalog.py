@@ -194,7 +194,7 @@ add("b20_url_window", lambda t: _urls(t).select("page_id", feeds.url_window(F.co
 add(
     "b19_skip_sections",
     lambda t: _urls(t).select("page_id", F.lower(F.regexp_extract("url", r"^[^:/]+://[^/?#]*([^?#]*)", 1)).rlike(recon.SKIPPED).alias("skipped")),
-    f"{URL_SQL} SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1)), {listed([recon.SKIPPED])}) AS skipped FROM urls",
+    f"{URL_SQL} SELECT page_id, len(list_filter([{listed(recon.SKIP_SECTIONS)}], lambda piece: contains(path, piece))) > 0 OR regexp_matches(path, '^/(19|20)[0-9]{{2}}(/[0-9]{{1,2}})?/*$') AS skipped FROM (SELECT page_id, lower(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1)) AS path FROM urls)",
 )
 add("b18_all_section_labels", lambda t: _urls(t).groupBy(C.section_label(C.section_of_url(F.col("url"))).alias("label")).agg(stats.n().alias("n")), f"{URL_SQL} SELECT {LABEL} AS label, count(*) AS n FROM (SELECT {SECTION} AS section FROM urls) GROUP BY 1")
 add(
