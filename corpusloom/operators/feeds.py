@@ -213,6 +213,49 @@ def repair_candidates(t: Tables) -> DataFrame:
     return r.select("kind", "release_id", "member_id")
 
 
+def repair_kinds(releases: DataFrame, members: DataFrame, start: str = WINDOW_START, short: int = 50, sure: float = 0.9) -> DataFrame:
+    """(kind, release_id, member_id) of live releases to repair, by all four kinds: ``null_date``; ``no_body`` (none or a short one);
+    ``weak_date`` (from ``start`` on, of no known source, from an address, or below the confidence ``sure``); ``document_body`` (press releases of the
+    state senate that are a PDF or a press.php page, without a body).
+
+    releases: release_id, member_id, url, published_at, body_text, content_type, deleted_at, date_source, confidence. Nulls of a source or
+    confidence are weak; an unknown member has no chamber."""
+    empty = F.coalesce(F.length("body_text"), F.lit(0)) < short
+    weak = F.coalesce(F.col("published_at") >= ts(start), F.lit(False)) & (F.col("date_source").isNull() | (F.col("date_source") == "url_path") | F.coalesce(F.col("confidence") < sure, F.lit(False)))
+    url = F.lower(F.coalesce("url", F.lit("")))
+    document = (F.col("chamber") == "tx_senate") & (F.col("content_type") == "press_release") & (url.endswith(".pdf") | url.contains("press.php")) & empty
+    r = releases.where("deleted_at is null").join(members.select("member_id", "chamber"), "member_id", "left")
+    kinds = F.array(F.when(F.col("published_at").isNull(), "null_date"), F.when(empty, "no_body"), F.when(weak, "weak_date"), F.when(document, "document_body"))
+    return r.select("release_id", "member_id", F.explode(F.array_compact(kinds)).alias("kind")).select("kind", "release_id", "member_id")
+
+
+def ranked_feed(t: Tables, index: DataFrame, term: str, number: int = 1, size: int = 25) -> DataFrame:
+    """(release_id, score, day): a page of the feed's releases with a term, by rank, then the newest first. The term's postings decide; texts
+    aren't read."""
+    score = F.aggregate(F.sequence(F.lit(1), F.col("hits")), F.lit(0.0), lambda s, j: s + 0.1 / (j.cast("double") * j)) / 1.64493406685
+    hits = index.where(F.col("term") == term).select("release_id", F.size("positions").alias("hits"))
+    at = C.effective_date(F.col("published_at"), F.col("scraped_at"))
+    rows = visible(t.releases).select("release_id", "member_id", at.alias("at")).join(active(t.members).select("member_id"), "member_id").join(hits, "release_id")
+    rows = rows.select("release_id", F.round(score, 9).alias("score"), "at")
+    return rows.orderBy(F.desc("score"), F.col("at").desc_nulls_last(), "release_id").offset((number - 1) * size).limit(size).select("release_id", "score", F.to_date("at").alias("day"))
+
+
+def offenders(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """(check_id, n_offenders) of the corpus checks: how many live releases, or members, each is about, in one pass over the releases."""
+    live, at = F.col("deleted_at").isNull(), F.col("published_at")
+    wrong = {
+        "q05_short_titles": F.coalesce(F.length(F.trim("title")), F.lit(0)) < 5,
+        "q07_undated": at.isNull(),
+        "q08_dates_out_of_range": (at < ts("2010-01-01 00:00:00")) | (at > ts(as_of) + days(60)),
+        "q09_future_dates": (at > ts(as_of) + days(1)) & (at <= ts(as_of) + days(60)),
+        "q21_no_body": F.coalesce(F.length("body_text"), F.lit(0)) <= 100,
+    }
+    one = t.releases.agg(*[F.count_if(live & c).alias(k) for k, c in wrong.items()])
+    silent = active(t.members).join(t.releases.where(live).select("member_id").distinct(), "member_id", "left_anti").agg(n().alias("q03_silent_members"))
+    both = one.crossJoin(F.broadcast(silent))  # one row each
+    return both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(k).alias("n_offenders")) for k in [*wrong, "q03_silent_members"]])).alias("x")).select("x.*")
+
+
 def source_candidates(sources: DataFrame, method: str = "httpx") -> DataFrame:
     """(source_id) of the sources of a method whose selectors are missing or known to be too wide. sources: source_id,
     collection_method, selectors (JSON)."""

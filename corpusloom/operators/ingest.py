@@ -58,6 +58,20 @@ def restored(tombs: DataFrame, checks: DataFrame) -> DataFrame:
     return tombs.join(last, "url").where("status = 200").select("url")
 
 
+def append_probes(probes: DataFrame, path: str, run_id: str) -> None:
+    """Append a run's probes to the log, in a folder for the run and folders for days below it. A run that is repeated replaces its own rows, so
+    each counts once."""
+    days = probes.withColumn("day", F.to_date("checked_at"))
+    days.write.mode("overwrite").partitionBy("day").parquet(f"{path}/run_id={run_id}")
+
+
+def newest_probes(log: DataFrame, since: str) -> DataFrame:
+    """The newest probe of each member from a day on; only the folders of those days are read. Ties go to the larger probe_id."""
+    names = [c for c in log.columns if c not in ("member_id", "day", "run_id")]
+    rows = log.where(F.col("day") >= F.lit(since).cast("date"))
+    return rows.groupBy("member_id").agg(F.max_by(F.struct(*names), F.struct("checked_at", "probe_id")).alias("x")).select("member_id", "x.*")
+
+
 def edited_batch(t: Tables) -> DataFrame:
     """A batch derived from the releases: every second one, a third of them under a new url, a fifth edited."""
     hash_ = C.content_hash(F.col("body_text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.english import light_lexemes
 from ..functions.lexer import typed_lexemes
-from ..operators import checks, fulltext, index, ingest, lookups, stats, terms
+from ..operators import checks, feeds, fulltext, index, ingest, lookups, stats, terms
 from ..sources import html
 from ..sources.folders import shared_folder
 from ..sources.tables import VIEWS_SQL, Tables, days, ts
@@ -275,6 +275,12 @@ add_indexed("d10_index_matrix", "d10_series_matrix", lambda t, x: terms.series_m
 add_indexed("d11_index_timeline", "d11_term_timeline", lambda t, x: terms.term_timeline(t, TERMS[0], index=x))
 add_indexed("d12_index_owners", "d12_topic_owners", lambda t, x: terms.topic_owners(t, TERMS, index=x))
 
+add(
+    "h01_feed_by_rank",
+    lambda t: feeds.ranked_feed(t, maintained_index(t), TERMS[0], 2, 20),
+    f"""SELECT release_id, round(list_sum(list_transform(range(1, hits + 1), lambda j: 0.1 / (j * j))) / 1.64493406685, 9) AS score, CAST(seen AS DATE) AS day FROM (
+  SELECT release_id, least(published_at, scraped_at) AS seen, len(list_filter({HAVE}, lambda w: w = '{TERMS[0]}')) AS hits FROM {JOINED}) WHERE hits > 0 ORDER BY score DESC, seen DESC NULLS LAST, release_id LIMIT 20 OFFSET 20""",
+)
 # Typed tokens and covers: no SQL states them, tests hold them against brute force.
 add("d01_typed_postings", lambda t: fulltext.postings(t.releases, typed_lexemes).withColumn("positions", F.array_join("positions", ",")), "")
 add("d05_cover_headlines", lambda t: fulltext.headlines(t.releases, maintained_index(t), TERMS[:2], analyze=light_lexemes), "")

@@ -221,6 +221,32 @@ FROM k GROUP BY section HAVING count(*) >= 3""",
 
 # ---------------------------------------------------------------- repairs, runs, alerts, edits
 
+def _dated_releases(t: Tables) -> DataFrame:
+    """The releases with an address, a date's source and confidence, and shortened bodies, by their ids."""
+    i = F.col("release_id")
+    url = F.concat(F.lit("https://x.example.org/"), i.cast("string"), F.when(i % 4 == 0, ".PDF").when(i % 4 == 1, "/press.php?id=1").otherwise(""))
+    body = F.when(i % 10 != 3, F.substring(F.col("body_text"), F.lit(1), (40 + i % 5 * 5000).cast("int")))
+    source = F.when(i % 6 == 0, None).when(i % 6 == 1, "url_path").when(i % 6 == 2, "meta_tag").otherwise("page_text")
+    return t.releases.withColumns({"url": url, "body_text": body, "date_source": source, "confidence": F.when(i % 6 == 3, 0.5).when(i % 6 == 4, None).otherwise(0.95)})
+
+
+add(
+    "c05_repair_kinds",
+    lambda t: feeds.repair_kinds(_dated_releases(t), t.members),
+    """, d AS (SELECT *, 'https://x.example.org/' || release_id || CASE WHEN release_id % 4 = 0 THEN '.PDF' WHEN release_id % 4 = 1 THEN '/press.php?id=1' ELSE '' END AS url, CASE WHEN release_id % 10 = 3 THEN NULL ELSE left(body_text, 40 + CAST(release_id % 5 AS INT) * 5000) END AS body,
+    CASE release_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'url_path' WHEN 2 THEN 'meta_tag' ELSE 'page_text' END AS date_source, CASE WHEN release_id % 6 = 3 THEN 0.5 WHEN release_id % 6 = 4 THEN NULL ELSE 0.95 END AS confidence FROM releases WHERE deleted_at IS NULL)
+  SELECT 'null_date' AS kind, release_id, member_id FROM d WHERE published_at IS NULL UNION ALL SELECT 'no_body', release_id, member_id FROM d WHERE body IS NULL OR length(body) < 50
+  UNION ALL SELECT 'weak_date', release_id, member_id FROM d WHERE published_at >= TIMESTAMP '2025-01-01' AND (date_source IS NULL OR date_source = 'url_path' OR confidence < 0.9)
+  UNION ALL SELECT 'document_body', release_id, d.member_id FROM d JOIN members m ON m.member_id = d.member_id AND m.chamber = 'tx_senate' WHERE content_type = 'press_release' AND (lower(url) LIKE '%.pdf' OR url LIKE '%press.php%') AND (body IS NULL OR length(body) < 50)""",
+)
+add(
+    "q_offenders",
+    feeds.offenders,
+    """, o AS (SELECT count(*) FILTER (coalesce(length(trim(title)), 0) < 5) AS q05_short_titles, count(*) FILTER (published_at IS NULL) AS q07_undated, count(*) FILTER (published_at < TIMESTAMP '2010-01-01' OR published_at > TIMESTAMP '2026-06-25') AS q08_dates_out_of_range,
+    count(*) FILTER (published_at > TIMESTAMP '2026-04-27' AND published_at <= TIMESTAMP '2026-06-25') AS q09_future_dates, count(*) FILTER (coalesce(length(body_text), 0) <= 100) AS q21_no_body,
+    (SELECT count(*) FROM members WHERE status = 'active' AND member_id NOT IN (SELECT member_id FROM releases WHERE deleted_at IS NULL)) AS q03_silent_members FROM releases WHERE deleted_at IS NULL)
+  SELECT check_id, n_offenders FROM (UNPIVOT o ON COLUMNS(*) INTO NAME check_id VALUE n_offenders)""",
+)
 add(
     "c05_repair_candidates",
     feeds.repair_candidates,
