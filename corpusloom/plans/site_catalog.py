@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -189,6 +189,27 @@ add(
     lambda t: sites.titles_homogeneous(t.releases.select(F.col("member_id").alias("feed_id"), "title")),
     r"SELECT member_id AS feed_id, NOT coalesce(bool_or(regexp_matches(lower(title), '\bnewsletter\b|\bweek in review\b|\bweekly (update|roundup|recap)\b|\bpodcast\b|^\s*episode [0-9]+|\bin the news\b')), false) AND coalesce(avg(length(title)), 0) >= 15 AS homogeneous FROM releases GROUP BY member_id",
 )
+def _feed_items(t: Tables) -> DataFrame:
+    """The releases as items of feeds: two for each member, in order of ids, with whole bodies as markup and the status of some links."""
+    i = F.col("release_id")
+    feed = F.col("member_id") * 2 + F.floor(i / 150) % 2
+    pos = F.row_number().over(Window.partitionBy(feed).orderBy("release_id")) - 1
+    status = F.when(i % 7 != 0, F.when(i % 4 == 0, 404).otherwise(200))
+    return t.releases.select("member_id", feed.alias("feed_id"), pos.alias("pos"), "title", "published_at", F.concat(F.lit("<p>"), F.regexp_replace("body_text", "[<>&]", " "), F.lit("</p>")).alias("body"), status.alias("link_status"))
+
+
+add(
+    "a05_best_feeds",
+    lambda t: sites.best_feeds(_feed_items(t), AS_OF).select("member_id", "feed_id", "n_items", F.round("dated_share", 6).alias("dated_share"), "span_days", "stale_days", "mean_body", "full_bodies", "eligible", F.array_join("reasons", ", ").alias("reasons")),
+    r""", i AS (SELECT *, member_id * 2 + (release_id // 150) % 2 AS feed_id, length(trim(regexp_replace(regexp_replace(coalesce(body_text, ''), '[<>&]', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS chars, CASE WHEN release_id % 7 <> 0 THEN CASE WHEN release_id % 4 = 0 THEN 404 ELSE 200 END END AS status FROM releases),
+  p AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY release_id) <= 3 AS top FROM i),
+  f AS (SELECT member_id, feed_id, count(*) AS n_items, round(count(published_at) / count(*), 6) AS dated_share, date_diff('day', CAST(min(published_at) AS DATE), CAST(max(published_at) AS DATE)) AS span_days, date_diff('day', CAST(max(published_at) AS DATE), DATE '2026-04-26') AS stale_days,
+    CAST(floor(avg(chars) FILTER (top)) AS BIGINT) AS mean_body, coalesce(bool_or(regexp_matches(lower(title), '\bnewsletter\b|\bweek in review\b|\bweekly (update|roundup|recap)\b|\bpodcast\b|^\s*episode [0-9]+|\bin the news\b')) FILTER (top), false) AS odd, avg(length(title)) FILTER (top) AS title_length,
+    count(status) FILTER (top) AS checked, count(*) FILTER (top AND status = 200) AS ok FROM p GROUP BY ALL),
+  b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY n_items DESC, coalesce(span_days, 0) DESC, feed_id) = 1),
+  r AS (SELECT *, concat_ws(', ', CASE WHEN n_items < 10 THEN 'few items' END, CASE WHEN dated_share < 0.9 THEN 'undated items' END, CASE WHEN stale_days IS NULL THEN 'no dates' WHEN stale_days > 90 THEN 'stale' END, CASE WHEN odd THEN 'other titles' WHEN title_length < 15 THEN 'short titles' END, CASE WHEN checked = 0 THEN 'no links checked' WHEN ok < 2 THEN 'dead links' END) AS reasons FROM b)
+  SELECT member_id, feed_id, n_items, dated_share, span_days, stale_days, mean_body, mean_body >= 200 AS full_bodies, reasons = '' AS eligible, reasons FROM r""",
+)
 add(
     "a13_source_health",
     lambda t: recon.source_health(t.probes.select("member_id", F.col("probe_id").alias("ord"), "url_status", "items_found", F.when(F.col("url_status") != 200, F.concat(F.lit("probe "), F.col("probe_id").cast("string"))).alias("error"))),

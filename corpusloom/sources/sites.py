@@ -118,6 +118,45 @@ def titles_homogeneous(titles: DataFrame) -> DataFrame:
     return titles.groupBy("feed_id").agg((~F.coalesce(F.bool_or(odd), F.lit(False)) & (F.coalesce(F.avg(F.length("title")), F.lit(0.0)) >= 15)).alias("homogeneous"))
 
 
+# What makes a feed fit for daily use.
+MIN_ITEMS, MIN_DATED, MAX_STALE_DAYS, MIN_LINKS_OK, FULL_BODY = 10, 0.9, 90, 2, 200
+
+
+def best_feeds(items: DataFrame, as_of: str) -> DataFrame:
+    """(member_id, feed_id, n_items, dated_share, span_days, stale_days, mean_body, full_bodies, eligible, reasons): each member's best feed (most items,
+    then the longest span, then the smallest id), and why it isn't fit for daily use, if it isn't. Bodies, titles and links are judged
+    by a feed's first three items.
+
+    items: member_id, feed_id, pos (from 0), title, published_at, body, link_status. A null status was not checked; null titles and bodies are
+    empty. All measures come from one aggregation, and the best feed from another over one row for each feed."""
+    at, first = F.col("published_at"), F.col("pos") < 3
+    title = F.when(first, F.coalesce("title", F.lit("")))
+    odd = F.bool_or(first & F.lower(F.coalesce("title", F.lit(""))).rlike("|".join(ODD_TITLES)))
+    per = items.groupBy("member_id", "feed_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        (F.count(at) / F.count(F.lit(1))).alias("dated_share"),
+        F.datediff(F.max(at), F.min(at)).alias("span_days"),
+        F.datediff(F.lit(as_of).cast("date"), F.max(at)).alias("stale_days"),
+        F.floor(F.avg(F.when(first, F.length(C.html_to_text(F.coalesce("body", F.lit(""))))))).alias("mean_body"),
+        odd.alias("odd_title"),
+        F.avg(F.length(title)).alias("title_length"),
+        F.count(F.when(first, F.col("link_status"))).alias("checked"),
+        F.count_if(first & (F.col("link_status") == 200)).alias("links_ok"),
+    )
+    row = F.struct(*[c for c in per.columns if c != "member_id"])
+    best = per.groupBy("member_id").agg(F.max_by(row, F.struct("n_items", F.coalesce("span_days", F.lit(0)), -F.col("feed_id"))).alias("x")).select("member_id", "x.*")
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("n_items") < MIN_ITEMS, "few items"),
+            F.when(F.col("dated_share") < MIN_DATED, "undated items"),
+            F.when(F.col("stale_days").isNull(), "no dates").when(F.col("stale_days") > MAX_STALE_DAYS, "stale"),
+            F.when(F.col("odd_title"), "other titles").when(F.col("title_length") < 15, "short titles"),
+            F.when(F.col("checked") == 0, "no links checked").when(F.col("links_ok") < MIN_LINKS_OK, "dead links"),
+        )
+    )
+    return best.select("member_id", "feed_id", "n_items", "dated_share", "span_days", "stale_days", "mean_body", (F.col("mean_body") >= FULL_BODY).alias("full_bodies"), (F.size(reasons) == 0).alias("eligible"), reasons.alias("reasons"))
+
+
 def sitemap_urls(maps: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(root, url, lastmod) of the addresses that sitemaps list; an index (``<sitemapindex``) stands for its children (the first
     ``most`` of them, if given; a crawler is polite with 30), as far as they end in .xml and are among ``maps``, to SITEMAP_DEPTH.

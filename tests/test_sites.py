@@ -134,3 +134,19 @@ def test_sitemap_index_is_read_whole(spark):
     roots = spark.createDataFrame([("i.xml",)], "map_url string")
     assert {r.url for r in sites.sitemap_urls(maps, roots).collect()} == {f"https://h/{i}" for i in range(40)}
     assert {r.url for r in sites.sitemap_urls(maps, roots, 30).collect()} == {f"https://h/{i}" for i in range(30)}
+
+
+def test_best_feeds(spark):
+    import datetime
+
+    day = lambda k: datetime.datetime(2026, 4, 1) - datetime.timedelta(days=k)
+    good = [(1, 10, k, f"A title of some length {k}", day(k), "<p>" + "x" * 300, 200) for k in range(12)]
+    worse = [(1, 11, k, "Podcast", None, None, None) for k in range(11)]
+    none = [(2, 20, 0, None, None, None, 404)]
+    rows = spark.createDataFrame(good + worse + none, "member_id long, feed_id long, pos int, title string, published_at timestamp_ntz, body string, link_status int")
+    got = {r.member_id: r for r in sites.best_feeds(rows, "2026-04-26").collect()}
+    assert (got[1].feed_id, got[1].eligible, got[1].reasons, got[1].span_days, got[1].stale_days, got[1].mean_body, got[1].full_bodies) == (10, True, [], 11, 25, 300, True)
+    assert got[2].reasons == ["few items", "undated items", "no dates", "short titles", "dead links"] and not got[2].eligible
+    only = {r.member_id: r.reasons for r in sites.best_feeds(rows.where("feed_id = 11"), "2026-04-26").collect()}
+    assert only == {1: ["undated items", "no dates", "other titles", "no links checked"]}
+    assert sites.best_feeds(rows.where("false"), "2026-04-26").count() == 0
