@@ -167,9 +167,12 @@ def bad_url_reason(url: Column, government: list[str] = GOVERNMENT, social: list
     )
 
 
-def url_window(url: Column, lastmod: Column | None = None, start: str = WINDOW_START) -> Column:
-    """in, pre or undated, by the year in an address's path, else by its last modification."""
-    by = F.when(url.rlike("/202[56]/"), "in").when(url.rlike("/20(0[0-9]|1[0-9]|2[0-4])/"), "pre")
+def url_window(url: Column, lastmod: Column | None = None, start: str = WINDOW_START, as_of: str = AS_OF) -> Column:
+    """in, pre or undated, by a year of this century in an address's path (from the start's year to now's; before it), else by its last
+    modification."""
+    years = F.transform(F.regexp_extract_all(url, F.lit("/(20[0-9]{2})(?=/)"), 1), lambda y: y.cast("int"))
+    first, last = int(start[:4]), int(as_of[:4])
+    by = F.when(F.exists(years, lambda y: y.between(first, last)), "in").when(F.exists(years, lambda y: y < first), "pre")
     if lastmod is None:
         return by.otherwise("undated")
     return by.when(lastmod.isNull(), "undated").when(lastmod >= F.lit(start[:10]).cast("date"), "in").otherwise("pre")
@@ -177,7 +180,7 @@ def url_window(url: Column, lastmod: Column | None = None, start: str = WINDOW_S
 
 def sitemap_sections(urls: DataFrame, least: int = 3, samples: int = 3) -> DataFrame:
     """(section, label, n, in_window, pre_window, undated, sample, category) of the sections with at least so many addresses. urls: url,
-    lastmod. The sample: the smallest addresses; they are kept by a bounded aggregate."""
+    lastmod. The sample: the smallest addresses, of which a window keeps so many a section."""
     window = url_window(F.col("url"), F.col("lastmod"))
     s = urls.select(C.section_of_url(F.col("url")).alias("section"), "url", window.alias("w"))
     first = F.row_number().over(Window.partitionBy("section").orderBy("url"))

@@ -191,6 +191,12 @@ add(
 )
 WINDOW_SQL = "CASE WHEN regexp_matches(url, '/202[56]/') THEN 'in' WHEN regexp_matches(url, '/20(0[0-9]|1[0-9]|2[0-4])/') THEN 'pre' WHEN lastmod IS NULL THEN 'undated' WHEN lastmod >= DATE '2025-01-01' THEN 'in' ELSE 'pre' END"
 add("b20_url_window", lambda t: _urls(t).select("page_id", feeds.url_window(F.col("url"), F.col("lastmod")).alias("span")), f"{URL_SQL} SELECT page_id, {WINDOW_SQL} AS span FROM urls")
+add(
+    "b20_url_window_of_2023",
+    lambda t: _urls(t).select("page_id", feeds.url_window(F.concat("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/"), (F.col("page_id") % 8 + 2019).cast("string"), F.lit("/x"))).otherwise("")), F.col("lastmod"), "2023-06-01", "2024-12-31").alias("span")),
+    f"""{URL_SQL} SELECT page_id, CASE WHEN regexp_matches(u, '/202[34]/') THEN 'in' WHEN regexp_matches(u, '/20([01][0-9]|2[0-2])/') THEN 'pre' WHEN lastmod IS NULL THEN 'undated' WHEN lastmod >= DATE '2023-06-01' THEN 'in' ELSE 'pre' END AS span
+  FROM (SELECT *, url || CASE WHEN page_id % 3 = 0 THEN '/' || (page_id % 8 + 2019) || '/x' ELSE '' END AS u FROM urls)""",
+)
 add(
     "b19_skip_sections",
     lambda t: _urls(t).select("page_id", F.lower(F.regexp_extract("url", r"^[^:/]+://[^/?#]*([^?#]*)", 1)).rlike(recon.SKIPPED).alias("skipped")),
