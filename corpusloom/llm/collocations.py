@@ -38,7 +38,7 @@ from .common import BATCH_ROWS, SALTS, discard, grouped, holding, hot_keys, salt
 from .neardup import C1, HASHES, mix
 
 #: Shards of a cycle.
-SHARDS = 3
+SHARDS = 2
 #: Occurrences of a frequent phrase, and words of the longest ones.
 LEAST, LONGEST = 30, 4
 #: Phrases of a lang in the report.
@@ -48,7 +48,7 @@ COVERED = 80
 #: Bits of a bitmap of phrases; a bound on what is broadcast.
 BITMAP_BITS = 1 << 26
 #: Bytes of text, and of words' hashes, that are counted together.
-TEXT_BYTES, HASH_BYTES = 4 << 20, 8 << 20
+TEXT_BYTES, HASH_BYTES = 6 << 20, 8 << 20
 
 #: Words of the corpus for each part of the range of hashes; a task sums the counts of a part at a time.
 SUMMED = 1_000_000
