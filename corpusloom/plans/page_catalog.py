@@ -165,3 +165,13 @@ add(
   k AS (SELECT section, CASE WHEN turned THEN 'child:' || ['time', 'class', 'text'][child_kind + 1] ELSE ['time', 'class', 'text', NULL][own_kind + 1] END AS method, CASE WHEN turned THEN child_days ELSE own END AS days FROM j)
   SELECT section, method, CAST(len(days) AS INT) AS n_dates, CAST(len(list_filter(days, lambda d: d >= DATE '2025-11-01')) AS INT) AS in_window, list_max(days) AS latest FROM k""",
 )
+
+add(
+    "b35_stream_links",
+    lambda t: listings.navigation_links(t.pages).select("page_id", "label", "href", recon.stream_of_label(F.col("label"), F.col("href")).alias("category")),
+    """, k AS (SELECT page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+  l AS (SELECT page_id, url, unnest(regexp_extract_all(nav, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(nav, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(nav, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)))) AS pos FROM k),
+  d AS (SELECT page_id, pos, replace(replace(replace(trim(label), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS label, regexp_extract(url, '^[^:/]+://[^/?#]*') || replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM l),
+  e AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(regexp_replace(regexp_replace(href, '#.*$', ''), '/+$', '')) ORDER BY pos) AS rn FROM d WHERE length(label) BETWEEN 1 AND 40)
+  SELECT page_id, label, href, CAST(NULL AS VARCHAR) AS category FROM e WHERE rn = 1""",
+)

@@ -199,6 +199,39 @@ def joined(base: str | None, href: str) -> str:
         return href
 
 
+# ---------------------------------------------------------------- links of a site's navigation
+
+# Fixed value: where a page's navigation is; all links stand in where it has fewer than NAV_LINKS there.
+NAVIGATION = "nav a, header a, .menu a, #menu a, .navigation a, .nav a"
+NAV_LINKS, LONGEST_LABEL = 5, 40
+
+
+def navigation_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, label, href) of the links in a page's navigation (menus and headers in any markup, labels in any elements inside): labels of at
+    most LONGEST_LABEL characters, addresses of the page's own host (or one below it) as absolute ones, each once without its fragment and last slash,
+    in any case of letters; the first wins. pages: page_id, url, html."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page_id, url, html in zip(b.page_id, b.url, b.html, strict=True):
+                page = Page(html)
+                links = page.select(NAVIGATION)
+                links = links if len(links) >= NAV_LINKS else page.select("a")
+                for a in links:
+                    label, href = " ".join(a.text(" ").split()), (a.attrs.get("href") or "").strip()
+                    if 0 < len(label) <= LONGEST_LABEL and href and not re.match(r"(?i)#|mailto:|tel:|javascript:", href):
+                        rows.append((page_id, a.place, label, joined(url, href), url))
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "label", "href", "url"], dtype=object)
+
+    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, label string, href string, url string")
+    host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"^[^:/?#]+://([^/?#:]*)", 1)), "^www\\.", "")
+    own = (host(F.col("href")) == host(F.col("url"))) | F.endswith(host(F.col("href")), F.concat(F.lit("."), host(F.col("url"))))
+    plain = F.lower(F.regexp_replace(F.regexp_replace("href", "#.*$", ""), "/+$", ""))
+    first = found.where(own & (host(F.col("url")) != "")).groupBy("page_id", plain.alias("plain")).agg(F.min_by(F.struct("pos", "label", "href"), "pos").alias("x"))
+    return first.select("page_id", "x.pos", "x.label", "x.href")
+
+
 # ---------------------------------------------------------------- publication dates
 
 

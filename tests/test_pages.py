@@ -128,3 +128,10 @@ def test_contacts(spark):
     assert contacts(spark, "<a href='mailto:PRESS@a.gov'>x</a> media@b.gov media@b.com") == [(None, "Press Office", "media@b.gov", None, "office_address"), (None, "Press Office", "press@a.gov", None, "office_address")]
     assert contacts(spark, "<li>Press Secretary<li>UNITED STATES Digital Director") == [] and contacts(spark, None) == [] and contacts(spark, "") == []
     assert contacts(spark, "<div class=staff>" + "<li>x</li>" * 3000 + "</div>") == []
+
+
+def test_navigation_in_any_markup(spark):
+    html = "<div class='menu'>" + "".join(f"<a class=x href='{h}'><b>{t}</b> <i>more</i></a>" for h, t in [("/a/", "One"), ("/A#top", "Again"), ("https://www.x.gov/b", "Two"), ("https://sub.x.gov/c", "Three"), ("https://y.gov/d", "Else"), ("mailto:a@x.gov", "Mail"), ("#here", "Here"), ("/long", "L" * 50)]) + "</div><p><a href='/body'>no menu</a></p>"
+    df = spark.createDataFrame([(1, "https://x.gov/home/", html), (2, "https://x.gov/", "<p><a href='z'>only</a></p>"), (3, None, html), (4, "https://x.gov/", None)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.pos, r.label, r.href) for r in listings.navigation_links(df).collect())
+    assert [(i, label, href) for i, _, label, href in got] == [(1, "One more", "https://x.gov/a/"), (1, "Two more", "https://www.x.gov/b"), (1, "Three more", "https://sub.x.gov/c"), (2, "only", "https://x.gov/z")]
