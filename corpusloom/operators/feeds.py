@@ -68,6 +68,20 @@ def directory_orders(t: Tables) -> DataFrame:
     return m.select("member_id", place(F.desc("n")).alias("by_count"), place("state").alias("by_state"), place().alias("by_name"), place(rank, F.desc("n")).alias("by_party"))
 
 
+# Parties in the order of a state's roster.
+ROSTER_PARTIES = {"D": 0, "R": 1, "I": 2}
+
+
+def roster_page(t: Tables, roster: DataFrame, order: str, k: int = 50) -> DataFrame:
+    """(place, member_id, district, n_releases): the first k of a roster (``roster_with_counts``) in one of its orders: district, count, name or party.
+    Ties go by district, then id. A sort and a limit: no window holds the roster."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ROSTER_PARTIES.items() for x in kv])[F.col("party")], F.lit(9))
+    by = {"district": [], "count": [F.desc("n_releases")], "name": [F.asc("full_name")], "party": [rank]}[order]
+    r = roster.join(t.members.select("member_id", "full_name", "party"), "member_id")
+    first = r.orderBy(*by, "district", "member_id").limit(k)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*by, "district", "member_id"))).select("place", "member_id", "district", "n_releases")
+
+
 def rank_display(rows: DataFrame, value: str, key: str) -> DataFrame:
     """Adds ``place`` (1, 2, ...) and ``bar``: the percentage of the largest value, 2 at least, 0 where all are 0."""
     top = F.max(value).over(Window.partitionBy())
@@ -259,6 +273,20 @@ def offenders(t: Tables, as_of: str = AS_OF) -> DataFrame:
     return both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(k).alias("n_offenders")) for k in [*wrong, "q03_silent_members"]])).alias("x")).select("x.*")
 
 
+def contact_summary(pages: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(outcome, n_pages, n_contacts): pages with a named contact (``found``), with addresses only (``email_only``), and with none (``not_found``)."""
+    per = contacts.groupBy("page_id").agg(n().alias("c"), F.count("name").alias("named"), F.count("email").alias("mails"))
+    outcome = F.when(F.col("named") > 0, "found").when(F.col("mails") > 0, "email_only").otherwise("not_found")
+    return pages.select("page_id").join(per, "page_id", "left").groupBy(outcome.alias("outcome")).agg(n().alias("n_pages"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_contacts"))
+
+
+def feed_summary(members: DataFrame, best: DataFrame) -> DataFrame:
+    """(method, has_feed, eligible, n): active members by how they are collected, whether they have a feed, and whether their best one fits. best: as
+    ``best_feeds`` gives it."""
+    m = active(members).join(best.select("member_id", "eligible"), "member_id", "left")
+    return m.groupBy(F.coalesce("collection_method", F.lit("none")).alias("method"), F.col("eligible").isNotNull().alias("has_feed"), F.coalesce("eligible", F.lit(False)).alias("eligible")).agg(n().alias("n"))
+
+
 def source_candidates(sources: DataFrame, method: str = "httpx") -> DataFrame:
     """(source_id) of the sources of a method whose selectors are missing or known to be too wide. sources: source_id,
     collection_method, selectors (JSON)."""

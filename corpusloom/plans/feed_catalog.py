@@ -113,6 +113,12 @@ def _roster(t: Tables) -> DataFrame:
 
 ROSTER_SQL = f", ids AS ({IDS}), roster AS (SELECT i.member_id, coalesce(TRY_CAST(json_extract_string(config, '$.district') AS INT), TRY_CAST(nullif(regexp_extract(handle, '^tx-d([0-9]{{2}})-', 1), '') AS INT), 0) AS district, count(v.release_id) AS n_releases FROM ids i LEFT JOIN visible v ON v.member_id = i.member_id GROUP BY ALL)"
 add("f14_roster_with_counts", lambda t: feeds.roster_with_counts(t, _roster(t)), f"{ROSTER_SQL} SELECT * FROM roster")
+for order, by in (("district", ""), ("count", "n_releases DESC, "), ("name", "full_name, "), ("party", "CASE party WHEN 'D' THEN 0 WHEN 'R' THEN 1 WHEN 'I' THEN 2 ELSE 9 END, ")):
+    add(
+        f"h09_roster_by_{order}",
+        lambda t, order=order: feeds.roster_page(t, feeds.roster_with_counts(t, _roster(t)), order),
+        f"{ROSTER_SQL} SELECT CAST(row_number() OVER (ORDER BY {by}district, r.member_id) AS INT) AS place, r.member_id, district, n_releases FROM roster r JOIN members m ON m.member_id = r.member_id ORDER BY place LIMIT 50",
+    )
 add(
     "f14_vacant_seats",
     lambda t: feeds.vacant_seats(feeds.roster_with_counts(t, _roster(t)).where("district % 5 <> 2")),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import recon
+from ..operators import feeds, recon
 from ..sources import listings
 from ..sources.tables import Tables
 
@@ -140,7 +140,12 @@ add(
   SELECT page_id, first || ' ' || last AS name, [{", ".join(f"'{x}'" for x in STAFF_TITLES)}][(page_id // 4) % 4 + 1] AS title, lower(first) || '@x.example.org' AS email, '2025550100' AS phone, CASE WHEN page_id % 4 = 3 THEN 'name_title' ELSE 'card' END AS method FROM x
   UNION ALL SELECT page_id, NULL, 'Press Office', 'press@office.example.org', NULL, 'office_address' FROM pages WHERE page_id % 3 = 0""",
 )
-
+add(
+    "f39_contact_summary",
+    lambda t: feeds.contact_summary(t.pages, listings.staff_contacts(staff_pages(t), ".example.org").where("page_id % 5 < 2 or (page_id % 5 = 2 and name is null)")),
+    """, x AS (SELECT CASE WHEN page_id % 5 < 2 THEN 'found' WHEN page_id % 5 = 2 AND page_id % 3 = 0 THEN 'email_only' ELSE 'not_found' END AS outcome, CASE WHEN page_id % 5 < 2 THEN 1 ELSE 0 END + CASE WHEN page_id % 5 < 3 AND page_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM pages)
+  SELECT outcome, count(*) AS n_pages, CAST(sum(c) AS BIGINT) AS n_contacts FROM x GROUP BY outcome""",
+)
 
 #: Each dozen pages as a section: the first is its own page, the others its child pages; three of four pages say a date, by turns in three ways.
 DOZEN = 12

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import fulltext, recon, terms
+from ..operators import feeds, fulltext, recon, terms
 from ..sources import html, records, sites
 from ..sources.tables import AS_OF, Tables
 
@@ -210,6 +210,12 @@ add(
   r AS (SELECT *, concat_ws(', ', CASE WHEN n_items < 10 THEN 'few items' END, CASE WHEN dated_share < 0.9 THEN 'undated items' END, CASE WHEN stale_days IS NULL THEN 'no dates' WHEN stale_days > 90 THEN 'stale' END, CASE WHEN odd THEN 'other titles' WHEN title_length < 15 THEN 'short titles' END, CASE WHEN checked = 0 THEN 'no links checked' WHEN ok < 2 THEN 'dead links' END) AS reasons FROM b)
   SELECT member_id, feed_id, n_items, dated_share, span_days, stale_days, mean_body, mean_body >= 200 AS full_bodies, reasons = '' AS eligible, reasons FROM r""",
 )
+add(
+    "f39_feed_summary",
+    lambda t: feeds.feed_summary(t.members, sites.best_feeds(_feed_items(t).where("member_id % 3 > 0"), AS_OF)),
+    QUERIES["a05_best_feeds"][1].replace("FROM releases)", "FROM releases WHERE member_id % 3 > 0)").replace("SELECT member_id, feed_id, n_items, dated_share, span_days,", ", x AS (SELECT member_id, feed_id, n_items, dated_share, span_days,").replace("reasons FROM r", "reasons FROM r)")
+    + " SELECT coalesce(collection_method, 'none') AS method, x.member_id IS NOT NULL AS has_feed, coalesce(eligible, false) AS eligible, count(*) AS n FROM members m LEFT JOIN x ON x.member_id = m.member_id WHERE m.status = 'active' GROUP BY ALL",
+)
 add(
     "a13_source_health",
     lambda t: recon.source_health(t.probes.select("member_id", F.col("probe_id").alias("ord"), "url_status", "items_found", F.when(F.col("url_status") != 200, F.concat(F.lit("probe "), F.col("probe_id").cast("string"))).alias("error"))),
