@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .tree import Page
 
 ROSTER = "struct<members:array<struct<id:string,full_name:string,chamber:string,party:string,selectors:map<string,string>>>>"
 POST = """struct<uri:string,cid:string,record:struct<text:string,createdAt:string,reply:struct<parent:struct<uri:string>>>,
@@ -46,8 +48,6 @@ BODIES = [
     ("main", "article"),
     ("main", ".content"),
 ]
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
 #: A body has more characters than this.
 SHORTEST_BODY = 100
 
@@ -124,57 +124,28 @@ def ranked_contacts(found: DataFrame, k: int = 5) -> DataFrame:
     return per.withColumn("rank", rank).where(F.col("rank") <= k).select("member_id", "rank", "name", "mentions", "best.*")
 
 
-class _Body(HTMLParser):
-    """Notes which pieces of text each element holds: spans of the elements that BODIES names, of blocks, and of paragraphs."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.open: list[tuple[str, set[str], int]] = []
-        self.pieces: list[str] = []
-        self.spans: list[tuple[str, set[str], set[str], int, int]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        if tag == "p" and self.open and self.open[-1][0] == "p":
-            self.handle_endtag("p")
-        at = dict(attrs)
-        marks = {tag} | {f".{c}" for c in (at.get("class") or "").split()} | ({f"#{at['id']}"} if at.get("id") else set())
-        self.open.append((tag, marks, len(self.pieces)))
-
-    def handle_endtag(self, tag):
-        if any(tag == o[0] for o in self.open):
-            while self.open:
-                name, marks, start = self.open.pop()
-                self.spans.append((name, marks, set().union(*(o[1] for o in self.open)), start, len(self.pieces)))
-                if name == tag:
-                    return
-
-    def handle_data(self, data):
-        if data.strip() and not any(o[0] in ("script", "style") for o in self.open):
-            self.pieces.append(" ".join(data.split()))
-
-
 def body_of(html: str | None) -> str:
     """The text of the first container of BODIES with more than SHORTEST_BODY characters, else of the paragraphs of that block of
     the page's main part whose paragraphs are longest, else ''."""
-    page = _Body()
-    page.feed(html or "")
-    page.handle_endtag(page.open[0][0]) if page.open else None
-    spans = sorted(page.spans, key=lambda s: (s[3], -s[4]))
+    page = Page(html)
+    words = lambda node: " ".join(" ".join(x.split()) for x in node.texts())
     for above, mark in BODIES:
-        first = next((s for s in spans if mark in s[1] and (not above or above in s[2])), None)
-        if first and len(text := " ".join(page.pieces[first[3] : first[4]])) > SHORTEST_BODY:
+        first = page.first(f"{above} {mark}")
+        if first and len(text := words(first)) > SHORTEST_BODY:
             return text
-    root = next((s for part in ("main", "article", "body") for s in spans if s[0] == part), None)
+    root = next((n for part in ("main", "article", "body") if (n := page.first(part))), None)
     if root is None:
         return ""
-    within = lambda inner, outer: outer[3] <= inner[3] and inner[4] <= outer[4]
-    paragraphs = [s for s in spans if s[0] == "p" and s[3] < s[4]]
-    blocks = [s for s in spans if s[0] in ("div", "section") and within(s, root)]
-    texts = ["\n".join(" ".join(page.pieces[p[3] : p[4]]) for p in paragraphs if within(p, b)) for b in blocks]
-    best = max(texts, key=len, default="")
-    return best if len(best) > SHORTEST_BODY else ""
+    paragraphs = [(n, t) for n in page.select("p", root) if (t := words(n))]
+    places = [n.place for n, _ in paragraphs]
+    length = [0, *accumulate(len(t) + 1 for _, t in paragraphs)]  # up to each paragraph, line ends included
+    best = (0, 0, 0)
+    for block in [root, *page.select("div, section", root)]:
+        if block.tag in ("div", "section"):
+            i, j = bisect_right(places, block.place), bisect_right(places, block.last)
+            best = max(best, (length[j] - length[i], -i, -j))
+    text = "\n".join(t for _, t in paragraphs[-best[1] : -best[2]]) if best[0] else ""
+    return text if len(text) > SHORTEST_BODY else ""
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
