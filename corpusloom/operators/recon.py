@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,31 +101,43 @@ SKIPPED = "|".join([*SKIP_SECTIONS, YEAR_ARCHIVE])
 FRAGMENT_WORDS, FRAGMENT_CHARS, FRAGMENT_RUN = 3, 24, 3
 
 
+def cleaned(text: str | None) -> str:
+    """A text with blanks collapsed, runs of fragments joined, and marks of its end dropped, in one pass over its lines."""
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", text or ""))
+    done: list[str] = []
+    bits: list[str] = []
+
+    def flush() -> None:
+        done.extend([" ".join(bits)] if len(bits) >= FRAGMENT_RUN else bits)
+        bits.clear()
+
+    for raw in text.split("\n"):
+        line = raw.replace("\t", " ").replace("\r", " ").strip(" ")
+        if line and len(line) <= FRAGMENT_CHARS and len(line.split()) <= FRAGMENT_WORDS:
+            bits.append(line)
+        elif line:
+            flush()
+            done.append(line)
+        elif not bits:
+            done.append("")
+    flush()
+    text = re.sub(r"\n{3,}", "\n\n", "\n".join(done))
+    return re.sub(r"(?m)\n+#{2,}[ \t]*$|\n+-[ \t]*30[ \t]*-[ \t]*$", "", text).strip(" \t\n\x0b\f\r")
+
+
 def clean_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with blanks collapsed, runs of one-word lines joined, and marks of a document's end dropped.
 
-    docs: doc_id, text. A line of few words is a fragment; blank lines after the first fragment of a run are no lines. The runs
-    are found over a document's lines by its id, so a task holds the lines of one document, not those of a group. Null texts
-    become ''. Rows that share an id are cleaned one by one.
+    docs: doc_id, text. A line of few words is a fragment; blank lines after the first fragment of a run are no lines. Each text is
+    cleaned in its row: nothing is shuffled. Null texts become ''; repeated rows and null ids are cleaned one by one.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    numbered = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    lines = numbered.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"[\t\r]", " "))
-    lines = lines.select("doc_id", "row", "pos", line.alias("line"))
-    words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
-    lines = lines.withColumn("fragment", (F.col("line") != "") & (F.length("line") <= FRAGMENT_CHARS) & (words <= FRAGMENT_WORDS))
-    before = Window.partitionBy("doc_id", "row").orderBy("pos")
-    lines = lines.withColumn("run", F.sum(F.when((F.col("line") != "") & ~F.col("fragment"), 1).otherwise(0)).over(before))
-    seen = F.max("fragment").over(Window.partitionBy("doc_id", "row", "run").orderBy("pos"))
-    lines = lines.withColumn("seen", seen).where((F.col("line") != "") | ~F.col("seen"))
-    ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "line")))), lambda x: x["line"])
-    runs = lines.groupBy("doc_id", "row", "run").agg(ordered(~F.col("fragment")).alias("plain"), ordered(F.col("fragment")).alias("bits"))
-    joined = F.when(F.size("bits") >= FRAGMENT_RUN, F.array(F.array_join("bits", " "))).otherwise(F.col("bits"))
-    runs = runs.select("doc_id", "row", "run", F.array_join(F.concat("plain", joined), "\n").alias("part"))
-    whole = runs.groupBy("doc_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "part"))), lambda x: x["part"]), "\n").alias("text"))
-    ends = F.regexp_replace(F.regexp_replace("text", r"\n{3,}", "\n\n"), r"(?m)\n+#{2,}[ \t]*$|\n+-[ \t]*30[ \t]*-[ \t]*$", "")
-    return whole.select("doc_id", F.regexp_replace(ends, r"^\s+|\s+$", "").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([cleaned(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def recon_summary(pages: DataFrame) -> DataFrame:
