@@ -9,7 +9,8 @@ phrase is open, after at most one cycle for each length.
 * While phrases are mined, a phrase is its 64-bit hash. Which subphrases have reached the threshold, and which did so within the last
   cycle, is told to the scanning tasks by two bitmaps of hashes, of BITMAP_BITS bits whatever the corpus. An occurrence is counted if both
   subphrases are in the first and one of them is in the second. A wrong bit only makes a phrase be counted too early or too long.
-* Each step writes (hash, count) of some megabytes at a time. Counts of the last SHARDS steps are summed for each hash: that window
+* Each step writes (hash, count) of some megabytes at a time. Of a hash the part of its range and the low 32 bits are kept; the number of parts
+  grows with the corpus, so that few hashes are taken for equal. Counts of the last SHARDS steps are summed for each hash: that window
   has each shard once, so at the end of a phrase's cycle the sum is its true count, and more only where hashes are equal. So no frequent phrase is missed.
 * One last scan settles the phrases found: their occurrences are counted by their words, which leaves out those that only a shared hash or a
   wrong bit let pass, so counts are exact.
@@ -24,6 +25,7 @@ or pieces; other columns are left out.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import partial
 
@@ -142,16 +144,19 @@ def phrases(words: np.ndarray, ends: np.ndarray, reached: np.ndarray) -> Iterato
         h = mix(whole[begin] * C1 + words[begin + size]) & ~SIZE_BITS | np.uint64(size)
 
 
-def packed(h: np.ndarray, n: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """Hashes, with their counts if any, as one row for each part of the range of hashes: (part, hash, n), the latter as bytes of 64-bit
-    integers. Millions of counts are then some rows to write and shuffle."""
+def packed(h: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Hashes with their counts as one row for each part of the range of hashes: (part, hash, n), the latter as bytes of unsigned 32-bit
+    integers: a part and the low half of a hash stand for the hash. Millions of counts are then some rows to write and shuffle."""
     part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     present, start = np.unique(part[order], return_index=True)
-    edges = [*(8 * start).tolist(), 8 * len(h)]
-    cut = lambda x: pa.array([x[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary())
-    counts = pa.nulls(len(present), pa.binary()) if n is None else cut(n[order].tobytes())
-    return pa.record_batch([pa.array(present), cut(h[order].tobytes()), counts], ["part", "hash", "n"])
+    edges = [*(4 * start).tolist(), 4 * len(h)]
+
+    def cut(x: np.ndarray) -> pa.Array:
+        raw = x[order].astype(np.uint32).tobytes()
+        return pa.array([raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary())
+
+    return pa.record_batch([pa.array(present), cut(h), cut(n)], ["part", "hash", "n"])
 
 
 def active_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray, recent: np.ndarray, all_words: bool, parts: int) -> Iterator[pa.RecordBatch]:
@@ -168,22 +173,23 @@ def active_phrases(batches: Iterator[pa.RecordBatch], reached: np.ndarray, recen
         yield packed(found.field(0).to_numpy(), found.field(1).to_numpy(), parts)
 
 
-def reaching(batches: Iterator[pa.RecordBatch], least: int, parts: int) -> Iterator[pa.RecordBatch]:
+def reaching(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The hashes whose counts sum to ``least`` or more, ``packed``; those that come without counts are known and left out. Rows come sorted
     by part."""
-    values = lambda x, kind: np.frombuffer(b"".join(x.drop_null().to_pylist()), kind)
+    values = lambda x: np.frombuffer(b"".join(x.drop_null().to_pylist()), np.uint32)
     for t in grouped(batches, ["part"]):
         counts = t.filter(pc.is_valid(t["n"]))
-        sums = pa.table({"h": values(counts["hash"], np.uint64), "n": values(counts["n"], np.int64)}).group_by("h", use_threads=False).aggregate([("n", "sum")])
+        sums = pa.table({"h": values(counts["hash"]), "n": values(counts["n"])}).group_by("h", use_threads=False).aggregate([("n", "sum")])
         h = sums["h"].to_numpy()[sums["n_sum"].to_numpy() >= least]
-        yield packed(h[~np.isin(h, values(t.filter(pc.is_null(t["n"]))["hash"], np.uint64))], None, parts)
+        fresh = h[~np.isin(h, values(t.filter(pc.is_null(t["n"]))["hash"]))]
+        yield pa.record_batch([t["part"].slice(0, 1).combine_chunks(), pa.array([fresh.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["part", "hash", "n"])
 
 
 def bits_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(word, bits, size) of a bitmap of ``width`` bits for each hash."""
     for b in batches:
         for raw in b.column(0).to_pylist():
-            h = np.frombuffer(raw, np.uint64)
+            h = np.frombuffer(raw, np.uint32).astype(np.uint64)
             at = h & np.uint64(width - 1)
             bits = np.uint64(1) << (at & np.uint64(63))
             yield pa.record_batch([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64)), pa.array((h & SIZE_BITS).astype(np.int32) + 1)], ["word", "bits", "size"])
@@ -233,13 +239,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
         steps.append(written_at(small_batches(rows.where(F.col("shard") == step % shards).select("words")).mapInArrow(count, PACKED), "phrase-step"))
         for x in told:
             x.destroy()
-        if len(steps) > shards:
-            discard(steps.pop(0)[1])
         window = steps[0][0]
         for df, _ in [*steps[1:], *totals]:  # phrases that reached the threshold before come without counts
             window = window.union(df)
         window = window.repartition(parts, "part").sortWithinPartitions("part")
-        totals.append(written_at(window.mapInArrow(lambda batches: reaching(batches, least, parts), PACKED), "phrase-totals"))
+        totals.append(written_at(window.mapInArrow(lambda batches: reaching(batches, least), PACKED), "phrase-totals"))
+        if len(steps) == shards:
+            discard(steps.pop(0)[1])
         fresh = totals[-1][0].select("hash").mapInArrow(lambda batches, width=BITMAP_BITS: bits_of(batches, width), "word long, bits long, size int")
         marks = fresh.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.min("size").alias("size")).toArrow()
         new = np.zeros(BITMAP_BITS // 64, np.uint64)
@@ -251,6 +257,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
         if trace is not None:
             trace.append({r["size"]: r["count"] for r in fresh.groupBy("size").count().collect()})
         step += 1
+        del window, fresh
+        gc.collect()
+        spark._jvm.System.gc()  # Spark deletes shuffle files of plans that the driver has let go of; else those of all steps stay
     told = spark.sparkContext.broadcast(reached)
     counts = texts.mapInArrow(lambda batches: settled_phrases(batches, told.value), "lang string, size int, phrase string, n long")
     found = written(counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(f"f >= {least} OR size = 0"), "frequent-phrases")
