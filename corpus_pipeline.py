@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame, which is written and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Cases: null and empty texts fail the quality rules and go; a null id, language or source stays as it is, and null languages and sources are one
+value of the mixture; repeated rows are near-duplicates of each other, so one stays; of a group the smallest id stays; an empty table, or one of
+which nothing is kept, goes through every stage and gives no rows; further columns are carried along to the mixture, whatever their names.
 """
 
 from __future__ import annotations
