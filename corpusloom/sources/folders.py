@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
 
+#: Folders that this process named; they are deleted when it ends.
+SCRATCH: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's address below ``spark.checkpoint.dir``. A folder of this machine stands in only under a local master."""
+    """A new folder's address below ``spark.checkpoint.dir``, for the time of this process. A folder of this machine stands in only under
+    a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    SCRATCH[path] = spark
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -27,3 +36,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(to, True)
+
+
+def delete_all() -> None:
+    for path, spark in SCRATCH.items():
+        with suppress(Exception):  # the session may have ended before
+            delete(spark, path)
+
+
+atexit.register(delete_all)
