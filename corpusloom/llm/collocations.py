@@ -224,7 +224,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
     texts = small_batches(take(docs, "lang", "text").where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
     folder = shared_dir(spark, "phrase-shards")
     rows = texts.mapInArrow(hashed_texts, "words binary, n_words long").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    rows.write.partitionBy("shard").parquet(folder)  # rows are dealt out in turn, so shards have equal rows
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(folder)  # rows are dealt out in turn, so shards have equal rows
     rows = spark.read.schema("words binary, n_words long, shard int").parquet(folder)
     parts = (rows.agg(F.sum("n_words")).first()[0] or 0) // SUMMED + 1
     news: list[np.ndarray] = []
@@ -260,11 +260,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS,
         del window, fresh
         gc.collect()
         spark._jvm.System.gc()  # Spark deletes shuffle files of plans that the driver has let go of; else those of all steps stay
+    discard(folder, *(path for _, path in steps), *(path for _, path in totals))
     told = spark.sparkContext.broadcast(reached)
     counts = texts.mapInArrow(lambda batches: settled_phrases(batches, told.value), "lang string, size int, phrase string, n long")
     found = written(counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(f"f >= {least} OR size = 0"), "frequent-phrases")
     told.destroy()
-    discard(folder, *(path for _, path in steps), *(path for _, path in totals))
     return found.where("size > 0").select("lang", "size", "phrase", "f"), found.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
