@@ -163,8 +163,7 @@ def _sitemaps(t: Tables) -> tuple[DataFrame, DataFrame]:
 add(
     "a07_sitemap_urls",
     lambda t: sites.sitemap_urls(*_sitemaps(t)),
-    """, k AS (SELECT page_id, url, page_id // 50 AS k, (page_id // 50) // 40 AS j FROM pages), ranked AS (SELECT *, dense_rank() OVER (PARTITION BY j ORDER BY k) AS place FROM k)
-  SELECT 'index-' || j || '.xml' AS root, url, CASE WHEN page_id % 2 = 0 THEN '2025-01-02' END AS lastmod FROM ranked WHERE place <= 30""",
+    "SELECT 'index-' || page_id // 50 // 40 || '.xml' AS root, url, CASE WHEN page_id % 2 = 0 THEN '2025-01-02' END AS lastmod FROM pages",
 )
 
 
