@@ -63,14 +63,19 @@ def listing_pages(t: Tables) -> DataFrame:
     return pages.where(F.size("items") > 2).select(F.col("listing").alias("page_id"), F.lit("https://list.example.org/newsroom").alias("url"), body.alias("html"), F.lit("section.row").alias("selector"))
 
 
-PLAIN_TITLE = "replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+# A title's entities as a parser of pages reads them: also those that lost their semicolon, as where a title was cut short.
+PLAIN_TITLE = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+for _entity, _char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#0*39", "chr(39)"), ("amp", "'&'")):
+    PLAIN_TITLE = f"regexp_replace({PLAIN_TITLE}, '&{_entity};?', {_char}, 'g')"
+#: The first form of a date in the whole text of an item, for layouts that have no element for it: a title may hold one too.
+SQL_FIRST_DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(whole, '{p}'), '')" for p in (r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}", r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[\pL\pN_]*[\s\pZ]+[0-9]{1,2}(?:st|nd|rd|th)?,?[\s\pZ]+[0-9]{4}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}")) + ", '')"
 add(
     "a09_listing_items",
     lambda t: listings.listing_items(listing_pages(t), "example.").select(F.col("page_id").alias("listing"), "rule", "pos", F.sha2("title", 256).alias("title_hash"), "date_text", "detail_url"),
     f""", x AS (SELECT page_id, url, page_id // {ITEMS} AS listing, (page_id // {ITEMS}) % {len(LISTED)} AS layout, rtrim('Notice ' || page_id || ' of ' || {PLAIN_TITLE}) AS title, {SQL_SHOWN} AS shown, CAST({SQL_DAY} AS VARCHAR) AS iso, count(*) OVER (PARTITION BY page_id // {ITEMS}) AS n FROM pages),
-  y AS (SELECT *, layout = 1 AND regexp_matches(lower(title), 'home|about|contact|menu') AS dropped FROM x WHERE n > 2)
+  y AS (SELECT *, layout = 1 AND regexp_matches(lower(title), 'home|about|contact|menu') AS dropped, CASE layout WHEN 1 THEN 'back to where all of it began ' || title || ' posted ' || shown ELSE title || ' ' || shown END AS whole FROM x WHERE n > 2)
   SELECT listing, [{", ".join(f"'{rule}'" for rule, *_ in LISTED)}][layout + 1] AS rule, CAST(row_number() OVER (PARTITION BY listing ORDER BY page_id) - 1 AS INT) AS pos, sha256(CASE WHEN dropped THEN '' ELSE title END) AS title_hash,
-    CASE layout WHEN 11 THEN iso WHEN 13 THEN '' ELSE shown END AS date_text, CASE WHEN dropped THEN '' WHEN layout = 13 THEN 'https://list.example.org/newsroom/n' || page_id ELSE url END AS detail_url FROM y""",
+    CASE WHEN layout IN (1, 5) THEN {SQL_FIRST_DATE} WHEN layout = 11 THEN iso WHEN layout = 13 THEN '' ELSE shown END AS date_text, CASE WHEN dropped THEN '' WHEN layout = 13 THEN 'https://list.example.org/newsroom/n' || page_id ELSE url END AS detail_url FROM y""",
 )
 
 #: What says a page's date, by turns: (markup for its head, markup for the start of its main part, source, confidence). I: ISO day, D: text.
