@@ -36,14 +36,36 @@ def _titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", N.normalize_title(title).alias("title"))
 
 
+def _numbered_sql(x: str, mark: str, digits: str, number: str) -> str:
+    """Entities of one form as the characters of their numbers; numbers that are no character stay as they are."""
+    entity = f"&{mark}[{digits}]+;?"
+    digit = f"regexp_extract(p, '&{mark}([{digits}]+)', 1)"
+    code = f"CASE WHEN regexp_full_match(p, '{entity}') AND length({digit}) <= 8 THEN TRY_CAST({number.format(d=digit)} AS BIGINT) END"
+    good = "n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111"
+    char = f"list_transform([{code}], lambda n: CASE WHEN {good} THEN chr(CAST(CASE WHEN {good} THEN n ELSE 32 END AS INT)) ELSE p END)[1]"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{entity}|[^&]+|&'), lambda p: {char}), '')"
+
+
+def _decoded_sql(x: str) -> str:
+    """DuckDB's form of decode_entities of a column."""
+    for mark, digits, number in (("#x", "0-9a-fA-F", "'0x' || {d}"), ("#", "0-9", "{d}"), ("x", "0-9a-fA-F", "'0x' || {d}")):
+        x = _numbered_sql(x, mark, digits, number)
+    for name, char in [kv for kv in N.ENTITIES.items() if kv[0] != "amp"] + [("amp", "&")]:
+        x = f"replace({x}, '&{name};', {listed([char])})"
+    return x
+
+
+#: Letters whose capitals are several characters, which DuckDB's upper() doesn't know (it makes one of a sharp s).
+CAPITALS = "MAP {" + ", ".join(f"'{c}': '{c.upper()}'" for c in map(chr, range(0x110000)) if len(c.upper()) > 1) + "}"
+
 add(
     "b21_normalize_title",
     _titles,
     rf"""SELECT page_id, CASE WHEN letters = 0 OR capitals < 0.7 * letters THEN x ELSE array_to_string(list_transform(regexp_extract_all(x, '\s+|\S+'), lambda w, i:
   CASE WHEN regexp_full_match(regexp_replace(w, '[^a-zA-Z]', '', 'g'), '[A-Z]{{2,4}}') AND lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')) NOT IN ({listed(N.SMALL_WORDS)}) THEN w
-       WHEN i > 1 AND lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')) IN ({listed(N.SMALL_WORDS)}) THEN lower(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), '') END AS title
+       WHEN i > 1 AND lower(regexp_replace(w, '[^a-zA-Z]', '', 'g')) IN ({listed(N.SMALL_WORDS)}) THEN lower(w) ELSE coalesce({CAPITALS}[substr(w, 1, 1)], upper(substr(w, 1, 1))) || lower(substr(w, 2)) END), '') END AS title
   FROM (SELECT page_id, x, length(regexp_replace(x, '[^a-zA-Z]', '', 'g')) AS letters, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS capitals FROM (
-    SELECT page_id, replace(CASE WHEN page_id % 2 = 0 THEN translate(h, '{LOWER}', '{UPPER}') ELSE h END, '&amp;', '&') || ' ’—… &' AS x FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS h FROM pages)))""",
+    SELECT page_id, {_decoded_sql("y")} AS x FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN translate(h, '{LOWER}', '{UPPER}') ELSE h END || ' &#8217;&#x2014;&x2026; &amp;' AS y FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS h FROM pages))))""",
 )
 add(
     "b23_name_exclusions",
