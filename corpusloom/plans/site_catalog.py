@@ -421,7 +421,7 @@ add(
 add(
     "f29_source_audit",
     lambda t: recon.source_audit(_sections(t), _sections(t).where("k % 6 = 0").select("section").distinct(), _sections(t).where("k % 5 <> 4").select("section", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403), F.lit(410)), (F.col("k") % 4 + 1).cast("int")).alias("status")), 3, "2025-08-01", SQL_SKIPPED),
-    """, s AS (SELECT '/news/' || content_type || '-' || release_id % 25 || '/' AS section, release_id % 25 AS k, CASE WHEN release_id % 2 = 0 THEN CAST(CAST(published_at AS DATE) AS VARCHAR) END AS lm, release_id % 3 = 0 AS u FROM releases),
+    """, s AS (SELECT '/news/' || content_type || '-' || release_id % 25 || '/' AS section, release_id % 25 AS k, CASE WHEN release_id % 2 = 0 THEN CAST(CAST(published_at AS DATE) AS VARCHAR) END AS lm, regexp_matches(section || CASE WHEN release_id % 3 = 0 THEN '2025/' ELSE '' END || release_id, '/202[56]') AS u FROM releases),
   g AS (SELECT section, k, count(*) AS n, bool_or(lm IS NOT NULL) AS dated, count(*) FILTER (CASE WHEN lm IS NOT NULL THEN lm >= '2025-08-01' ELSE u END) AS in_window FROM s GROUP BY 1, 2 HAVING count(*) >= 3)
   SELECT section, n, in_window, CASE WHEN dated AND in_window = 0 THEN 'archival' WHEN k % 5 = 4 OR k % 4 = 2 THEN 'unknown' WHEN k % 4 IN (1, 3) THEN 'dead' ELSE 'untapped' END AS class FROM g WHERE k % 6 <> 0""",
 )
