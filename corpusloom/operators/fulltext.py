@@ -4,44 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.english import lexemes
+from ..functions.english import lexemes, light_lexemes, light_terms, stemmed_terms, words
 from ..functions.headline import headline
-
-#: Postings of an Arrow batch, at about most.
-BATCH = 50_000
+from ..functions.lexer import chunks, typed_lexemes, typed_terms
+from ..sources.folders import small_batches
+
+#: Postings of an Arrow batch at most, characters of texts that are analysed at once, about, and rows that a worker gets at once.
+BATCH, CHARACTERS, ROWS = 50_000, 1_500_000, 1000
+#: How an analyser's texts fall into pieces, and the terms at the places of different pieces.
+PIECES = {lexemes: (words, stemmed_terms), light_lexemes: (words, light_terms), typed_lexemes: (chunks, typed_terms)}
+
+
+def grouped_places(texts: list[str], split: Callable[[list[str]], tuple], terms_of: Callable[[pa.Array], tuple]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(terms, index of the text, places) of some texts, by term within a text. A piece is analysed once, however often it occurs."""
+    pieces, of_text = split(texts)
+    coded = pieces.dictionary_encode()
+    size, terms = terms_of(coded.dictionary)
+    terms = terms.dictionary_encode()
+    flat = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = coded.indices.to_numpy().astype(np.int64)
+    n = size[code]  # places of each piece in order
+    at = np.arange(n.sum())
+    term = flat[np.repeat((np.cumsum(size) - size)[code] - (np.cumsum(n) - n), n) + at]
+    doc = np.repeat(np.repeat(np.arange(len(texts)), of_text), n)
+    place = at - np.searchsorted(doc, np.arange(len(texts)))[doc]
+    doc, place, term = (x[term >= 0] for x in (doc, place, term))
+    key = doc * max(len(terms.dictionary), 1) + term
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    found = order[starts]
+    return terms.dictionary.take(pa.array(term[found])), doc[found], places
 
 
 def postings(releases: DataFrame, analyze: Callable[[str | None], dict[str, list[int]]] = lexemes) -> DataFrame:
-    """(term, release_id, positions) of titles and bodies. A text's postings are grouped inside its row, so nothing is shuffled."""
+    """(term, release_id, positions) of titles and bodies. A text's postings are grouped inside its row, so nothing is shuffled. The analysers
+    are those of PIECES."""
+    split, terms_of = PIECES[analyze]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms, ids, at = [], [], []
-            for i, x in enumerate(b.column(1)):
-                found = analyze(x.as_py())
-                terms += found
-                ids += [b.column(0)[i].as_py()] * len(found)
-                at += found.values()
-                if len(terms) >= BATCH or i + 1 == b.num_rows:
-                    yield pa.record_batch([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(at, pa.list_(pa.int32()))], ["term", "release_id", "positions"])
-                    terms, ids, at = [], [], []
+            ids, texts, held, start = b.column(0), b.column(1).to_pylist(), 0, 0
+            for i, x in enumerate(texts):
+                held += len(x)
+                if held >= CHARACTERS or i + 1 == len(texts):
+                    terms, doc, places = grouped_places(texts[start : i + 1], split, terms_of)
+                    out = pa.record_batch([terms, ids.take(pa.array(doc + start)), places], ["term", "release_id", "positions"])
+                    yield from (out.slice(k, BATCH) for k in range(0, out.num_rows, BATCH))
+                    held, start = 0, i + 1
 
     texts = releases.select(F.col("release_id").cast("long").alias("release_id"), F.concat_ws(" ", "title", "body_text").alias("text"))
-    return texts.mapInArrow(run, "term string, release_id long, positions array<int>")
+    return small_batches(texts, ROWS).mapInArrow(run, "term string, release_id long, positions array<int>")
 
 
 def write_postings(releases: DataFrame, path: str, analyze: Callable = lexemes) -> None:
-    """Postings as Parquet in ranges of (term, release_id): a frequent term spreads over several files, and a search for a term reads
-    the row groups whose bounds hold it."""
+    """Postings as Parquet, each file sorted by (term, release_id): a search for a term reads the pages of each file whose bounds hold it."""
     write_sorted(postings(releases, analyze), path)
 
 
 def write_sorted(rows: DataFrame, path: str) -> None:
-    rows.repartitionByRange("term", "release_id").sortWithinPartitions("term", "release_id").write.mode("overwrite").parquet(path)
+    """Rows are sorted where they are, so a text is analysed once and no posting is shuffled."""
+    rows.sortWithinPartitions("term", "release_id").write.mode("overwrite").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

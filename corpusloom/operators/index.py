@@ -3,8 +3,8 @@ release, and segments of one size are merged.
 
 A folder holds
 
-* ``postings-<name>``: (term, release_id, positions) of a segment, in ranges of (term, release_id), so a search reads only its terms' row
-  groups,
+* ``postings-<name>``: (term, release_id, positions) of a segment, each file sorted by (term, release_id), so a search reads only its terms'
+  pages of each,
 * ``docs-<name>``: the releases that a segment covers,
 * ``hidden-<name>``: (release_id, upto): what segments numbered ``upto`` and below say of a release no longer holds. A batch writes only
   the releases that older segments cover, so this table is as small as what changed since the last merge,
@@ -34,8 +34,11 @@ from . import fulltext
 
 VERSION = "version long, number long, kind string, name string, postings long"
 POSTINGS = "term string, release_id long, positions array<int>"
+HIDDEN = "release_id long, upto long"
 #: So many segments of one tier are merged; a tier holds segments of at least FAN times as many postings as the one below.
 FAN = 4
+#: Rows of hidden releases that are sent to every executor, at most; more are joined by a shuffle.
+HIDDEN_AT_HAND = 2_000_000
 
 
 def segments(spark: SparkSession, folder: str) -> tuple[int, list]:
@@ -62,7 +65,7 @@ def parts(spark: SparkSession, folder: str, rows: list, kind: str, schema: str)
 
 def counted(spark: SparkSession, folder: str, number: int, name: str) -> list[tuple]:
     """The rows of a version for a segment's tables."""
-    return [(number, kind, name, spark.read.schema(schema).parquet(f"{folder}/{kind}-{name}").count()) for kind, schema in (("postings", POSTINGS), ("docs", "release_id long"))]
+    return [(number, kind, name, spark.read.schema(schema).parquet(f"{folder}/{kind}-{name}").count()) for kind, schema in (("postings", POSTINGS), ("docs", "release_id long"), ("hidden", HIDDEN)) if kind != "hidden" or exists(spark, f"{folder}/{kind}-{name}")]
 
 
 def apply_batch(folder: str, batch: DataFrame, deleted: DataFrame | None = None, analyze: Callable = lexemes) -> None:
@@ -77,25 +80,27 @@ def apply_batch(folder: str, batch: DataFrame, deleted: DataFrame | None = None,
     ids.write.parquet(f"{folder}/docs-{name}")
     changed = ids if deleted is None else ids.union(deleted.select(F.col("release_id").cast("long"))).distinct()
     older = parts(spark, folder, rows, "docs", "release_id long")
-    new = counted(spark, folder, number, name)
     if older is not None:
-        changed.join(older.select("release_id").distinct(), "release_id", "left_semi").select("release_id", F.lit(number - 1).alias("upto")).write.parquet(f"{folder}/hidden-{name}")
-        new.append((number, "hidden", name, 0))
-    publish(spark, folder, version + 1, [tuple(r)[1:] for r in rows if r["kind"] != "none"] + new)
+        changed.join(older.select("release_id").distinct(), "release_id", "left_semi").select("release_id", F.lit(number - 1).cast("long").alias("upto")).write.parquet(f"{folder}/hidden-{name}")
+    publish(spark, folder, version + 1, [tuple(r)[1:] for r in rows if r["kind"] != "none"] + counted(spark, folder, number, name))
 
 
-def visible_rows(rows: DataFrame, hidden: DataFrame | None) -> DataFrame:
+def visible_rows(found: DataFrame, spark: SparkSession, folder: str, rows: list) -> DataFrame:
+    """What the hidden releases of a version's ``rows`` leave of the rows of its segments. Few of them are broadcast, so no posting is shuffled."""
+    hidden = parts(spark, folder, rows, "hidden", HIDDEN)
     if hidden is None:
-        return rows.drop("number")
+        return found.drop("number")
     last = hidden.groupBy(F.col("release_id").alias("_id")).agg(F.max("upto").alias("_upto"))
-    return rows.join(last, (F.col("release_id") == F.col("_id")) & (F.col("number") <= F.col("_upto")), "left_anti").drop("number")
+    if sum(r["postings"] for r in rows if r["kind"] == "hidden") <= HIDDEN_AT_HAND:
+        last = F.broadcast(last)
+    return found.join(last, (F.col("release_id") == F.col("_id")) & (F.col("number") <= F.col("_upto")), "left_anti").drop("number")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """(term, release_id, positions) as it holds now. A filter on terms reaches the scan of every segment."""
     _, rows = segments(spark, folder)
     found = parts(spark, folder, rows, "postings", POSTINGS)
-    return spark.createDataFrame([], POSTINGS) if found is None else visible_rows(found, parts(spark, folder, rows, "hidden", "release_id long, upto long"))
+    return spark.createDataFrame([], POSTINGS) if found is None else visible_rows(found, spark, folder, rows)
 
 
 def merge_segments(folder: str, spark: SparkSession, fan: int = FAN) -> bool:
@@ -112,18 +117,17 @@ def merge_segments(folder: str, spark: SparkSession, fan: int = FAN) -> bool:
         return False
     numbers, name, last = [r["number"] for r in run], uuid.uuid4().hex[:12], max(r["number"] for r in run)
     merged = [r for r in rows if r["number"] in numbers]
-    hidden = parts(spark, folder, rows, "hidden", "release_id long, upto long")
-    postings = visible_rows(parts(spark, folder, merged, "postings", POSTINGS), hidden)
-    fulltext.write_sorted(postings, f"{folder}/postings-{name}")
-    visible_rows(parts(spark, folder, merged, "docs", "release_id long"), hidden).distinct().write.parquet(f"{folder}/docs-{name}")
+    found = parts(spark, folder, merged, "postings", POSTINGS)
+    most = max(spark.read.schema(POSTINGS).parquet(f"{folder}/postings-{r['name']}").rdd.getNumPartitions() for r in run)
+    fulltext.write_sorted(visible_rows(found, spark, folder, rows).coalesce(max(most, 1)), f"{folder}/postings-{name}")
+    visible_rows(parts(spark, folder, merged, "docs", "release_id long"), spark, folder, rows).distinct().write.parquet(f"{folder}/docs-{name}")
     rest = [r for r in rows if r["number"] not in numbers and r["kind"] != "none"]
-    new = counted(spark, folder, last, name)
     if any(r["kind"] == "postings" for r in rest):  # older segments are still to be hidden from, newer numbers there are none
         first = min(numbers)
         old = [r for r in merged if r["kind"] == "hidden"]
         if old:
-            kept = parts(spark, folder, old, "hidden", "release_id long, upto long")
+            kept = parts(spark, folder, old, "hidden", HIDDEN)
             kept.groupBy("release_id").agg(F.lit(first - 1).cast("long").alias("upto")).write.parquet(f"{folder}/hidden-{name}")
-            new.append((last, "hidden", name, 0))
+    new = counted(spark, folder, last, name)
     publish(spark, folder, version + 1, [tuple(r)[1:] for r in rest] + new)
     return True

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.english import light_lexemes
 from ..sources.tables import AS_OF, WINDOW_START, Tables, days, ts
+from . import fulltext
 from .stats import active, n, per_period, visible
 
 # Words that trending terms leave out.
@@ -115,9 +117,12 @@ def signature_terms(t: Tables, k: int = 5, least: int = 3) -> DataFrame:
 
 
 def postings(t: Tables) -> DataFrame:
-    """(term, release_id, positions, n): the inverted index of titles and bodies."""
-    p = t.releases.select("release_id", F.posexplode(C.terms(F.concat_ws(" ", "title", "body_text"))).alias("pos", "term"))
-    return p.groupBy("term", "release_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), n().alias("n"))
+    """(term, release_id, positions, n): the inverted index of titles and bodies. A text's places are grouped inside its row; only where several
+    rows have one id are their postings shuffled together."""
+    p = fulltext.postings(t.releases, light_lexemes)
+    if not t.releases.groupBy("release_id").count().where("count > 1").isEmpty():
+        p = p.groupBy("term", "release_id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return p.withColumn("n", F.size("positions").cast("long"))
 
 
 def may_have(rows: DataFrame, wanted: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Folders that the driver and every executor see."""
+"""Folders that the driver and every executor see, and how many rows a Python worker gets at once."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folders that this process named; they are deleted when it ends.
@@ -44,4 +44,13 @@ def delete_all() -> None:
             delete(spark, path)
 
 
+def small_batches(df: DataFrame, rows: int) -> DataFrame:
+    """Have Python workers get at most so many rows at once, since texts and pages may be long. Spark has this setting for a session only, so
+    later queries of the session get small batches too; their results are the same."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 atexit.register(delete_all)
