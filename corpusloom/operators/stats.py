@@ -189,26 +189,14 @@ def runs_summary(t: Tables) -> DataFrame:
     return t.runs.select("run_id", "run_type", k.alias("k"), seconds.alias("seconds"))
 
 
-def related_swept(t: Tables, k: int) -> DataFrame:
-    """``related`` by a sweep: rows are sent once, however many lie within a day of each other."""
+def related(t: Tables, k: int) -> DataFrame:
+    """For each visible release of an active member, the k nearest in time (24 h at most) of other members of its chamber, by a sweep: rows are
+    sent once, however many lie within a day of each other."""
     at = F.unix_timestamp(F.col("published_at").cast("timestamp"))
     v = visible(t.releases).where("published_at is not null").join(active(t.members), "member_id").select("release_id", "member_id", "chamber", at.alias("at"))
     return nearest_in_time(v, k)
 
 
-def related(t: Tables, k: int) -> DataFrame:
-    """For each visible release of an active member, the k nearest in time (24 h at most) of other members of its chamber. An
-    equi-join on chamber and day bucket, each row being sent to three days, instead of a join by a range."""
-    v = visible(t.releases).where("published_at is not null").join(active(t.members), "member_id").select("release_id", "member_id", "chamber", "published_at")
-    day = F.floor(F.unix_timestamp(F.col("published_at").cast("timestamp")) / 86400)
-    a = v.withColumn("day", F.explode(F.array(day - 1, day, day + 1)))
-    b = v.select(F.col("release_id").alias("other_id"), F.col("member_id").alias("other_member"), "chamber", F.col("published_at").alias("other_at"), day.alias("day"))
-    gap = F.abs(F.unix_timestamp(F.col("published_at").cast("timestamp")) - F.unix_timestamp(F.col("other_at").cast("timestamp")))
-    pairs = a.join(b, ["chamber", "day"]).where(F.col("member_id") != F.col("other_member")).withColumn("gap", gap).where("gap <= 86400")
-    w = Window.partitionBy("release_id").orderBy("gap", "other_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("release_id", "rank", "other_id", "gap")
-
-
 def publication_gaps(t: Tables, least: int) -> DataFrame:
     """Members whose longest gap between releases is ``least`` days or more."""
     w = Window.partitionBy("member_id").orderBy("published_at", "release_id")

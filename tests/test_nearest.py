@@ -57,3 +57,11 @@ def test_names_by_stages(spark):
     assert got == {i: (c[2], c[3]) for i, c in enumerate(cases)}
     assert names.resolve_names(asked.where("false"), known).count() == 0
     assert {r.known_id for r in names.resolve_names(asked, known.where("false")).collect()} == {None}
+
+
+def test_related_makes_no_pairs(spark):
+    """The registered query is the sweep; gaps of pairs aren't computed in a join."""
+    from corpusloom.plans import catalog
+
+    plan = catalog.queries()["e05_related"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "abs(" not in plan
