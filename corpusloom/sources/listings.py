@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .records import EMAIL, NO_NAMES, PHONE
+from .folders import small_batches
+from .records import EMAIL, NO_NAMES, PHONE, ROWS
 from .tree import Node, Page
 
 # ---------------------------------------------------------------- fixed values
@@ -189,7 +190,7 @@ def listing_items(pages: DataFrame, domain: str = "") -> DataFrame:
                     rows.append((page_id, rule, pos, title, date, joined(url, href)))
             yield pd.DataFrame(rows, columns=["page_id", "rule", "pos", "title", "date_text", "detail_url"])
 
-    return pages.select("page_id", "url", "html", config.alias("selector")).mapInPandas(run, "page_id long, rule string, pos int, title string, date_text string, detail_url string")
+    return small_batches(pages.select("page_id", "url", "html", config.alias("selector")), ROWS).mapInPandas(run, "page_id long, rule string, pos int, title string, date_text string, detail_url string")
 
 
 def joined(base: str | None, href: str) -> str:
@@ -224,7 +225,7 @@ def navigation_links(pages: DataFrame) -> DataFrame:
                         rows.append((page_id, a.place, label, joined(url, href), url))
             yield pd.DataFrame(rows, columns=["page_id", "pos", "label", "href", "url"], dtype=object)
 
-    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, label string, href string, url string")
+    found = small_batches(pages.select("page_id", "url", "html"), ROWS).mapInPandas(run, "page_id long, pos int, label string, href string, url string")
     host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"^[^:/?#]+://([^/?#:]*)", 1)), "^www\\.", "")
     own = (host(F.col("href")) == host(F.col("url"))) | F.endswith(host(F.col("href")), F.concat(F.lit("."), host(F.col("url"))))
     plain = F.lower(F.regexp_replace(F.regexp_replace("href", "#.*$", ""), "/+$", ""))
@@ -252,7 +253,7 @@ def date_candidates(pages: DataFrame) -> DataFrame:
                 rows.append((page_id, [m.attrs.get("content", "") for m in named if m], ld, stamp.attrs["datetime"] if stamp else None, shown.text() if shown else None, classes, main.text(" ")[:1000] if main else None))
             yield pd.DataFrame(rows, columns=["page_id", "meta", "ld", "stamp", "time_text", "classes", "main"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, meta array<string>, ld array<string>, stamp string, time_text string, classes array<string>, main string")
+    return small_batches(pages.select("page_id", "html"), ROWS).mapInPandas(run, "page_id long, meta array<string>, ld array<string>, stamp string, time_text string, classes array<string>, main string")
 
 
 def iso_day(text: Column) -> Column:
@@ -336,7 +337,7 @@ def staff_contacts(pages: DataFrame, office_domain: str = "") -> DataFrame:
             rows = [(i, k, *x) for i, html in zip(b.page_id, b.html, strict=True) for k, x in enumerate(contacts_of(Page(html), office_domain))]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "name", "title", "email", "phone", "method"], dtype=object)
 
-    found = pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, name string, title string, email string, phone string, method string")
+    found = small_batches(pages.select("page_id", "html"), ROWS).mapInPandas(run, "page_id long, pos int, name string, title string, email string, phone string, method string")
     found = found.withColumn("title", F.initcap(F.regexp_replace(F.lower("title"), r"\s+", " ")))
     filled = F.col("email").isNotNull().cast("int") + F.col("phone").isNotNull().cast("int")
     best = found.groupBy("page_id", F.lower(F.coalesce("name", "email")).alias("who"), "title").agg(F.max_by(F.struct("name", "email", "phone", "method"), F.struct(filled, -F.col("pos"))).alias("x"))

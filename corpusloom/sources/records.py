@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .folders import small_batches
 from .tree import Page
 
 ROSTER = "struct<members:array<struct<id:string,full_name:string,chamber:string,party:string,selectors:map<string,string>>>>"
@@ -48,6 +49,8 @@ BODIES = [
     ("main", "article"),
     ("main", ".content"),
 ]
+#: Pages that a worker gets at once.
+ROWS = 200
 #: A body has more characters than this.
 SHORTEST_BODY = 100
 
@@ -155,7 +158,7 @@ def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def page_bodies(pages: DataFrame) -> DataFrame:
     """(page_id, body) of each page. A null page has the body ''."""
-    return pages.select("page_id", "html").mapInPandas(_bodies, "page_id long, body string")
+    return small_batches(pages.select("page_id", "html"), ROWS).mapInPandas(_bodies, "page_id long, body string")
 
 
 def with_reason(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:

@@ -135,3 +135,13 @@ def test_navigation_in_any_markup(spark):
     df = spark.createDataFrame([(1, "https://x.gov/home/", html), (2, "https://x.gov/", "<p><a href='z'>only</a></p>"), (3, None, html), (4, "https://x.gov/", None)], "page_id long, url string, html string")
     got = sorted((r.page_id, r.pos, r.label, r.href) for r in listings.navigation_links(df).collect())
     assert [(i, label, href) for i, _, label, href in got] == [(1, "One more", "https://x.gov/a/"), (1, "Two more", "https://www.x.gov/b"), (1, "Three more", "https://sub.x.gov/c"), (2, "only", "https://x.gov/z")]
+
+
+def test_workers_get_few_pages_at_once(spark):
+    """Of many pages a worker holds few, so its memory does not grow with the table."""
+    from corpusloom.sources import listings, records
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = spark.createDataFrame([(1, "https://h.org/", "<nav><a href='/a'>A</a></nav>")], "page_id long, url string, html string")
+    assert listings.navigation_links(pages).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= records.ROWS
