@@ -10,8 +10,10 @@ Targets are shares by value, given by the caller (values that are not named shar
 shares. If raking does not meet them to within TOLERANCE in SWEEPS sweeps, given targets are an error and powers a warning
 (they may contradict each other where cells are empty); ``marginals`` reports every target with what was reached.
 
-Topics: where documents have no column ``topic``, k-means over the hashed, weighted token counts of a bounded sample
-(TOPIC_SAMPLE documents). The mean of a document's language is taken off first, so a topic is no language. Every document is assigned.
+Topics: where documents have no column ``topic``, k-means over the hashed, weighted token counts of all documents. The mean of a
+document's language is taken off first, so a topic is no language. Counts are written once, and once what they are after weights and
+means, as two bytes for each place; every step of the fit is a pass over these that brings one row of sums from each task. Sums are of
+multiples of GRAIN and so exact: topics don't depend on how rows are dealt over tasks.
 
 Only the cell table is iterated on. One of CELLS_AT_HAND rows at most, by its count, is raked in the driver's memory (it holds sums, no
 documents); a larger one is raked by Spark, written every AT_ONCE sweeps, with equal results. Documents meet the cells'
@@ -25,15 +27,15 @@ other columns are kept by ``sample_documents`` and left out by the query.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StructType
 
-from .common import discard, hash_sample, small_batches, table, take, vocabulary, written, written_at
+from .common import discard, small_batches, table, take, vocabulary, written, written_at
 from .frames import encode_texts, gathered
 
 DIMENSIONS = ["source", "lang", "topic"]
@@ -45,8 +47,16 @@ BUDGET = 0.5
 SWEEPS, AT_ONCE, TOLERANCE = 60, 2, 1e-4
 #: Most rows of a cell table that the driver rakes.
 CELLS_AT_HAND = 50_000
-#: Topics, places of the hashed token counts, and documents of the sample that topics are fitted on.
-TOPICS, PLACES, TOPIC_SAMPLE = 8, 512, 2000
+#: Topics, and places of the hashed token counts.
+TOPICS, PLACES = 8, 512
+#: Most passes that move the topics' centers; fewer if one lowers the mean squared distance by less than this share of it.
+PASSES, SETTLED = 25, 1e-4
+#: Languages with a mean of their own, the most frequent ones; the documents of all others have the mean of all taken off.
+LANGUAGES = 255
+#: What coordinates are multiples of: those from -1 to 1 are two bytes, and sums of them exact in doubles, in any order, for 2^38 documents.
+GRAIN = 2.0**-14
+#: Most bytes of tasks' sums that the driver adds up; more are added by Spark first, SUMS_AT_ONCE tasks' together.
+BYTES_AT_HAND, SUMS_AT_ONCE = 8 << 20, 16
 NONE = "(none)"
 
 
@@ -57,92 +67,235 @@ def token_arrays(texts: pa.Array, path: str) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u4")[:-1] for b in encode_texts(texts, path, 0)]
 
 
-def hashed(ids: np.ndarray) -> np.ndarray:
-    return np.log1p(np.bincount(ids % PLACES, minlength=PLACES).astype(np.float64))
+def packed(ids: np.ndarray) -> bytes:
+    """How many ids fall on each place, as the narrowest whole numbers that hold them."""
+    counts = np.bincount(ids % PLACES, minlength=PLACES)
+    return counts.astype(np.min_scalar_type(counts.max()).newbyteorder("<")).tobytes()
 
 
-class Topics:
-    """Weights of the places, the mean of each language, and the topics' centers."""
+def unpacked(packs: list[bytes]) -> np.ndarray:
+    """One row of counts for each of ``packs``."""
+    width = len(packs[0]) // PLACES
+    if all(len(p) == width * PLACES for p in packs):
+        return np.frombuffer(b"".join(packs), f"<u{width}").reshape(-1, PLACES)
+    return np.array([np.frombuffer(p, f"<u{len(p) // PLACES}") for p in packs], np.int64)
 
-    def __init__(self, weights: np.ndarray, means: dict, centers: np.ndarray):
-        self.weights, self.means, self.centers = weights, means, centers
 
-    def placed(self, counts: np.ndarray, lang: str | None) -> np.ndarray:
-        v = counts * self.weights
-        v = v / max(float(np.sqrt(v @ v)), 1e-12) - self.means.get(lang, self.means[None])
-        return v / max(float(np.sqrt(v @ v)), 1e-12)
+#: Memory of this worker that batches use in turn; new arrays of their size would each time be got from the system and cleared.
+ROOM: dict[str, np.ndarray] = {}
 
-    def of(self, ids: np.ndarray, lang: str | None) -> str:
-        if not len(ids) or not len(self.centers):
-            return NONE
-        v = self.placed(hashed(ids), lang)
-        return f"topic {int(((self.centers - v) ** 2).sum(1).argmin())}"
 
+def room(use: str, rows: int) -> np.ndarray:
+    if use not in ROOM or len(ROOM[use]) < rows:
+        ROOM[use] = np.empty((rows, PLACES))
+    return ROOM[use][:rows]
 
-def fit_topics(docs: DataFrame, path: str | None = None, topics: int = TOPICS) -> Topics:
-    """Topics from at most about TOPIC_SAMPLE documents, chosen by a hash of doc_id."""
-    path = path or vocabulary("word_bpe_49k.json")
-    d = take(docs, "doc_id", "text", "lang")
 
+def rounded(v: np.ndarray) -> np.ndarray:
+    return np.rint(v * (1 / GRAIN)) * GRAIN
+
+
+def grains(v: np.ndarray) -> np.ndarray:
+    """The rows of ``v`` at length 1, in place, as whole numbers of GRAIN."""
+    v *= (1 / GRAIN / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12))[:, None]
+    return np.rint(v, out=v)
+
+
+def nearest(v: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest center of each row and the square of its distance."""
+    d = np.einsum("ij,ij->i", v, v)[:, None] - v @ (2 * centers.T) + (centers**2).sum(1)
+    at = d.argmin(1)
+    return at, np.maximum(d[np.arange(len(d)), at], 0)
+
+
+class Topics:
+    """Weights of the places, the mean of each language (at None that of all documents), and the topics' centers."""
+
+    #: Logarithms of one more than the usual counts.
+    LOGS = np.log1p(np.arange(256.0))
+
+    def __init__(self, weights: np.ndarray, means: dict | None = None, centers: np.ndarray | None = None):
+        self.weights, self.means = weights, means or {None: np.zeros(PLACES)}
+        self.centers = np.zeros((0, PLACES)) if centers is None else centers
+        self.place = {x: i for i, x in enumerate(self.means)}
+        self.rows = np.array(list(self.means.values()))
+
+    def marks(self, langs: list[str | None]) -> np.ndarray:
+        return np.array([self.place.get(x, self.place[None]) for x in langs])
+
+    def weighted(self, counts: np.ndarray) -> np.ndarray:
+        """The weighted logarithms of rows of counts, as all rows here in ``room``: they last until the next batch."""
+        v = room("v", len(counts))
+        np.take(self.LOGS, counts, out=v, mode="clip") if counts.dtype.itemsize == 1 else np.log1p(counts, out=v)
+        v *= self.weights
+        return v
+
+    def placed(self, counts: np.ndarray, langs: list[str | None]) -> np.ndarray:
+        """Whole numbers of GRAIN."""
+        v = self.weighted(counts)
+        v *= (1 / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12))[:, None]
+        v -= np.take(self.rows, self.marks(langs), axis=0, out=room("means", len(v)), mode="clip")
+        return grains(v)
+
+    def of(self, packs: list[bytes | None], langs: list[str | None]) -> list[str]:
+        out, some = [NONE] * len(packs), [i for i, p in enumerate(packs) if p is not None]
+        if some and len(self.centers):
+            v = self.placed(unpacked([packs[i] for i in some]), [langs[i] for i in some])
+            v *= GRAIN
+            at, _ = nearest(v, self.centers)
+            for i, t in zip(some, at.tolist(), strict=True):
+                out[i] = f"topic {t}"
+        return out
+
+
+def of_all(rows: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...], add: Callable = np.add) -> np.ndarray:
+    """``step`` of all batches of ``rows``, put together by ``add``: first in a task, then over tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):
-            counts = [hashed(ids) if len(ids) else None for ids in token_arrays(b.column(1), path)]
-            yield pa.record_batch([b.column(0), b.column(2).cast(pa.string()), pa.array(counts, pa.list_(pa.float64()))], ["doc_id", "lang", "counts"])
-
-    some = hash_sample(d, "doc_id", TOPIC_SAMPLE).withColumn("doc_id", F.xxhash64("doc_id"))
-    rows = small_batches(some).mapInArrow(run, "doc_id long, lang string, counts array<double>").where("counts is not null").orderBy("doc_id", "lang", "counts").limit(2 * TOPIC_SAMPLE).toArrow()
-    if not rows.num_rows:
-        return Topics(np.ones(PLACES), {None: np.zeros(PLACES)}, np.zeros((0, PLACES)))
-    counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, PLACES)
-    langs = rows.column("lang").to_pylist()
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))
-    v = counts * weights
-    v /= np.maximum(np.sqrt((v**2).sum(1)), 1e-12)[:, None]
-    of = np.array([x or "" for x in langs])
-    means = {None: v.mean(0)} | {x: v[of == x].mean(0) for x in sorted(set(langs) - {None, ""})}
-    fitted = Topics(weights, means, np.zeros((0, PLACES)))
-    fitted.centers = centers_of(np.array([fitted.placed(c, x) for c, x in zip(counts, langs, strict=True)]), topics)
+        total = np.zeros(shape)
+        for b in batches:
+            if b.num_rows:
+                total = add(total, step(b))
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total = add(total, np.frombuffer(x).reshape(shape))
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts, tasks = rows.mapInArrow(run, "sums binary"), rows.rdd.getNumPartitions()
+    while tasks * np.zeros(shape).nbytes > BYTES_AT_HAND and tasks > SUMS_AT_ONCE:
+        tasks = -(-tasks // SUMS_AT_ONCE)
+        parts = parts.repartition(tasks).mapInArrow(together, "sums binary")
+    total = np.zeros(shape)
+    for r in parts.collect():
+        total = add(total, np.frombuffer(r.sums).reshape(shape))
+    return total
+
+
+def by_mark(marks: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each mark the sum of its rows of ``v``, with their number as the last column."""
+    of = (marks == np.arange(n)[:, None]).astype(np.float64)
+    return np.hstack([of @ v, of.sum(1)[:, None]])
+
+
+def farther(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two (distance, row) that with the greater distance, and of equal ones the greater row."""
+    return max(a, b, key=lambda x: x.tolist())
+
+
+def counts_and_langs(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+    return unpacked(b.column(0).to_pylist()), b.column(1).to_pylist()
+
+
+def coordinates(b: pa.RecordBatch) -> np.ndarray:
+    at = b.column(0)
+    whole = np.frombuffer(at.buffers()[2], "<i2", len(at) * PLACES, 2 * PLACES * at.offset).reshape(-1, PLACES)
+    return np.multiply(whole, GRAIN, out=room("v", len(whole)))
+
+
+def fit_topics(rows: DataFrame, topics: int = TOPICS) -> Topics:
+    """Topics of all documents, from their (counts, lang); those without tokens have no counts."""
+    rows = small_batches(rows.where("counts is not null").select("counts", "lang"))
+
+    def seen_in(b: pa.RecordBatch) -> np.ndarray:
+        counts, _ = counts_and_langs(b)
+        return np.append((counts > 0).sum(0), len(counts))
+
+    seen = of_all(rows, seen_in, (PLACES + 1,))
+    weights = np.log((1 + seen[-1]) / (1 + seen[:-1]))
+    if not seen[-1]:
+        return Topics(weights)
+    langs = rows.where("lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    plain = Topics(weights, {x: np.zeros(PLACES) for x in [None, *[r.lang for r in langs]]})
+
+    def sums_of(b: pa.RecordBatch) -> np.ndarray:
+        counts, of = counts_and_langs(b)
+        return by_mark(plain.marks(of), grains(plain.weighted(counts)), len(plain.means))
+
+    sums = of_all(rows, sums_of, (len(plain.means), PLACES + 1))
+    sums[:, :-1] *= GRAIN
+    means = {x: s[:-1] / max(s[-1], 1) for x, s in zip(plain.means, sums, strict=True)} | {None: sums[:, :-1].sum(0) / seen[-1]}
+    fitted = Topics(weights, means)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                whole = fitted.placed(*counts_and_langs(b)).astype("<i2")
+                yield pa.record_batch([pa.array([x.tobytes() for x in whole], pa.binary())], ["v"])
+
+    placed, at = written_at(rows.mapInArrow(place, "v binary"), "mixture-places")
+    fitted.centers = centers_of(placed, topics, seen[-1])
+    discard(at)
     return fitted
 
 
-def centers_of(x: np.ndarray, k: int) -> np.ndarray:
-    """k-means from farthest-first centers; fewer centers where there are fewer different rows."""
-    away = lambda c: ((x - c) ** 2).sum(1)
-    centers = [x[away(x.mean(0)).argmax()]]
-    near = away(centers[0])
-    while len(centers) < k and near.max() > 1e-12:
-        centers.append(x[near.argmax()])
-        near = np.minimum(near, away(centers[-1]))
-    c = np.array(centers)
-    for _ in range(25):
-        owner = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]).argmin(1)
-        new = np.array([x[owner == j].mean(0) if (owner == j).any() else c[j] for j in range(len(c))])
-        if np.allclose(new, c):
+def centers_of(placed: DataFrame, k: int, n: float) -> np.ndarray:
+    """k-means of the ``n`` rows of ``placed`` from farthest-first centers; fewer centers where there are fewer different rows."""
+    def farthest(c: np.ndarray) -> np.ndarray:
+        def step(b: pa.RecordBatch) -> np.ndarray:
+            v = coordinates(b)
+            away = nearest(v, c)[1]
+            return max((np.append(away[i], v[i]) for i in np.flatnonzero(away == away.max())), key=lambda x: x.tolist())
+
+        return of_all(placed, step, (PLACES + 1,), farther)
+
+    def moved(c: np.ndarray) -> tuple[np.ndarray, float]:
+        def step(b: pa.RecordBatch) -> np.ndarray:
+            v = coordinates(b)
+            at, away = nearest(v, c)
+            return np.append(by_mark(at, v, len(c)), rounded(away).sum())
+
+        total = of_all(placed, step, (len(c) * (PLACES + 1) + 1,))
+        sums = total[:-1].reshape(-1, PLACES + 1)
+        return np.where(sums[:, -1:] > 0, rounded(sums[:, :-1] / np.maximum(sums[:, -1:], 1)), c), total[-1] / n
+
+    mean = rounded(of_all(placed, lambda b: coordinates(b).sum(0), (PLACES,)) / n)
+    c = farthest(mean[None])[None, 1:]
+    while len(c) < k and (far := farthest(c))[0] > 1e-12:
+        c = np.vstack([c, far[1:]])
+    before = np.inf
+    for _ in range(PASSES):
+        new, away = moved(c)
+        if before - away <= SETTLED * away or np.array_equal(new, c):
             break
-        c = new
+        c, before = new, away
     return c
 
 
-def tagged(docs: DataFrame, path: str | None = None, topics: Topics | None = None) -> DataFrame:
-    """The rows of ``docs`` as columns c0, c1, ..., with ``_topic`` (the column ``topic`` where there is one) and ``_n_tokens``."""
+def tagged(docs: DataFrame, path: str | None = None, topics: Topics | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` in the shared folder: their columns (or those named by ``keep``) as c0, c1, ... by their places, with
+    ``_topic`` (the column ``topic`` where there is one) and ``_n_tokens``."""
     path = path or vocabulary("word_bpe_49k.json")
     names = docs.columns
     text, lang = names.index("text"), names.index("lang")
-    if "topic" not in names:
-        topics = topics or fit_topics(docs, path)
+    kept = [i for i, n in enumerate(names) if keep is None or n in keep]
     own = names.index("topic") if "topic" in names else None
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    plain = plain.withColumn("_lang", F.col(f"c{lang}").cast("string"))
+    last = ("_topic", "string") if own is not None else ("_counts", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             ids = token_arrays(b.column(text), path)
-            langs = b.column(len(names)).to_pylist()
-            of = b.column(own).cast(pa.string()) if own is not None else pa.array([topics.of(i, x) for i, x in zip(ids, langs, strict=True)], pa.string())
-            yield pa.record_batch([*b.columns[:-1], of, pa.array(map(len, ids), pa.int64())], [*b.schema.names[:-1], "_topic", "_n_tokens"])
-
-    schema = StructType(plain.schema.fields[:-1]).add("_topic", StringType()).add("_n_tokens", LongType())
-    return small_batches(plain).mapInArrow(run, schema)
+            of = b.column(own).cast(pa.string()) if own is not None else pa.array([packed(i) if len(i) else None for i in ids], pa.binary())
+            yield pa.record_batch([*[b.column(i) for i in kept], of, pa.array(map(len, ids), pa.int64())], [*[f"c{i}" for i in kept], last[0], "_n_tokens"])
+
+    schema = StructType([plain.schema.fields[i] for i in kept]).add(*last).add("_n_tokens", LongType())
+    rows = small_batches(plain).mapInArrow(run, schema)
+    if own is not None:
+        return written(rows, "mixture-rows")
+    rows, at = written_at(rows, "mixture-counts")
+    named = F.col(f"c{lang}").cast("string")
+    fitted = topics or fit_topics(rows.select(F.col("_counts").alias("counts"), named.alias("lang")))
+
+    @F.arrow_udf("string")
+    def topic(counts: pa.Array, of: pa.Array) -> pa.Array:
+        return pa.array(fitted.of(counts.to_pylist(), of.to_pylist()), pa.string())
+
+    out = written(rows.withColumn("_topic", topic("_counts", named)).drop("_counts"), "mixture-rows")
+    discard(at)
+    return out
 
 
 def value(c: Column) -> Column:
@@ -152,7 +305,7 @@ def value(c: Column) -> Column:
 def keyed(docs: DataFrame, path: str | None = None, topics: Topics | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of each row."""
     d = take(docs, "doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))
-    t = tagged(d, path, topics)
+    t = tagged(d, path, topics, ["doc_id", "source", "lang"])
     return t.select(F.col("c0").alias("doc_id"), value(F.col("c2")).alias("source"), value(F.col("c3")).alias("lang"), value(F.col("_topic")).alias("topic"), F.col("_n_tokens").alias("n_tokens"))
 
 
@@ -295,7 +448,7 @@ def chosen(doc_id: Column, probability: Column, seed: int = 11) -> Column:
 
 def sampled(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) of each row."""
-    rows = written(keyed(docs), "mixture-rows")
+    rows = keyed(docs)
     p = plan(rows, powers, budget, targets).select(*DIMENSIONS, "probability")
     return rows.join(p, DIMENSIONS).withColumn("kept", chosen(F.col("doc_id"), F.col("probability")))
 
@@ -304,7 +457,7 @@ def sample_documents(docs: DataFrame, powers: dict[str, float] | None = None, bu
     """The rows of ``docs``, with all their columns, that are in the sample."""
     names = docs.columns
     c = {n: F.col(f"c{names.index(n)}") for n in ("doc_id", "source", "lang")}
-    rows = written(tagged(docs), "mixture-rows")
+    rows = tagged(docs)
     keys = {"source": value(c["source"]), "lang": value(c["lang"]), "topic": value(F.col("_topic"))}
     p = plan(rows.select(*[k.alias(d) for d, k in keys.items()], F.col("_n_tokens").alias("n_tokens")), powers, budget, targets)
     p = p.select(*[F.col(d).alias(f"_{d}_") for d in DIMENSIONS], "probability")

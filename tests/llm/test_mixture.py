@@ -149,3 +149,51 @@ def test_marginals_say_what_was_reached(spark):
     rows = spark.createDataFrame([("a", "en", "t", 10)] * 3 + [("b", "en", "t", 10)] + [("b", "de", "t", 10)], "source string, lang string, topic string, n_tokens long")
     got = {(r.dimension, r.value): r for r in mixing.marginals(mixing.plan(rows, targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.8, "de": 0.2}})).collect()}
     assert all(abs(r.reached - r.target) < 1e-3 and abs(r.miss) < 1e-3 for r in got.values()) and got["source", "a"].target == 0.5
+
+
+def test_topics_come_from_all_documents(spark):
+    rng = np.random.default_rng(3)
+    themes = [["ship", "sea", "sail", "wind"], ["bread", "oven", "flour", "salt"], ["court", "law", "judge", "case"], ["goal", "match", "team", "coach"], ["piano", "song", "choir", "drum"], ["river", "lake", "fish", "boat"], ["horse", "farm", "barn", "hay"], ["atom", "laser", "proton", "quark"]]
+    high = [r.id for r in spark.range(4000).where(F.xxhash64("id") >= 0).limit(200).collect()]  # a sample of the lower hashes has none of these
+    theme = {i: i % 7 for i in range(4000)} | dict.fromkeys(high, 7)
+    rows = [(i, " ".join(rng.choice(themes[t], 12)), f"l{i % 2}", "s") for i, t in theme.items()]
+    of = {}
+    for r in mixing.keyed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        of.setdefault(r.topic, set()).add(theme[r.doc_id])
+    assert len(of) == 8 and all(len(t) == 1 for t in of.values())
+
+
+def plain_topics(counts, langs, k=mixing.TOPICS):
+    """The fit of ``fit_topics`` by plain numpy over all rows at once."""
+    unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(1)), 1e-12)[:, None]
+    round_ = lambda v: np.rint(v / mixing.GRAIN) * mixing.GRAIN
+    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))
+    v = unit(np.log1p(counts) * weights)
+    v = round_(unit(v - np.array([round_(v)[[x == y for y in langs]].mean(0) for x in langs])))
+    away = lambda c: ((v[:, None] - c) ** 2).sum(2)
+    top = lambda d: max(range(len(v)), key=lambda i: (d[i], v[i].tolist()))
+    c = v[[top(away(round_(v.mean(0))[None])[:, 0])]]
+    while len(c) < k:
+        c = np.vstack([c, v[top(away(c).min(1))]])
+    before = np.inf
+    for _ in range(mixing.PASSES):
+        at, d = away(c).argmin(1), round_(away(c).min(1)).mean()
+        new = np.array([round_(v[at == j].mean(0)) if (at == j).any() else c[j] for j in range(k)])
+        if before - d <= mixing.SETTLED * d or np.array_equal(new, c):
+            break
+        c, before = new, d
+    return c
+
+
+@pytest.mark.parametrize("parts, at_hand", [(1, 8 << 20), (7, 8 << 20), (7, 0)])
+def test_topics_equal_plain_k_means_however_rows_are_dealt(spark, monkeypatch, parts, at_hand):
+    monkeypatch.setattr(mixing, "BYTES_AT_HAND", at_hand)
+    monkeypatch.setattr(mixing, "SUMS_AT_ONCE", 2)
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(rng.gamma(0.3, 2, (6, mixing.PLACES))[rng.integers(0, 6, 150)])
+    counts[:2, :3] = [[300, 0, 70_000], [256, 1, 2]]  # wider than a byte
+    langs = [f"l{i % 3}" for i in range(150)]
+    packs = [mixing.packed(np.repeat(np.arange(mixing.PLACES), c)) for c in counts]
+    rows = spark.createDataFrame([*zip(packs, langs, strict=True), (None, "l0")], "counts binary, lang string").repartition(parts)
+    assert np.array_equal(mixing.unpacked(packs), counts)
+    assert np.array_equal(mixing.fit_topics(rows).centers, plain_topics(counts, langs))
