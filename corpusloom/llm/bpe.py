@@ -114,17 +114,25 @@ class Automaton:
         if whole is not None:
             return [whole]
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        step, ends, arc = self.step.get, self.ends, self.arc
+        step, ends, known, arc = self.step.get, self.ends, self.table.get, self.arc
         for i in range(1, n + 1):
             found, node, j = [], 0, i
             while j and (node := step(node << 8 | word[j - 1])) is not None:
                 j -= 1
-                if ends[node] is not None:
-                    found.append((j, ends[node]))
-            for j, t in reversed(found):  # the longest first
-                if j == 0 or arc(last[j], t):
-                    last[i], start[i] = t, j
-                    break
+                t = ends[node]
+                if t is not None:
+                    found.append(j)
+                    found.append(t)
+            while found:  # the longest first
+                t, j = found.pop(), found.pop()
+                if j:
+                    ok = known(last[j] << 32 | t)
+                    if ok is None:
+                        ok = arc(last[j], t)
+                    if not ok:
+                        continue
+                last[i], start[i] = t, j
+                break
         ids, i = [], n
         while i:
             ids.append(last[i])
