@@ -39,20 +39,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, holding, shared_dir, small_batches, table, take, vocabulary, written
+from .bpe import byte_symbols
+from .common import holding, shared_dir, small_batches, table, take, vocabulary, written
 from .files import reading, size, writing
 
 #: Most ids of one frame.
 FRAME_IDS = 1 << 16
 #: About so many characters of text make one shard.
 SHARD_CHARS = 64 << 20
-#: Bytes of one generation of chunks that a worker remembers.
-REMEMBERED = 40 << 20
+#: Bytes of chunks and ids that a worker remembers: with more, numbering the known chunks of each batch takes longer than new ones take.
+REMEMBERED = 14 << 20
+#: Bytes that a remembered chunk takes besides its contents, and most bytes of one.
+ENTRY, LONGEST = 20, 1 << 10
 #: Bytes of text that are encoded together.
 GATHERED = 6 << 20
 #: Texts with one of these stay as they are. Of the characters up to U+024F only U+0130 has a lower case that is no letter (it ends in a
 #: combining dot), none composes with another and none is changed by NFC; "<|" may begin a special token.
 ODD = r"[^\x00-\x{24f}]|\x{130}|<\|"
+#: A chunk that is one word of the pattern below. NFC leaves these letters as they are, and each has one letter as its lower case.
+WORD = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$"
+#: The printable characters of bytes, but that of the blank.
+SYMBOLS = {b: c for c, b in byte_symbols().items() if b != 0x20}
 # The normaliser's steps and the word pattern under which a text's ids are those of its chunks, folded as below.
 FOLDING = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -71,16 +78,26 @@ def folds(path: str) -> bool:
     return (steps, split) == FOLDING
 
 
-class Chunks(Remembered):
+def spelled(text: str) -> str:
+    """``text`` with a printable character for each byte, as byte-level vocabularies spell it; blanks stay."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(SYMBOLS)
+
+
+class Chunks:
     """Chunk of text between white space -> its ids by the tokenizers library. The vocabulary's pattern never crosses white
-    space, so a text's ids are those of its chunks in turn. New chunks go through the library together, parted by one of its
-    special tokens."""
+    space, so a text's ids are those of its chunks in turn. New chunks go through the library together: those that are one WORD as
+    the words of a tokenizer that has the vocabulary's merges only, since normaliser and pattern leave them as they are but for
+    lower case; all others through the whole tokenizer, parted by one of its special tokens.
+
+    Known chunks stand before the new ones when these are numbered, so one pass of Arrow finds both. Those that came up in
+    most batches are kept."""
 
     def __init__(self, path: str):
-        super().__init__(REMEMBERED)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        self.known, self.ids, self.seen = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int32)
         self.folds = folds(path)
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
@@ -88,9 +105,22 @@ class Chunks(Remembered):
         if self.folds:
             self.sep_id, self.sep = next((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word))
             self.odd = self.sep[0]
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of these chunks, by the library."""
+            self.plain, suffix = Tokenizer(t.model), t.model.end_of_word_suffix
+            self.plain.pre_tokenizer = WhitespaceSplit()
+            self.last = np.zeros(t.get_vocab_size(), bool)  # the ids that end a word
+            self.last[[i for x, i in t.get_vocab(with_added_tokens=False).items() if suffix and x.endswith(suffix)]] = True
+
+    def of_words(self, words: list[str]) -> pa.Array | None:
+        """The ids of each of WORDs; None if these don't say where words end, since the vocabulary lacks a byte or marks no ends."""
+        ids = [np.array(self.plain.encode_batch_fast([spelled(" ".join(words[k : k + 4096]).lower())], add_special_tokens=False)[0].ids, "<u4") for k in range(0, len(words), 4096)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words) + 1 or ends[-1] != len(ids):
+            return None
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer((ends * 4).astype("<i8")), pa.py_buffer(ids)])
+
+    def of_any(self, chunks: list[str]) -> pa.Array:
+        """The ids of each chunk."""
         out = {}
         plain = [c for c in chunks if self.odd not in c]
         for k in range(0, len(plain), 4096):
@@ -104,18 +134,39 @@ class Chunks(Remembered):
         for c in chunks:
             if self.odd in c:
                 out[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        return pa.array([out[c] for c in chunks], pa.large_binary())
 
-    def all(self, chunks: list[str]) -> list[bytes]:
-        known = [self.get(c) for c in chunks]
-        known = [self.older.get(c) if k is None else k for c, k in zip(chunks, known, strict=True)]
-        new = self.learn([c for c, k in zip(chunks, known, strict=True) if k is None])
-        out = [new[c] if k is None else k for c, k in zip(chunks, known, strict=True)]
-        for c, ids in zip(chunks, out, strict=True):
-            if c not in self:
-                self.keep(c, ids, 2 * len(c) + len(ids))
+    def learn(self, chunks: pa.Array) -> pa.Array:
+        """The ids of these chunks, by the library."""
+        is_word = pc.match_substring_regex(chunks, WORD).to_numpy(zero_copy_only=False)
+        words = self.of_words(chunks.filter(pa.array(is_word)).to_pylist())
+        if words is None:
+            return self.of_any(chunks.to_pylist())
+        place = np.empty(len(chunks), np.int64)
+        place[np.append(np.flatnonzero(is_word), np.flatnonzero(~is_word))] = np.arange(len(chunks))
+        return pa.concat_arrays([words, self.of_any(chunks.filter(pa.array(~is_word)).to_pylist())]).take(pa.array(place))
+
+    def all(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk, as bytes."""
+        n = len(self.known)
+        coded = pa.concat_arrays([self.known, chunks]).dictionary_encode()
+        self.known, at = coded.dictionary, coded.indices[n:]
+        self.ids = pa.concat_arrays([self.ids, self.learn(self.known[n:])])
+        out = self.ids.take(at)
+        self.seen = np.append(self.seen, np.zeros(len(self.known) - n, np.int32))
+        self.seen[at.to_numpy()] += 16
+        if self.known.nbytes + self.ids.nbytes + self.seen.nbytes > REMEMBERED:
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        """Keep the chunks that came up in most batches, later batches counting more: half of what may be held."""
+        size = (pc.binary_length(self.known).to_numpy() + pc.binary_length(self.ids).to_numpy()).astype(np.int64) + ENTRY
+        first = np.argsort(-self.seen, kind="stable")
+        first = first[size[first] <= LONGEST]
+        kept = np.sort(first[np.cumsum(size[first]) <= REMEMBERED // 2])
+        self.known, self.ids, self.seen = self.known.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.seen[kept] // 2
+
 
 @lru_cache(maxsize=2)
 def chunks_of(path: str) -> Chunks:
@@ -137,8 +188,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() + end for e in chunks.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
     parted = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\p{L})([.,;:!?|*#$%&]+)(\s)", r"\1 \2\3")
     parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, ODD), texts, parted))
-    coded = parts.flatten().dictionary_encode()
-    ids = pa.array(chunks.all(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    ids = chunks.all(parts.flatten())
     _, ends, data = ids.buffers()
     bounds = np.frombuffer(ends, "<i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "<i8")
     offsets = parts.offsets.to_numpy()
